@@ -65,8 +65,10 @@ class WordBpe:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.cache = WordCache(self._encode)
-        #: A word of one id; it separates words that are encoded in one call.
-        self.mark, self.mark_id = next((w, ids[0]) for w in ("†", "§", "•", "|", "~") if len(ids := self.tokenizer.encode(w, add_special_tokens=False).ids) == 1)
+        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
+        self.bases = WordCache(self._encode_bases)
 
     @classmethod
     def of(cls, path: str | None) -> WordBpe:
@@ -77,19 +79,32 @@ class WordBpe:
             cls._open[path] = cls(path)
         return cls._open[path]
 
+    def _plain(self, text: str) -> np.ndarray:
+        return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+
+    def _encode_bases(self, words: list[str]) -> list[bytes]:
+        """Words of letters are one unit each, whose last id ends a word, so
+        many are encoded in one call; others are encoded alone."""
+        out: dict[str, bytes] = {}
+        letters = [w for w in words if w.isalpha()]
+        for i in range(0, len(letters), 4096):
+            part = letters[i : i + 4096]
+            ids = self._plain(" ".join(part))
+            bounds = [0, *(np.flatnonzero(self.ends[ids]) + 1).tolist()]
+            if len(bounds) == len(part) + 1:
+                raw = ids.tobytes()
+                out |= {w: raw[4 * a : 4 * b] for w, a, b in zip(part, bounds, bounds[1:], strict=False)}
+        return [out[w] if w in out else self._plain(w).tobytes() for w in words]
+
     def _encode(self, words: list[str]) -> list[bytes]:
-        plain = lambda text: np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
-        out: list[bytes] = []
-        for i in range(0, len(words), 4096):
-            part = words[i : i + 4096]
-            ids = plain(f" {self.mark} ".join(part))
-            cuts = np.flatnonzero(ids == self.mark_id)
-            if len(cuts) != len(part) - 1:  # a word holds the mark itself
-                out += [plain(w).tobytes() for w in part]
-                continue
-            raw, bounds = ids.tobytes(), [-1, *cuts.tolist(), len(ids)]
-            out += [raw[4 * a + 4 : 4 * b] for a, b in zip(bounds, bounds[1:], strict=False)]
-        return out
+        """A closing mark after a letter is a unit of its own, and the case of
+        ASCII letters is dropped, so few words remain to be encoded."""
+        split = [(w[:-1], w[-1]) if len(w) > 1 and w[-1] in ",.;:!?" and w[-2].lower().isalpha() else (w, "") for w in words]
+        split = [(w.lower() if w.isascii() else w, mark) for w, mark in split]
+        needed = list({x for pair in split for x in pair if x})
+        known = dict(zip(needed, self.bases.ids(needed), strict=True))
+        known[""] = b""
+        return [known[w] + known[mark] for w, mark in split]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and where each text's begin (one entry more)."""
@@ -98,5 +113,5 @@ class WordBpe:
         words = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
         if not len(coded):
             return np.zeros(0, "<u4"), words
-        ids, ends = gather(self.cache.ids(coded.dictionary.to_pylist()), coded.indices.to_numpy())
+        ids, ends = gather(self.cache.ids(coded.dictionary.to_numpy(zero_copy_only=False).tolist()), coded.indices.to_numpy())
         return ids, ends[words]
