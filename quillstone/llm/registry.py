@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import byte_bpe, exact_dedup, packing
+from quillstone.llm import byte_bpe, exact_dedup, packing, url_filter
 from quillstone.llm.common import table
 
 
@@ -25,13 +25,52 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+#: The rules of the URL query, and the hosts that it lists.
+URL_RULES = ("allow com/", "block example.com/en/", "allow www.example.com/en/", "block net/es/", "block net/fr/")
+LISTED_NAMES = ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+LISTED_HOSTS = tuple(f"{name}.example.{top}" for name in LISTED_NAMES for top in ("com", "net", "org"))
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = spark.range(1).select(F.explode(F.array(*map(F.lit, LISTED_HOSTS))).alias("key"))
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES, listed)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_byte_bpe": op3_byte_bpe,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_packing": op8_packing,
+    "op10_url_filter": op10_url_filter,
 }
 
+_LISTED_SQL = ", ".join(f"('{h}')" for h in LISTED_HOSTS)
+
 ORACLES: dict[str, str] = {
+    "op10_url_filter": f"""
+        WITH cut AS (
+            SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+        ), parsed AS (
+            SELECT page_id,
+                   translate(regexp_extract(rest, '^[^/?#]*'), '{url_filter.UPPER}', '{url_filter.LOWER}') AS host,
+                   regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+            FROM cut
+        ), marked AS (
+            SELECT *, EXISTS (SELECT 1 FROM (VALUES {_LISTED_SQL}) AS listed(key) WHERE '.' || host LIKE '%.' || key) AS listed FROM parsed
+        ), ruled AS (
+            SELECT *, CASE
+                WHEN ('.' || host LIKE '%.www.example.com') AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+                WHEN ('.' || host LIKE '%.example.com') AND starts_with(path, '/en/') THEN 'example.com/en/'
+                WHEN ('.' || host LIKE '%.net') AND starts_with(path, '/es/') THEN 'net/es/'
+                WHEN ('.' || host LIKE '%.net') AND starts_with(path, '/fr/') THEN 'net/fr/'
+                WHEN ('.' || host LIKE '%.com') AND starts_with(path, '/') THEN 'com/' END AS rule
+            FROM marked
+        )
+        SELECT page_id, host, path, rule, CASE
+                   WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow'
+                   WHEN rule IS NOT NULL THEN 'block'
+                   WHEN listed THEN 'block' ELSE 'allow' END AS verdict, listed
+        FROM ruled
+    """,
     "op7_exact_dedup": """
         SELECT doc_id,
                max(doc_id) OVER same AS keep_id,
