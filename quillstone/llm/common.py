@@ -3,21 +3,18 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-ROOT = str(Path(__file__).resolve().parents[2])
+from quillstone.functions.storage import BROADCAST_ROWS, durable, shared_dir, sized_broadcast
 
-#: Rows a broadcast side may have; beyond it the same join runs as a shuffle.
-BROADCAST_ROWS = 2_000_000
+__all__ = ["BROADCAST_ROWS", "durable", "map_arrow", "shared_dir", "ship", "sized_broadcast", "slices", "table"]
 
+ROOT = str(Path(__file__).resolve().parents[2])
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -40,35 +37,6 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(fn, schema)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; one of our own only where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = os.path.join(tempfile.gettempdir(), "quillstone-shared")
-        spark.conf.set("spark.checkpoint.dir", named) if _settable(spark) else None
-    return named.rstrip("/")
-
-
-def _settable(spark: SparkSession) -> bool:
-    return spark.conf.isModifiable("spark.checkpoint.dir")
-
-
-def durable(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: lineage
-    ends there, and a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quillstone-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if its row count is within the bound, else
-    ``df`` as it is, so that the join shuffles."""
-    within = df.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if within else df
-
-
 def slices(batch: pa.RecordBatch, column: str, max_rows: int = 512, max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that a slice holds few rows and few bytes of ``column``."""
     n = batch.num_rows
