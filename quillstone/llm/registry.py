@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import byte_bpe, exact_dedup, packing, simhash, url_filter
+from quillstone.llm import audio, byte_bpe, exact_dedup, packing, simhash, url_filter
 from quillstone.llm.common import table
 
 
@@ -17,6 +17,12 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = audio.features(audio.store(table(spark, sf_dir, "documents")))
+    feature = F.concat_ws("|", F.col("frames").cast("string"), F.sha2("tensors", 256), F.sha2("segments_ms", 256))
+    return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.assign(table(spark, sf_dir, "documents"), keep="max")
 
@@ -43,6 +49,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_audio": op4_audio,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_packing": op8_packing,
     "op9_simhash": op9_simhash,
