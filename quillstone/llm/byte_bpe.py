@@ -196,3 +196,16 @@ def decode(encoded: DataFrame, ids_col: str = "ids", ranks: str | None = None) -
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
     return map_arrow(encoded, run, f"{kinds}, decoded binary")
+
+
+def lengths(docs: DataFrame, text_col: str = "text", ranks: str | None = None, pattern: str | None = None) -> DataFrame:
+    """n_tokens of each text: the number of ids that ``encode`` gives."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = ByteBpe.of(ranks, pattern)
+        for batch in batches:
+            for part in slices(batch, text_col):
+                ids = bpe.encode([t or "" for t in part.column(text_col).to_pylist()])
+                yield pa.record_batch([pa.array([len(x) // 4 for x in ids], pa.int64())], ["n_tokens"])
+
+    return map_arrow(docs.select(F.col(text_col)), run, "n_tokens long")
