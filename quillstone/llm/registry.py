@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import audio, byte_bpe, exact_dedup, packing, simhash, token_counts, url_filter, warc
+from quillstone.llm import audio, byte_bpe, exact_dedup, packing, quality, simhash, token_counts, url_filter, warc
 from quillstone.llm.common import table
 
 
@@ -32,6 +32,14 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("record_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
 
 
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    return labels.where("quality = 1 and toxic = 0").select("doc_id")
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), trusted_ids(table(spark, sf_dir, "labels")))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.assign(table(spark, sf_dir, "documents"), keep="max")
 
@@ -61,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_byte_bpe": op3_byte_bpe,
     "op4_audio": op4_audio,
     "op5_warc": op5_warc,
+    "op6_quality": op6_quality,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_packing": op8_packing,
     "op9_simhash": op9_simhash,
