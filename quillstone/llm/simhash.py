@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import durable, map_arrow, slices
+from quillstone.llm.common import durable, map_arrow, sized_broadcast, slices
 from quillstone.operators.components import connected_components
 
 BITS, MAX_BITS, SEED = 64, 2, 42
@@ -167,3 +167,160 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     smallest = joined.groupBy("component").agg(F.min("least").alias("component_id"))
     classes = joined.join(smallest, "component").select("fp", "component_id")
     return fps.join(classes, "fp").select(f"`{id_col}`", "fp", "component_id")
+
+
+# Similarity of five-word shingles. Sets of resemblance J have fingerprints whose
+# bits differ with probability acos(2J / (1 + J)) / pi, which is 0.15 at J = 0.8,
+# so these links need longer fingerprints and posting lists of fewer positions.
+
+WIDE_WORDS, SIMILARITY = 5, 0.8
+WIDE_BYTES = 64
+#: Posting lists a signature is in, and positions that a list's members share.
+WIDE_LISTS, WIDE_SHARED = 144, 3
+#: Members of a posting list that are compared at once.
+WIDE_BLOCK = 16_384
+
+
+def _choices(lists: int, shared: int, positions: int) -> list[tuple[int, ...]]:
+    """Choices of byte positions, from fixed pseudo-random permutations that are
+    cut into disjoint runs, so that all positions are used alike."""
+    rng, out = np.random.default_rng(SEED), []
+    while len(out) < lists:
+        order = rng.permutation(positions).tolist()
+        out += [tuple(sorted(order[i : i + shared])) for i in range(0, positions - shared + 1, shared)]
+    return out[:lists]
+
+
+def most_bits(similarity: float, bits: int = WIDE_BYTES * 8) -> int:
+    """Differing bits that two signatures of that resemblance may have: what is
+    expected, and one standard deviation."""
+    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    return int(bits * p + (bits * p * (1 - p)) ** 0.5)
+
+
+def signature(text: str, words: int = WIDE_WORDS, seed: int = SEED) -> bytes:
+    """SimHash of the set of shingles, WIDE_BYTES long; zeros without words."""
+    import xxhash
+
+    digest = xxhash.xxh64_intdigest
+    parts = set(shingles(text, words))
+    hashes = np.fromiter((digest(p, seed) for p in parts), np.uint64, len(parts))
+    ones = np.zeros(WIDE_BYTES * 8, np.int64)
+    steps = (np.arange(1, WIDE_BYTES // 8 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
+    for i in range(0, len(hashes), 2048):
+        z = hashes[i : i + 2048, None] + steps
+        z = (z ^ z >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ z >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        z ^= z >> np.uint64(31)
+        ones += np.unpackbits(z.view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(parts)).tobytes()
+
+
+def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WIDE_WORDS) -> DataFrame:
+    """id and sig."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, text_col):
+                sigs = [signature(t or "", words) for t in part.column(text_col).to_pylist()]
+                yield pa.record_batch([part.column(id_col), pa.array(sigs, pa.binary())], [id_col, "sig"])
+
+    return map_arrow(docs.select(id_col, F.col(text_col)), run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, sig binary")
+
+
+def block_forest(sigs: np.ndarray, limit: int) -> np.ndarray:
+    """Pairs of rows that connect whatever verified links connect: each search
+    compares one row with those not reached yet, so a dense group is soon done."""
+    left, out = np.arange(len(sigs)), []
+    while len(left):
+        queue, left = [int(left[0])], left[1:]
+        while queue and len(left):
+            row = queue.pop()
+            near = np.bitwise_count(sigs[left] ^ sigs[row]).sum(axis=1, dtype=np.int64) <= limit
+            reached = left[near]
+            if len(reached):
+                out.append(np.stack([reached, np.full(len(reached), row)], axis=1))
+                queue += reached.tolist()
+                left = left[~near]
+    return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+
+
+def _runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list[pa.Array]]:
+    """Columns of each maximal run of equal ``list`` values in sorted batches, in
+    parts of at most WIDE_BLOCK rows; each further part of a run begins with the
+    run's first row, which ties the parts together."""
+    held: pa.Table | None = None
+    for batch in _ended(batches):
+        if batch is not None:
+            table = pa.Table.from_batches([batch]).select(names)
+            held = table if held is None else pa.concat_tables([held, table])
+            if held.num_rows < 2:
+                continue
+        if held is None or not held.num_rows:
+            continue
+        held = held.combine_chunks()
+        keys = held.column("list").to_numpy()
+        bounds = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
+        done = len(bounds) - 1 if batch is None else len(bounds) - 2
+        for a, b in zip(bounds[:done], bounds[1 : done + 1], strict=True):
+            if b - a > 1:
+                yield [c.slice(a, b - a).combine_chunks() for c in held.columns]
+        held = held.slice(bounds[done])
+        if held.num_rows > WIDE_BLOCK:
+            yield [c.combine_chunks() for c in held.columns]
+            held = held.slice(0, 1)
+
+
+def _ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
+def similar_links(sigs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Links between the distinct signatures of ``node, sig``: columns a and b."""
+    choices = np.array(_choices(WIDE_LISTS, WIDE_SHARED, WIDE_BYTES))
+    limit = most_bits(similarity)
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                raw = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint8).reshape(-1, WIDE_BYTES)
+                keys = np.broadcast_to(np.arange(len(choices), dtype=np.int64), (len(raw), len(choices)))
+                for k in range(WIDE_SHARED):
+                    keys = keys << 8 | raw[:, choices[:, k]]
+                nodes = part.column("node").take(pa.array(np.repeat(np.arange(len(raw)), len(choices))))
+                yield pa.record_batch([pa.array(keys.reshape(-1)), nodes], ["list", "node"])
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in _runs(batches, ["list", "node"]):
+            yield pa.record_batch(columns, ["list", "node"])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, nodes, raw in _runs(batches, ["list", "node", "sig"]):
+            rows = np.frombuffer(b"".join(raw.to_pylist()), np.uint64).reshape(-1, WIDE_BYTES // 8)
+            pairs = block_forest(rows, limit)
+            if len(pairs):
+                yield pa.record_batch([nodes.take(pa.array(pairs[:, 0])), nodes.take(pa.array(pairs[:, 1]))], ["a", "b"])
+
+    kind = sigs.schema["node"].dataType.simpleString()
+    posted = map_arrow(sigs.select("node", "sig"), post, f"list long, node {kind}")
+    lists = map_arrow(posted.repartition("list").sortWithinPartitions("list"), shared, f"list long, node {kind}")
+    known = lists.join(sigs.select("node", "sig"), "node")
+    return map_arrow(known.repartition("list").sortWithinPartitions("list").select("list", "node", "sig"), verify, f"a {kind}, b {kind}")
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WIDE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """id and component_id, the smallest id reached, of each row with an id."""
+    sigs = durable(signatures(docs.where(F.col(id_col).isNotNull()), id_col, text_col, words), "signatures")
+    classes = durable(sigs.groupBy("sig").agg(F.min(id_col).alias("node")), "signature-classes")
+    found = connected_components(durable(similar_links(classes, similarity), "similar-links"))
+    joined = classes.join(found, "node", "left").select("sig", F.coalesce("component", "node").alias("component_id"))
+    return sigs.join(joined, "sig").select(id_col, "component_id")
+
+
+def near_deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WIDE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """``docs`` with the smallest id of each group of similar texts, all columns
+    kept; rows without an id stay, and rows that repeat an id stay or go together."""
+    gone = representatives(docs, id_col, text_col, words, similarity).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__q_id")).distinct()
+    return docs.join(sized_broadcast(durable(gone, "near-copies")), docs[id_col] == F.col("__q_id"), "left_anti")
