@@ -49,22 +49,16 @@ def cover_density(hits: list[list[int]]) -> float:
     one more than the words in it that are no terms; normalised to rank / (1 + rank)."""
     events = sorted((p, k) for k, at in enumerate(hits) for p in at)
     last: dict[int, int] = {}
-    total, begin = 0.0, 0
+    total = 0.0
     for i, (p, k) in enumerate(events):
         last[k] = i
         if len(last) < len(hits):
             continue
-        first = min(last.values())
-        if first < begin:
-            continue
-        begin = first + 1
-        inside = events[first : i + 1]
-        inverse = len(inside) / DEFAULT_WEIGHT
-        noise = (p - events[first][0]) - (len(inside) - 1)
-        total += (len(inside) / inverse) / (1 + max(0, noise))
+        first = min(last.values())  # the narrowest cover that ends here
+        size = i - first + 1
+        noise = (p - events[first][0]) - (size - 1)
+        total += DEFAULT_WEIGHT / (1 + max(0, noise))
         del last[events[first][1]]
-        for j in range(begin, i + 1):  # the next cover may still use later places
-            last[events[j][1]] = j
     return total / (1 + total)
 
 
