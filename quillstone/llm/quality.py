@@ -33,7 +33,8 @@ from quillstone.llm.common import durable, map_arrow, ship, sized_broadcast, sli
 ORDER = 4
 BEGIN, END = "\x02", "\x03"
 SCALE = 1 << 16
-CHUNK_BYTES = 16 << 20
+#: Text that a chunk holds, and the least worth a chunk of its own.
+CHUNK_BYTES, LEAST_BYTES = 16 << 20, 1 << 20
 QUANTILE, SLACK = 0.995, 1.05
 #: Grams that a task holds before it sends partial counts on.
 HELD_GRAMS = 1_000_000
@@ -141,7 +142,8 @@ def score(docs: DataFrame, model: KneserNey, id_col: str = "doc_id", text_col: s
     ship(docs.sparkSession)
     order = model.order
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
-    chunks = max(1, -(-size // CHUNK_BYTES))
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chunks = max(1, -(-size // CHUNK_BYTES), min(tasks, size // LEAST_BYTES))
     key = F.when(F.col(id_col).isNull(), F.xxhash64(text_col)).otherwise(F.xxhash64(id_col))
     dealt = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.pmod(key, F.lit(chunks)).cast("int").alias("chunk"))
     dealt = dealt.repartition(chunks, "chunk")
