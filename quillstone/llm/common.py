@@ -2,36 +2,21 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.functions.storage import BROADCAST_ROWS, durable, shared_dir, sized_broadcast
+from quillstone.functions.storage import BROADCAST_ROWS, durable, shared_dir, ship, sized_broadcast
 
 __all__ = ["BROADCAST_ROWS", "durable", "map_arrow", "shared_dir", "ship", "sized_broadcast", "slices", "table"]
 
-ROOT = str(Path(__file__).resolve().parents[2])
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def ship(spark: SparkSession) -> None:
-    """Let Python workers that share this file system import the package.
-
-    On a cluster the package is deployed with ``--py-files``; then the path
-    below does not exist there and is ignored.
-    """
-    env = spark.sparkContext.environment
-    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if ROOT not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
-
-
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     ship(df.sparkSession)
     return df.mapInArrow(fn, schema)
