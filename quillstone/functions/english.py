@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillstone.functions.udf import vectorized
+
 # The stop words of the public English search configuration.
 STOP_WORDS = frozenset(
     """i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their
@@ -120,7 +122,7 @@ def stem(word: str) -> str:
     return word.lower()
 
 
-@F.pandas_udf("string")
+@vectorized("string")
 def stem_words(words: pd.Series) -> pd.Series:
     """Stems of a column of distinct lower-case words; null for stop words."""
     return words.map(lambda w: None if w is None or w in STOP_WORDS else stem(w), na_action=None)
@@ -131,7 +133,7 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-@F.pandas_udf("array<string>")
+@vectorized("array<string>")
 def folded_tokens(texts: pd.Series) -> pd.Series:
     """Distinct compatibility-normalised, case-folded word tokens, sorted."""
     import unicodedata

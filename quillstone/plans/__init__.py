@@ -1,0 +1 @@
+"""Queries of the evidence operators over the driver's tables."""

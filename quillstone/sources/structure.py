@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillstone.functions import vocabulary as V
+from quillstone.functions.udf import vectorized
 
 MEDIA_TYPES = ("PDF", "PNG", "JPEG", "XLSX", "HTML", "CSV", "TEXT")
 _TEXT_RUN, _SKIPPED = re.compile(r">([^<]+)<"), re.compile(r"(?is)<(script|style)\b.*?</\1>")
@@ -53,7 +54,7 @@ def sniff(data: bytes) -> str | None:
     return "TEXT" if text else None
 
 
-@F.pandas_udf("string")
+@vectorized("string")
 def media_type(content: pd.Series) -> pd.Series:
     return content.map(lambda b: None if b is None else sniff(bytes(b)), na_action=None)
 
@@ -157,7 +158,7 @@ def image_size(data: bytes) -> tuple[str, int, int] | None:
     return None
 
 
-@F.pandas_udf("struct<format:string,width:long,height:long>")
+@vectorized("struct<format:string,width:long,height:long>")
 def image_header(content: pd.Series) -> pd.DataFrame:
     found = [image_size(bytes(b)) if b is not None else None for b in content]
     return pd.DataFrame([f or (None, None, None) for f in found], columns=["format", "width", "height"])
