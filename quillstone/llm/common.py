@@ -10,16 +10,33 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillstone.functions.storage import BROADCAST_ROWS, durable, shared_dir, ship, sized_broadcast
 
-__all__ = ["BROADCAST_ROWS", "durable", "map_arrow", "shared_dir", "ship", "sized_broadcast", "slices", "table"]
+__all__ = ["BROADCAST_ROWS", "durable", "map_arrow", "release_memory", "shared_dir", "ship", "sized_broadcast", "slices", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def release_memory() -> None:
+    """Give freed memory back: Python workers outlive their tasks and stages."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        release_memory()
+
     ship(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+    return df.mapInArrow(run, schema)
 
 
 def slices(batch: pa.RecordBatch, column: str, max_rows: int = 512, max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:

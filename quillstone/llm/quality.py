@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import durable, map_arrow, ship, sized_broadcast, slices
+from quillstone.llm.common import durable, map_arrow, release_memory, ship, sized_broadcast, slices
 
 ORDER = 4
 BEGIN, END = "\x02", "\x03"
@@ -172,6 +172,8 @@ def score(docs: DataFrame, model: KneserNey, id_col: str = "doc_id", text_col: s
                         known[w] = sum([cost[g] for g in grams(w, order)])
                     symbols.append(sum(map(len, words)) + len(words))
                     costs.append(sum(map(known.__getitem__, words)))
+        del cost, known
+        release_memory()
         return pa.table([texts.column("id"), texts.column("lang"), pa.array(symbols, pa.int64()), pa.array(costs, pa.int64())], ["id", "lang", "symbols", "cost"])
 
     asked = map_arrow(dealt, ask, "chunk int, gram string")
