@@ -85,7 +85,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _LISTED_SQL = ", ".join(f"('{h}')" for h in LISTED_HOSTS)
 
+#: Base32 of a SHA-1, five bits at a time.
+_BASE32_SQL = """list_aggregate(list_transform(range(1, 161, 5), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + list_sum(list_transform(range(0, 5), lambda j: CASE WHEN substr(bits, i + j, 1) = '1' THEN 1 << (4 - j) ELSE 0 END))::INT, 1)), 'string_agg', '')"""
+
 ORACLES: dict[str, str] = {
+    "op5_warc": f"""
+        WITH p AS (
+            SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, (unhex(sha1(coalesce(html, '')))::BIT)::VARCHAR AS bits,
+                   min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first
+            FROM pages
+        )
+        SELECT page_id, payload_bytes, {_BASE32_SQL} AS payload_digest,
+               CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM p
+    """,
     "op10_url_filter": f"""
         WITH cut AS (
             SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
