@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
+from functools import cache
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,7 +35,14 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; one of our own only where unset."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    return (named or os.path.join(tempfile.gettempdir(), "quillstone-shared")).rstrip("/")
+    return (named or _own_dir()).rstrip("/")
+
+
+@cache
+def _own_dir() -> str:
+    path = tempfile.mkdtemp(prefix="quillstone-shared-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
 
 
 def durable(df: DataFrame, label: str) -> DataFrame:
