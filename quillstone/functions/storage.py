@@ -15,17 +15,23 @@ from pyspark.sql import functions as F
 
 #: Rows a broadcast side may have; beyond it the same join runs as a shuffle.
 BROADCAST_ROWS = 2_000_000
+#: Rows of an Arrow batch where the session has Spark's default: whole texts are
+#: wide, and a batch is held by the JVM and by Python at once.
+BATCH_ROWS = 1_000
 
 
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers that share this file system import the package.
+    """Prepare a session for Python stages: smaller Arrow batches, and let workers
+    that share this file system import the package.
 
     On a cluster the package is deployed with ``--py-files``; then the path
     below does not exist there and is ignored.
     """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
