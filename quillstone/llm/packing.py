@@ -54,7 +54,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, number = WordBpe.of(tokenizer), (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
         for batch in batches:
-            for part in slices(batch, text_col, max_rows=4096):
+            for part in slices(batch, text_col, max_rows=4096, max_bytes=2 << 20):
                 ids, bounds = bpe.encode(part.column(text_col))
                 rows, start, length, crc, tokens = [], [], [], [], []
                 for row, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Entries in each of the two generations of a worker's cache.
-CACHE_ENTRIES = 150_000
+CACHE_ENTRIES = 75_000
 
 
 class WordCache:
