@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm.common import durable, map_arrow, ship, slices
-from quillstone.llm.word_ids import WordBpe
+from quillstone.llm.word_ids import CACHE_ENTRIES, WordBpe
 
 CAPACITY = 4096
 END_ID = 2
@@ -47,12 +47,12 @@ def cuts(tokens: int, capacity: int) -> list[int]:
     return [*at, tokens]
 
 
-def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, tokenizer: str | None = None) -> DataFrame:
+def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, tokenizer: str | None = None, cache_entries: int = CACHE_ENTRIES) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, and piece_no,
     a number that no other piece of the table has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, number = WordBpe.of(tokenizer), (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
+        bpe, number = WordBpe.of(tokenizer, cache_entries), (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
         for batch in batches:
             for part in slices(batch, text_col, max_rows=4096, max_bytes=2 << 20):
                 ids, bounds = bpe.encode(part.column(text_col))
@@ -154,7 +154,7 @@ def pack(cut: DataFrame, id_col: str = "doc_id", capacity: int = CAPACITY, lane_
     return packed.unionByName(full)
 
 
-def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, tokenizer: str | None = None) -> DataFrame:
+def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, tokenizer: str | None = None, cache_entries: int = CACHE_ENTRIES) -> DataFrame:
     """Pieces of all documents with their sequences: ``pieces`` written once to
     the shared folder, then ``pack``."""
-    return pack(durable(pieces(docs, id_col, text_col, capacity, end_id, tokenizer), "pieces"), id_col, capacity).drop("piece_no")
+    return pack(durable(pieces(docs, id_col, text_col, capacity, end_id, tokenizer, cache_entries), "pieces"), id_col, capacity).drop("piece_no")

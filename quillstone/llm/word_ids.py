@@ -9,21 +9,22 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Entries in each of the two generations of a worker's cache.
-CACHE_ENTRIES = 75_000
+#: Entries in each of the two generations of a worker's cache: fewer take less
+#: memory and more time.
+CACHE_ENTRIES = 400_000
 
 
 class WordCache:
     """Ids of words, kept in two generations so that frequent words survive."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]]):
-        self.encode = encode
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], entries: int):
+        self.encode, self.entries = encode, entries
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def ids(self, words: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each word; ``words`` are distinct."""
-        if len(self.young) > CACHE_ENTRIES:
+        if len(self.young) > self.entries:
             self.old, self.young = self.young, {}
         found = list(map(self.young.get, words))
         missing = [i for i, x in enumerate(found) if x is None]
@@ -57,27 +58,27 @@ class WordBpe:
     """A tokenizer file whose normaliser and splitter treat white space only as
     a boundary, so that a text's ids are those of its words, one by one."""
 
-    _open: dict[str, WordBpe] = {}
+    _open: dict[tuple[str, int], WordBpe] = {}
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, entries: int):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.cache = WordCache(self._encode)
+        self.cache = WordCache(self._encode, entries)
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
-        self.bases = WordCache(self._encode_bases)
+        self.bases = WordCache(self._encode_bases, entries)
 
     @classmethod
-    def of(cls, path: str | None) -> WordBpe:
+    def of(cls, path: str | None, entries: int = CACHE_ENTRIES) -> WordBpe:
         import public_tokenizers
 
-        path = path or public_tokenizers.path("word_bpe_49k.json")
-        if path not in cls._open:
-            cls._open[path] = cls(path)
-        return cls._open[path]
+        key = (path or public_tokenizers.path("word_bpe_49k.json"), entries)
+        if key not in cls._open:
+            cls._open[key] = cls(*key)
+        return cls._open[key]
 
     def _plain(self, text: str) -> np.ndarray:
         return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
