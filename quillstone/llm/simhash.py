@@ -169,154 +169,232 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     return fps.join(classes, "fp").select(f"`{id_col}`", "fp", "component_id")
 
 
-# Similarity of five-word shingles. Sets of resemblance J have fingerprints whose
-# bits differ with probability acos(2J / (1 + J)) / pi, which is 0.15 at J = 0.8,
-# so these links need longer fingerprints and posting lists of fewer positions.
+# Similarity of five-word shingles: exact Jaccard of their sets. Of two sets of
+# resemblance t or more, each has all but a share 1 - t of its shingles in the
+# other, so under any one order of all shingles their prefixes of that share, and
+# one more, meet. A shingle of the prefixes is a posting list; the order puts
+# shingles that a sample finds common last, which keeps lists short and changes no
+# result. A first round verifies each list's rows against its smallest row, which
+# joins dense groups; a second one all pairs of a list that no link connects yet.
+# Shingles are told apart by 64-bit hashes in lists, by their bytes in the check.
 
 WIDE_WORDS, SIMILARITY = 5, 0.8
-WIDE_BYTES = 64
-#: Posting lists a signature is in, and positions that a list's members share.
-WIDE_LISTS, WIDE_SHARED = 144, 3
-#: Members of a posting list that are compared at once.
-WIDE_BLOCK = 16_384
+#: Longs of a parity table. Tables of two sets differ in at most as many bits as
+#: the sets have shingles apart, so a pair that differs in more needs no check.
+PARITY = 8
+#: One document of so many is asked for common shingles; occurrences there that
+#: make one common, and how many are put last at most.
+SAMPLE, COMMON_LEAST, COMMON_MOST = 64, 4, 65_536
+#: Shingles of recent texts that a task keeps for its next checks.
+HELD_SHINGLES = 500_000
+EPSILON = 1e-9
+
+
+def shingle_hashes(text: str, words: int = WIDE_WORDS, seed: int = SEED) -> np.ndarray:
+    """Sorted hashes of the set of shingles."""
+    import xxhash
 
+    digest = xxhash.xxh64_intdigest
+    parts = set(shingles(text, words))
+    return np.unique(np.fromiter((digest(p, seed) for p in parts), np.uint64, len(parts)))
 
-def _choices(lists: int, shared: int, positions: int) -> list[tuple[int, ...]]:
-    """Choices of byte positions, from fixed pseudo-random permutations that are
-    cut into disjoint runs, so that all positions are used alike."""
-    rng, out = np.random.default_rng(SEED), []
-    while len(out) < lists:
-        order = rng.permutation(positions).tolist()
-        out += [tuple(sorted(order[i : i + shared])) for i in range(0, positions - shared + 1, shared)]
-    return out[:lists]
 
+def jaccard(a: frozenset, b: frozenset) -> float:
+    both = len(a & b)
+    return both / (len(a) + len(b) - both) if a or b else 1.0
 
-def most_bits(similarity: float, bits: int = WIDE_BYTES * 8) -> int:
-    """Differing bits that two signatures of that resemblance may have: what is
-    expected, and one standard deviation."""
-    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    return int(bits * p + (bits * p * (1 - p)) ** 0.5)
 
+def prefix(hashes: np.ndarray, common: np.ndarray, ranks: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles, common ones last: of two similar sets, one at least is
+    in both prefixes."""
+    n = len(hashes)
+    if n and len(common):
+        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+        late = np.where(common[at] == hashes, ranks[at] + 1, 0)
+        hashes = hashes[np.argsort(late, kind="stable")]
+    return hashes[: n - int(np.ceil(similarity * n - EPSILON)) + 1]
 
-def signature(text: str, words: int = WIDE_WORDS, seed: int = SEED) -> bytes:
-    """SimHash of the set of shingles, WIDE_BYTES long; zeros without words."""
-    import xxhash
 
-    digest = xxhash.xxh64_intdigest
-    parts = set(shingles(text, words))
-    hashes = np.fromiter((digest(p, seed) for p in parts), np.uint64, len(parts))
-    ones = np.zeros(WIDE_BYTES * 8, np.int64)
-    steps = (np.arange(1, WIDE_BYTES // 8 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
-    for i in range(0, len(hashes), 2048):
-        z = hashes[i : i + 2048, None] + steps
-        z = (z ^ z >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-        z = (z ^ z >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-        z ^= z >> np.uint64(31)
-        ones += np.unpackbits(z.view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * ones > len(parts)).tobytes()
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """Parity of the number of hashes at each of 64 * PARITY places."""
+    odd = np.bincount((hashes & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WIDE_WORDS) -> DataFrame:
-    """id and sig."""
+def common_shingles(docs: DataFrame, id_col: str, text_col: str, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes and their ranks, at most COMMON_MOST; only the order of
+    prefixes depends on them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text_col):
-                sigs = [signature(t or "", words) for t in part.column(text_col).to_pylist()]
-                yield pa.record_batch([part.column(id_col), pa.array(sigs, pa.binary())], [id_col, "sig"])
-
-    return map_arrow(docs.select(id_col, F.col(text_col)), run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, sig binary")
-
-
-def block_forest(sigs: np.ndarray, limit: int) -> np.ndarray:
-    """Pairs of rows that connect whatever verified links connect: each search
-    compares one row with those not reached yet, so a dense group is soon done."""
-    left, out = np.arange(len(sigs)), []
-    while len(left):
-        queue, left = [int(left[0])], left[1:]
-        while queue and len(left):
-            row = queue.pop()
-            near = np.bitwise_count(sigs[left] ^ sigs[row]).sum(axis=1, dtype=np.int64) <= limit
-            reached = left[near]
-            if len(reached):
-                out.append(np.stack([reached, np.full(len(reached), row)], axis=1))
-                queue += reached.tolist()
-                left = left[~near]
-    return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-
-
-def _runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list[pa.Array]]:
-    """Columns of each maximal run of equal ``list`` values in sorted batches, in
-    parts of at most WIDE_BLOCK rows; each further part of a run begins with the
-    run's first row, which ties the parts together."""
-    held: pa.Table | None = None
-    for batch in _ended(batches):
-        if batch is not None:
-            table = pa.Table.from_batches([batch]).select(names)
-            held = table if held is None else pa.concat_tables([held, table])
-            if held.num_rows < 2:
-                continue
-        if held is None or not held.num_rows:
-            continue
-        held = held.combine_chunks()
-        keys = held.column("list").to_numpy()
-        bounds = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
-        done = len(bounds) - 1 if batch is None else len(bounds) - 2
-        for a, b in zip(bounds[:done], bounds[1 : done + 1], strict=True):
-            if b - a > 1:
-                yield [c.slice(a, b - a).combine_chunks() for c in held.columns]
-        held = held.slice(bounds[done])
-        if held.num_rows > WIDE_BLOCK:
-            yield [c.combine_chunks() for c in held.columns]
-            held = held.slice(0, 1)
-
-
-def _ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
-    yield from batches
-    yield None
-
-
-def similar_links(sigs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Links between the distinct signatures of ``node, sig``: columns a and b."""
-    choices = np.array(_choices(WIDE_LISTS, WIDE_SHARED, WIDE_BYTES))
-    limit = most_bits(similarity)
-
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                sets = [shingle_hashes(t or "", words) for t in part.column(text_col).to_pylist()]
+                yield pa.record_batch([pa.array(np.concatenate(sets).view(np.int64))], ["hash"])
+
+    some = docs.where(F.pmod(F.xxhash64(id_col), F.lit(SAMPLE)) == 0).select(F.col(text_col))
+    counts = map_arrow(some, run, "hash long").groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON_LEAST)
+    rows = counts.orderBy(F.desc("n"), "hash").limit(COMMON_MOST).collect()
+    found = np.array([r["hash"] for r in rows], np.int64).view(np.uint64)
+    order = np.argsort(found)
+    return found[order], (len(rows) - 1 - np.arange(len(rows)))[order]
+
+
+PARITIES = [f"p{i}" for i in range(PARITY)]
+
+
+def profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WIDE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """id, sig (a digest of the set), size, prefix and the parity table."""
+    common, ranks = common_shingles(docs, id_col, text_col, words)
+    known = docs.sparkSession.sparkContext.broadcast((common, ranks))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import hashlib
+
+        for batch in batches:
+            for part in slices(batch, text_col):
+                sets = [shingle_hashes(t or "", words) for t in part.column(text_col).to_pylist()]
+                sigs = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+                first = [prefix(s, *known.value, similarity).view(np.int64) for s in sets]
+                tables = np.stack([parity(s) for s in sets])
+                columns = [pa.array(sigs, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(first, pa.list_(pa.int64()))]
+                yield pa.record_batch([part.column(id_col), *columns, *(pa.array(tables[:, i]) for i in range(PARITY))], [id_col, "sig", "size", "prefix", *PARITIES])
+
+    kinds = ", ".join(f"{p} long" for p in PARITIES)
+    return map_arrow(docs.select(id_col, F.col(text_col)), run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, sig binary, size long, prefix array<long>, {kinds}")
+
+
+def _near(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs a, b that size and parity do not rule out."""
+    sides = [classes.select(F.col("node").alias(s), F.col("size").alias(f"{s}_size"), *(F.col(p).alias(f"{s}_{p}") for p in PARITIES)) for s in "ab"]
+    rows = pairs.join(sides[0], "a").join(sides[1], "b")
+    apart = sum((F.bit_count(F.col(f"a_{p}").bitwiseXOR(F.col(f"b_{p}"))) for p in PARITIES[1:]), F.bit_count(F.col(f"a_{PARITIES[0]}").bitwiseXOR(F.col(f"b_{PARITIES[0]}"))))
+    fits = F.least("a_size", "b_size") >= F.greatest("a_size", "b_size") * similarity - EPSILON
+    return rows.where(fits & (apart <= (F.col("a_size") + F.col("b_size")) * ((1 - similarity) / (1 + similarity)) + EPSILON)).select("a", "b").distinct()
+
+
+def verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs a, b whose texts (``node, text``) are similar."""
+    kind = pairs.schema["a"].dataType.simpleString()
+    pairs = durable(pairs, "candidates")
+    asked = durable(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "asked")
+    some = texts.join(sized_broadcast(asked), "node", "left_semi")
+    rows = pairs.join(some.select(F.col("node").alias("b"), F.col("text").alias("b_text")), "b").join(some.select(F.col("node").alias("a"), F.col("text").alias("a_text")), "a")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, frozenset] = {}
+        held = 0
+
+        def of(text: str) -> frozenset:
+            nonlocal held
+            if text not in known:
+                found = frozenset(shingles(text, words))
+                if held + len(found) > HELD_SHINGLES:
+                    known.clear()
+                    held = 0
+                known[text] = found
+                held += len(found)
+            return known[text]
+
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                raw = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint8).reshape(-1, WIDE_BYTES)
-                keys = np.broadcast_to(np.arange(len(choices), dtype=np.int64), (len(raw), len(choices)))
-                for k in range(WIDE_SHARED):
-                    keys = keys << 8 | raw[:, choices[:, k]]
-                nodes = part.column("node").take(pa.array(np.repeat(np.arange(len(raw)), len(choices))))
-                yield pa.record_batch([pa.array(keys.reshape(-1)), nodes], ["list", "node"])
-
-    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns in _runs(batches, ["list", "node"]):
-            yield pa.record_batch(columns, ["list", "node"])
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, nodes, raw in _runs(batches, ["list", "node", "sig"]):
-            rows = np.frombuffer(b"".join(raw.to_pylist()), np.uint64).reshape(-1, WIDE_BYTES // 8)
-            pairs = block_forest(rows, limit)
-            if len(pairs):
-                yield pa.record_batch([nodes.take(pa.array(pairs[:, 0])), nodes.take(pa.array(pairs[:, 1]))], ["a", "b"])
-
-    kind = sigs.schema["node"].dataType.simpleString()
-    posted = map_arrow(sigs.select("node", "sig"), post, f"list long, node {kind}")
-    lists = map_arrow(posted.repartition("list").sortWithinPartitions("list"), shared, f"list long, node {kind}")
-    known = lists.join(sigs.select("node", "sig"), "node")
-    return map_arrow(known.repartition("list").sortWithinPartitions("list").select("list", "node", "sig"), verify, f"a {kind}, b {kind}")
+            good = []
+            for i in range(batch.num_rows):
+                a, b = (batch.column(c)[i].as_py() or "" for c in ("a_text", "b_text"))
+                if jaccard(of(a), of(b)) >= similarity:
+                    good.append(i)
+            if good:
+                yield batch.select(["a", "b"]).take(pa.array(good))
+
+    return durable(map_arrow(rows.select("a", "b", "a_text", "b_text"), run, f"a {kind}, b {kind}").distinct(), "similar")
+
+
+def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Each maximal run of equal values of integer ``keys`` in sorted batches."""
+    held: list[pa.RecordBatch] = []
+
+    def cut(table: pa.Table) -> np.ndarray:
+        new = np.zeros(table.num_rows - 1, bool)
+        for k in keys:
+            column = table.column(k).to_numpy()
+            new |= column[1:] != column[:-1]
+        return np.concatenate([[0], np.flatnonzero(new) + 1])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held and all(held[0].column(k)[0] == batch.column(k)[-1] for k in keys):
+            held.append(batch)  # a long run is put together once, at its end
+            continue
+        table = pa.Table.from_batches([*held, batch]).combine_chunks()
+        bounds = cut(table)
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            yield table.slice(a, b - a)
+        held = table.slice(bounds[-1]).to_batches()
+    if held:
+        table = pa.Table.from_batches(held).combine_chunks()
+        bounds = [*cut(table), table.num_rows]
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            yield table.slice(a, b - a)
+
+
+def _compared(table: pa.Table, share: float, similarity: float) -> Iterator[pa.RecordBatch]:
+    """The pairs of a list's rows that may be similar, and are in different components."""
+    nodes, sizes = table.column("node").combine_chunks(), table.column("size").to_numpy()
+    parts = table.column("component").combine_chunks().dictionary_encode().indices.to_numpy()
+    bits = np.stack([table.column(p).to_numpy() for p in PARITIES], axis=1).view(np.uint64)
+    first, second, held = [], [], 0
+    for i in range(len(nodes) - 1):
+        least = np.minimum(sizes[i], sizes[i + 1 :]) >= np.maximum(sizes[i], sizes[i + 1 :]) * similarity - EPSILON
+        rest = np.flatnonzero((parts[i + 1 :] != parts[i]) & least) + i + 1
+        if len(rest):
+            apart = np.bitwise_count(bits[rest] ^ bits[i]).sum(axis=1, dtype=np.int64)
+            rest = rest[apart <= (sizes[rest] + sizes[i]) * share + EPSILON]
+        first.append(np.full(len(rest), i))
+        second.append(rest)
+        held += len(rest)
+        if held and (held > 8192 or i == len(nodes) - 2):
+            yield pa.record_batch([nodes.take(pa.array(np.concatenate(x))) for x in (first, second)], ["a", "b"])
+            first, second, held = [], [], 0
+
+
+def _across(rows: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of each list's rows (``list, node, component, size``, parity) in
+    different components that size and parity do not rule out."""
+    kind = rows.schema["node"].dataType.simpleString()
+    share = (1 - similarity) / (1 + similarity)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _runs(batches, ["list"]):
+            yield from _compared(table, share, similarity)
+
+    dealt = rows.repartition("list").sortWithinPartitions("list")
+    return map_arrow(dealt.select("list", "node", "component", "size", *PARITIES), run, f"a {kind}, b {kind}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def similar_links(classes: DataFrame, texts: DataFrame, words: int = WIDE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """Links a, b that connect whatever pairs of ``classes`` (node and profile) at
+    that similarity connect; ``texts`` has node and text."""
+    posted = classes.select("node", F.explode("prefix").alias("list"))
+    roots = posted.groupBy("list").agg(F.min("node").alias("root"), F.max("node").alias("top"), F.count("*").alias("n")).where("root != top")
+    lists = durable(posted.join(roots.select("list", "root", "n"), "list"), "posting-lists")
+    stars = _near(lists.where("node != root").select(F.col("root").alias("a"), F.col("node").alias("b")).distinct(), classes, similarity)
+    joined = durable(connected_components(verified(stars, texts, words, similarity)), "joined")
+    # In a list of two, that was the only pair.
+    told = lists.where("n > 2").select("list", "node").join(joined, "node", "left").select("list", "node", F.coalesce("component", "node").alias("component"))
+    told = durable(told, "told")
+    several = told.groupBy("list").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low != high").select("list", "n")
+    rows = told.join(several, "list").join(classes.select("node", "size", *PARITIES), "node")
+    more = verified(_across(rows, similarity), texts, words, similarity)
+    return joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WIDE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """id and component_id, the smallest id reached, of each row with an id."""
-    sigs = durable(signatures(docs.where(F.col(id_col).isNotNull()), id_col, text_col, words), "signatures")
-    classes = durable(sigs.groupBy("sig").agg(F.min(id_col).alias("node")), "signature-classes")
-    found = connected_components(durable(similar_links(classes, similarity), "similar-links"))
+    docs = docs.where(F.col(id_col).isNotNull())
+    sets = durable(profiles(docs, id_col, text_col, words, similarity), "profiles")
+    classes = durable(sets.groupBy("sig").agg(F.min(id_col).alias("node"), *(F.first(c).alias(c) for c in ("size", "prefix", *PARITIES))), "classes")
+    texts = docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("text"))
+    found = connected_components(similar_links(classes, texts, words, similarity))
     joined = classes.join(found, "node", "left").select("sig", F.coalesce("component", "node").alias("component_id"))
-    return sigs.join(joined, "sig").select(id_col, "component_id")
+    return sets.select(id_col, "sig").join(joined, "sig").select(id_col, "component_id")
 
 
 def near_deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WIDE_WORDS, similarity: float = SIMILARITY) -> DataFrame:

@@ -216,6 +216,29 @@ def test_near_dedup_by_similarity(spark):
     assert simhash.near_deduplicate(frame(spark, ["a"]).withColumn("doc_id", F.lit(None).cast("long"))).count() == 1
 
 
+def brute_near(texts):
+    """Kept ids by the exact Jaccard of all pairs."""
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    alike = lambda a, b: (len(sets[a] & sets[b]) / len(sets[a] | sets[b]) if sets[a] | sets[b] else 1.0) >= 0.8
+    return {i for i, least in components(range(len(texts)), alike).items() if i == least}
+
+
+def test_near_dedup_is_exact_from_07_to_09(spark):
+    rng = random.Random(21)
+    texts = []
+    for k in range(240):  # each changed word takes five shingles: resemblance from 0.66 to 0.9
+        base = [f"{rng.choice('bcdfg')}{rng.randrange(5000)}" for _ in range(204)]
+        near = base.copy()
+        for i in range(2 + k % 7):
+            near[10 + 25 * i] = f"changed{k}"
+        texts += [" ".join(base), " ".join(near)]
+    texts += ["a b c", "A  b c", "a b", "", None]
+    assert {r.doc_id for r in simhash.near_deduplicate(frame(spark, texts)).collect()} == brute_near(texts)
+
+
 BASE = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
 
 
