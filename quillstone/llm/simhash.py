@@ -182,6 +182,8 @@ WIDE_WORDS, SIMILARITY = 5, 0.8
 #: Longs of a parity table. Tables of two sets differ in at most as many bits as
 #: the sets have shingles apart, so a pair that differs in more needs no check.
 PARITY = 8
+#: Members of a posting list that are compared at once.
+WIDE_BLOCK = 2_048
 #: One document of so many is asked for common shingles; occurrences there that
 #: make one common, and how many are put last at most.
 SAMPLE, COMMON_LEAST, COMMON_MOST = 64, 4, 65_536
@@ -215,10 +217,22 @@ def prefix(hashes: np.ndarray, common: np.ndarray, ranks: np.ndarray, similarity
     return hashes[: n - int(np.ceil(similarity * n - EPSILON)) + 1]
 
 
-def parity(hashes: np.ndarray) -> np.ndarray:
-    """Parity of the number of hashes at each of 64 * PARITY places."""
-    odd = np.bincount((hashes & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+def parity(hashes: np.ndarray, places: int = 64 * PARITY) -> np.ndarray:
+    """Parity of the number of hashes at each of ``places``, a power of two, in bytes."""
+    odd = np.bincount((hashes & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1
+    return np.packbits(odd.astype(np.uint8))
+
+
+def wide_parity(hashes: np.ndarray) -> bytes:
+    """Parity at over four places for each hash, which is folded to compare."""
+    return parity(hashes, 1 << max(9, (4 * len(hashes)).bit_length())).tobytes()
+
+
+def parity_apart(a: bytes, b: bytes) -> int:
+    """Differing bits at the fewer places of the two."""
+    least = min(len(a), len(b))
+    x, y = (np.bitwise_xor.reduce(np.frombuffer(t, np.uint8).reshape(-1, least), axis=0) for t in (a, b))
+    return int(np.bitwise_count(x ^ y).sum())
 
 
 def common_shingles(docs: DataFrame, id_col: str, text_col: str, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -243,7 +257,7 @@ PARITIES = [f"p{i}" for i in range(PARITY)]
 
 
 def profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WIDE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """id, sig (a digest of the set), size, prefix and the parity table."""
+    """id, sig (a digest of the set), size, prefix and the parity tables."""
     common, ranks = common_shingles(docs, id_col, text_col, words)
     known = docs.sparkSession.sparkContext.broadcast((common, ranks))
 
@@ -255,12 +269,12 @@ def profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
                 sets = [shingle_hashes(t or "", words) for t in part.column(text_col).to_pylist()]
                 sigs = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
                 first = [prefix(s, *known.value, similarity).view(np.int64) for s in sets]
-                tables = np.stack([parity(s) for s in sets])
-                columns = [pa.array(sigs, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(first, pa.list_(pa.int64()))]
-                yield pa.record_batch([part.column(id_col), *columns, *(pa.array(tables[:, i]) for i in range(PARITY))], [id_col, "sig", "size", "prefix", *PARITIES])
+                tables = np.stack([parity(s).view(np.int64) for s in sets])
+                columns = [pa.array(sigs, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(first, pa.list_(pa.int64())), pa.array([wide_parity(s) for s in sets], pa.binary())]
+                yield pa.record_batch([part.column(id_col), *columns, *(pa.array(tables[:, i]) for i in range(PARITY))], [id_col, "sig", "size", "prefix", "wide", *PARITIES])
 
     kinds = ", ".join(f"{p} long" for p in PARITIES)
-    return map_arrow(docs.select(id_col, F.col(text_col)), run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, sig binary, size long, prefix array<long>, {kinds}")
+    return map_arrow(docs.select(id_col, F.col(text_col)), run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, sig binary, size long, prefix array<long>, wide binary, {kinds}")
 
 
 def _near(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
@@ -272,10 +286,27 @@ def _near(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
     return rows.where(fits & (apart <= (F.col("a_size") + F.col("b_size")) * ((1 - similarity) / (1 + similarity)) + EPSILON)).select("a", "b").distinct()
 
 
-def verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+def _nearer(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs a, b that wide parity does not rule out."""
+    kind = pairs.schema["a"].dataType.simpleString()
+    sides = [classes.select(F.col("node").alias(s), F.col("size").alias(f"{s}_size"), F.col("wide").alias(f"{s}_wide")) for s in "ab"]
+    rows = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", (F.col("a_size") + F.col("b_size")).alias("size"), "a_wide", "b_wide")
+    share = (1 - similarity) / (1 + similarity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, x, y = (batch.column(c).to_pylist() for c in ("size", "a_wide", "b_wide"))
+            good = [i for i, n in enumerate(sizes) if parity_apart(x[i], y[i]) <= n * share + EPSILON]
+            if good:
+                yield batch.select(["a", "b"]).take(pa.array(good))
+
+    return map_arrow(rows, run, f"a {kind}, b {kind}").distinct()
+
+
+def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
     """The pairs a, b whose texts (``node, text``) are similar."""
     kind = pairs.schema["a"].dataType.simpleString()
-    pairs = durable(pairs, "candidates")
+    pairs = durable(_nearer(pairs, classes, similarity), "candidates")
     asked = durable(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "asked")
     some = texts.join(sized_broadcast(asked), "node", "left_semi")
     rows = pairs.join(some.select(F.col("node").alias("b"), F.col("text").alias("b_text")), "b").join(some.select(F.col("node").alias("a"), F.col("text").alias("a_text")), "a")
@@ -336,15 +367,16 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tab
             yield table.slice(a, b - a)
 
 
-def _compared(table: pa.Table, share: float, similarity: float) -> Iterator[pa.RecordBatch]:
-    """The pairs of a list's rows that may be similar, and are in different components."""
+def _compared(table: pa.Table, own: np.ndarray, low: int, high: int, share: float, similarity: float) -> Iterator[pa.RecordBatch]:
+    """The pairs of a list's rows in block ``low`` with those in block ``high`` that may
+    be similar, and are in different components."""
     nodes, sizes = table.column("node").combine_chunks(), table.column("size").to_numpy()
     parts = table.column("component").combine_chunks().dictionary_encode().indices.to_numpy()
     bits = np.stack([table.column(p).to_numpy() for p in PARITIES], axis=1).view(np.uint64)
     first, second, held = [], [], 0
     for i in range(len(nodes) - 1):
         least = np.minimum(sizes[i], sizes[i + 1 :]) >= np.maximum(sizes[i], sizes[i + 1 :]) * similarity - EPSILON
-        rest = np.flatnonzero((parts[i + 1 :] != parts[i]) & least) + i + 1
+        rest = np.flatnonzero((parts[i + 1 :] != parts[i]) & least & ((own[i + 1 :] != own[i]) | (low == high))) + i + 1
         if len(rest):
             apart = np.bitwise_count(bits[rest] ^ bits[i]).sum(axis=1, dtype=np.int64)
             rest = rest[apart <= (sizes[rest] + sizes[i]) * share + EPSILON]
@@ -361,12 +393,19 @@ def _across(rows: DataFrame, similarity: float) -> DataFrame:
     different components that size and parity do not rule out."""
     kind = rows.schema["node"].dataType.simpleString()
     share = (1 - similarity) / (1 + similarity)
+    # A list over WIDE_BLOCK is dealt into blocks; each two of them meet in a group of their own.
+    blocks = F.ceil(F.col("n") / WIDE_BLOCK).cast("int")
+    rows = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node", "list"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _runs(batches, ["list"]):
-            yield from _compared(table, share, similarity)
+        for table in _runs(batches, ["list", "low", "high"]):
+            yield from _compared(table, table.column("own").to_numpy(), table["low"][0].as_py(), table["high"][0].as_py(), share, similarity)
 
-    dealt = rows.repartition("list").sortWithinPartitions("list")
-    return map_arrow(dealt.select("list", "node", "component", "size", *PARITIES), run, f"a {kind}, b {kind}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    keys = ["list", "low", "high"]
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys)
+    return map_arrow(dealt.select(*keys, "own", "node", "component", "size", *PARITIES), run, f"a {kind}, b {kind}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def similar_links(classes: DataFrame, texts: DataFrame, words: int = WIDE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -376,13 +415,13 @@ def similar_links(classes: DataFrame, texts: DataFrame, words: int = WIDE_WORDS,
     roots = posted.groupBy("list").agg(F.min("node").alias("root"), F.max("node").alias("top"), F.count("*").alias("n")).where("root != top")
     lists = durable(posted.join(roots.select("list", "root", "n"), "list"), "posting-lists")
     stars = _near(lists.where("node != root").select(F.col("root").alias("a"), F.col("node").alias("b")).distinct(), classes, similarity)
-    joined = durable(connected_components(verified(stars, texts, words, similarity)), "joined")
+    joined = durable(connected_components(verified(stars, classes, texts, words, similarity)), "joined")
     # In a list of two, that was the only pair.
     told = lists.where("n > 2").select("list", "node").join(joined, "node", "left").select("list", "node", F.coalesce("component", "node").alias("component"))
     told = durable(told, "told")
     several = told.groupBy("list").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low != high").select("list", "n")
     rows = told.join(several, "list").join(classes.select("node", "size", *PARITIES), "node")
-    more = verified(_across(rows, similarity), texts, words, similarity)
+    more = verified(_across(rows, similarity), classes, texts, words, similarity)
     return joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
 
 
@@ -390,7 +429,7 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """id and component_id, the smallest id reached, of each row with an id."""
     docs = docs.where(F.col(id_col).isNotNull())
     sets = durable(profiles(docs, id_col, text_col, words, similarity), "profiles")
-    classes = durable(sets.groupBy("sig").agg(F.min(id_col).alias("node"), *(F.first(c).alias(c) for c in ("size", "prefix", *PARITIES))), "classes")
+    classes = durable(sets.groupBy("sig").agg(F.min(id_col).alias("node"), *(F.first(c).alias(c) for c in ("size", "prefix", "wide", *PARITIES))), "classes")
     texts = docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("text"))
     found = connected_components(similar_links(classes, texts, words, similarity))
     joined = classes.join(found, "node", "left").select("sig", F.coalesce("component", "node").alias("component_id"))

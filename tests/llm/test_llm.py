@@ -239,6 +239,24 @@ def test_near_dedup_is_exact_from_07_to_09(spark):
     assert {r.doc_id for r in simhash.near_deduplicate(frame(spark, texts)).collect()} == brute_near(texts)
 
 
+def test_near_dedup_of_oversized_lists(spark, monkeypatch):
+    """One template in all texts: lists of many blocks with clusters in them."""
+    monkeypatch.setattr(simhash, "WIDE_BLOCK", 8)
+    rng = random.Random(22)
+    template = [f"t{i}" for i in range(120)]
+    bases = [[f"{rng.choice('bcdfg')}{rng.randrange(5000)}" for _ in range(84)] for _ in range(40)]
+    texts = []
+    for k in range(200):
+        own = bases[k % 40].copy()
+        for i in rng.sample(range(84), rng.randint(0, 5)):
+            own[i] = f"x{k}"
+        texts.append(" ".join(template + own))
+    rng.shuffle(texts)
+    want = brute_near(texts)
+    assert 40 <= len(want) < 200
+    assert {r.doc_id for r in simhash.near_deduplicate(frame(spark, texts)).collect()} == want
+
+
 BASE = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
 
 
