@@ -82,7 +82,7 @@ def parse(data: bytes, at: int = 0) -> tuple[Record, int]:
     """The record that begins at ``at``, all its checks passed, and its end."""
     if not _VERSION.match(data, at):
         raise Damaged("no version line")
-    stop = data.find(b"\r\n\r\n", at, at + (1 << 20))
+    stop = data.find(b"\r\n\r\n", at)
     if stop < 0:
         raise Damaged("headers do not end")
     headers = {}
@@ -119,24 +119,32 @@ def _inflate(data: bytes, at: int) -> tuple[bytes, int]:
     return out.getvalue(), pos - len(pull.unused_data)
 
 
-def _at(data: bytes, at: int) -> tuple[list[Record], int]:
-    """The records of the member or the version line at ``at``, and its end."""
+def _at(data: bytes, at: int) -> tuple[list[Record | str], int]:
+    """The records of the member or the version line at ``at``, and its end. A
+    record of a member that fails a check is why, and its next version line goes on."""
     if not data.startswith(_GZIP, at):
         found, end = parse(data, at)
         return [found], end
     content, end = _inflate(data, at)
     records, pos = [], 0
     while pos < len(content):
-        found, pos = parse(content, pos)
+        try:
+            found, pos = parse(content, pos)
+        except Damaged as e:
+            found = str(e)
+            following = _VERSION.search(content, pos + 1)
+            pos = following.start() if following else len(content)
+            if records and isinstance(records[-1], str):
+                continue  # one gap, named by its first failed check
         records.append(found)
-    if not records:
-        raise Damaged("an empty member")
+    if not any(isinstance(x, Record) for x in records):
+        raise Damaged(records[0] if records else "an empty member")
     return records, end
 
 
 def salvage(data: bytes) -> Iterator[tuple[int, int, Record | str]]:
     """(start, end, record), or (start, end, why) for a gap, in order; together
-    they cover all bytes."""
+    they cover all bytes. A gap inside a member has the member's place."""
     at, lost, why = 0, None, ""
     while at < len(data):
         try:

@@ -438,6 +438,30 @@ def test_warc_salvage():
         assert spans[0][0] == 0 and spans[-1][1] == len(bad) and all(x[1] == y[0] for x, y in itertools.pairwise(spans))
 
 
+def test_warc_long_headers_and_members_of_several_records():
+    url = "http://a/" + "x" * (2 << 20)
+    (_, _, found), *rest = warc.salvage(warc.member(warc.record(1, url, b"p")))
+    assert not rest and found.headers["warc-target-uri"] == url
+    records = [warc.record(i, None, b"payload %d" % i) for i in range(6)]
+    records[2] = records[2].replace(b"payload 2", b"payload X")
+    data = warc.member(b"".join(records)) + warc.member(warc.record(6, None, b"q"))
+    found = list(warc.salvage(data))
+    assert [f if isinstance(f, str) else f.headers["warc-record-id"] for *_, f in found] == ["<urn:page:0>", "<urn:page:1>", "warc-block-digest", *(f"<urn:page:{i}>" for i in range(3, 7))]
+    assert found[0][0] == 0 and found[-1][1] == len(data)
+
+
+def test_warc_query_fails_at_a_gap(spark, tmp_path, monkeypatch):
+    from quillstone.llm import registry
+
+    pages(spark, [(1, "u", "a"), (2, "u", "b")]).write.parquet(str(tmp_path / "pages.parquet"))
+    assert registry.op5_warc(spark, str(tmp_path)).count() == 2 and {r.page_id for r in registry.op5_warc(spark, str(tmp_path)).collect()} == {1, 2}
+    gap = spark.createDataFrame([("x", "no version line")], "archive string, gap string")
+    fields = [F.lit(None).cast(t).alias(c) for c, t in warc.FIELDS.items() if c not in gap.columns]
+    monkeypatch.setattr(warc, "read_manifest", lambda manifest: gap.select("*", *fields))
+    with pytest.raises(Exception, match="damaged archive"):
+        registry.op5_warc(spark, str(tmp_path)).collect()
+
+
 def test_url_filter(spark):
     rng = random.Random(11)
     hosts = [f"{rng.choice(['www.', 'a.b.', ''])}h{i}.{rng.choice(['com', 'net', 'org'])}" for i in range(400)]
