@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Rows a broadcast side may have; beyond it the same join runs as a shuffle.
 BROADCAST_ROWS = 2_000_000
+#: Bytes of its values, as the driver holds the side, and a hash table of it, at once.
+BROADCAST_BYTES = 64 << 20
 #: Rows of an Arrow batch where the session has Spark's default: whole texts are
 #: wide, and a batch is held by the JVM and by Python at once.
 BATCH_ROWS = 1_000
@@ -39,8 +41,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; one of our own only where unset."""
+    """The folder in ``spark.checkpoint.dir``; one of our own only where that is
+    unset and all of Spark runs on this machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return (named or _own_dir()).rstrip("/")
 
 
@@ -51,17 +56,42 @@ def _own_dir() -> str:
     return path
 
 
+def _file_system(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def keep_until_exit(spark: SparkSession, path: str) -> str:
+    """Let the driver's JVM delete ``path`` when it ends."""
+    files, place = _file_system(spark, path)
+    files.deleteOnExit(place)
+    return path
+
+
 def durable(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: lineage
-    ends there, and a lost executor costs no recomputation."""
+    ends there, and a lost executor costs no recomputation. The table lasts until
+    ``discard`` or the end of the application."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillstone-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    keep_until_exit(spark, path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._durable_path = path
+    return found
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table of ``durable`` that nothing will read any more."""
+    files, place = _file_system(df.sparkSession, df._durable_path)
+    files.delete(place, True)
 
 
-def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if its row count is within the bound, else
-    ``df`` as it is, so that the join shuffles."""
-    within = df.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if within else df
+def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if its rows and the bytes of its values are
+    within the bounds, else ``df`` as it is, so that the join shuffles. ``df`` is
+    read once more to be measured, so a costly one should be durable."""
+    size = sum((F.coalesce(F.octet_length(F.col(f"`{f.name}`")) if f.dataType.simpleString() in ("string", "binary") else F.lit(16), F.lit(0)) + 8 for f in df.schema), F.lit(0).cast("long"))
+    rows, held = df.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return F.broadcast(df) if rows <= max_rows and held <= max_bytes else df

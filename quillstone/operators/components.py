@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.functions.storage import durable
+from quillstone.functions.storage import discard, durable
 
 
 def _directed(edges: DataFrame) -> DataFrame:
@@ -43,7 +43,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     stars = durable(_directed(nodes), "stars")
     mark = _mark(stars)
     for _ in range(max_rounds):
-        stars = durable(_small_star(_large_star(stars)), "stars")
+        stars, old = durable(_small_star(_large_star(stars)), "stars"), stars
+        discard(old)
         mark, before = _mark(stars), mark
         if mark == before:
             break
