@@ -6,11 +6,12 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillstone.functions.storage import BROADCAST_ROWS, durable, shared_dir, ship, sized_broadcast
+from quillstone.functions.storage import BROADCAST_ROWS, discard, durable, shared_dir, ship, sized_broadcast
 
-__all__ = ["BROADCAST_ROWS", "durable", "map_arrow", "release_memory", "shared_dir", "ship", "sized_broadcast", "slices", "table"]
+__all__ = ["BROADCAST_ROWS", "discard", "durable", "fresh", "map_arrow", "quoted", "release_memory", "shared_dir", "ship", "sized_broadcast", "slices", "table", "texts_of", "without"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +31,33 @@ def release_memory() -> None:
         pass
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each lengthened until no column of ``df`` has it in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def quoted(name: str) -> Column:
+    """The column of exactly that name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def texts_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id and text of ``docs`` under those names, whatever they are called there."""
+    return docs.select(quoted(id_col).alias("id"), quoted(text_col).alias("text"))
+
+
+def without(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """``docs`` without the rows whose id is in the one column of ``ids``."""
+    (name,) = fresh(docs, "gone_id")
+    return docs.join(sized_broadcast(ids.toDF(name)), quoted(id_col) == F.col(name), "left_anti")
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from fn(batches)

@@ -1,40 +1,61 @@
 """SimHash near-dedup with an inverted index over byte positions.
 
 A fingerprint has eight bytes. Two that differ in at most two bits share at
-least six of them, position by position, so six is the number of matches that a
-link guarantees. The index posts a fingerprint under each choice of six
-positions: two share a posting list exactly if their tally reaches six. A list's
-members differ in the two free bytes only, so it holds at most 65,536 distinct
-fingerprints however many documents there are; links are verified bit by bit in
-it, and what leaves it is a forest that keeps its links' components, not pairs.
+least six of them, position by position: the guaranteed minimum of matches. A
+posting list of one byte would hold 1/256 of all fingerprints, and tallying its
+pairs would grow with their square, so lists are of four positions: the eight
+make four columns of two neighbours, a link leaves two columns whole at least,
+and a fingerprint is posted under each choice of two. Pairs that meet in a list
+are tallied by the bytes they share at all eight positions; those that reach six
+are verified bit by bit. A list over ``LIST_MEMBERS`` is posted again under each
+choice of two more positions, of which a link must share two; such lists differ
+in two bytes only, so they hold at most 65,536 distinct fingerprints and their
+links are looked up. What leaves a list is a forest that keeps its links'
+components, not pairs.
 
 Cases: a null or empty text has fingerprint zero, which links like any other; a
-text shorter than a shingle is one shingle; repeated rows share a fingerprint;
-an empty table gives no rows; extra columns are ignored.
+text shorter than a shingle is one shingle; a very long text is read whole, its
+hashes held at eight bytes a word; repeated rows share a fingerprint; rows that
+repeat an id each have a result; an empty table gives no rows; extra columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import durable, map_arrow, sized_broadcast, slices
+from quillstone.llm.common import durable, map_arrow, quoted, sized_broadcast, slices, texts_of, without
 from quillstone.operators.components import connected_components
 
 BITS, MAX_BITS, SEED = 64, 2, 42
 POSITIONS = BITS // 8
 #: Byte positions that two fingerprints must share at least.
 MATCHES = POSITIONS - MAX_BITS
-#: Free positions of each posting list, and the bits that its members share.
+#: Free positions of the lists of six, and changes of at most MAX_BITS of their 16 bits.
 FREE = list(combinations(range(POSITIONS), MAX_BITS))
-SHARED = [~sum(0xFF << 8 * p for p in free) & (1 << 64) - 1 for free in FREE]
-#: Changes of at most MAX_BITS of the 16 free bits.
 FLIPS = [1 << i for i in range(16)] + [1 << i | 1 << j for i, j in combinations(range(16), 2)]
+#: Positions of the lists of four: two of the four columns.
+CHOICES = [(*range(2 * a, 2 * a + 2), *range(2 * b, 2 * b + 2)) for a, b in combinations(range(POSITIONS // 2), 2)]
+#: Members of a list of four whose pairs are tallied.
+LIST_MEMBERS = 256
+
+
+def mask(positions: Iterable[int]) -> int:
+    """The bits of some byte positions, as a signed long."""
+    bits = sum(0xFF << 8 * p for p in positions)
+    return bits - (1 << 64) if bits >> 63 else bits
+
+
+#: Bits of the lists of four; bits of the lists of six, and which ones a list of four becomes.
+FOUR = [mask(c) for c in CHOICES]
+SIX = [mask(set(range(POSITIONS)) - set(free)) for free in FREE]
+LONGER = [[i for i, six in enumerate(SIX) if four & ~six == 0] for four in FOUR]
 
 
 def shingles(text: str, words: int) -> list[bytes]:
@@ -69,11 +90,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text_col):
-                fps = np.array([fingerprint(t or "", words, seed) for t in part.column(text_col).to_pylist()], dtype=np.uint64)
-                yield pa.record_batch([part.column(id_col), pa.array(fps.view(np.int64))], [id_col, "fp"])
+            for part in slices(batch, "text"):
+                fps = np.array([fingerprint(t or "", words, seed) for t in part.column("text").to_pylist()], dtype=np.uint64)
+                yield pa.record_batch([part.column("id"), pa.array(fps.view(np.int64))], ["id", "fp"])
 
-    return map_arrow(docs.select(id_col, F.col(text_col)), run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, fp long")
+    rows = texts_of(docs, id_col, text_col)
+    return map_arrow(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, fp long").select(F.col("id").alias(id_col), "fp")
 
 
 def _free_bits(fps: np.ndarray, free: tuple[int, ...]) -> np.ndarray:
@@ -83,25 +105,9 @@ def _free_bits(fps: np.ndarray, free: tuple[int, ...]) -> np.ndarray:
     return out
 
 
-def list_forest(fps: np.ndarray, free: tuple[int, ...]) -> np.ndarray:
-    """For one posting list of distinct fingerprints: pairs of positions that
-    connect whatever verified links connect."""
-    n = len(fps)
-    if n == 2:
-        linked = int(fps[0] ^ fps[1]).bit_count() <= MAX_BITS
-        return np.array([[1, 0]] if linked else [], np.int64).reshape(-1, 2)
-    bits = _free_bits(fps, free)
-    at = np.full(1 << 16, -1, np.int64)
-    at[bits] = np.arange(n)
-    links = []
-    for flip in FLIPS:
-        other = at[bits ^ flip]
-        here = np.flatnonzero(other > np.arange(n))
-        if len(here):
-            links.append(np.stack([other[here], here], axis=1))
-    if not links:
-        return np.zeros((0, 2), np.int64)
-    pairs, label = np.concatenate(links), np.arange(n)
+def _forest(pairs: np.ndarray, n: int) -> np.ndarray:
+    """Pairs that connect whatever ``pairs`` of 0 to n - 1 connect."""
+    label = np.arange(n)
     while True:  # smallest position reached, with jumps
         least = label.copy()
         np.minimum.at(least, pairs[:, 0], label[pairs[:, 1]])
@@ -114,32 +120,61 @@ def list_forest(fps: np.ndarray, free: tuple[int, ...]) -> np.ndarray:
     return np.stack([inner, label[inner]], axis=1)
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """Verified links between distinct values of ``fp``, as a forest of each
-    posting list: columns a and b."""
-    posted = fps.select("fp", F.posexplode(F.array(*(F.lit(m - (1 << 64) if m >> 63 else m).cast("long") for m in SHARED))).alias("choice", "mask"))
-    posted = posted.select("fp", F.col("choice").cast("byte").alias("choice"), F.col("fp").bitwiseAND(F.col("mask")).alias("posting"))
+def tallied(fps: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Forest of the links inside posting lists, which ``bounds`` (ending with the
+    length) cut ``fps`` into: pairs are tallied by shared bytes, then verified."""
+    ends = np.repeat(bounds[1:], np.diff(bounds))
+    found = []
+    here = np.arange(len(fps))
+    for lag in range(1, int(np.diff(bounds).max(initial=0))):
+        here = here[here + lag < ends[here]]
+        apart = fps[here] ^ fps[here + lag]
+        tally = (apart.view(np.uint8).reshape(-1, POSITIONS) == 0).sum(axis=1)
+        enough = np.flatnonzero(tally >= MATCHES)
+        enough = enough[np.bitwise_count(apart[enough]) <= MAX_BITS]
+        if len(enough):
+            found.append(np.stack([here[enough] + lag, here[enough]], axis=1))
+    return _forest(np.concatenate(found), len(fps)) if found else np.zeros((0, 2), np.int64)
+
+
+def looked_up(fps: np.ndarray, bounds: np.ndarray, free: tuple[int, ...]) -> np.ndarray:
+    """The same for lists of six positions, by looking each change of the free ones up."""
+    found = []
+    for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        bits = _free_bits(fps[low:high], free)
+        at = np.full(1 << 16, -1, np.int64)
+        at[bits] = np.arange(high - low)
+        for flip in FLIPS:
+            other = at[bits ^ flip]
+            here = np.flatnonzero(other > np.arange(high - low))
+            if len(here):
+                found.append(np.stack([other[here], here], axis=1) + low)
+    return _forest(np.concatenate(found), len(fps)) if found else np.zeros((0, 2), np.int64)
+
+
+def _linked(posted: DataFrame, masks: list[int], find: Callable[[int, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """Links a, b of posting lists (rows choice, posting, fp), list by list."""
     lists = posted.repartition("choice", "posting").sortWithinPartitions("choice", "posting").select("choice", "fp")
-    shared = np.array(SHARED, dtype=np.uint64)
+    bits = np.array(masks, np.int64).view(np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = (np.zeros(0, np.int64), np.zeros(0, np.uint64))
 
         def found(choice: np.ndarray, fp: np.ndarray, last: bool) -> tuple[pa.RecordBatch | None, int]:
             """Links of the complete lists, and where the unfinished one begins."""
-            key = fp & shared[choice]
-            new = np.flatnonzero((choice[1:] != choice[:-1]) | (key[1:] != key[:-1])) + 1
-            bounds = np.concatenate([[0], new, [len(fp)]] if last else [[0], new])
-            a, b = [], []
-            for i in np.flatnonzero(np.diff(bounds) > 1):
-                members = fp[bounds[i] : bounds[i + 1]]
-                pairs = list_forest(members, FREE[int(choice[bounds[i]])])
-                a.append(members[pairs[:, 0]])
-                b.append(members[pairs[:, 1]])
-            out = None
-            if a:
-                out = pa.record_batch([pa.array(np.concatenate(x).view(np.int64)) for x in (a, b)], ["a", "b"])
-            return out, int(bounds[-1])
+            key = fp & bits[choice]
+            cut = np.flatnonzero((choice[1:] != choice[:-1]) | (key[1:] != key[:-1])) + 1
+            bounds = np.concatenate([[0], cut, [len(fp)]] if last else [[0], cut])
+            out = []
+            for c in np.unique(choice[bounds[:-1]]):
+                own = np.flatnonzero((choice[bounds[:-1]] == c) & (np.diff(bounds) > 1))
+                if len(own):
+                    parts = [fp[bounds[i] : bounds[i + 1]] for i in own]
+                    members = np.concatenate(parts)
+                    out.append(members[find(int(c), members, np.cumsum([0, *map(len, parts)]))])
+            pairs = np.concatenate(out) if out else np.zeros((0, 2), np.uint64)
+            rows = pa.record_batch([pa.array(np.ascontiguousarray(pairs[:, i]).view(np.int64)) for i in (0, 1)], ["a", "b"]) if len(pairs) else None
+            return rows, int(bounds[-1])
 
         for batch in batches:
             choice = np.concatenate([rest[0], batch.column("choice").to_numpy().astype(np.int64)])
@@ -158,15 +193,39 @@ def links(fps: DataFrame) -> DataFrame:
     return map_arrow(lists, run, "a long, b long")
 
 
+def _posted(fps: DataFrame, masks: Column) -> DataFrame:
+    rows = fps.select("fp", F.explode(masks).alias("m"))
+    return rows.select("fp", F.col("m.choice").alias("choice"), F.col("fp").bitwiseAND(F.col("m.mask")).alias("posting"))
+
+
+def _masks(choices: Iterable[int], masks: list[int]) -> Column:
+    return F.array(*(F.struct(F.lit(i).cast("byte").alias("choice"), F.lit(masks[i]).cast("long").alias("mask")) for i in choices))
+
+
+def links(fps: DataFrame) -> DataFrame:
+    """Verified links between distinct values of ``fp``, as a forest of each
+    posting list: columns a and b."""
+    posted = _posted(fps, _masks(range(len(FOUR)), FOUR))
+    # Counted with partial sums, so a list that holds a third of all costs a row a task.
+    wide = durable(posted.groupBy("choice", "posting").agg(F.count("*").alias("n")).where(F.col("n") > LIST_MEMBERS).select("choice", "posting"), "wide-lists")
+    if wide.isEmpty():
+        return _linked(posted, FOUR, lambda _, members, bounds: tallied(members, bounds))
+    known = sized_broadcast(wide)
+    usual = _linked(posted.join(known, ["choice", "posting"], "left_anti"), FOUR, lambda _, members, bounds: tallied(members, bounds))
+    longer = F.element_at(F.array(*(_masks(six, SIX) for six in LONGER)), F.col("choice").cast("int") + 1)
+    again = _posted(posted.join(known, ["choice", "posting"], "left_semi").select("fp", "choice"), longer).distinct()
+    return usual.unionByName(_linked(again, SIX, lambda c, members, bounds: looked_up(members, bounds, FREE[c])))
+
+
 def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, seed: int = SEED) -> DataFrame:
     """id, fp, component_id: the smallest id that a document's links reach."""
-    fps = durable(fingerprints(docs, id_col, text_col, words, seed), "fingerprints")
-    distinct = durable(fps.groupBy("fp").agg(F.min(id_col).alias("least")), "fingerprint-classes")
+    fps = durable(fingerprints(docs, id_col, text_col, words, seed).toDF("id", "fp"), "fingerprints")
+    distinct = durable(fps.groupBy("fp").agg(F.min("id").alias("least")), "fingerprint-classes")
     found = connected_components(links(distinct.select("fp")))
     joined = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     smallest = joined.groupBy("component").agg(F.min("least").alias("component_id"))
     classes = joined.join(smallest, "component").select("fp", "component_id")
-    return fps.join(classes, "fp").select(f"`{id_col}`", "fp", "component_id")
+    return fps.join(classes, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 # Similarity of five-word shingles: exact Jaccard of their sets. Of two sets of
@@ -235,17 +294,17 @@ def parity_apart(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-def common_shingles(docs: DataFrame, id_col: str, text_col: str, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes and their ranks, at most COMMON_MOST; only the order of
-    prefixes depends on them."""
+def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes and their ranks, at most COMMON_MOST, of rows id, text; only the
+    order of prefixes depends on them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text_col):
-                sets = [shingle_hashes(t or "", words) for t in part.column(text_col).to_pylist()]
+            for part in slices(batch, "text"):
+                sets = [shingle_hashes(t or "", words) for t in part.column("text").to_pylist()]
                 yield pa.record_batch([pa.array(np.concatenate(sets).view(np.int64))], ["hash"])
 
-    some = docs.where(F.pmod(F.xxhash64(id_col), F.lit(SAMPLE)) == 0).select(F.col(text_col))
+    some = docs.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0).select("text")
     counts = map_arrow(some, run, "hash long").groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON_LEAST)
     rows = counts.orderBy(F.desc("n"), "hash").limit(COMMON_MOST).collect()
     found = np.array([r["hash"] for r in rows], np.int64).view(np.uint64)
@@ -258,23 +317,24 @@ PARITIES = [f"p{i}" for i in range(PARITY)]
 
 def profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WIDE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """id, sig (a digest of the set), size, prefix and the parity tables."""
-    common, ranks = common_shingles(docs, id_col, text_col, words)
+    rows = texts_of(docs, id_col, text_col)
+    common, ranks = common_shingles(rows, words)
     known = docs.sparkSession.sparkContext.broadcast((common, ranks))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
         for batch in batches:
-            for part in slices(batch, text_col):
-                sets = [shingle_hashes(t or "", words) for t in part.column(text_col).to_pylist()]
+            for part in slices(batch, "text"):
+                sets = [shingle_hashes(t or "", words) for t in part.column("text").to_pylist()]
                 sigs = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
                 first = [prefix(s, *known.value, similarity).view(np.int64) for s in sets]
                 tables = np.stack([parity(s).view(np.int64) for s in sets])
                 columns = [pa.array(sigs, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(first, pa.list_(pa.int64())), pa.array([wide_parity(s) for s in sets], pa.binary())]
-                yield pa.record_batch([part.column(id_col), *columns, *(pa.array(tables[:, i]) for i in range(PARITY))], [id_col, "sig", "size", "prefix", "wide", *PARITIES])
+                yield pa.record_batch([part.column("id"), *columns, *(pa.array(tables[:, i]) for i in range(PARITY))], ["id", "sig", "size", "prefix", "wide", *PARITIES])
 
     kinds = ", ".join(f"{p} long" for p in PARITIES)
-    return map_arrow(docs.select(id_col, F.col(text_col)), run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, sig binary, size long, prefix array<long>, wide binary, {kinds}")
+    return map_arrow(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, sig binary, size long, prefix array<long>, wide binary, {kinds}")
 
 
 def _near(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
@@ -427,17 +487,17 @@ def similar_links(classes: DataFrame, texts: DataFrame, words: int = WIDE_WORDS,
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WIDE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """id and component_id, the smallest id reached, of each row with an id."""
-    docs = docs.where(F.col(id_col).isNotNull())
+    docs = docs.where(quoted(id_col).isNotNull())
     sets = durable(profiles(docs, id_col, text_col, words, similarity), "profiles")
-    classes = durable(sets.groupBy("sig").agg(F.min(id_col).alias("node"), *(F.first(c).alias(c) for c in ("size", "prefix", "wide", *PARITIES))), "classes")
-    texts = docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("text"))
+    classes = durable(sets.groupBy("sig").agg(F.min("id").alias("node"), *(F.first(c).alias(c) for c in ("size", "prefix", "wide", *PARITIES))), "classes")
+    texts = docs.select(quoted(id_col).alias("node"), quoted(text_col).alias("text"))
     found = connected_components(similar_links(classes, texts, words, similarity))
     joined = classes.join(found, "node", "left").select("sig", F.coalesce("component", "node").alias("component_id"))
-    return sets.select(id_col, "sig").join(joined, "sig").select(id_col, "component_id")
+    return sets.select("id", "sig").join(joined, "sig").select(F.col("id").alias(id_col), "component_id")
 
 
 def near_deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WIDE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with the smallest id of each group of similar texts, all columns
     kept; rows without an id stay, and rows that repeat an id stay or go together."""
-    gone = representatives(docs, id_col, text_col, words, similarity).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__q_id")).distinct()
-    return docs.join(sized_broadcast(durable(gone, "near-copies")), docs[id_col] == F.col("__q_id"), "left_anti")
+    gone = representatives(docs, id_col, text_col, words, similarity).where(quoted(id_col) != F.col("component_id")).select(quoted(id_col).alias("id")).distinct()
+    return without(docs, durable(gone, "near-copies"), id_col)
