@@ -10,8 +10,10 @@ up by length and SHA-256, in narrow rows.
 Cases: a null text counts as empty; texts are equal only if identical; a null id
 never owns a group unless all of its ids are null, then keep_id is null; rows
 that repeat an id and its text all carry the same result (``deduplicate`` leaves
-one of them); an empty table gives no rows; extra columns are ignored by
-``assign`` and kept by ``deduplicate``, whatever their names.
+one of them); ids are integers, others are refused; a very long text is inserted
+whole, and a trie that it fills is sent on or spilled; an empty table gives no
+rows; extra columns are ignored by ``assign`` and kept by ``deduplicate``,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -21,8 +23,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from quillstone.llm.common import map_arrow, sized_broadcast, slices
+from quillstone.llm.common import durable, fresh, map_arrow, quoted, sized_broadcast, slices
 from quillstone.llm.radix import OwnerTrie
 
 #: Bytes of trie that a task holds: before it sends its rows on, and before it spills.
@@ -38,6 +41,8 @@ def owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
     """One row per distinct text: n_bytes, text_sha256, keep_id, group_size."""
     if keep not in ("min", "max"):
         raise ValueError("keep is min or max")
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        raise TypeError(f"{id_col} holds {docs.schema[id_col].dataType.simpleString()}, not integers")
     choose = max if keep == "max" else min
     none = -(1 << 63) if keep == "max" else (1 << 63) - 1
 
@@ -115,11 +120,12 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     The groups of two or more are broadcast if they are few, else joined by a
     shuffle."""
-    text = _text(text_col)
-    groups = owners(docs, id_col, text_col, keep).where("group_size > 1").select(*(F.col(c).alias(f"__q_{c}") for c in ("n_bytes", "text_sha256", "keep_id")), F.lit(True).alias("__q_many"))
-    keyed = docs.withColumns({"__q_n_bytes": F.octet_length(text).cast("long"), "__q_text_sha256": F.sha2(text.cast("binary"), 256)})
-    found = keyed.join(sized_broadcast(groups), ["__q_n_bytes", "__q_text_sha256"], "left")
-    alone = found.where("__q_many is null").select(*(F.col(f"`{c}`") for c in docs.columns))
-    owning = found.where(F.col("__q_many") & F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__q_keep_id")))
-    owning = owning.dropDuplicates(["__q_text_sha256"]).select(*(F.col(f"`{c}`") for c in docs.columns))
-    return alone.unionByName(owning)
+    text, names = _text(text_col), fresh(docs, "group_bytes", "group_sha256", "group_owner", "in_group")
+    size, sha, owner, many = names
+    groups = owners(docs, id_col, text_col, keep).where("group_size > 1").select(F.col("n_bytes").alias(size), F.col("text_sha256").alias(sha), F.col("keep_id").alias(owner), F.lit(True).alias(many))
+    keyed = docs.withColumns({size: F.octet_length(text).cast("long"), sha: F.sha2(text.cast("binary"), 256)})
+    found = keyed.join(sized_broadcast(durable(groups, "copies")), [size, sha], "left")
+    own = [quoted(c) for c in docs.columns]
+    alone = found.where(F.col(many).isNull()).select(*own)
+    owning = found.where(F.col(many) & quoted(id_col).cast("long").eqNullSafe(F.col(owner)))
+    return alone.unionByName(owning.dropDuplicates([sha]).select(*own))
