@@ -61,15 +61,24 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: The rules of the URL query, and the hosts that it lists.
+#: The rules of the URL query, and the names that it lists.
 URL_RULES = ("allow com/", "block example.com/en/", "allow www.example.com/en/", "block net/es/", "block net/fr/")
 LISTED_NAMES = ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm")
-LISTED_HOSTS = tuple(f"{name}.example.{top}" for name in LISTED_NAMES for top in ("com", "net", "org"))
+LISTED_TOPS = ("com", "net", "org")
+#: Numbered copies of each listed name, as farms of hosts have: ads-track0 to ads-track19999.
+LISTED_COPIES = 20_000
+
+
+def listed_hosts(spark: SparkSession) -> DataFrame:
+    """key: each name, and its numbered copies, under each top domain."""
+    of = lambda values: F.explode(F.array(*map(F.lit, values)))
+    numbers = spark.range(-1, LISTED_COPIES).select(F.when(F.col("id") >= 0, F.col("id").cast("string")).otherwise("").alias("number"))
+    names = numbers.select("number", of(LISTED_NAMES).alias("name")).select("number", "name", of(LISTED_TOPS).alias("top"))
+    return names.select(F.concat("name", "number", F.lit(".example."), "top").alias("key"))
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = spark.range(1).select(F.explode(F.array(*map(F.lit, LISTED_HOSTS))).alias("key"))
-    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES, listed)
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES, listed_hosts(spark))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -85,7 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_url_filter": op10_url_filter,
 }
 
-_LISTED_SQL = ", ".join(f"('{h}')" for h in LISTED_HOSTS)
+_LISTED_SQL = f"^(.*[.])?({'|'.join(LISTED_NAMES)})(|0|[1-9][0-9]{{0,3}}|1[0-9]{{4}})[.]example[.]({'|'.join(LISTED_TOPS)})$"
 
 #: Base32 of a SHA-1, five bits at a time.
 _BASE32_SQL = """list_aggregate(list_transform(range(1, 161, 5), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
@@ -112,7 +121,7 @@ ORACLES: dict[str, str] = {
                    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
             FROM cut
         ), marked AS (
-            SELECT *, EXISTS (SELECT 1 FROM (VALUES {_LISTED_SQL}) AS listed(key) WHERE '.' || host LIKE '%.' || key) AS listed FROM parsed
+            SELECT *, regexp_matches(host, '{_LISTED_SQL}') AS listed FROM parsed
         ), ruled AS (
             SELECT *, CASE
                 WHEN ('.' || host LIKE '%.www.example.com') AND starts_with(path, '/en/') THEN 'www.example.com/en/'

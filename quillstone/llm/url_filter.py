@@ -3,13 +3,19 @@
 The cascade's levels are Bloom filters: the first holds the listed keys, the next
 those keys of the corpus that pass it unlisted, the next the listed keys that
 pass that one, and so on until nothing passes wrongly. Over the key universe it
-was built for, membership is then exact, and a lookup is an expression on bit
-words, so no join is needed. The universe is every host of the table and every
-domain above it.
+was built for, membership is then exact. The universe is every host of the table
+and every domain above it.
+
+Keys are dealt by hash into shards of about ``SHARD_KEYS`` listed keys, each with a
+small filter of its own at every level. While one shard is enough, its filters are
+literals of the plan and a lookup is an expression on their words, without a join;
+of a longer list the shards' filters are a table, and a key's shard finds them
+there (broadcast by its measured size, else by a shuffle): never the listed keys.
 
 Cases: a null url, or one without ``://``, has an empty host and path, fits no
-rule and is not listed; repeated rows are judged alike; an empty table gives no
-rows; an empty list blocks nothing; extra columns are ignored.
+rule and is not listed; a very long url is read whole; repeated rows and ids are
+judged alike; null or empty keys are not listed; an empty table gives no rows; an
+empty list blocks nothing; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,12 +27,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import durable
+from quillstone.llm.common import durable, fresh, quoted, sized_broadcast
 
 BITS_PER_KEY = 12
 HASHES = 6
-#: Bits that one level may have (8 MB); a list beyond that is joined instead.
-MAX_BITS = 1 << 26
+#: Listed keys of a shard: its first level has 24,576 words.
+SHARD_KEYS = 1 << 17
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -78,74 +84,99 @@ def fits(rule: Rule, host: Column, path: Column) -> Column:
     return ((host == rule.host) | host.endswith("." + rule.host)) & path.startswith(rule.path)
 
 
-@dataclass(frozen=True)
-class Level:
-    """A Bloom filter as a JSON list of 64-bit words."""
-
-    bits: int
-    seed: int
-    words: str
-
-    def positions(self, key: Column) -> list[Column]:
-        return [F.pmod(F.xxhash64(key, F.lit(self.seed), F.lit(j)), F.lit(self.bits).cast("long")) for j in range(HASHES)]
-
-    def has(self, key: Column) -> Column:
-        words = F.from_json(F.lit(self.words), "array<bigint>")  # folded to one literal
-        found = None
-        for at in self.positions(key):
-            word = F.get(words, F.shiftright(at, 6).cast("int"))
-            test = F.call_function("getbit", word, F.pmod(at, F.lit(64)).cast("int")) == 1
-            found = test if found is None else found & test
-        return found
+def places(key: Column, level: int, words: Column) -> Column:
+    """Where a level of so many words has the key's bits."""
+    bits = words.cast("long") * 64
+    return F.array(*(F.pmod(F.xxhash64(key, F.lit(level), F.lit(j)), bits) for j in range(HASHES)))
 
 
-def _level(members: DataFrame, n: int, seed: int) -> Level:
-    bits = max(64, -(-n * BITS_PER_KEY // 64) * 64)
-    empty = Level(bits, seed, "[]")
-    at = members.select(F.explode(F.array(*empty.positions(F.col("key")))).alias("at"))
+def passes(key: Column, level: int, words: Column) -> Column:
+    """Whether a level's words have all of the key's bits; no words, no."""
+    every = F.forall(places(key, level, F.size(words)), lambda at: F.call_function("getbit", F.get(words, F.shiftright(at, 6).cast("int")), F.pmod(at, F.lit(64)).cast("int")) == 1)
+    return F.coalesce(F.when(F.size(words) > 0, every), F.lit(False))
+
+
+def _filters(members: DataFrame, level: int) -> DataFrame:
+    """shard and words (64 bits each, at most SHARD_KEYS * BITS_PER_KEY / 64 or so):
+    a Bloom filter of each shard's keys."""
+    sizes = members.groupBy("shard").agg(F.ceil(F.count("*") * BITS_PER_KEY / 64).cast("int").alias("size"))
+    at = members.join(sized_broadcast(durable(sizes, "url-shards")), "shard").select("shard", F.explode(places(F.col("key"), level, F.col("size"))).alias("at"))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("at", F.lit(64)).cast("int"))
-    rows = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(bit).alias("bits")).collect()  # at most bits / 64 rows
-    words = [0] * (bits // 64)
-    for r in rows:
-        words[r.word] = r.bits
-    return Level(bits, seed, json.dumps(words, separators=(",", ":")))
+    some = at.select("shard", F.shiftright("at", 6).cast("int").alias("place"), bit.alias("bits"))
+    none = sizes.select("shard", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("place"), F.lit(0).cast("long").alias("bits"))
+    words = some.unionByName(none).groupBy("shard", "place").agg(F.bit_or("bits").alias("bits"))
+    ordered = F.array_sort(F.collect_list(F.struct("place", "bits")))
+    return durable(words.groupBy("shard").agg(F.transform(ordered, lambda w: w["bits"]).alias("words")), "url-filters")
+
 
+@dataclass(frozen=True)
+class Cascade:
+    """Levels of ``shards`` Bloom filters each; with one shard also as literals."""
+
+    shards: int
+    levels: tuple[DataFrame, ...]
+    literals: tuple[str, ...] | None
+
+    def shard(self, key: Column) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(self.shards)).cast("int")
+
+    def verdict(self, key: Column, words: Sequence[Column]) -> Column:
+        """Whether a key of the universe is listed: the first level it fails decides."""
+        found = F.lit(len(words) % 2 == 1)
+        for k in reversed(range(len(words))):
+            found = F.when(~passes(key, k, words[k]), F.lit(k % 2 == 1)).otherwise(found)
+        return found
 
-def cascade(universe: DataFrame, listed: DataFrame, max_bits: int = MAX_BITS) -> list[Level] | None:
-    """Levels for the ``key`` column of both tables; None if the list is too long."""
-    marks = listed.select("key").distinct().withColumn("__q_listed", F.lit(True))
-    keys = durable(universe.select("key").join(marks, "key", "left").select("key", F.coalesce("__q_listed", F.lit(False)).alias("listed")), "url-keys")
+    def contains(self, key: Column) -> Column:
+        """Whether a key of the universe is listed, by the literals alone."""
+        return self.verdict(key, [F.from_json(F.lit(text), "array<bigint>") for text in self.literals])  # folded to literals
+
+    def listed(self, hosts: DataFrame) -> DataFrame:
+        """The hosts that are listed, or have a domain above them that is, by the table."""
+        keys = hosts.select("host", F.explode(domains(F.col("host"))).alias("key")).withColumn("shard", self.shard(F.col("key")))
+        for k, level in enumerate(self.levels):
+            keys = keys.join(sized_broadcast(level).withColumnRenamed("words", f"words_{k}"), "shard", "left")
+        return keys.where(self.verdict(F.col("key"), [F.col(f"words_{k}") for k in range(len(self.levels))])).select("host").distinct()
+
+
+def cascade(universe: DataFrame, listed: DataFrame, shard_keys: int = SHARD_KEYS) -> Cascade:
+    """Levels for the ``key`` column of both tables."""
+    (mark,) = fresh(universe, "is_listed")
+    marks = listed.select("key").distinct().withColumn(mark, F.lit(True))
+    keys = durable(universe.select("key").join(marks, "key", "left").select("key", F.coalesce(mark, F.lit(False)).alias("listed")), "url-keys")
+    shards = max(1, -(-keys.where("listed").count() // shard_keys))
+    keys = keys.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int"))
     inside, outside, levels = keys.where("listed"), keys.where(~F.col("listed")), []
-    while n := inside.count():
-        if n * BITS_PER_KEY > max_bits:
-            return None
-        levels.append(_level(inside, n, len(levels)))
-        inside, outside = outside.where(levels[-1].has(F.col("key"))), inside
-    return levels
+    while not inside.isEmpty():
+        level = _filters(inside, len(levels))
+        passed = outside.join(sized_broadcast(level), "shard").where(passes(F.col("key"), len(levels), F.col("words"))).drop("words")
+        inside, outside = durable(passed, "url-passed"), inside
+        levels.append(level)
+    # With one shard each level has one row, of at most shard_keys * BITS_PER_KEY / 64 words, but
+    # the second: as many as unlisted keys pass the first, some in a thousand.
+    single = tuple(json.dumps(t.first().words, separators=(",", ":")) for t in levels) if shards == 1 and _few_words(levels, shard_keys) else None
+    return Cascade(shards, tuple(levels), single)
 
 
-def listed_in(levels: Sequence[Level], key: Column) -> Column:
-    """Whether a key of the universe is listed: the first level it fails decides."""
-    verdict = F.lit(len(levels) % 2 == 1)
-    for k in reversed(range(len(levels))):
-        verdict = F.when(~levels[k].has(key), F.lit(k % 2 == 1)).otherwise(verdict)
-    return verdict
+def _few_words(levels: Sequence[DataFrame], shard_keys: int) -> bool:
+    """Whether all levels together are no longer than two full first levels."""
+    return sum(t.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0] for t in levels) <= 2 * -(-shard_keys * BITS_PER_KEY // 64)
 
 
-def judge(pages: DataFrame, rules: Sequence[str], listed: DataFrame, id_col: str = "page_id", url_col: str = "url", max_bits: int = MAX_BITS) -> DataFrame:
+def judge(pages: DataFrame, rules: Sequence[str], listed: DataFrame, id_col: str = "page_id", url_col: str = "url", shard_keys: int = SHARD_KEYS) -> DataFrame:
     """id, host, path, rule, verdict, listed: the longest rule that fits decides,
     else whether the host or a domain above it is in ``listed`` (column key)."""
-    parsed = pages.select(F.col(f"`{id_col}`"), *(f(F.coalesce(F.col(f"`{url_col}`"), F.lit(""))).alias(n) for n, f in (("host", host_of), ("path", path_of))))
-    universe = parsed.select("host").distinct().select(F.explode(domains(F.col("host"))).alias("key")).distinct()
-    levels = cascade(universe, listed, max_bits)
-    if levels is None:
-        bad = parsed.select("host").distinct().select("host", F.explode(domains(F.col("host"))).alias("key")).join(listed.select("key").distinct(), "key", "left_semi")
-        parsed = parsed.join(bad.select("host").distinct().withColumn("listed", F.lit(True)), "host", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
+    parsed = pages.select(quoted(id_col).alias("id"), *(f(F.coalesce(quoted(url_col), F.lit(""))).alias(n) for n, f in (("host", host_of), ("path", path_of))))
+    hosts = durable(parsed.select("host").distinct(), "url-hosts")
+    found = cascade(hosts.select(F.explode(domains(F.col("host"))).alias("key")).distinct(), listed, shard_keys)
+    if found.literals is not None:
+        parsed = parsed.withColumn("listed", F.exists(domains(F.col("host")), found.contains))
     else:
-        parsed = parsed.withColumn("listed", F.exists(domains(F.col("host")), lambda d: listed_in(levels, d)))
+        bad = durable(found.listed(hosts), "url-listed").withColumn("listed", F.lit(True))
+        parsed = parsed.join(sized_broadcast(bad), "host", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
     host, path = F.col("host"), F.col("path")
     rule, verdict = F.lit(None).cast("string"), F.when(F.col("listed"), F.lit("block")).otherwise(F.lit("allow"))
     for r in reversed(parse_rules(rules)):
         rule = F.when(fits(r, host, path), F.lit(r.name)).otherwise(rule)
         verdict = F.when(fits(r, host, path), F.lit(r.verdict)).otherwise(verdict)
-    return parsed.select(f"`{id_col}`", "host", "path", rule.alias("rule"), verdict.alias("verdict"), "listed")
+    return parsed.select(F.col("id").alias(id_col), "host", "path", rule.alias("rule"), verdict.alias("verdict"), "listed")

@@ -177,7 +177,9 @@ def test_simhash(spark):
     assert simhash.cluster(frame(spark, [])).count() == 0
 
 
-def test_simhash_links_near_fingerprints(spark):
+@pytest.mark.parametrize("members", [256, 3])
+def test_simhash_links_near_fingerprints(spark, monkeypatch, members):
+    monkeypatch.setattr(simhash, "LIST_MEMBERS", members)
     rng = random.Random(5)
     fps = {0, (1 << 64) - 1}
     for _ in range(30):
@@ -186,6 +188,8 @@ def test_simhash_links_near_fingerprints(spark):
             fps.add(x)
             for _ in range(rng.randint(1, 3)):
                 x ^= 1 << rng.randrange(64)
+    for _ in range(120):  # a hot list: half of all share four byte values
+        fps.add(0x0102030400000000 | rng.getrandbits(4) << 20 | rng.getrandbits(5))
     want = components(fps, lambda a, b: (a ^ b).bit_count() <= 2)
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     df = spark.createDataFrame([(signed(x),) for x in fps], "fp long")
@@ -195,6 +199,32 @@ def test_simhash_links_near_fingerprints(spark):
     assert components(fps, lambda a, b: (a, b) in linked) == want
 
 
+def test_guaranteed_lists():
+    """Every change of two bits leaves a list of four, and a longer one, in common."""
+    for i, j in itertools.combinations(range(64), 2):
+        change = 1 << i | 1 << j
+        change -= (change >> 63) << 64
+        assert any(not change & m for m in simhash.FOUR)
+        assert all(any(not change & simhash.SIX[k] for k in longer) for m, longer in zip(simhash.FOUR, simhash.LONGER, strict=True) if not change & m)
+
+
+def test_clashing_and_dotted_names(spark):
+    df = frame(spark, ["a b", "a b", None, "mail bob@example.com"]).withColumns({n: F.lit("x") for n in ("gone_id", "GONE_ID_", "group_bytes", "in_group", "__q_id", "__q_n_bytes", "span_id")})
+    df = df.withColumnsRenamed({"doc_id": "the.id", "text": "the.text"})
+    near = simhash.near_deduplicate(df, "the.id", "the.text")
+    exact = exact_dedup.deduplicate(df, "the.id", "the.text", keep="min")
+    for kept in (near, exact):
+        assert kept.columns == df.columns and sorted(r["the.id"] for r in kept.collect()) == [0, 2, 3]
+    assert {r["in_group"] for r in exact.collect()} == {"x"} and {r["gone_id"] for r in near.collect()} == {"x"}
+    red = pii.redact(df, "the.id", "the.text")
+    assert red.columns == df.columns and [r["the.text"] for r in red.orderBy("`the.id`").collect()] == ["a b", "a b", None, "mail [EMAIL]"]
+    trusted = df.where("`the.id` < 2").select("`the.id`")
+    assert quality.accepted(df, trusted, "the.id", "the.text").columns == df.columns
+    assert byte_bpe.encode(df, "the.id", "the.text").count() == packing.pack_documents(df, "the.id", "the.text").count() == audio.store(df, "the.id", "the.text").count() == 4
+    with pytest.raises(TypeError):
+        exact_dedup.assign(df.withColumn("the.id", F.lit("x")), "the.id", "the.text")
+
+
 def test_near_dedup_by_similarity(spark):
     rng = random.Random(6)
     make = lambda: [f"{rng.choice('bcdfg')}{rng.randrange(5000)}" for _ in range(400)]
@@ -484,18 +514,22 @@ def test_url_filter(spark):
 
     df = pages(spark, [(i, u, "") for i, u in enumerate(urls)])
     keys = spark.createDataFrame([(k,) for k in listed], "key string")
-    for limit in (url_filter.MAX_BITS, 64):  # the second is beyond the bound, so it joins
-        got = {r.page_id: tuple(r[1:]) for r in url_filter.judge(df, rules, keys, max_bits=limit).collect()}
+    for limit in (url_filter.SHARD_KEYS, 16):  # the second makes several shards
+        got = {r.page_id: tuple(r[1:]) for r in url_filter.judge(df, rules, keys, shard_keys=limit).collect()}
         assert got == {i: judged(u) for i, u in enumerate(urls)}
     assert url_filter.judge(df.where("false"), rules, keys).count() == 0
     assert {r.verdict for r in url_filter.judge(df, (), keys.where("false")).collect()} == {"allow"}
 
 
-def test_cascade_is_exact_with_weak_filters(spark, monkeypatch):
+@pytest.mark.parametrize("shard_keys", [url_filter.SHARD_KEYS, 50])
+def test_cascade_is_exact_with_weak_filters(spark, monkeypatch, shard_keys):
     monkeypatch.setattr(url_filter, "BITS_PER_KEY", 2)
     universe = spark.range(3000).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"))
     listed = universe.where(F.substring("key", 2, 9).cast("long") % 5 == 0)
-    levels = url_filter.cascade(universe, listed)
-    assert len(levels) > 2
-    got = {r.key for r in universe.where(url_filter.listed_in(levels, F.col("key"))).collect()}
-    assert got == {f"k{i}" for i in range(0, 3000, 5)}
+    found = url_filter.cascade(universe, listed, shard_keys)
+    assert len(found.levels) > 2 and found.shards == -(-600 // shard_keys)
+    got = found.listed(universe.withColumnRenamed("key", "host"))
+    assert {r.host for r in got.collect()} == {f"k{i}" for i in range(0, 3000, 5)}
+    if found.literals is not None:
+        got = universe.where(found.contains(F.col("key")))
+        assert {r.key for r in got.collect()} == {f"k{i}" for i in range(0, 3000, 5)}
