@@ -1,38 +1,46 @@
 """Personal data by weak supervision, in DataFrame functions only.
 
 Base patterns (e-mail, IP address, card, phone) always count. Looser patterns
-propose further spans. On every span six labelers vote yes, no or nothing:
-format, gazetteer, context, counter-context, boundary and shape. The votes'
-patterns, of which there is a bounded number, are counted; expectation-
+propose further spans. On every span seven labelers vote yes, no or nothing:
+format, gazetteer, context words, counter-context words, neighbours (other spans
+close by), boundary and variety. The votes' patterns are counted; expectation-
 maximisation over those counts estimates how reliable each labeler is, and a
-logistic span classifier is trained on its posteriors. Proposed spans that it
-takes and that don't overlap base ones are added.
-
-A pattern's matches come from ``regexp_extract_all`` and their places from the
-lengths of what ``split`` leaves between them. Patterns begin only where a match
-can, and use possessive loops, so long runs cost linear time and no stack.
+logistic span classifier is trained on its posteriors, from the votes, the kind
+and features of the span itself (length, share of digits, letters, separators and
+what stands before and after). Proposed spans that it takes and that don't overlap
+base ones are added.
+
+A pattern's matches come from ``regexp_extract_all`` and their places from running
+sums of the lengths of what ``split`` leaves between them; contexts come from those
+gaps too. Running folds work in blocks of the square root of their length, so n
+matches cost n times its root, and text is never scanned from its start again.
+Patterns begin only where a match can, and use possessive loops, so long runs cost
+linear time and no stack.
 
 Cases: a null text counts as empty and has no spans; places are in code points,
-ends exclusive; repeated rows are annotated alike; an empty table gives no rows
-and trains nothing; ``redact`` keeps all columns, ``annotate`` id and spans.
+ends exclusive; a very long text is read whole; repeated rows and ids are annotated
+alike; an empty table gives no rows and trains nothing; ``redact`` keeps all
+columns, whatever their names, ``annotate`` id and spans.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import durable
+from quillstone.llm.common import durable, fresh, quoted
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 ADDED_KINDS = ("spelled_email", "local_phone", "ssn", "iban", "credential")
 KINDS = BASE_KINDS + ADDED_KINDS
-LABELERS = ("format", "gazetteer", "context", "counter", "boundary", "shape")
-BEFORE, AFTER = 40, 1
+LABELERS = ("format", "gazetteer", "context", "counter", "neighbours", "boundary", "variety")
+#: Code points of context, and how near another span is a neighbour.
+BEFORE, NEAR = 40, 40
 
 # Patterns and word lists.
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -44,17 +52,43 @@ SPELLED_EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?(?:\(at\)|\[at\]
 LOCAL_PHONE = r"(?<![0-9+.-])(?<!\+[0-9] )\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}+(?: ?[A-Z0-9]{1,3})?+(?![A-Za-z0-9])"
-CREDENTIAL = r"(?:AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|(?:password|passwd|token|secret|api_key|apikey) ?[=:] ?[\x22']?[A-Za-z0-9_+/-]{8,128}+[\x22']?)"
-CREDENTIAL_WORDS = ("AKIA", "password", "passwd", "token", "secret", "api_key", "apikey")
+CREDENTIAL = r"(?:AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|(?i:password|passwd|token|secret|api_key|apikey) ?[=:] ?[\x22']?[A-Za-z0-9_+/-]{8,128}+[\x22']?)"
+CREDENTIAL_HINT = r"AKIA|(?i:password|passwd|token|secret|api_?key) ?[=:]"
 TOP_DOMAINS = ("com", "org", "net", "edu", "gov", "io", "info", "de", "fr", "es", "uk", "eu")
 IBAN_COUNTRIES = ("AT", "BE", "CH", "DE", "DK", "ES", "FI", "FR", "GB", "IE", "IT", "LU", "NL", "NO", "PL", "PT", "SE")
 CARD_PREFIXES = r"^(?:4|5[1-5]|2[2-7]|3[47]|6(?:011|5))"
-CONTEXT_WORDS = ("mail", "email", "e-mail", "contact", "phone", "tel", "call", "mobile", "fax", "card", "visa", "credit", "ip", "address", "ssn", "social", "iban", "account", "login", "user", "key", "password", "token")
+CONTEXT_WORDS = ("mail", "email", "e-mail", "contact", "phone", "tel", "call", "mobile", "fax", "card", "visa", "credit", "ip", "address", "ssn", "social", "iban", "account", "login", "user", "key", "password", "token", "telefon", "telefono", "courriel", "correo", "konto", "adresse", "kennwort", "carte", "tarjeta")
 COUNTER_WORDS = ("version", "license", "page", "isbn", "figure", "fig", "section", "chapter", "order", "invoice", "id", "no")
 
 _SPAN = "array<struct<start:int,rank:int,end:int,kind:string,body:string,before:string,after:string>>"
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, also inside lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running(values: Column, zero: Column, merge: Callable[[Column, Column], Column]) -> Column:
+    """Folds of the first 0, 1, ... n - 1 values, for each of n values."""
+
+    def upto(items: Column, count: Column) -> Column:
+        return F.aggregate(F.slice(items, 1, count), zero, merge)
+
+    def over(items: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(items))).cast("int")
+        starts = F.sequence(F.lit(1), F.size(items), width)
+        blocks = F.transform(starts, lambda at: F.slice(items, at, width))
+
+        def inside(block: Column, before: Column) -> Column:
+            return F.transform(block, lambda _, i: merge(before, upto(block, i)))
+
+        sums = F.transform(blocks, lambda b: F.aggregate(b, zero, merge))
+        before = _let(sums, lambda own: F.transform(own, lambda _, i: upto(own, i)))
+        return F.flatten(F.zip_with(blocks, before, inside))
+
+    return F.when(F.size(values) > 0, _let(values, over)).otherwise(F.array().cast("array<int>"))
+
+
 def _digits(body: Column) -> Column:
     return F.regexp_replace(body, "[^0-9]", "")
 
@@ -81,21 +115,25 @@ def spans(text: Column, kind: str, pattern: str, valid: Callable[[Column], Colum
     """Valid matches of a pattern, leftmost and non-overlapping, in order."""
     rank = KINDS.index(kind)
     none = F.array().cast(_SPAN)
-    parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("body"))
 
-    def step(acc: Column, part: Column) -> Column:
-        gap, body = part["gap"], part["body"]
-        start = acc["at"] + F.char_length(gap)
-        end = start + F.coalesce(F.char_length(body), F.lit(0))
-        span = F.struct(
-            start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), body.alias("body"),
-            text.substr(F.greatest(start - BEFORE + 1, F.lit(1)), F.least(start, F.lit(BEFORE))).alias("before"), text.substr(end + 1, F.lit(AFTER)).alias("after"),
-        )
-        keep = body.isNotNull() & valid(body)
-        return F.struct(end.alias("at"), F.when(keep, F.concat(acc["found"], F.array(span).cast(_SPAN))).otherwise(acc["found"]).alias("found"))
+    def built(bodies: Column) -> Column:
+        def placed(gaps: Column) -> Column:
+            n = F.size(bodies)
+            sizes = F.zip_with(F.slice(gaps, 1, n), bodies, lambda g, b: F.char_length(g) + F.char_length(b))
+            parts = F.arrays_zip(running(sizes, F.lit(0), lambda x, y: x + y).alias("at"), F.slice(gaps, 1, n).alias("gap"), bodies.alias("body"), F.slice(gaps, 2, n).alias("next"))
 
-    folded = F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("found")), step, lambda acc: acc["found"])
-    return F.when(guard, folded).otherwise(none)
+            def span(part: Column) -> Column:
+                start = part["at"] + F.char_length(part["gap"])
+                return F.struct(
+                    start.alias("start"), F.lit(rank).alias("rank"), (start + F.char_length(part["body"])).alias("end"), F.lit(kind).alias("kind"), part["body"].alias("body"),
+                    F.right(part["gap"], F.lit(BEFORE)).alias("before"), F.left(part["next"], F.lit(1)).alias("after"),
+                )
+
+            return F.transform(F.filter(parts, lambda p: valid(p["body"])), span).cast(_SPAN)
+
+        return F.when(F.size(bodies) > 0, _let(F.split(text, pattern, -1), placed)).otherwise(none)
+
+    return F.when(guard, _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), built)).otherwise(none)
 
 
 def base_spans(text: Column) -> Column:
@@ -111,9 +149,7 @@ def base_spans(text: Column) -> Column:
 def proposed_spans(text: Column) -> Column:
     some = text.rlike("[0-9]")
     at = F.contains(text, F.lit("(at)")) | F.contains(text, F.lit("[at]"))
-    words = F.lit(False)
-    for w in CREDENTIAL_WORDS:
-        words = words | F.contains(text, F.lit(w))
+    words = text.rlike(CREDENTIAL_HINT)
     return F.concat(
         spans(text, "spelled_email", SPELLED_EMAIL, _always, at),
         spans(text, "local_phone", LOCAL_PHONE, _always, some),
@@ -152,28 +188,52 @@ def votes(span: Column) -> Column:
     varied = F.size(F.array_distinct(F.split(body, "")))
     no = F.lit(False)
     return F.array(
-        _vote(shaped, ~shaped), _vote(listed, no), _vote(near(CONTEXT_WORDS), no), _vote(no, near(COUNTER_WORDS)), _vote(~joined, joined), _vote(varied >= 5, varied < 4)
+        _vote(shaped, ~shaped), _vote(listed, no), _vote(near(CONTEXT_WORDS), no), _vote(no, near(COUNTER_WORDS)), _vote(span["near"], no), _vote(~joined, joined), _vote(varied >= 5, varied < 4)
+    )
+
+
+#: Features of a span itself, each with few values.
+FEATURES = ("length", "digits", "letters", "spaces", "marks", "before", "after")
+
+
+def features(span: Column) -> Column:
+    """Values of FEATURES: buckets of length and digit share, flags, and classes of
+    the characters before and after."""
+    body, size = span["body"], F.char_length(span["body"])
+    digits = F.char_length(_digits(body))
+    kind_of = lambda c: F.when(c == "", 0).when(c.rlike(r"[\s]"), 1).when(c.rlike(r"[\p{L}\p{N}]"), 2).otherwise(3)
+    return F.array(
+        F.when(size < 10, 0).when(size < 16, 1).when(size < 32, 2).otherwise(3), F.when(digits * 4 < size, 0).when(digits * 4 < 3 * size, 1).otherwise(2),
+        body.rlike("[A-Za-z]").cast("int"), body.rlike(r"[\x20]").cast("int"), body.rlike(r"[-.()\[\]=:@]").cast("int"), kind_of(F.right(span["before"], F.lit(1))), kind_of(span["after"]),
     )
 
 
 @dataclass(frozen=True)
 class Model:
-    """Reliabilities by labeler, and the span classifier's weights."""
+    """Reliabilities by labeler, and the span classifier's weights: of each labeler's
+    vote, of each kind, and of each value of each feature."""
 
     reliability: dict[str, float]
-    weights: tuple[float, ...]
-    kinds: dict[str, float]
+    weights: dict[tuple[str, object], float]
 
     def takes(self, span: Column) -> Column:
         """Whether the classifier gives the span a probability of at least 1/2."""
-        score = F.lit(0.0)
-        for j, w in enumerate(self.weights):
-            score = score + span["votes"][j] * F.lit(w)
-        for kind, w in self.kinds.items():
-            score = score + F.when(span["kind"] == kind, w).otherwise(0.0)
+        score = F.lit(self.weights.get(("bias", 0), 0.0))
+        for (name, value), w in self.weights.items():
+            if name in LABELERS:
+                score = score + span["votes"][LABELERS.index(name)] * F.lit(w)
+            elif name == "kind":
+                score = score + F.when(span["kind"] == value, w).otherwise(0.0)
+            elif name in FEATURES:
+                score = score + F.when(span["features"][FEATURES.index(name)] == value, w).otherwise(0.0)
         return score >= 0
 
 
+def _inputs(kind: str, votes_: Sequence[int], features_: Sequence[int]) -> dict[tuple[str, object], float]:
+    found = {("bias", 0): 1.0, ("kind", kind): 1.0} | {(name, 0): float(v) for name, v in zip(LABELERS, votes_, strict=True) if v}
+    return found | {(name, v): 1.0 for name, v in zip(FEATURES, features_, strict=True)}
+
+
 def expectation_maximisation(patterns: Sequence[tuple[tuple[int, ...], float]], rounds: int = 60) -> tuple[list[float], list[dict[int, tuple[float, float]]]]:
     """Posteriors of the patterns, and P(vote | no), P(vote | yes) by labeler.
 
@@ -197,61 +257,99 @@ def expectation_maximisation(patterns: Sequence[tuple[tuple[int, ...], float]],
     return posterior, tables
 
 
-def train(found: DataFrame, rounds: int = 400) -> Model | None:
+def train(found: DataFrame, rounds: int = 300) -> Model | None:
     """The model of a table with columns base and proposed (arrays of voted
-    spans). Only counts of vote patterns, at most kinds * 3 ** labelers, leave
-    the cluster."""
-    seen = found.select(F.explode(F.concat("base", "proposed")).alias("s")).groupBy(F.col("s.kind").alias("kind"), F.col("s.votes").alias("votes")).agg(F.count("*").alias("n"))
-    rows = sorted((r.kind, tuple(r.votes), r.n) for r in seen.collect())
+    spans). Only counts leave the cluster: of vote patterns, at most kinds *
+    3 ** labelers, each with at most 1,536 patterns of features."""
+    seen = found.select(F.explode(F.concat("base", "proposed")).alias("s")).groupBy(F.col("s.kind").alias("kind"), F.col("s.votes").alias("votes"), F.col("s.features").alias("features")).agg(F.count("*").alias("n"))
+    rows = sorted((r.kind, tuple(r.votes), tuple(r.features), r.n) for r in seen.collect())
     if not rows:
         return None
-    posterior, tables = expectation_maximisation([(v, n) for _, v, n in rows])
+    by_votes: Counter[tuple[int, ...]] = Counter()
+    for _, v, _, n in rows:
+        by_votes[v] += n
+    patterns = sorted(by_votes.items())
+    posterior, tables = expectation_maximisation(patterns)
+    chance = {v: p for (v, _), p in zip(patterns, posterior, strict=True)}
     reliability = {}
     for name, t in zip(LABELERS, tables, strict=True):
         right, wrong = t[1][1] + t[-1][0], t[1][0] + t[-1][1]
         reliability[name] = right / (right + wrong)
-    weights, kinds = [0.0] * len(LABELERS), {k: 0.0 for k in sorted({k for k, _, _ in rows})}
+    inputs = [(_inputs(kind, v, f), n, chance[v]) for kind, v, f, n in rows]
+    weights = dict.fromkeys(sorted({k for x, _, _ in inputs for k in x}, key=str), 0.0)
     total = sum(n for *_, n in rows)
     for _ in range(rounds):
-        gw, gk = [0.0] * len(LABELERS), dict.fromkeys(kinds, 0.0)
-        for (kind, v, n), p in zip(rows, posterior, strict=True):
-            z = kinds[kind] + sum(w * x for w, x in zip(weights, v, strict=True))
+        slope = dict.fromkeys(weights, 0.0)
+        for x, n, p in inputs:
+            z = sum(weights[k] * value for k, value in x.items())
             error = n / total * (p - 1 / (1 + math.exp(-max(-50.0, min(50.0, z)))))
-            gk[kind] += error
-            for j, x in enumerate(v):
-                gw[j] += error * x
-        weights = [w + g - 1e-4 * w for w, g in zip(weights, gw, strict=True)]
-        kinds = {k: w + gk[k] - 1e-4 * w for k, w in kinds.items()}
-    return Model(reliability, tuple(weights), kinds)
+            for k, value in x.items():
+                slope[k] += error * value
+        weights = {k: w + slope[k] - 1e-3 * w for k, w in weights.items()}
+    return Model(reliability, weights)
 
 
-def _voted(column: Column) -> Column:
-    return F.transform(column, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"), votes(s).alias("votes")))
+def _text(text_col: str) -> Column:
+    return F.coalesce(quoted(text_col), F.lit(""))
 
 
-def _text(text_col: str) -> Column:
-    return F.coalesce(F.col(text_col), F.lit(""))
+def _voted(base: Column, proposed: Column) -> Column:
+    """Struct of base and proposed: spans by start, with votes, features, and clear:
+    whether no base span overlaps."""
+    wide = F.array_sort(F.concat(base, proposed))
+    far, none = F.lit(-NEAR - 1), F.lit(0)
+    is_base = lambda s: s["rank"] < len(BASE_KINDS)
+
+    def judged(all_: Column) -> Column:
+        ends, back = running(F.transform(all_, lambda s: F.when(is_base(s), s["end"]).otherwise(none)), none, lambda x, y: F.greatest(x, y)), F.reverse(all_)
+        last = F.lit((1 << 31) - 1)
+        starts = F.reverse(running(F.transform(back, lambda s: F.when(is_base(s), s["start"]).otherwise(last)), last, lambda x, y: F.least(x, y)))
+        n = F.size(all_)
+        before = F.concat(F.array(far), F.transform(F.slice(all_, 1, n - 1), lambda s: s["end"]))
+        after = F.concat(F.transform(F.slice(all_, 2, n), lambda s: s["start"]), F.array(last))
+        rows = F.arrays_zip(all_.alias("s"), ends.alias("base_end"), starts.alias("base_start"), before.alias("before_end"), after.alias("after_start"))
+
+        def row(r: Column) -> Column:
+            s = r["s"]
+            near = (s["start"] - r["before_end"]).between(0, NEAR) | (r["after_start"] - s["end"]).between(0, NEAR)
+            known = F.struct(s["kind"].alias("kind"), s["body"].alias("body"), s["before"].alias("before"), s["after"].alias("after"), near.alias("near"))
+            clear = (r["base_end"] <= s["start"]) & (r["base_start"] >= s["end"])
+            return F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"), votes(known).alias("votes"), features(known).alias("features"), clear.alias("clear"))
+
+        return F.transform(rows, row)
+
+    empty = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,votes:array<int>,features:array<int>,clear:boolean>>")
+    return F.when(F.size(wide) > 0, _let(wide, lambda a: F.when(F.size(a) > 0, judged(a)))).otherwise(empty)
+
+
+def found_in(text: Column) -> Column:
+    """Voted spans of a text, base and proposed ones, by start."""
+    return _let(base_spans(text), lambda base: _let(proposed_spans(text), lambda proposed: F.when(F.size(base) + F.size(proposed) > 0, _voted(base, proposed))))
+
+
+def _split(all_: str) -> list[Column]:
+    spans_ = F.coalesce(F.col(all_), F.array())
+    is_base = lambda s: s["rank"] < len(BASE_KINDS)
+    return [F.filter(spans_, is_base).alias("base"), F.filter(spans_, lambda s: ~is_base(s)).alias("proposed")]
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, base, proposed: voted spans of each text."""
-    text = _text(text_col)
-    return docs.select(F.col(id_col), _voted(base_spans(text)).alias("base"), _voted(proposed_spans(text)).alias("proposed"))
+    return docs.select(quoted(id_col).alias("id"), found_in(_text(text_col)).alias("found")).select(F.col("id").alias(id_col), *_split("found"))
 
 
 def chosen(model: Model | None, base: Column, proposed: Column) -> Column:
     """All spans by start and kind: base ones, and what the model adds."""
     if model is None:
         return F.array_sort(base)
-    added = F.filter(proposed, lambda s: model.takes(s) & ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return F.array_sort(F.concat(base, added))
+    return F.array_sort(F.concat(base, F.filter(proposed, lambda s: s["clear"] & model.takes(s))))
 
 
 def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Model | None]:
     """id, base and spans of each document, and the model that chose them."""
     found = durable(find(docs, id_col, text_col), "spans")
     model = train(found)
-    return found.select(id_col, F.array_sort("base").alias("base"), chosen(model, F.col("base"), F.col("proposed")).alias("spans")), model
+    return found.select(quoted(id_col), F.array_sort("base").alias("base"), chosen(model, F.col("base"), F.col("proposed")).alias("spans")), model
 
 
 def count_of(column: str, kind: str) -> Column:
@@ -263,18 +361,40 @@ def listing(column: Column) -> Column:
     return F.array_join(F.transform(column, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+#: Code points of a block that masks its own spans.
+BLOCK = 8192
+
+
+def masked(text: Column, spans_: Column) -> Column:
+    """``text`` with sorted spans replaced by their kinds in brackets; of overlapping
+    ones the first counts, and what a later one covers beyond it goes too."""
+    blocks = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+    def of(block: Column, number: Column) -> Column:
+        low, high = number * BLOCK, (number + 1) * BLOCK
+        own = F.filter(spans_, lambda s: (s["end"] > low) & (s["start"] < high))
+
+        def step(acc: Column, s: Column) -> Column:
+            kept = F.substring(block, acc["at"] - low + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
+            mark = F.when((s["start"] >= low) & (s["start"] >= acc["at"]), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise("")
+            return F.struct(F.concat(acc["out"], kept, mark).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
+
+        begin = F.struct(F.lit("").alias("out"), low.cast("int").alias("at"))
+        rest = lambda acc: F.concat(acc["out"], F.when(acc["at"] < high, F.substring(block, acc["at"] - low + 1, F.lit(BLOCK))).otherwise(""))
+        return F.when(F.size(own) > 0, F.aggregate(own, begin, step, rest)).otherwise(block)
+
+    return F.when(F.size(spans_) > 0, F.array_join(F.transform(blocks, of), "")).otherwise(text)
+
+
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets; overlapping
-    spans are replaced once, by the first one's kind. A null text stays null."""
-    text = _text(text_col)
-    model = train(durable(find(docs, id_col, text_col), "spans"))
-    spans_ = chosen(model, _voted(base_spans(text)), _voted(proposed_spans(text)))
-
-    def step(acc: Column, s: Column) -> Column:
-        kept = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], kept, F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise(acc["out"])
-        return F.struct(out.alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
-
-    begin = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    masked = F.aggregate(spans_, begin, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text))))
-    return docs.withColumn(text_col, F.when(F.col(text_col).isNotNull(), masked))
+    spans are replaced once, by the first one's kind. A null text stays null. The
+    spans are found once, and written beside the rows."""
+    found, base, proposed, spans_ = fresh(docs, "span_found", "span_base", "span_proposed", "span_chosen")
+    own = [quoted(c) for c in docs.columns]
+    wide = durable(docs.select(*own, found_in(_text(text_col)).alias(found)), "spans")
+    model = train(wide.select(*_split(found)))
+    parts = wide.select(*own, *(c.alias(n) for c, n in zip(_split(found), (base, proposed), strict=True)))
+    parts = parts.select(*own, chosen(model, F.col(base), F.col(proposed)).alias(spans_))
+    text = quoted(text_col)
+    return parts.select(*(F.when(text.isNotNull(), masked(text, F.col(spans_))).alias(c) if c == text_col else quoted(c) for c in docs.columns))
