@@ -1,21 +1,31 @@
 """Quality by an interpolated modified Kneser-Ney model of trusted text.
 
-The model is over the characters of words, with begin and end marks, so that it
-needs no word list. N-grams of the trusted texts are counted per task, summed by
-gram, and lower orders count distinct left neighbours. To score, documents are
-dealt into chunks of bounded size; a chunk asks for its distinct grams, those are
-joined order by order with the count tables, which are sharded by gram, and the
-answers go back to the chunk, where words and documents add up their costs.
-Costs are whole multiples of 2**-16 bits, so sums don't depend on their order.
-
-A document is accepted if its bits per symbol, in thousandths, are at most the
-``quantile`` of its language's trusted documents, found by an exact histogram,
-times ``slack``; languages without trusted documents take that of all of them.
+The model has two layers, both of n-grams. The lower is over the characters of a
+word, with begin and end marks, so that it needs no word list. The upper is over
+the words of a text in their order, each seen as its class: the case and kind of its
+characters, the punctuation that ends it, its length, and whether it repeats one of
+the two words before it. (N-grams of the words themselves are nearly all distinct,
+and would move more than the text.) A word costs what both layers say.
+
+N-grams of the trusted texts are counted per task, summed by gram, and lower orders
+count distinct left neighbours. To score, documents are dealt into chunks of bounded
+size; a chunk asks for its distinct grams, those are joined order by order with the
+count tables, which are sharded by gram, and the answers go back to the chunk, where
+words and documents add up their costs. Costs are whole multiples of 2**-16 bits, so
+sums don't depend on their order.
+
+One trusted document of ``HELD_OUT``, by a hash of its id, is left out of the counts
+and sets the limits: the mean bits a symbol in its language, and the ``quantile`` of
+how far documents exceed that mean. Excess is the sum of bits above the mean over the
+root of the symbols, whose spread does not depend on a text's length. A document is
+accepted up to that limit; a language without held-out documents takes the mean and
+limit of all of them.
 
 Cases: a text without words (null, empty, white space) has no perplexity and is
-accepted; without any trusted text all is accepted; a null language is one of its
-own; repeated ids are scored row by row; an empty table gives no rows; extra
-columns are ignored by ``score`` and kept by ``accepted``.
+accepted; without any held-out trusted text all is accepted; a null language is one
+of its own; a very long text is one document of its chunk and read whole; repeated
+ids are scored row by row; an empty table gives no rows; extra columns are ignored by
+``score`` and kept by ``accepted``, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,18 +34,21 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import durable, map_arrow, release_memory, ship, sized_broadcast, slices
+from quillstone.llm.common import durable, map_arrow, quoted, release_memory, ship, sized_broadcast, slices, texts_of, without
 
 ORDER = 4
 BEGIN, END = "\x02", "\x03"
 SCALE = 1 << 16
 #: Text that a chunk holds, and the least worth a chunk of its own.
 CHUNK_BYTES, LEAST_BYTES = 16 << 20, 1 << 20
-QUANTILE, SLACK = 0.995, 1.05
+QUANTILE, HELD_OUT = 0.997, 10
+#: The classes of words are single characters from this one on.
+CLASSES = 0xE000
 #: Grams that a task holds before it sends partial counts on.
 HELD_GRAMS = 1_000_000
 
@@ -46,38 +59,74 @@ def grams(word: str, order: int = ORDER) -> list[str]:
     return [padded[i : i + order] for i in range(len(word) + 1)]
 
 
+def word_class(word: str) -> int:
+    """Case and kind, final punctuation, and length; even, as one more marks a repeat."""
+    core = word.rstrip(".,;:!?\"')]")
+    if core.isalpha():
+        kind = 0 if core.islower() else 1 if core[1:].islower() or len(core) == 1 else 2 if core.isupper() else 3
+    else:
+        kind = 4 if core.isdigit() else 5 if any(map(str.isalnum, core)) else 6
+    last = word[len(core) :][-1:]
+    end = 0 if not last else 1 if last in ".!?" else 2
+    return 2 * ((kind * 3 + end) * 3 + (0 if len(word) < 4 else 1 if len(word) < 9 else 2))
+
+
+def class_text(words: list[str], known: dict[str, str]) -> str:
+    """The classes of words in order; ``known`` remembers those of word forms."""
+    for w in set(words).difference(known):
+        known[w] = chr(CLASSES + word_class(w))
+    text = "".join(map(known.__getitem__, words))
+    again = [i for i in range(1, len(words)) if words[i] == words[i - 1] or (i > 1 and words[i] == words[i - 2])]
+    if again:
+        marked = list(text)
+        for i in again:
+            marked[i] = chr(ord(marked[i]) + 1)
+        text = "".join(marked)
+    return text
+
+
+def class_grams(text: str, order: int = ORDER) -> list[str]:
+    """The gram that ends at each class; of no classes, none."""
+    padded = BEGIN * (order - 1) + text
+    return [padded[i : i + order] for i in range(len(text))]
+
+
 def count_grams(docs: DataFrame, text_col: str = "text", order: int = ORDER) -> DataFrame:
-    """gram and c: occurrences in all texts, summed by gram."""
+    """layer (0 characters, 1 classes), gram and c: occurrences in all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[str] = Counter()
+        held: tuple[Counter[str], Counter[str]] = Counter(), Counter()
         words: Counter[str] = Counter()
+        known: dict[str, str] = {}
 
         def fold() -> None:
             for word, n in words.items():
                 for g in grams(word, order):
-                    held[g] += n
+                    held[0][g] += n
             words.clear()
+            known.clear()
 
-        def batch() -> pa.RecordBatch:
-            out = pa.record_batch([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], ["gram", "n"])
-            held.clear()
-            return out
+        def batches_() -> Iterator[pa.RecordBatch]:
+            for layer, counts in enumerate(held):
+                if counts:
+                    yield pa.record_batch([pa.array([layer] * len(counts), pa.int8()), pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["layer", "gram", "n"])
+                counts.clear()
 
         for b in batches:
-            for part in slices(b, text_col):
-                for text in part.column(text_col).to_pylist():
-                    words.update((text or "").split())
+            for part in slices(b, "text"):
+                for text in part.column("text").to_pylist():
+                    own = (text or "").split()
+                    words.update(own)
+                    held[1].update(class_grams(class_text(own, known), order))
                 if len(words) > HELD_GRAMS // 4:
                     fold()
-                if len(held) > HELD_GRAMS:
-                    yield batch()
+                if len(held[0]) + len(held[1]) > HELD_GRAMS:
+                    yield from batches_()
         fold()
-        if held:
-            yield batch()
+        yield from batches_()
 
-    partial = map_arrow(docs.select(F.col(text_col)), run, "gram string, n long")
-    return partial.groupBy("gram").agg(F.sum("n").alias("c"))
+    partial = map_arrow(docs.select(quoted(text_col).alias("text")), run, "layer byte, gram string, n long")
+    return partial.groupBy("layer", "gram").agg(F.sum("n").alias("c"))
 
 
 class KneserNey:
@@ -137,90 +186,119 @@ class KneserNey:
         return self.counts[1].agg(F.sum(self._discount(1, F.col("c")))).first()[0] / self.total
 
 
-def score(docs: DataFrame, model: KneserNey, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+class Layers:
+    """The model of characters and that of classes."""
+
+    def __init__(self, counts: DataFrame, order: int = ORDER):
+        self.order = order
+        counts = durable(counts, "layers")
+        self.models = [KneserNey(counts.where(F.col("layer") == layer).select("gram", "c"), order) for layer in (0, 1)]
+
+    def costs(self, asked: DataFrame) -> DataFrame:
+        """layer, gram, cost of the distinct layer and gram of ``asked``."""
+        layers = [m.costs(asked.where(F.col("layer") == i)).withColumn("layer", F.lit(i).cast("byte")) for i, m in enumerate(self.models)]
+        return layers[0].unionByName(layers[1])
+
+
+def score(docs: DataFrame, model: Layers, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """id, lang, symbols, cost: the document's symbols and their cost."""
     ship(docs.sparkSession)
     order = model.order
-    size = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
+    rows = docs.select(quoted(id_col).alias("id"), quoted(lang_col).cast("string").alias("lang"), quoted(text_col).alias("text"))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     chunks = max(1, -(-size // CHUNK_BYTES), min(tasks, size // LEAST_BYTES))
-    key = F.when(F.col(id_col).isNull(), F.xxhash64(text_col)).otherwise(F.xxhash64(id_col))
-    dealt = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.pmod(key, F.lit(chunks)).cast("int").alias("chunk"))
-    dealt = dealt.repartition(chunks, "chunk")
+    key = F.when(F.col("id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("id"))
+    dealt = rows.withColumn("chunk", F.pmod(key, F.lit(chunks)).cast("int")).repartition(chunks, "chunk")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: dict[int, set[str]] = {}
+        classes: dict[int, set[str]] = {}
+        known: dict[str, str] = {}
         for b in batches:
             for part in slices(b, "text"):
                 for chunk, text in zip(part.column("chunk").to_pylist(), part.column("text").to_pylist(), strict=True):
-                    words.setdefault(chunk, set()).update((text or "").split())
+                    own = (text or "").split()
+                    words.setdefault(chunk, set()).update(own)
+                    classes.setdefault(chunk, set()).update(class_grams(class_text(own, known), order))
+        del known
         for chunk, own in words.items():
-            asked = list({g for w in own for g in grams(w, order)})
-            for i in range(0, len(asked), 65_536):
-                some = asked[i : i + 65_536]
-                yield pa.record_batch([pa.array([chunk] * len(some), pa.int32()), pa.array(some, pa.string())], ["chunk", "gram"])
+            for layer, asked in enumerate((list({g for w in own for g in grams(w, order)}), list(classes[chunk]))):
+                for i in range(0, len(asked), 65_536):
+                    some = asked[i : i + 65_536]
+                    yield pa.record_batch([pa.array([chunk] * len(some), pa.int32()), pa.array([layer] * len(some), pa.int8()), pa.array(some, pa.string())], ["chunk", "layer", "gram"])
 
     def add(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        cost = dict(zip(answers.column("gram").to_pylist(), answers.column("cost").to_pylist(), strict=True))
+        cost: tuple[dict[str, int], dict[str, int]] = {}, {}
+        for layer in (0, 1):
+            own = answers.filter(pc.equal(answers.column("layer"), layer))
+            cost[layer].update(zip(own.column("gram").to_pylist(), own.column("cost").to_pylist(), strict=True))
         known: dict[str, int] = {}
+        forms: dict[str, str] = {}
         symbols, costs = [], []
         for batch in texts.to_batches():
             for part in slices(batch, "text"):
                 for text in part.column("text").to_pylist():
                     words = (text or "").split()
                     for w in set(words).difference(known):
-                        known[w] = sum([cost[g] for g in grams(w, order)])
+                        known[w] = sum([cost[0][g] for g in grams(w, order)])
                     symbols.append(sum(map(len, words)) + len(words))
-                    costs.append(sum(map(known.__getitem__, words)))
-        del cost, known
+                    upper = sum(map(cost[1].__getitem__, class_grams(class_text(words, forms), order)))
+                    costs.append(sum(map(known.__getitem__, words)) + upper)
+        del cost, known, forms
         release_memory()
         return pa.table([texts.column("id"), texts.column("lang"), pa.array(symbols, pa.int64()), pa.array(costs, pa.int64())], ["id", "lang", "symbols", "cost"])
 
-    asked = map_arrow(dealt, ask, "chunk int, gram string")
-    kind = docs.schema[id_col].dataType.simpleString()
+    asked = map_arrow(dealt, ask, "chunk int, layer byte, gram string")
+    kind = rows.schema["id"].dataType.simpleString()
     distinct = durable(asked, "asked")
-    costs = durable(model.costs(distinct.select("gram").distinct()), "costs")
-    answers = distinct.join(costs, "gram").select("chunk", "gram", "cost")
+    costs = durable(model.costs(distinct.select("layer", "gram").distinct()), "costs")
+    answers = distinct.join(costs, ["layer", "gram"]).select("chunk", "layer", "gram", "cost")
     found = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(add, f"id {kind}, lang string, symbols long, cost long")
     return found.select(F.col("id").alias(id_col), F.col("lang").alias(lang_col), "symbols", "cost")
 
 
-def milli(cost: Column, symbols: Column) -> Column:
-    """Bits per symbol in thousandths, rounded up; null without symbols."""
-    return F.when(symbols > 0, F.ceil(cost * 1000 / (symbols * SCALE)))
-
-
-def thresholds(scores: DataFrame, trusted: DataFrame, id_col: str, lang_col: str, quantile: float = QUANTILE, slack: float = SLACK) -> tuple[DataFrame, int | None]:
-    """lang and threshold, and the threshold of all languages together."""
-    cells = scores.join(trusted, id_col, "left_semi").groupBy(lang_col, milli(F.col("cost"), F.col("symbols")).alias("milli")).agg(F.count("*").alias("n")).where("milli is not null")
-    cells = durable(cells, "milli")  # bounded: languages times thousandths
+def excess(cost: Column, symbols: Column, mean: Column) -> Column:
+    """Bits above ``mean`` bits a symbol, over the root of the symbols, in
+    thousandths, rounded up; null without symbols."""
+    return F.when(symbols > 0, F.ceil((cost / SCALE - mean * symbols) * 1000 / F.sqrt(symbols)))
 
-    def cut(table: DataFrame, *by: str) -> DataFrame:
-        upto = F.sum("n").over(W.partitionBy(*by).orderBy("milli"))
-        full = F.sum("n").over(W.partitionBy(*by))
-        ranked = table.select(*by, "milli", (upto >= full * quantile).alias("enough"))
-        return ranked.where("enough").groupBy(*by).agg(F.ceil(F.min("milli") * slack).cast("long").alias("threshold"))
 
-    whole = cut(cells.groupBy("milli").agg(F.sum("n").alias("n")).withColumn("__all", F.lit(1)), "__all").first()
-    return cut(cells, lang_col).select(F.col(lang_col).alias("__lang"), "threshold"), None if whole is None else whole.threshold
+def limits(scores: DataFrame, held: DataFrame, quantile: float = QUANTILE) -> DataFrame:
+    """lang, mean and threshold of ``scores`` (id, lang, symbols, cost) that are held
+    out, and every, true in the one row for all languages together."""
+    own = scores.join(sized_broadcast(held), "id", "left_semi").where("symbols > 0")
+    both = own.select("lang", F.lit(False).alias("every"), "symbols", "cost").unionByName(own.select(F.lit(None).cast("string").alias("lang"), F.lit(True).alias("every"), "symbols", "cost"))
+    key = ["every", "lang"]
+    means = both.groupBy(*key).agg((F.sum("cost") / SCALE / F.sum("symbols")).alias("mean")).withColumnsRenamed({"every": "m_every", "lang": "m_lang"})
+    same = (F.col("every") == F.col("m_every")) & F.col("lang").eqNullSafe(F.col("m_lang"))
+    cells = durable(both.join(sized_broadcast(durable(means, "means")), same).groupBy(*key, "mean", excess(F.col("cost"), F.col("symbols"), F.col("mean")).alias("excess")).agg(F.count("*").alias("n")), "excess")
+    upto, full = F.sum("n").over(W.partitionBy(*key).orderBy("excess")), F.sum("n").over(W.partitionBy(*key))
+    ranked = cells.select(*key, "mean", "excess", (upto >= full * quantile).alias("enough"))
+    return ranked.where("enough").groupBy(*key, "mean").agg(F.min("excess").alias("threshold"))
 
 
-def judge(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
-    """id, lang, symbols, cost, perplexity, milli, threshold, accepted for each
+def judge(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE) -> DataFrame:
+    """id, lang, symbols, cost, perplexity, excess, threshold, accepted for each
     document; ``trusted`` has the ids of trusted ones."""
-    ids = durable(trusted.select(F.col(id_col)).where(F.col(id_col).isNotNull()).distinct(), "trusted")
-    taught = docs.select(id_col, text_col).join(sized_broadcast(ids), id_col, "left_semi")
-    model = KneserNey(count_grams(taught, text_col))
-    scores = durable(score(docs, model, id_col, text_col, lang_col), "scores")
-    limits, whole = thresholds(scores, ids, id_col, lang_col, quantile, slack)
-    found = scores.join(F.broadcast(limits), scores[lang_col].eqNullSafe(F.col("__lang")), "left")  # one row per language
-    own, limit = milli(F.col("cost"), F.col("symbols")), F.coalesce("threshold", F.lit(whole).cast("long"))
+    ids = durable(trusted.select(quoted(id_col).alias("id")).where("id is not null").distinct(), "trusted")
+    is_held = F.pmod(F.xxhash64("id"), F.lit(HELD_OUT)) == 0
+    taught = texts_of(docs, id_col, text_col).join(sized_broadcast(ids.where(~is_held)), "id", "left_semi")
+    model = Layers(count_grams(taught))
+    scores = durable(score(docs, model, id_col, text_col, lang_col).toDF("id", "lang", "symbols", "cost"), "scores")
+    found = durable(limits(scores, ids.where(is_held), quantile), "limits")
+    every = found.where("every").first()
+    whole = (every.mean, every.threshold) if every else (None, None)
+    own = found.where("not every").select(F.col("lang").alias("own_lang"), "mean", "threshold")
+    rows = scores.join(sized_broadcast(own), F.col("lang").eqNullSafe(F.col("own_lang")), "left")  # one row per language, so joins of any size
+    mean, limit = F.coalesce("mean", F.lit(whole[0]).cast("double")), F.coalesce("threshold", F.lit(whole[1]).cast("long"))
+    over = excess(F.col("cost"), F.col("symbols"), mean)
     perplexity = F.when(F.col("symbols") > 0, F.pow(F.lit(2.0), F.col("cost") / (F.col("symbols") * SCALE)))
-    return found.select(id_col, lang_col, "symbols", "cost", F.round(perplexity, 6).alias("perplexity"), own.alias("milli"), limit.alias("threshold"), F.coalesce(own <= limit, F.lit(True)).alias("accepted"))
+    return rows.select(F.col("id").alias(id_col), F.col("lang").alias(lang_col), "symbols", "cost", F.round(perplexity, 6).alias("perplexity"), over.alias("excess"), limit.alias("threshold"), F.coalesce(over <= limit, F.lit(True)).alias("accepted"))
 
 
-def accepted(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
+def accepted(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE) -> DataFrame:
     """``docs`` without the rejected ones, all columns kept. A repeated id goes if
     any of its rows is rejected."""
-    out = durable(judge(docs, trusted, id_col, text_col, lang_col, quantile, slack).where(~F.col("accepted")).select(F.col(id_col).alias("__q_id")).distinct(), "rejected")
-    return docs.join(sized_broadcast(out), docs[id_col] == F.col("__q_id"), "left_anti")
+    out = judge(docs, trusted, id_col, text_col, lang_col, quantile).where(~F.col("accepted")).select(quoted(id_col).alias("id")).distinct()
+    return without(docs, durable(out, "rejected"), id_col)
