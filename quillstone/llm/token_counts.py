@@ -3,10 +3,12 @@
 Documents are counted by encoded length. For every length that occurs, taken as
 a context limit, the curve has how many documents fit and are cut, and the tokens
 that are kept and lost. Sums run inside bands of lengths and then over the bands,
-so that no task holds all lengths.
+so that no task holds all lengths. Any other limit is answered from the curve's
+point at the next smaller length, without going back to the histogram.
 
-Cases: null and empty texts have length 0 and are counted; repeated rows count
-each time; an empty table gives no rows; extra columns are ignored.
+Cases: null and empty texts have length 0 and are counted; a very long text is
+encoded whole; repeated rows count each time; an empty table gives no rows; extra
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +22,10 @@ from pyspark.sql import functions as F
 from quillstone.llm import byte_bpe
 from quillstone.llm.common import durable
 
-BAND = 1024
+BAND = 128
+#: Context limits of the query, beside the lengths that occur, and its quantiles.
+LIMITS = tuple(1 << i for i in range(9, 21))
+SHARES = (0.5, 0.9, 0.99, 0.999)
 
 
 def histogram(docs: DataFrame, text_col: str = "text", ranks: str | None = None) -> DataFrame:
@@ -49,18 +54,42 @@ def curve(hist: DataFrame) -> DataFrame:
     )
 
 
-def truncated_totals(hist: DataFrame, limits: Sequence[int]) -> DataFrame:
-    """One row: for each limit c, kept_c, the tokens left if documents are cut to
-    c; c need not be a length that occurs."""
-    return hist.agg(*(F.coalesce(F.sum(F.least("n_tokens", F.lit(c)) * F.col("docs")), F.lit(0)).alias(f"kept_{c}") for c in limits))
+def truncated_totals(points: DataFrame, limits: Sequence[int]) -> DataFrame:
+    """One row of ``curve``'s answers: for each limit c, fit_c, the documents of at
+    most c tokens, and kept_c, the tokens left if documents are cut to c; c need not
+    be a length that occurs."""
+    docs, none = F.max(F.col("docs_fit") + F.col("docs_cut")), F.lit(0).cast("long")
+    answers = []
+    for c in limits:
+        last = F.max_by(F.struct("context_limit", "docs_fit", "docs_cut", "tokens_kept"), F.when(F.col("context_limit") <= c, F.col("context_limit")))
+        answers.append((c, last))
+    found = points.agg(docs.alias("docs"), *(last.alias(f"at_{c}") for c, last in answers))
+    out = []
+    for c, _ in answers:
+        at = F.col(f"at_{c}")
+        cut = F.when(at["context_limit"] <= c, at["docs_cut"]).otherwise(F.coalesce("docs", none))
+        kept = F.when(at["context_limit"] <= c, at["tokens_kept"] + (c - at["context_limit"]) * cut).otherwise(c * cut)
+        out += [(F.coalesce("docs", none) - cut).alias(f"fit_{c}"), kept.alias(f"kept_{c}")]
+    return found.select(*out)
 
 
 def quantiles(points: DataFrame, shares: Sequence[float]) -> DataFrame:
     """One row of ``curve``'s answers: for each share q, the smallest length that
     at least q of the documents fit in, as q_<percent>."""
-    return points.agg(*(F.min(F.when(F.col("share_fit") >= q, F.col("context_limit"))).alias(f"q_{q * 100:g}") for q in shares))
-
-
-def count_tokens(docs: DataFrame, text_col: str = "text", ranks: str | None = None) -> DataFrame:
-    """``curve`` of the histogram, which is written once to the shared folder."""
-    return curve(durable(histogram(docs, text_col, ranks), "lengths"))
+    return points.agg(*(F.min(F.when(F.col("share_fit") >= q, F.col("context_limit"))).alias(f"q_{str(round(q * 100, 6)).rstrip('0').rstrip('.').replace('.', '_')}") for q in shares))
+
+
+def count_tokens(docs: DataFrame, text_col: str = "text", ranks: str | None = None, limits: Sequence[int] = LIMITS, shares: Sequence[float] = SHARES) -> DataFrame:
+    """``curve`` of the histogram, which is written once to the shared folder, with a
+    row for each of ``limits`` too (docs_at is 0 where no text has that length), and
+    the quantiles on every row."""
+    points = durable(curve(durable(histogram(docs, text_col, ranks), "lengths")), "curve")
+    totals = truncated_totals(points, limits)
+    some = points.agg(F.max("tokens_total").alias("tokens_total"), F.max(F.col("docs_fit") + F.col("docs_cut")).alias("docs")).where("docs is not null")
+    asked = totals.select(F.explode(F.array(*(F.struct(F.lit(c).cast("long").alias("context_limit"), F.col(f"fit_{c}").alias("docs_fit"), F.col(f"kept_{c}").alias("tokens_kept")) for c in limits))).alias("r")).select("r.*")
+    asked = asked.join(points.select("context_limit"), "context_limit", "left_anti").crossJoin(F.broadcast(some))  # one row
+    more = asked.select(
+        "context_limit", F.lit(0).cast("long").alias("docs_at"), "docs_fit", (F.col("docs") - F.col("docs_fit")).alias("docs_cut"), "tokens_total", "tokens_kept",
+        (F.col("tokens_total") - F.col("tokens_kept")).alias("tokens_lost"), (F.col("docs_fit") / F.col("docs")).alias("share_fit"),
+    )
+    return points.unionByName(more).crossJoin(F.broadcast(quantiles(points, shares)))  # one row
