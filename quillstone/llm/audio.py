@@ -23,9 +23,8 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from quillstone.llm.common import map_arrow, slices
+from quillstone.llm.common import map_arrow, slices, texts_of
 
 ALIGN, PAD = 576, 0xFF
 RATE_IN, UP, DOWN = 12_000, 2, 3
@@ -161,15 +160,16 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text_col):
+            for part in slices(batch, "text"):
                 files = []
-                for text in part.column(text_col).to_pylist():
+                for text in part.column("text").to_pylist():
                     raw = (text or "").encode()
                     full = max(1, -(-len(raw) // ALIGN)) * ALIGN
                     files.append(wav(raw.ljust(full, bytes([PAD])), len(raw)))
-                yield pa.record_batch([part.column(id_col), pa.array(files, pa.binary())], [id_col, "media"])
+                yield pa.record_batch([part.column("id"), pa.array(files, pa.binary())], ["id", "media"])
 
-    return map_arrow(docs.select(id_col, F.col(text_col)), run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, media binary")
+    rows = texts_of(docs, id_col, text_col)
+    return map_arrow(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, media binary").withColumnRenamed("id", id_col)
 
 
 def features(stored: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
@@ -188,9 +188,9 @@ def features(stored: DataFrame, id_col: str = "doc_id", media_col: str = "media"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, media_col, max_bytes=4 << 20):
-                columns = zip(*(row(m) for m in part.column(media_col).to_pylist()), strict=True)
-                yield pa.record_batch([part.column(id_col), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], [id_col, *names])
+            for part in slices(batch, "text", max_bytes=4 << 20):
+                columns = zip(*(row(m) for m in part.column("text").to_pylist()), strict=True)
+                yield pa.record_batch([part.column("id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["id", *names])
 
-    kind = stored.schema[id_col].dataType.simpleString()
-    return map_arrow(stored.select(id_col, media_col), run, f"`{id_col}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, frames long, tensors binary, segments_ms string")
+    rows = texts_of(stored, id_col, media_col)
+    return map_arrow(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, frames long, tensors binary, segments_ms string").withColumnRenamed("id", id_col)

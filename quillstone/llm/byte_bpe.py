@@ -7,8 +7,9 @@ processor's merges are the vocabulary's own. A text is cut into the matches of
 the split pattern, each match is encoded separately, and ids decode through the
 inverse map id -> bytes.
 
-Cases: null and empty texts give no ids; extra columns are ignored; repeated
-rows and ids are encoded row by row; text of any length is encoded whole.
+Cases: null and empty texts give no ids; extra columns are ignored, whatever their
+names; repeated rows and ids are encoded row by row; text of any length is encoded
+whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,9 +22,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from quillstone.llm.common import map_arrow, slices
+from quillstone.llm.common import map_arrow, quoted, slices, texts_of
 
 #: Entries in each of the two generations of a worker's cache.
 CACHE_ENTRIES = 400_000
@@ -86,6 +86,7 @@ class ByteBpe:
     _open: dict[tuple[str, str], ByteBpe] = {}
 
     def __init__(self, path: str, pattern: str):
+        import public_tokenizers
         import regex
         import sentencepiece
 
@@ -95,6 +96,8 @@ class ByteBpe:
         # White space is the Unicode property, without the information separators.
         self.split = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
         self.model = sentencepiece.SentencePieceProcessor(model_proto=sentencepiece_model(self.tokens))
+        #: Whether words that single spaces part are encoded alone: a fact of the public pattern.
+        self.by_words = pattern == public_tokenizers.PATTERN
         self.cache: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -131,7 +134,7 @@ class ByteBpe:
                 fresh.append(c)
             else:
                 self.cache[c] = ids
-        cut = {c: self.split(c) for c in fresh if not c.lstrip(" ").isalpha()}
+        cut = {c: self.split(c) for c in fresh if self.by_words and not c.lstrip(" ").isalpha()}
         plain = [c for c in fresh if c not in cut]
         known = self._pieces(list({p for parts in cut.values() for p in parts}.union(plain)))
         for c in plain:
@@ -140,11 +143,12 @@ class ByteBpe:
             self.cache[c] = b"".join([known[p] for p in parts])
 
     def chunks(self, text: str) -> list[str]:
-        """Parts that are encoded alone. Where all white space is single spaces
+        """Parts that are encoded alone. With another pattern than the public one,
+        these are its matches. With that one, where all white space is single spaces
         and newlines between other characters, a newline is a pre-token and a
         space starts one, so the parts are words, which repeat; otherwise they
         are the pre-tokens."""
-        if text.replace("\n", " ").split(" ") != text.split():
+        if not self.by_words or text.replace("\n", " ").split(" ") != text.split():
             return self.split(text)
         out = []
         for line in text.split("\n"):
@@ -176,11 +180,12 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = ByteBpe.of(ranks, pattern)
         for batch in batches:
-            for part in slices(batch, text_col):
-                ids = bpe.encode([t or "" for t in part.column(text_col).to_pylist()])
-                yield pa.record_batch([part.column(id_col), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], [id_col, "n_tokens", "ids"])
+            for part in slices(batch, "text"):
+                ids = bpe.encode([t or "" for t in part.column("text").to_pylist()])
+                yield pa.record_batch([part.column("id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["id", "n_tokens", "ids"])
 
-    return map_arrow(docs.select(id_col, F.col(text_col)), run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids binary")
+    rows = texts_of(docs, id_col, text_col)
+    return map_arrow(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, n_tokens long, ids binary").withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, ids_col: str = "ids", ranks: str | None = None) -> DataFrame:
@@ -204,8 +209,8 @@ def lengths(docs: DataFrame, text_col: str = "text", ranks: str | None = None, p
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = ByteBpe.of(ranks, pattern)
         for batch in batches:
-            for part in slices(batch, text_col):
-                ids = bpe.encode([t or "" for t in part.column(text_col).to_pylist()])
+            for part in slices(batch, "text"):
+                ids = bpe.encode([t or "" for t in part.column("text").to_pylist()])
                 yield pa.record_batch([pa.array([len(x) // 4 for x in ids], pa.int64())], ["n_tokens"])
 
-    return map_arrow(docs.select(F.col(text_col)), run, "n_tokens long")
+    return map_arrow(docs.select(quoted(text_col).alias("text")), run, "n_tokens long")

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import durable, map_arrow, ship, slices
+from quillstone.llm.common import durable, map_arrow, ship, slices, texts_of
 from quillstone.llm.word_ids import CACHE_ENTRIES, WordBpe
 
 CAPACITY = 4096
@@ -54,8 +54,8 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, number = WordBpe.of(tokenizer, cache_entries), (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
         for batch in batches:
-            for part in slices(batch, text_col, max_rows=4096, max_bytes=2 << 20):
-                ids, bounds = bpe.encode(part.column(text_col))
+            for part in slices(batch, "text", max_rows=4096, max_bytes=2 << 20):
+                ids, bounds = bpe.encode(part.column("text"))
                 rows, start, length, crc, tokens = [], [], [], [], []
                 for row, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
                     own = np.append(ids[a:b], np.uint32(end_id)).astype("<u4", copy=False)
@@ -69,10 +69,10 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
                         tokens.append(len(own))
                 numbers = np.arange(number, number + len(rows), dtype=np.int64)
                 number += len(rows)
-                yield pa.record_batch([part.column(id_col).take(pa.array(rows, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, tokens, numbers))], [id_col, "start", "length", "ids_crc32", "doc_tokens", "piece_no"])
+                yield pa.record_batch([part.column("id").take(pa.array(rows, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, tokens, numbers))], ["id", "start", "length", "ids_crc32", "doc_tokens", "piece_no"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return map_arrow(docs.select(id_col, F.col(text_col)), run, f"`{id_col}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, piece_no long")
+    texts = texts_of(docs, id_col, text_col)
+    return map_arrow(texts, run, f"id {texts.schema['id'].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, piece_no long").withColumnRenamed("id", id_col)
 
 
 def differencing(sizes: list[int], ways: int) -> list[list[int]]:
@@ -130,6 +130,7 @@ def windows(sizes: list[int], capacity: int) -> list[list[int]]:
 def pack(cut: DataFrame, id_col: str = "doc_id", capacity: int = CAPACITY, lane_windows: int = LANE_WINDOWS) -> DataFrame:
     """``cut`` (rows of ``pieces``, already durable) with sequence_id and offset."""
     ship(cut.sparkSession)
+    cut = cut.withColumnRenamed(id_col, "id")
     loose = F.col("length") < capacity
     n, tokens = cut.where(loose).agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
     lanes = max(1, -(-tokens // (capacity * lane_windows)), -(-n // LANE_PIECES))
@@ -151,7 +152,7 @@ def pack(cut: DataFrame, id_col: str = "doc_id", capacity: int = CAPACITY, lane_
     mixed = cut.where(loose).withColumn("lane", F.pmod(F.xxhash64("piece_no"), F.lit(lanes)))
     packed = mixed.groupBy("lane").applyInArrow(run, f"{kinds}, sequence_id long, offset long")
     full = cut.where(~loose).select(*cut.columns, (F.col("piece_no") * 2 + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    return packed.unionByName(full)
+    return packed.unionByName(full).withColumnRenamed("id", id_col)
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, tokenizer: str | None = None, cache_entries: int = CACHE_ENTRIES) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import durable, map_arrow, shared_dir, sized_broadcast, slices
+from quillstone.llm.common import durable, keep_until_exit, map_arrow, quoted, shared_dir, sized_broadcast, slices
 
 ARCHIVE_BYTES = 16 << 20
 LEVEL = 1
@@ -177,7 +177,7 @@ def _target(spark: SparkSession) -> str:
 
 def revisits(pages: DataFrame, id_col: str, payload: F.Column, min_bytes: int) -> DataFrame:
     """size, sha1 and refers_to of payloads that several rows have."""
-    sized = pages.select(F.octet_length(payload).alias("size"), F.sha1(payload).alias("sha1"), F.col(id_col).alias("id")).where(F.col("size") >= min_bytes)
+    sized = pages.select(F.octet_length(payload).alias("size"), F.sha1(payload).alias("sha1"), quoted(id_col).alias("id")).where(F.col("size") >= min_bytes)
     return sized.groupBy("size", "sha1").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
 
 
@@ -187,10 +187,10 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
     An archive's name is its task attempt's own, and readers take the manifest's
     names only, so what a failed attempt left behind is never read."""
     spark = pages.sparkSession
-    folder = folder or _target(spark)
-    payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
+    own, folder = folder is None, folder or _target(spark)
+    payload = F.coalesce(quoted(html_col), F.lit("")).cast("binary")
     first = durable(revisits(pages, id_col, payload, min_bytes), "warc-first")
-    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), payload.alias("payload"), F.octet_length(payload).alias("size"), F.sha1(payload).alias("sha1"))
+    rows = pages.select(quoted(id_col).alias("id"), quoted(url_col).alias("url"), payload.alias("payload"), F.octet_length(payload).alias("size"), F.sha1(payload).alias("sha1"))
     rows = rows.join(sized_broadcast(first), ["size", "sha1"], "left")
     rows = rows.select("id", "url", "payload", F.when(F.col("id") > F.col("first"), F.col("first")).alias("refers_to"))
 
@@ -220,7 +220,10 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
             names, counts, sizes = zip(*done, strict=True)
             yield pa.record_batch([pa.array([f"{folder}/{x}" for x in names]), pa.array(counts, pa.int64()), pa.array(sizes, pa.int64())], ["archive", "records", "bytes"])
 
-    return durable(map_arrow(rows, run, "archive string, records long, bytes long"), "warc-manifest")
+    manifest = durable(map_arrow(rows, run, "archive string, records long, bytes long"), "warc-manifest")
+    if own:
+        keep_until_exit(spark, folder)
+    return manifest
 
 
 FIELDS = {"archive": "string", "start": "long", "end": "long", "gap": "string", "record_id": "string", "record_type": "string", "refers_to": "string", "target": "string", "payload_bytes": "long", "payload_digest": "string"}
