@@ -9,8 +9,8 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from quillstone.functions import canonical, english
-from quillstone.operators import audit, components, events, falsification, integrity, jobs, materiality, promotion, relational, retrieval, visibility
+from quillstone.functions import canonical, english, vocabulary
+from quillstone.operators import audit, components, events, falsification, integrity, jobs, materiality, promotion, relational, replay, retrieval, visibility
 
 CUTOFF = datetime(2025, 5, 1)
 
@@ -126,17 +126,72 @@ def test_canonical_json(spark):
     assert spark.createDataFrame([('{"b": 1, "aa": [1.0]}',), ("nope",)], "t string").select(canonical.json_text("t").alias("j")).collect()[0].j == '{"b": 1, "aa": [1.0]}'
 
 
+INV, CASE = "11111111-0000-0000-0000-000000000001", "22222222-0000-0000-0000-000000000002"
+NOW = "2025-01-01T00:00:00Z"
+LOG = "investigation_id string, case_id string, sequence long, id string, event_type string, target_type string, target_id string, payload string, model_run_id string"
+
+
+def record(id_, run="m", **fields):
+    return {"id": id_, "investigation_id": INV, "case_id": CASE, "model_run_id": run, "created_at": NOW, **fields}
+
+
+def draft(**fields):
+    return {"type": "TEMPORAL_CONSISTENCY", "expected_observation": "x", "strength": "HIGH", "execution_kind": "DETERMINISTIC", "parameters": {"schema_version": "temporal-consistency-v1", "before_event_id": "t1", "after_event_id": "t2"}, "evidence_ids": [], "claim_ids": ["c1"], **fields}
+
+
+def good_log():
+    """Kinds, targets, payloads and model runs of an investigation from start to end."""
+    V = vocabulary.STAGES
+    pending = record("x1", None, hypothesis_id="h1", critique_id="k1", job_id="j", status="PENDING", outcome=None, completed_at=None, result_evidence_ids=[], **draft())
+    done = pending | {"status": "SUCCEEDED", "outcome": "SURVIVED", "completed_at": NOW, "result_evidence_ids": ["e2", "e1"]}
+    rationale = "weighted-delta-v1; x1:SURVIVED:HIGH:+0.0600; before=0.4800; delta=+0.0600; after=0.5400; clamp=[0.0500,0.9500]"
+    log = [
+        ("INVESTIGATION_STARTED", INV, {"configuration_hash": "a" * 64, "current_stage": V[0], "status": "PENDING"}, None), ("STAGE_TRANSITION", INV, {"previous_stage": V[0], "next_stage": V[0]}, None),
+        ("TIMELINE_CREATED", "t1", {"record": record("t1", occurred_at="2024-01-01T00:00:00+00:00", evidence_ids=["e1"])}, "m"), ("TIMELINE_CREATED", "t2", {"record": record("t2", occurred_at=None, evidence_ids=[])}, "m"),
+        ("STAGE_TRANSITION", INV, {"previous_stage": V[0], "next_stage": V[1]}, None), ("ENTITY_CREATED", "n1", {"record": record("n1", aliases=["b  A", "a b"])}, "m"), ("STAGE_TRANSITION", INV, {"previous_stage": V[1], "next_stage": V[2]}, None),
+        ("CLAIM_CREATED", "c1", {"record": record("c1", confidence="0.5000")}, "m"), ("STAGE_TRANSITION", INV, {"previous_stage": V[2], "next_stage": V[3]}, None),
+        ("HYPOTHESIS_CREATED", "h1", {"record": record("h1", status="ACTIVE", initial_confidence="0.4800", current_confidence="0.4800"), "supporting_claim_ids": ["c1"], "contradicting_claim_ids": [], "questions": [{"id": "q1", "investigation_id": INV, "case_id": CASE, "hypothesis_id": "h1", "text": "Why?"}]}, "m"),
+        ("STAGE_TRANSITION", INV, {"previous_stage": V[3], "next_stage": V[4]}, None),
+        ("RETRIEVAL_COMPLETED", "r1", {"query_id": "r1", "hypothesis_id": "h1", "query": {"investigation_id": INV, "case_id": CASE, "entity_ids": ["n1"], "limit": 10}, "results": [{"evidence_id": "e2", "rank": 1}, {"evidence_id": "e1", "rank": 2}]}, None),
+    ]
+    for n in (4, 5):
+        log.append(("STAGE_TRANSITION", INV, {"previous_stage": V[n], "next_stage": V[n + 1]}, None))
+    log.append(("CRITIQUE_CREATED", "k1", {"record": record("k1", hypothesis_id="h1", missing_evidence=[], critique_confidence="0.9000", proposed_tests=[draft()])}, "m"))
+    log += [("TEST_CREATED", "x1", {"record": pending}, None), ("STAGE_TRANSITION", INV, {"previous_stage": V[6], "next_stage": V[7]}, None), ("TEST_RESOLVED", "x1", {"record": done}, None), ("STAGE_TRANSITION", INV, {"previous_stage": V[7], "next_stage": V[8]}, None)]
+    log.append(("CONFIDENCE_REVISED", "v1", {"record": record("v1", None, hypothesis_id="h1", before="0.4800", delta="0.0600", after="0.5400", rationale=rationale, test_deltas=[{"test_id": "x1", "delta": "0.0600"}])}, None))
+    log.append(("HYPOTHESIS_STATUS_CHANGED", "h1", {"hypothesis_id": "h1", "before": "ACTIVE", "after": "LEADING"}, None))
+    log += [("STAGE_TRANSITION", INV, {"previous_stage": V[8], "next_stage": V[9]}, None), ("STAGE_TRANSITION", INV, {"previous_stage": V[9], "next_stage": V[10]}, None)]
+    return log
+
+
 def build_chain(spark):
-    data = [("i", "c", n, f"e{n}", "INVESTIGATION_STARTED" if n == 1 else "CLAIM_CREATED", "investigation" if n == 1 else "claim", "i" if n == 1 else f"k{n}", json.dumps({"kind": "INVESTIGATION_STARTED" if n == 1 else "CLAIM_CREATED"}), None) for n in range(1, 6)]
-    schema = "investigation_id string, case_id string, sequence long, id string, event_type string, target_type string, target_id string, payload string, model_run_id string"
-    return events.append(spark.createDataFrame(data, schema)).cache()
+    return as_events(spark, good_log()[:5]).cache()
+
+
+def as_events(spark, log):
+    rows_ = [(INV, CASE, n, f"e{n}", kind, vocabulary.EVENT_TARGETS[kind], target, canonical.canonical({"kind": kind, "schema_version": "1", **payload}), run) for n, (kind, target, payload, run) in enumerate(log, 1)]
+    return events.append(spark.createDataFrame(rows_, LOG))
+
+
+def brute_state():
+    """The state of ``good_log``, written out."""
+    own = lambda id_, **f: {k: v for k, v in record(id_, **f).items() if k != "created_at"}
+    test = own("x1", run=None, hypothesis_id="h1", critique_id="k1", job_id="j", status="SUCCEEDED", outcome="SURVIVED", result_evidence_ids=["e1", "e2"], **draft())
+    return {
+        "investigation_id": INV, "case_id": CASE, "entities": {"n1": own("n1", aliases=["a b", "b  A"])}, "timeline": {"t1": own("t1", occurred_at="2024-01-01T00:00:00Z", evidence_ids=["e1"]), "t2": own("t2", occurred_at=None, evidence_ids=[])},
+        "claims": {"c1": own("c1", confidence="0.5")}, "hypotheses": {"h1": own("h1", status="LEADING", initial_confidence="0.48", current_confidence="0.54")}, "hypothesis_claim_links": {"h1": {"supporting": ["c1"], "contradicting": []}},
+        "questions": {"q1": {"id": "q1", "investigation_id": INV, "case_id": CASE, "hypothesis_id": "h1", "text": "Why?"}}, "critiques": {"k1": own("k1", hypothesis_id="h1", missing_evidence=[], critique_confidence="0.9", proposed_tests=[draft()])}, "tests": {"x1": test},
+        "revisions": {"v1": own("v1", run=None, hypothesis_id="h1", before="0.48", delta="0.06", after="0.54", rationale=good_log()[19][2]["record"]["rationale"], test_deltas=[{"test_id": "x1", "delta": "0.06"}])},
+        "retrievals": {"r1": {"query_id": "r1", "hypothesis_id": "h1", "query": {"investigation_id": INV, "case_id": CASE, "entity_ids": ["n1"], "limit": 10}, "results": [{"evidence_id": "e2", "rank": 1}, {"evidence_id": "e1", "rank": 2}]}},
+    }
 
 
 def test_chain_and_tampering(spark):
-    chained = build_chain(spark)
-    assert events.chain_errors(chained).count() == 0 and chained.select(F.explode(events.contract_errors())).count() == 0
+    chained = as_events(spark, good_log()).cache()
+    assert events.chain_errors(chained).count() == 0
+    assert chained.count() == 23 and rows(events.with_contract_errors(chained).where("size(errors) > 0"), "sequence", "errors") == []
     last = chained.orderBy("sequence").collect()[-1]
-    envelope = {"previous_hash": last.previous_event_hash, "investigation_id": "i", "case_id": "c", "sequence": 5, "event_type": "CLAIM_CREATED", "target_type": "claim", "target_id": "k5", "payload": {"kind": "CLAIM_CREATED"}, "model_run_id": None}
+    envelope = {"previous_hash": last.previous_event_hash, "investigation_id": INV, "case_id": CASE, "sequence": 23, "event_type": "STAGE_TRANSITION", "target_type": "investigation", "target_id": INV, "payload": json.loads(last.payload), "model_run_id": None}
     import hashlib
 
     assert last.event_hash == hashlib.sha256(canonical.canonical(envelope).encode()).hexdigest()
@@ -145,22 +200,97 @@ def test_chain_and_tampering(spark):
         assert events.chain_errors(bad).count() > 0, column
 
 
+def test_event_contract(spark):
+    def broken(at, **change):
+        log = good_log()
+        kind, target, payload, run = log[at]
+        inner = change.pop("record", None)
+        payload = payload | change.pop("payload", {}) | ({"record": payload["record"] | inner} if inner else {})
+        log[at] = (kind, change.get("target", target), payload, change.get("run", run))
+        return {e for r in events.with_contract_errors(as_events(spark, log)).where(F.col("sequence") == at + 1).collect() for e in r.errors}
+
+    assert broken(2, run="other") == {"MODEL_RUN"} and broken(2, record={"case_id": "z"}) == {"RECORD_CONTEXT"} and broken(7, target="c9") == {"TARGET_ID"}
+    assert broken(0, payload={"status": "RUNNING"}) == {"START_STATE"} and broken(4, payload={"next_stage": "COMPLETE"}) == {"STAGE_ORDER"}
+    assert broken(9, record={"current_confidence": "0.5"}) == {"HYPOTHESIS_START"} and broken(9, payload={"supporting_claim_ids": []}) == {"HYPOTHESIS_LINKS"} and broken(9, payload={"supporting_claim_ids": ["c1", "c1"]}) == {"REPEATED_REFERENCE"}
+    assert broken(11, payload={"results": [{"evidence_id": "e1", "rank": 2}]}) == {"RESULT_RANKS"} and broken(11, payload={"query": good_log()[11][2]["query"] | {"limit": 1}}) == {"RESULT_LIMIT"}
+    assert broken(15, record={"status": "FAILED"}) == {"TEST_PENDING"} and broken(17, record={"status": "PENDING"}) == {"TEST_RESOLUTION"} and broken(17, record={"outcome": None}) == {"TEST_RESULT"}
+    assert broken(20, payload={"before": "LEADING"}) == {"STATUS_UNCHANGED"} and broken(5, payload={"kind": "X"}) == {"KIND"}
+    question = good_log()[9][2]["questions"][0]
+    assert broken(9, payload={"questions": [question | {"hypothesis_id": "z"}]}) == {"QUESTION_CONTEXT"} and broken(9, payload={"questions": [question, question | {"id": "q2", "text": " why? "}]}) == {"QUESTION_TEXT"}
+
+
 def test_replay(spark):
-    schema = "investigation_id string, sequence long, event_type string, target_type string, target_id string, payload string, event_hash string"
+    log = good_log()
+    state = brute_state()
+    text = canonical.canonical(state)
+    import hashlib
+
+    closed = [*log, ("INVESTIGATION_COMPLETED", INV, {"projection_hash": hashlib.sha256(text.encode()).hexdigest()}, None)]
+    good = as_events(spark, closed).cache()
+    found = replay.projections(replay.replay_state(good), good).first()
+    assert json.loads(found.projection) == state and found.projection == text
+    assert rows(replay.replay_errors(good), "sequence", "error") == []
+    life = replay.replay_lifecycle(good).first()
+    assert (life.current_stage, life.status, life.configuration_hash) == ("COMPLETE", "SUCCEEDED", "a" * 64)
+    assert replay.replay_lifecycle(good.where("sequence = 1")).first().status == "PENDING" and replay.replay_lifecycle(good.where("sequence < 3")).first().status == "RUNNING"
+    a = spark.createDataFrame([("x", "1"), ("y", "2"), ("n", None)], "k string, v string")
+    b = spark.createDataFrame([("x", "1"), ("y", "3"), ("z", "4"), ("n", None)], "k string, v string")
+    assert rows(replay.state_differences(a, b, ["k"], "v")) == [("y", "DIFFERS"), ("z", "NOT_REPLAYED")]
+
+
+def test_replay_rules(spark):
+    def errors(change):
+        log = good_log()
+        change(log)
+        return {e for _, e in rows(replay.replay_errors(as_events(spark, log)), "sequence", "error")}
+
+    def edit(at, **fields):
+        def change(log):
+            kind, target, payload, run = log[at]
+            inner = fields.pop("record", None)
+            log[at] = (kind, target, payload | fields | ({"record": payload["record"] | inner} if inner else {}), run)
+
+        return change
+
+    assert errors(lambda log: log.insert(8, log[7])) == {"DUPLICATE_CLAIM"}
+    assert errors(lambda log: log.pop(7)) == {"UNKNOWN_CLAIM"} and errors(lambda log: log.pop(3)) == {"UNKNOWN_TIMELINE_EVENT"} and errors(lambda log: log.pop(5)) == {"UNKNOWN_ENTITY"}
+    assert errors(lambda log: log.pop(9)) >= {"UNKNOWN_HYPOTHESIS"} and errors(lambda log: log.pop(14)) == {"UNKNOWN_CRITIQUE"}
+    assert errors(edit(15, record={"strength": "LOW"})) >= {"TEST_NOT_PROPOSED"} and errors(lambda log: log.insert(18, log[17])) == {"TEST_NOT_PENDING"}
+    assert errors(edit(17, record={"expected_observation": "y"})) == {"TEST_FIELDS_CHANGED"}
+    assert errors(lambda log: log.insert(16, ("TEST_CREATED", "x2", {"record": log[15][2]["record"] | {"id": "x2"}}, None))) == {"TEST_PROPOSED_ONCE"}
+    assert errors(edit(19, record={"before": "0.4100"})) >= {"REVISION_BEFORE"} and errors(edit(19, record={"test_deltas": [{"test_id": "x1", "delta": "0.2000"}]})) == {"REVISION_DELTA"}
+    assert errors(edit(19, record={"test_deltas": []})) >= {"REVISION_LEAVES_TESTS_OUT"} and errors(edit(19, record={"rationale": "because"})) == {"REVISION_RATIONALE"}
+    assert errors(lambda log: log.pop(17)) >= {"REVISION_NEEDS_SUCCEEDED"} and "REVISED_TWICE" in errors(lambda log: log.insert(20, ("CONFIDENCE_REVISED", "v2", {"record": log[19][2]["record"] | {"id": "v2"}}, None)))
+    assert errors(edit(20, before="WEAKENED")) == {"STATUS_BEFORE"} and errors(edit(20, after="REJECTED")) == {"STATUS_AFTER"}
+    assert errors(edit(4, previous_stage="GENERATE_HYPOTHESES")) >= {"WRONG_STAGE", "STAGE_ORDER"} and errors(lambda log: log.insert(2, log[1])) == {"STARTED_AGAIN"}
+    assert errors(lambda log: log.append(("CLAIM_CREATED", "c9", {"record": record("c9")}, "m"))) == {"COMPLETE_STAGE_ONLY_COMPLETES"}
+    end = ("INVESTIGATION_COMPLETED", INV, {"projection_hash": "0" * 64}, None)
+    assert errors(lambda log: log.append(end)) == {"COMPLETION_HASH"} and errors(lambda log: log.insert(22, end)) >= {"COMPLETION_STAGE", "TERMINAL"}
+
+
+def test_execution(spark):
+    schema = "test_id string, case_id string, investigation_id string, type string, status string, execution_kind string, parameters string, evidence_ids array<string>, claim_ids array<string>, created_at timestamp, completed_at timestamp"
+    V = falsification.PARAMETERS
+    p = lambda kind, **f: json.dumps({"schema_version": V.get(kind, "x"), **f})
+    one = lambda id_, kind, params, ev=(), cl=(), status="PENDING", how="DETERMINISTIC", done=CUTOFF: (id_, "c", "i", kind, status, how, params, list(ev), list(cl), CUTOFF, done)
+    E, T, C = V
     data = [
-        ("i", 1, "INVESTIGATION_STARTED", "investigation", "i", '{"current_stage": "PROMOTE_TIMELINE", "status": "PENDING"}', "a"), ("i", 2, "TEST_CREATED", "test", "t", "1", "b"),
-        ("i", 3, "TEST_RESOLVED", "test", "t", "2", "c"), ("i", 4, "STAGE_TRANSITION", "investigation", "i", '{"to_stage": "RESOLVE_ENTITIES"}', "d"),
+        one("presence", E, p(E, evidence_type="TEXT")), one("named", E, p(E, evidence_type="TEXT"), ["e2"]), one("vague", E, p(E)), one("time", T, p(T, before_event_id="t1", after_event_id="t2")),
+        one("scope", T, p(T, before_event_id="t1", after_event_id="t2"), ["e1"]), one("claims", C, p(C), [], ["k1"]), one("no claims", C, p(C)), one("against", C, p(C), ["e2"], ["k1"]),
+        one("unknown", T, p(T, before_event_id="t1", after_event_id="zz")), one("same", T, p(T, before_event_id="t1", after_event_id="t1")), one("done", E, p(E), status="SUCCEEDED"), one("ai", "SEMANTIC_COMPARISON", "{}", how="AI"),
+        one("foreign", E, p(E), ["e9"]), one("twice", E, p(E), ["e1", "e1"]), one("version", E, p(T)), one("early", E, p(E), done=CUTOFF.replace(year=2000)), one("claim?", C, p(C), [], ["k9"]),
     ]
-    good = spark.createDataFrame(data, schema)
-    assert events.replay_errors(good).count() == 0
-    assert rows(events.replay_state(good), "target_id", "payload") == [("t", "2")]
-    assert rows(events.replay_lifecycle(good)) == [("i", "RESOLVE_ENTITIES", "PENDING", "d")]
-    more = [("i", 5, "TEST_RESOLVED", "test", "t", "3", "e"), ("i", 6, "TEST_CREATED", "test", "t", "4", "f"), ("i", 7, "HYPOTHESIS_STATUS_CHANGED", "hypothesis", "h", "5", "g"), ("i", 8, "STAGE_TRANSITION", "investigation", "i", '{"to_stage": "COMPLETE"}', "h"), ("i", 9, "INVESTIGATION_COMPLETED", "investigation", "i", "{}", "i"), ("i", 10, "CLAIM_CREATED", "claim", "k", "{}", "j")]
-    got = rows(events.replay_errors(spark.createDataFrame(data + more, schema)), "sequence", "error")
-    assert got == [(5, "RESOLVED_TWICE"), (6, "CREATED_TWICE"), (7, "NOT_CREATED"), (8, "STAGE_ORDER"), (10, "AFTER_COMPLETION")]
-    a = spark.createDataFrame([("x", "1"), ("y", "2")], "k string, v string")
-    b = spark.createDataFrame([("x", "1"), ("y", "3"), ("z", "4")], "k string, v string")
-    assert rows(events.state_differences(a, b, ["k"], "v")) == [("y", "DIFFERS"), ("z", "NOT_REPLAYED")]
+    evidence = spark.createDataFrame([("e1", "c", "TEXT", "A"), ("e2", "c", "TABLE", "B"), ("e9", "other", "TEXT", "A")], "id string, case_id string, type string, subtype string")
+    claims = spark.createDataFrame([("k1", "c", "i", ["e1"], ["e2"]), ("k9", "c", "j", [], [])], "id string, case_id string, investigation_id string, supporting array<string>, contradicting array<string>")
+    line = spark.createDataFrame([("t1", "c", "i", CUTOFF, "EXACT", ["e1"]), ("t2", "c", "i", CUTOFF.replace(year=2031), "EXACT", ["e2", "e1"])], "id string, case_id string, investigation_id string, occurred_at timestamp, time_precision string, evidence_ids array<string>")
+    got = {r.test_id: (r.outcome, r.result_evidence_ids, r.error) for r in falsification.execute(spark.createDataFrame(data, schema), evidence, claims, line).collect()}
+    assert got["presence"] == ("SURVIVED", ["e1"], None) and got["named"] == ("EXPECTED_EVIDENCE_MISSING", [], None) and got["vague"] == ("INCONCLUSIVE", [], None)
+    assert got["time"] == ("SURVIVED", ["e1", "e2"], None) and got["scope"] == ("SURVIVED", ["e1"], None)
+    assert got["claims"] == ("CONTRADICTED", ["e1", "e2"], None) and got["no claims"] == ("INCONCLUSIVE", [], None) and got["against"] == ("CONTRADICTED", ["e2"], None)
+    want = {"unknown": "UNKNOWN_EVENT", "same": "SAME_EVENT", "done": "NOT_PENDING", "ai": "NEEDS_MODEL,UNSUPPORTED_TYPE", "foreign": "UNKNOWN_EVIDENCE", "twice": "REPEATED_REFERENCE", "version": "PARAMETERS", "early": "COMPLETED_BEFORE_CREATION", "claim?": "UNKNOWN_CLAIM"}
+    assert {k: v[2] for k, v in got.items() if v[2]} == want and all(got[k][:2] == (None, None) for k in want)
+    again = evidence.unionAll(evidence.where("id = 'e1'"))
+    assert {e for _, e in rows(falsification.execution_errors(spark.createDataFrame(data[:1], schema), again, claims, line), "test_id", "error")} == {"DUPLICATE_EVIDENCE"}
 
 
 def test_promotion_checks(spark):
