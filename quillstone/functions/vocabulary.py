@@ -46,6 +46,7 @@ EVENT_TARGETS = {
     "CONFIDENCE_REVISED": "confidence_revision", "HYPOTHESIS_STATUS_CHANGED": "hypothesis", "RETRIEVAL_COMPLETED": "retrieval_query",
     "INVESTIGATION_COMPLETED": "investigation",
 }
+DOCKET_CLASSIFICATION = ("title", "source_url", "document_type", "published_at", "rights_status", "processing_disposition", "expected_checksum")
 PROBE_CATEGORIES = ("COMPONENT_ENTITY_ALIASES", "TEMPORAL_SEQUENCE", "TECHNICAL_SYMPTOM", "CONTRADICTION_ORIENTED")
 
 FINAL_TITLE = r"(?i)\b(final report|probable cause|adopted)\b"

@@ -38,6 +38,33 @@ def written_when_closed(rows: DataFrame, cases: DataFrame) -> DataFrame:
     return rows.join(cases.where(F.col("state").isin("ACQUIRING", "BLIND")).select(F.col("id").alias("case_id")), "case_id", "left_anti")
 
 
+def critique_references(critiques: DataFrame, pinned: DataFrame, claims: DataFrame) -> DataFrame:
+    """Critiques whose strongest contradiction is neither pinned evidence nor a claim
+    of their investigation and case. ``pinned`` and ``claims`` have investigation_id,
+    case_id, id."""
+    context = ["investigation_id", "case_id"]
+    known = pinned.select(*context, "id").unionByName(claims.select(*context, "id")).distinct().withColumnRenamed("id", "strongest_contradiction_id")
+    return critiques.where("strongest_contradiction_id is not null").join(known, [*context, "strongest_contradiction_id"], "left_anti")
+
+
+def changed_history(before: DataFrame, after: DataFrame, keys: Sequence[str], open_: Column | None = None) -> DataFrame:
+    """keys, problem: rows of ``before`` that are DELETED or CHANGED in ``after``.
+    Rows for which ``open_`` (of the earlier row) holds may change, but not go;
+    without it nothing may."""
+    values = [c for c in before.columns if c not in keys]
+    old = before.select(*keys, F.struct(*values).alias("old"), (F.lit(False) if open_ is None else F.coalesce(open_, F.lit(False))).alias("is_open"))
+    both = old.join(after.select(*keys, F.struct(*values).alias("new")), list(keys), "left")
+    problem = F.when(F.col("new").isNull(), "DELETED").when(~F.col("is_open") & ~F.col("old").eqNullSafe(F.col("new")), "CHANGED")
+    return both.select(*keys, problem.alias("problem")).where("problem is not null")
+
+
+def reclassified(before: DataFrame, after: DataFrame, key: str = "id", fields: Sequence[str] = V.DOCKET_CLASSIFICATION) -> DataFrame:
+    """key, field of reviewed classification fields that a processor changed."""
+    both = before.alias("b").join(after.alias("a"), key)
+    changed = F.array_compact(F.array(*(F.when(~F.col(f"b.{c}").eqNullSafe(F.col(f"a.{c}")), c) for c in fields)))
+    return both.select(key, F.explode(changed).alias("field"))
+
+
 def orphans(child: DataFrame, parent: DataFrame, keys: Mapping[str, str]) -> DataFrame:
     """Child rows without a parent; rows with a null key are exempt."""
     whole = child
@@ -88,5 +115,7 @@ def manifest_errors(items: DataFrame, cases: DataFrame, domain: str, label: str)
 
 
 def catalog_differences(present: DataFrame, expected: DataFrame) -> DataFrame:
-    """kind, name, flag: what is expected and missing, or differs in its flag."""
-    return expected.select("kind", "name", "flag").exceptAll(present.select("kind", "name", "flag"))
+    """kind, name, problem: what is MISSING, UNEXPECTED, or has another FLAG."""
+    p, e = present.select("kind", "name", F.struct("flag").alias("p")), expected.select("kind", "name", F.struct("flag").alias("e"))
+    problem = F.when(F.col("p").isNull(), "MISSING").when(F.col("e").isNull(), "UNEXPECTED").when(~F.col("p").eqNullSafe(F.col("e")), "FLAG")
+    return p.join(e, ["kind", "name"], "full").select("kind", "name", problem.alias("problem")).where("problem is not null")

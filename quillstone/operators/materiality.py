@@ -5,19 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Patterns. A dot crosses lines; an edge is no letter, digit or _.
-_EDGE, _END = r"(?:^|[^\p{L}\p{N}_])", r"(?:[^\p{L}\p{N}_]|$)"
+# Patterns, whole. A dot crosses lines; an edge is no letter, digit or _.
 SQL_IMMATERIAL = (
-    rf"(?is){_EDGE}row\s+[0-9]+{_END}.*{_EDGE}column\s+[0-9]+{_END}",
-    rf"(?is)^(?:numerical\s+)?observation{_END}.*(?:recorded|documented|row|column|cell)",
-    rf"(?is)^(?:data|value|observation){_END}.*{_EDGE}row\s+[0-9]+{_END}",
+    r"(?is)(?:^|[^\p{L}\p{N}_])row\s+[0-9]+(?:[^\p{L}\p{N}_]|$).*(?:^|[^\p{L}\p{N}_])column\s+[0-9]+(?:[^\p{L}\p{N}_]|$)",
+    r"(?is)^(?:numerical\s+)?observation(?:[^\p{L}\p{N}_]|$).*(?:recorded|documented|row|column|cell)",
+    r"(?is)^(?:data|value|observation)(?:[^\p{L}\p{N}_]|$).*(?:^|[^\p{L}\p{N}_])row\s+[0-9]+(?:[^\p{L}\p{N}_]|$)",
     r"(?is)^\s*[+-]?[0-9]+(?:[.][0-9]+)?\s*(?:[A-Za-z%]+)?\s*$",
 )
 TEXT_IMMATERIAL = (
-    r"(?i)\brow\s+\d+\b.*\bcolumn\s+\d+\b",
-    r"(?i)^(?:numerical\s+)?observation\b.*(?:recorded|documented|row|column|cell)",
-    r"(?i)^(?:data|value|observation)\b.*\brow\s+\d+\b",
-    r"^[-+]?\d+(?:\.\d+)?(?:\s*[A-Za-z%]+)?$",
+    r"(?iU)\brow\s+\d+\b.*\bcolumn\s+\d+\b",
+    r"(?iU)^(?:numerical\s+)?observation\b.*(?:recorded|documented|row|column|cell)",
+    r"(?iU)^(?:data|value|observation)\b.*\brow\s+\d+\b",
+    r"(?U)^[-+]?\d+(?:\.\d+)?(?:\s*[A-Za-z%]+)?$",
 )
 TEXT_FIELDS = {"claim": "text", "entity": "proposed_canonical_name", "timeline": "description"}
 
@@ -39,8 +38,8 @@ def is_material(text: Column) -> Column:
 
 
 def is_material_text(text: Column) -> Column:
-    """The same on text whose white space has been collapsed."""
-    flat = F.trim(F.regexp_replace(text, r"\s+", " "))
+    """The same on text whose (Unicode) white space has been collapsed."""
+    flat = F.trim(F.regexp_replace(text, r"(?U)[\s\x1c-\x1f]+", " "))
     keep = flat != ""
     for pattern in TEXT_IMMATERIAL:
         keep = keep & ~flat.rlike(pattern)

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillstone.operators.components import connected_components
+from quillstone.operators.relational import row_batches
 
 
 def identity(text: Column) -> Column:
@@ -99,12 +101,68 @@ def too_similar(drafts: DataFrame, by: str, id_col: str, tokens: str) -> DataFra
     return a.join(b, by).where("left_id < right_id").select(by, "left_id", "right_id", inter.cast("long").alias("shared"), union.cast("long").alias("total")).where("4 * shared > 3 * total")
 
 
+def new_id(*parts: Column) -> Column:
+    """An id made of what it stands for, in the form of a UUID."""
+    h = F.sha2(F.concat_ws("\x1f", *parts), 256)
+    return F.concat_ws("-", *(F.substring(h, at, n) for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
+
+
+def materialize_hypotheses(drafts: DataFrame, claims: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Hypotheses, claim links and questions of accepted drafts.
+
+    ``drafts`` has investigation_id, case_id, model_run_id, draft_no, title,
+    description, confidence, supporting_claim_ids, contradicting_claim_ids and
+    unresolved_questions; ``claims`` has investigation_id, case_id, claim_id.
+    Drafts with a claim that is not their investigation's are left out (``draft_errors``
+    names them). Hypotheses start ACTIVE at their confidence, half to even at four
+    places; links are ordered by hypothesis, claim and polarity, questions by their
+    folded text."""
+    context = ["investigation_id", "case_id"]
+    keyed = drafts.withColumn("hypothesis_id", new_id(F.col("investigation_id").cast("string"), F.lit("hypothesis"), F.col("draft_no").cast("string")))
+    named = keyed.select("hypothesis_id", *context, F.explode(F.concat("supporting_claim_ids", "contradicting_claim_ids")).alias("claim_id"))
+    foreign = named.join(claims.select(*context, "claim_id").distinct(), [*context, "claim_id"], "left_anti").select("hypothesis_id").distinct()
+    good = keyed.join(foreign, "hypothesis_id", "left_anti")
+    confidence = F.bround(F.col("confidence").cast("string").cast("decimal(38,18)"), 4).cast("decimal(5,4)")
+    hypotheses = good.select("hypothesis_id", *context, "model_run_id", "title", "description", confidence.alias("initial_confidence"), confidence.alias("current_confidence"), F.lit("ACTIVE").alias("status"))
+    links = hypothesis_links(good).withColumn("link_no", F.row_number().over(W.partitionBy("hypothesis_id").orderBy("claim_id", "polarity")))
+    asked = good.select("hypothesis_id", *context, F.explode("unresolved_questions").alias("text"))
+    questions = asked.withColumn("question_no", F.row_number().over(W.partitionBy("hypothesis_id").orderBy(identity(F.col("text")), "text")))
+    return hypotheses, links, questions
+
+
 def hypothesis_links(drafts: DataFrame) -> DataFrame:
-    """hypothesis_id, claim_id, polarity, in order of their link number."""
+    """hypothesis_id, claim_id, polarity."""
     side = lambda c, p: drafts.select("hypothesis_id", F.explode(c).alias("claim_id"), F.lit(p).alias("polarity"))
     return side("supporting_claim_ids", "SUPPORTING").unionByName(side("contradicting_claim_ids", "CONTRADICTING"))
 
 
+def materialize_critiques(drafts: DataFrame, jobs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Critiques and their pending tests. ``drafts`` has hypothesis_id,
+    investigation_id, case_id, model_run_id, critique_confidence,
+    strongest_contradiction_id and proposed_tests (array of struct: type, strength,
+    execution_kind, parameters, evidence_ids, claim_ids); ``jobs`` has hypothesis_id and
+    job_id. A test has no model run until it is executed."""
+    keyed = drafts.withColumn("critique_id", new_id(F.col("hypothesis_id").cast("string"), F.lit("critique"))).join(jobs.select("hypothesis_id", "job_id"), "hypothesis_id")
+    confidence = F.bround(F.col("critique_confidence").cast("string").cast("decimal(38,18)"), 4).cast("decimal(5,4)")
+    context = ["hypothesis_id", "investigation_id", "case_id"]
+    critiques = keyed.select("critique_id", *context, "model_run_id", "strongest_contradiction_id", confidence.alias("critique_confidence"), F.size("proposed_tests").alias("tests"))
+    each = keyed.select("critique_id", *context, "job_id", F.posexplode("proposed_tests").alias("test_no", "t"))
+    tests = each.select(new_id(F.col("critique_id"), F.lit("test"), F.col("test_no").cast("string")).alias("test_id"), "critique_id", *context, "job_id", "test_no", "t.*", F.lit("PENDING").alias("status"), F.lit(None).cast("string").alias("model_run_id"))
+    return critiques, tests
+
+
+def candidate_batch(pinned: DataFrame, claims: DataFrame, entities: DataFrame, timeline: DataFrame) -> DataFrame:
+    """investigation_id, kind, batch_no, candidate_id, candidate, error: the pinned
+    candidates in batches of three, each found in the table of its kind by id, case and
+    model run. ``pinned`` has investigation_id, case_id, kind, candidate_id,
+    model_run_id; the tables have id, case_id, model_run_id, candidate."""
+    tables = [t.select(F.lit(kind).alias("kind"), F.col("id").alias("candidate_id"), "case_id", "model_run_id", "candidate") for kind, t in (("claim", claims), ("entity", entities), ("timeline", timeline))]
+    known = tables[0].unionByName(tables[1]).unionByName(tables[2])
+    batched = row_batches(pinned, ["investigation_id", "kind"], [F.col("candidate_id")])
+    found = batched.join(known, ["kind", "candidate_id", "case_id", "model_run_id"], "left")
+    return found.select("investigation_id", "kind", "batch_no", "candidate_id", "candidate", F.when(F.col("candidate").isNull(), "pinned candidate batch unavailable").alias("error"))
+
+
 def draft_errors(drafts: DataFrame, claims: DataFrame, by: str = "investigation_id") -> DataFrame:
     """investigation, error: three to five drafts, known claims, four-place
     confidence in [0.05, 0.85]."""

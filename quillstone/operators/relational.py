@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillstone.functions.storage import durable
+
 
 def insert_missing(existing: DataFrame, incoming: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """On conflict do nothing: existing rows, and the first incoming row of each new key."""
@@ -83,17 +86,25 @@ def pack_groups(groups: DataFrame, by: str, order: str, size: str, limit: int =
     """``groups`` with batch_no: groups of rows go into a batch in order and are
     never split; a group that would overfill a batch begins the next.
 
-    A fold over the sizes of each key, in order; a key's groups are one array."""
-    cells = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).cast("long").alias("n"))))
-    begin = F.struct(F.lit(0).cast("long").alias("batch"), F.lit(0).cast("long").alias("fill"), F.array().cast("array<bigint>").alias("out"))
+    Each key is folded by one task, as a stream of sorted batches of which one is
+    held at a time."""
+    rows = groups.select(by, order, F.col(size).cast("long").alias(size)).repartition(by).sortWithinPartitions(by, order)
 
-    def step(acc: Column, x: Column) -> Column:
-        over = (acc["fill"] > 0) & (acc["fill"] + x["n"] > limit)
-        batch = acc["batch"] + F.when(over, 1).otherwise(0)
-        return F.struct(batch.cast("long").alias("batch"), F.when(over, x["n"]).otherwise(acc["fill"] + x["n"]).alias("fill"), F.concat(acc["out"], F.array(batch.cast("long"))).alias("out"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, number, fill = object(), 0, 0
+        for b in batches:
+            numbers = []
+            for key, n in zip(b.column(by).to_pylist(), b.column(size).to_pylist(), strict=True):
+                if key != own:
+                    own, number, fill = key, 0, 0
+                if fill and fill + n > limit:
+                    number, fill = number + 1, 0
+                fill += n
+                numbers.append(number)
+            yield pa.record_batch([*b.columns, pa.array(numbers, pa.int64())], [by, order, size, "batch_no"])
 
-    folded = groups.groupBy(by).agg(cells.alias("cells")).withColumn("batches", F.aggregate("cells", begin, step, lambda acc: acc["out"]))
-    return folded.select(by, F.explode(F.arrays_zip("cells", "batches")).alias("z")).select(by, F.col("z.cells.o").alias(order), F.col("z.cells.n").alias(size), F.col("z.batches").alias("batch_no"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInArrow(run, f"{kinds}, batch_no long")
 
 
 def batch_hash(ids: Column) -> Column:
@@ -101,12 +112,33 @@ def batch_hash(ids: Column) -> Column:
     return F.sha2(F.array_join(F.array_sort(ids), "\n"), 256)
 
 
-def ancestors(spans: DataFrame, id_col: str = "id", parent_col: str = "parent_span_id", max_depth: int = 64) -> DataFrame:
-    """Each span's root and depth in its tree, by doubling parent pointers."""
+def ancestors(spans: DataFrame, id_col: str = "id", parent_col: str = "parent_span_id") -> DataFrame:
+    """Each span's root and depth in its tree, by doubling parent pointers until none
+    moves. A span whose parent is missing hangs under that parent's id; a cycle, which
+    has no root, is an error."""
     hop = spans.select(F.col(id_col).alias("id"), F.coalesce(parent_col, id_col).alias("up"), F.when(F.col(parent_col).isNull(), 0).otherwise(1).cast("long").alias("depth"))
-    reach = 1
-    while reach < max_depth:
+    size, reach = spans.count(), 1
+    while True:
         up = hop.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"))
-        hop = hop.join(up, "up", "left").select("id", F.coalesce("next", "up").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
-        reach *= 2
-    return hop.select(F.col("id").alias(id_col), F.col("up").alias("root_id"), "depth")
+        moved = durable(hop.join(up, "up", "left").select("id", F.coalesce("next", "up").alias("top"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), (F.col("next") != F.col("up")).alias("moved")), "ancestors")
+        hop = moved.select("id", F.col("top").alias("up"), "depth")
+        if moved.where("moved").isEmpty():
+            return hop.select(F.col("id").alias(id_col), F.col("up").alias("root_id"), "depth")
+        if (reach := 2 * reach) > 4 * max(1, size):
+            raise ValueError("spans form a cycle")
+
+
+def with_links(records: DataFrame, key: str, links: DataFrame, columns: dict[str, Column | str]) -> DataFrame:
+    """``records`` with a sorted array of link ids for each of ``columns``: a name and
+    the (conditional) id column of ``links``, which has ``key``. None gives an empty
+    array, as a stored projection has."""
+    ids = links.groupBy(key).agg(*(F.sort_array(F.collect_set(c)).alias(name) for name, c in columns.items()))
+    empty = {name: F.coalesce(F.col(name), F.array().cast(ids.schema[name].dataType)) for name in columns}
+    return records.join(ids, key, "left").withColumns(empty)
+
+
+def stored_objects(records: DataFrame, by: str, key: str) -> DataFrame:
+    """by, objects: a map from id to the record's fields as JSON, nulls kept: the
+    relational projection of one kind of record."""
+    value = F.to_json(F.struct(*(c for c in records.columns if c != by)), {"ignoreNullFields": "false"})
+    return keyed_objects(records, [by], key, value)

@@ -6,14 +6,18 @@ Documents become rows (doc, term, position); the terms of a query must all occur
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from fractions import Fraction
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillstone.functions import vocabulary as V
 from quillstone.functions.english import stem_words, tokens
+from quillstone.functions.storage import durable, sized_broadcast
+from quillstone.operators.relational import member_or_no_filter, within_optional
 
 FTS_WEIGHTS = {"fts": "0.55", "entity": "0.20", "time": "0.15", "type": "0.10"}
 HYBRID_WEIGHTS = {"vector": "0.35", "fts": "0.30", "entity": "0.15", "time": "0.12", "type": "0.08"}
@@ -36,6 +40,20 @@ def query_terms(queries: DataFrame, id_col: str = "query_id", text_col: str = "q
     return found.withColumn("terms", F.count("*").over(W.partitionBy("query_id")))
 
 
+def hits(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str, config: str = "english") -> DataFrame:
+    """The rows of ``positions`` whose term is one of ``terms``.
+
+    The corpus is never exchanged: its distinct words, with partial counts, meet the
+    terms first, and the few words that become a term filter its tokens where they
+    are (broadcast by their measured size)."""
+    wanted = terms.select("term").distinct()
+    words = docs.select(F.explode(F.array_distinct(tokens(F.col(text_col)))).alias("word")).distinct()
+    stems = words.withColumn("term", F.col("word")) if config == "simple" else words.withColumn("term", stem_words("word")).where("term is not null")
+    forms = durable(stems.join(sized_broadcast(durable(wanted, "terms")), "term"), "word-forms")
+    rows = docs.select(F.col(id_col), F.posexplode(tokens(F.col(text_col))).alias("position", "word"))
+    return rows.join(sized_broadcast(forms), "word").select(id_col, "term", (F.col("position") + 1).alias("position"))
+
+
 def matches(index: DataFrame, terms: DataFrame, id_col: str) -> DataFrame:
     """query_id, id, hits: documents that have every term of a query, with the
     sorted positions of each term."""
@@ -84,13 +102,24 @@ def entity_scores(links: DataFrame, wanted: DataFrame, id_col: str) -> DataFrame
     return hit.groupBy("query_id", id_col, "__n").agg(F.count("*").alias("hit")).select("query_id", id_col, (F.col("hit").cast("decimal(38,0)") / F.col("__n")).cast("decimal(38,20)").alias("entity_score"))
 
 
-def time_hits(links: DataFrame, windows: DataFrame, id_col: str) -> DataFrame:
+def time_hits(links: DataFrame, windows: DataFrame, id_col: str, buckets: int = 256) -> DataFrame:
     """query_id, id of documents with a linked event inside the query's closed
     interval. ``links`` has id, occurred_at; ``windows`` has query_id, start_at,
-    end_at; queries without either end are left out. The windows are few."""
-    w = windows.where("start_at is not null or end_at is not null")
-    inside = F.col("occurred_at").isNotNull() & (F.col("start_at").isNull() | (F.col("occurred_at") >= F.col("start_at"))) & (F.col("end_at").isNull() | (F.col("occurred_at") <= F.col("end_at")))
-    return links.join(F.broadcast(w), inside).select("query_id", id_col).distinct()
+    end_at; queries without either end are left out.
+
+    Times are cut into buckets of about equal rows, so an interval meets the buckets
+    that it touches by an equal join, however many intervals there are."""
+    w = windows.where("start_at is not null or end_at is not null").select("query_id", "start_at", "end_at")
+    timed = links.where("occurred_at is not null").select(id_col, "occurred_at")
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    shares = [i / buckets for i in range(1, buckets)]
+    edges = timed.agg(F.array_sort(F.array_distinct(F.percentile_approx(micros("occurred_at"), shares, 10_000)))).first()[0] or []
+    edges_ = F.array(*(F.lit(x).cast("long") for x in edges)) if edges else F.array().cast("array<bigint>")
+    bucket = lambda t: F.size(F.filter(edges_, lambda e: e <= t))
+    low, high = F.coalesce(bucket(micros("start_at")), F.lit(0)), F.when(F.col("end_at").isNull(), len(edges)).otherwise(bucket(micros("end_at")))
+    spread = w.where("start_at is null or end_at is null or start_at <= end_at").withColumn("bucket", F.explode(F.sequence(F.when(F.col("start_at").isNull(), 0).otherwise(low), high)))
+    placed = timed.withColumn("bucket", bucket(micros("occurred_at")))
+    return placed.join(spread, "bucket").where(within_optional(F.col("occurred_at"), F.col("start_at"), F.col("end_at"))).select("query_id", id_col).distinct()
 
 
 def weighted_score(components: dict[str, Column], weights: dict[str, str] = FTS_WEIGHTS) -> Column:
@@ -110,36 +139,122 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
+def query_errors(queries: DataFrame) -> DataFrame:
+    """query_id, error of queries that are no valid search: ``queries`` has query_id,
+    intent, query_text, start_at, end_at, limit, config_version."""
+    rules = {
+        "BLANK_TEXT": ~F.coalesce(F.col("query_text").rlike(r"(?U)\S"), F.lit(False)), "NUL_TEXT": F.contains("query_text", F.lit("\0")), "LONG_TEXT": F.char_length("query_text") > 4096,
+        "INTERVAL": F.col("end_at") < F.col("start_at"), "LIMIT": ~F.coalesce(F.col("limit").between(1, 50), F.lit(False)),
+        "INTENT": ~F.coalesce(F.col("intent").isin("SUPPORT", "CONTRADICT", "NEUTRAL"), F.lit(False)), "CONFIG": ~F.col("config_version").eqNullSafe("fts-v1"),
+    }
+    return queries.select("query_id", F.explode(F.array_compact(F.array(*(F.when(F.coalesce(r, F.lit(False)), n) for n, r in rules.items())))).alias("error"))
+
+
+def normalized_queries(queries: DataFrame) -> DataFrame:
+    """``queries`` with filter lists sorted and without repeats; null is no filter."""
+    lists = ("evidence_types", "document_types", "entity_ids")
+    return queries.withColumns({c: F.sort_array(F.array_distinct(F.coalesce(F.col(c), F.array().cast(queries.schema[c].dataType)))) for c in lists})
+
+
+def searchable(role: str, membership: DataFrame, evidence: DataFrame, sources: DataFrame, completions: DataFrame) -> DataFrame:
+    """investigation_id, id, observation, evidence_type, document_type of what a search
+    may find: pinned evidence of the very run it was pinned with (no run equals no
+    run), from an open source, reviewed, and of a completed unit or made without a
+    model. ``role`` is that of the reader; only the blind role may search.
+
+    ``membership`` has investigation_id, case_id, evidence_id, model_run_id; ``evidence``
+    has id, case_id, model_run_id, source_document_id, structural_unit_id,
+    review_status, extraction_method, type, observation; ``sources`` has id, case_id,
+    visibility, document_type; ``completions`` has structural_unit_id, model_run_id."""
+    if role != "blind":
+        raise PermissionError("a search needs the blind role")
+    m, e, s, c = membership.alias("m"), evidence.alias("e"), sources.alias("s"), completions.select("structural_unit_id", "model_run_id").distinct().alias("c")
+    eq = lambda a, b: F.col(a) == F.col(b)
+    rows = m.join(e, eq("m.evidence_id", "e.id") & eq("m.case_id", "e.case_id") & F.col("m.model_run_id").eqNullSafe(F.col("e.model_run_id")))
+    rows = rows.join(s, eq("s.id", "e.source_document_id") & eq("s.case_id", "e.case_id")).join(c, eq("c.structural_unit_id", "e.structural_unit_id") & eq("c.model_run_id", "e.model_run_id"), "left")
+    made = F.col("c.model_run_id").isNotNull() | (F.col("e.model_run_id").isNull() & F.col("e.extraction_method").isin("DETERMINISTIC", "HUMAN"))
+    open_ = (F.col("s.visibility") == "INVESTIGATION_EVIDENCE") & F.col("e.review_status").isin("NOT_REQUIRED", "ACCEPTED") & made
+    return rows.where(open_).select("m.investigation_id", "e.id", F.coalesce("e.observation", F.lit("")).alias("observation"), F.col("e.type").alias("evidence_type"), "s.document_type")
+
+
+def scored(rows: DataFrame) -> DataFrame:
+    """``rows`` (fts_score, entity_score and time_hit or null, evidence_type,
+    document_type and a query's filters) that pass the filters, with the component
+    scores, total_score and matched_filters. Filters that are empty neither boost nor
+    exclude."""
+    zero, one = (F.lit(x).cast("decimal(38,20)") for x in (0, 1))
+    some = lambda c: F.size(c) > 0
+    by_time = F.col("start_at").isNotNull() | F.col("end_at").isNotNull()
+    rows = rows.where(member_or_no_filter(F.col("evidence_types"), F.col("evidence_type")) & member_or_no_filter(F.col("document_types"), F.col("document_type")))
+    rows = rows.withColumns(
+        {"entity_score": F.coalesce("entity_score", zero), "time_score": F.when(F.coalesce("time_hit", F.lit(False)), one).otherwise(zero), "type_score": F.when(some("evidence_types") | some("document_types"), one).otherwise(zero)}
+    )
+    rows = rows.where((~some("entity_ids") | (F.col("entity_score") > 0)) & (~by_time | (F.col("time_score") > 0)))
+    filters = F.array_compact(F.array(F.when(some("evidence_types"), "evidence_type"), F.when(some("document_types"), "document_type"), F.when(some("entity_ids"), "entity"), F.when(by_time, "time")))
+    return rows.withColumns({"total_score": weighted_score({k: F.col(f"{k}_score") for k in FTS_WEIGHTS}), "matched_filters": filters})
+
+
+def ranked(rows: DataFrame, id_col: str) -> DataFrame:
+    """The first ``limit`` rows of each query by total, then by each component, then
+    by id, with their rank from 1."""
+    order = [F.desc(c) for c in ("total_score", "fts_score", "entity_score", "time_score", "type_score")]
+    return rows.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(*order, F.asc(id_col)))).where(F.col("rank") <= F.col("limit"))
+
+
 def search(index: DataFrame, docs: DataFrame, queries: DataFrame, id_col: str, config: str = "english", entity_links: DataFrame | None = None, time_links: DataFrame | None = None) -> DataFrame:
     """Ranked results of all queries: query_id, rank, id, the component scores,
     total_score, matched_filters.
 
-    ``docs`` (secured already) has id, evidence_type, document_type; ``queries`` has
-    query_id, query_text, evidence_types, document_types, entity_ids, start_at,
-    end_at, limit. Filters that are empty neither boost nor exclude."""
+    ``index`` holds rows of ``positions`` or ``hits``; ``docs`` (secured already) has
+    id, evidence_type, document_type; ``queries`` has query_id, query_text,
+    evidence_types, document_types, entity_ids, start_at, end_at, limit."""
+    queries = normalized_queries(queries)
     found = rank_matches(matches(index, query_terms(queries, config=config), id_col), id_col)
     q = queries.select("query_id", "evidence_types", "document_types", "entity_ids", "start_at", "end_at", "limit")
     rows = found.join(docs.select(id_col, "evidence_type", "document_type"), id_col).join(q, "query_id")
-    rows = rows.where(((F.size("evidence_types") == 0) | F.array_contains("evidence_types", F.col("evidence_type"))) & ((F.size("document_types") == 0) | F.array_contains("document_types", F.col("document_type"))))
-    zero = F.lit(0).cast("decimal(38,20)")
     if entity_links is not None:
         rows = rows.join(entity_scores(entity_links, queries.select("query_id", F.explode("entity_ids").alias("entity_id")), id_col), ["query_id", id_col], "left")
     else:
-        rows = rows.withColumn("entity_score", zero)
+        rows = rows.withColumn("entity_score", F.lit(None).cast("decimal(38,20)"))
     if time_links is not None:
         rows = rows.join(time_hits(time_links, queries, id_col).withColumn("time_hit", F.lit(True)), ["query_id", id_col], "left")
     else:
         rows = rows.withColumn("time_hit", F.lit(None).cast("boolean"))
-    by_entity, by_time = F.size("entity_ids") > 0, F.col("start_at").isNotNull() | F.col("end_at").isNotNull()
-    by_type = (F.size("evidence_types") > 0) | (F.size("document_types") > 0)
-    one = F.lit(1).cast("decimal(38,20)")
-    rows = rows.withColumns({"entity_score": F.coalesce("entity_score", zero), "time_score": F.when(F.col("time_hit"), one).otherwise(zero), "type_score": F.when(by_type, one).otherwise(zero)})
-    rows = rows.where((~by_entity | (F.col("entity_score") > 0)) & (~by_time | (F.col("time_score") > 0)))
-    filters = F.array_compact(F.array(F.when(F.size("evidence_types") > 0, "evidence_type"), F.when(F.size("document_types") > 0, "document_type"), F.when(by_entity, "entity"), F.when(by_time, "time")))
-    rows = rows.withColumns({"total_score": weighted_score({k: F.col(f"{k}_score") for k in FTS_WEIGHTS}), "matched_filters": filters})
-    order = [F.desc(c) for c in ("total_score", "fts_score", "entity_score", "time_score", "type_score")]
-    ranked = rows.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(*order, F.asc(id_col)))).where(F.col("rank") <= F.col("limit"))
-    return ranked.select("query_id", "rank", id_col, "fts_score", "entity_score", "time_score", "type_score", "total_score", "matched_filters")
+    return ranked(scored(rows), id_col).select("query_id", "rank", id_col, "fts_score", "entity_score", "time_score", "type_score", "total_score", "matched_filters")
+
+
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", block: int = 2048) -> DataFrame:
+    """query_id, id, cosine (rounded to six places), rank: the k nearest of all vectors
+    for each of ``queries`` (rows like ``vectors``'), ties by id.
+
+    Both sides are cut into blocks; each two blocks meet in one task as matrices, which
+    keeps k candidates a query, so what is merged is blocks times k."""
+    kind = vectors.schema[id_col].dataType.simpleString()
+
+    def blocks(rows: DataFrame, side: str) -> DataFrame:
+        n = rows.count()
+        number = F.pmod(F.xxhash64(id_col), F.lit(max(1, -(-n // block))))
+        return rows.groupBy(number.alias("b")).agg(F.collect_list(F.struct(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))).alias(side)).select(side)
+
+    pairs = blocks(vectors, "rows").crossJoin(blocks(queries, "asked"))  # a stated query set, block against block
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        unpack = lambda cell: (cell.values.field("id"), np.stack(cell.values.field("v").to_numpy(zero_copy_only=False)))
+        for b in batches:
+            for rows, asked in zip(b.column("rows"), b.column("asked"), strict=True):
+                (ids, x), (names, q) = unpack(rows), unpack(asked)
+                scores = np.round((q @ x.T) / np.sqrt(np.outer((q * q).sum(axis=1), (x * x).sum(axis=1))), 6)
+                order = np.asarray(ids.to_pylist())
+                best = np.stack([np.lexsort((order, -row))[:k] for row in scores])
+                width = best.shape[1]
+                flat = pa.array(best.ravel())
+                yield pa.record_batch([names.take(pa.array(np.repeat(np.arange(len(names)), width))), ids.take(flat), pa.array(np.take_along_axis(scores, best, axis=1).ravel())], ["query_id", id_col, "cosine"])
+
+    near = pairs.mapInArrow(run, f"query_id {kind}, `{id_col}` {kind}, cosine double")
+    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("cosine"), F.asc(id_col)))
+    return near.withColumn("rank", place).where(F.col("rank") <= k)
 
 
 def recall_parts(ranked: Column, expected: Column) -> tuple[Column, Column]:
@@ -147,16 +262,32 @@ def recall_parts(ranked: Column, expected: Column) -> tuple[Column, Column]:
     return F.size(F.array_intersect(F.array_distinct(F.slice(ranked, 1, 10)), expected)).cast("long"), F.size(F.array_distinct(expected)).cast("long")
 
 
-def recall_gate(samples: DataFrame, categories: int = 4, least: int = 12) -> DataFrame:
-    """One row: passed, and why it could not be judged (error). Means are exact
-    decimals of 20 places over sums of fractions with one denominator each."""
+def recall_gate(samples: DataFrame, categories: Sequence[str] = V.PROBE_CATEGORIES, least: int = 12) -> DataFrame:
+    """One row: passed, and why it could not be judged (error). Means are exact: gains
+    of one category and denominator are summed as integers, and those cells, of which
+    there are few, are added as fractions in one task."""
     up, down = recall_parts(F.col("hybrid"), F.col("expected"))
     base, _ = recall_parts(F.col("baseline"), F.col("expected"))
-    delta = ((up - base).cast("decimal(18,0)") / down).cast("decimal(38,20)")
-    each = samples.select("query_id", "category", delta.alias("delta"))
-    by = each.groupBy("category").agg(F.sum("delta").alias("s"), F.count("*").alias("n"), F.count_distinct("query_id").alias("ids"))
-    all_ = by.agg(F.sum("s").alias("s"), F.sum("n").alias("n"), F.count("*").alias("categories"), F.count_if(F.col("s") > 0).alias("up"), F.bool_and(F.col("s") * 20 + F.col("n") >= F.lit("-0.0000000001").cast("decimal(38,10)")).alias("none_worse"))
-    unique = each.agg(F.count_distinct("query_id").alias("ids"))
-    error = F.when(F.col("n") < least, "TOO_FEW").when(F.col("ids") < F.col("n"), "REPEATED_QUERY").when(F.col("categories") != categories, "CATEGORY_MISSING")
-    passed = (F.col("s") * 10 - F.col("n") >= F.lit("-0.0000000001").cast("decimal(38,10)")) & (F.col("up") >= 2) & F.col("none_worse")
-    return all_.crossJoin(unique).select(error.alias("error"), F.when(error.isNull(), passed).alias("passed"))  # one row each
+    cells = samples.groupBy("category", down.alias("down")).agg(F.sum(up - base).alias("gain"), F.count("*").alias("n"))
+    facts = samples.agg(F.count("*").alias("all"), F.count_distinct("query_id").alias("ids"), F.array_sort(F.collect_set("category")).alias("named"), F.count_if(F.size("expected") <= 0).alias("empty"))
+    names = F.array(*map(F.lit, sorted(categories)))
+    error = F.when(F.col("all") < least, "TOO_FEW").when(F.col("ids") < F.col("all"), "REPEATED_QUERY").when(F.col("named") != names, "CATEGORY_MISSING").when(F.col("empty") > 0, "NOTHING_EXPECTED")
+    judged = cells.agg(F.collect_list(F.struct("category", "down", "gain", "n")).alias("cells")).crossJoin(facts.select(error.alias("error")))  # one row each
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            verdicts = [None if e is not None else passes(c) for c, e in zip(b.column("cells").to_pylist(), b.column("error").to_pylist(), strict=True)]
+            yield pa.record_batch([b.column("error"), pa.array(verdicts, pa.bool_())], ["error", "passed"])
+
+    return judged.mapInArrow(run, "error string, passed boolean")
+
+
+def passes(cells: list[dict]) -> bool:
+    """The gate's three conditions on summed gains by category and denominator."""
+    gains: dict[str, Fraction] = {}
+    sizes: dict[str, int] = {}
+    for c in cells:
+        gains[c["category"]] = gains.get(c["category"], Fraction(0)) + Fraction(c["gain"], c["down"])
+        sizes[c["category"]] = sizes.get(c["category"], 0) + c["n"]
+    better = sum(g > 0 for g in gains.values())
+    return 10 * sum(gains.values()) >= sum(sizes.values()) and better >= 2 and all(20 * g >= -sizes[k] for k, g in gains.items())

@@ -50,6 +50,28 @@ def secured_by_source(role: str, rows: DataFrame, source_col: str, sources: Data
     return rows.join(visible, source_col, "left_semi")
 
 
+#: States of a case in which a role may read its investigation's tables, and write them.
+CASE_READS = {"blind": ("BLIND", "LOCKED"), "evaluation": ("LOCKED", "REVEALED")}
+CASE_WRITES = {"blind": ("BLIND",)}
+
+
+def secured_case_rows(role: str, rows: DataFrame, cases: DataFrame, locks: DataFrame, write: bool = False) -> DataFrame:
+    """Rows (with case_id) of investigation, event and job tables that a role may read,
+    or write; evaluation needs the case's lock too. Other roles see none."""
+    states = (CASE_WRITES if write else CASE_READS).get(role, ())
+    allowed = cases.where(F.col("state").isin(*states)) if states else cases.where("false")
+    visible = rows.join(allowed.select(F.col("id").alias("case_id")).distinct(), "case_id", "left_semi")
+    return visible.join(locks.select("case_id").distinct(), "case_id", "left_semi") if role == "evaluation" else visible
+
+
+def secured_candidates(role: str, candidates: DataFrame, evidence: DataFrame, cases: DataFrame, locks: DataFrame) -> DataFrame:
+    """Candidates (id, case_id, evidence_ids) of readable cases whose evidence the role
+    can see, all of it; ``evidence`` has the visible ids."""
+    rows = secured_case_rows(role, candidates, cases, locks)
+    hidden = rows.select("id", F.explode("evidence_ids").alias("evidence_id")).join(evidence.select(F.col("id").alias("evidence_id")).distinct(), "evidence_id", "left_anti")
+    return rows.join(hidden.select("id").distinct(), "id", "left_anti")
+
+
 def read_with_audit(rows: DataFrame, visible: DataFrame, id_col: str, case_id: Column, occurred_at: Column) -> tuple[DataFrame, DataFrame]:
     """What a blind reader gets of ``rows``, and one audit row per requested row:
     a read that was allowed, or a denial."""

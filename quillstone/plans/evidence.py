@@ -241,11 +241,6 @@ def counter_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.counter_report(table(spark, sf_dir, "events"), "event_type")
 
 
-@query("SELECT p_brand, min(p_partkey) AS storage FROM part GROUP BY p_brand")
-def blob_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").groupBy("p_brand").agg(F.min("p_partkey").alias("storage"))
-
-
 @query(
     """SELECT o_custkey, o_orderkey, o_orderstatus FROM (
         SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders WHERE o_orderkey % 3 = 0) WHERE rn = 1
@@ -277,23 +272,6 @@ def span_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.ancestors(spans)
 
 
-def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return structure.text_blocks(table(spark, sf_dir, "pages"), "page_id", "html")
-
-
-@query()
-def html_text_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _blocks(spark, sf_dir)
-
-
-@query("SELECT count(*) AS pages, 0::BIGINT AS mismatches FROM pages")
-def locator_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages")
-    checked = _blocks(spark, sf_dir).join(pages, "page_id").select("page_id", (~structure.resolve_text(F.col("html"), F.col("start"), F.col("end")).eqNullSafe(F.col("text"))).cast("long").alias("bad"))
-    by_page = checked.groupBy("page_id").agg(F.sum("bad").alias("bad"))
-    return pages.select("page_id").join(by_page, "page_id", "left").agg(F.count("*").alias("pages"), F.coalesce(F.sum("bad"), F.lit(0)).alias("mismatches"))
-
-
 @query(
     """SELECT kind, count(*) AS n FROM (SELECT CASE WHEN octet_length(encode(html)) < 4000 AND page_id % 10 >= 6 AND page_id % 3 <> 0 THEN 'SCAN_LIKE' ELSE 'DIGITAL' END AS kind FROM pages) GROUP BY kind"""
 )
@@ -308,9 +286,3 @@ def document_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("p_partkey") % 4
     raw = F.when(i == 0, " factual report").when(i == 1, "Final-Report").when(i == 2, F.col("p_name"))
     return table(spark, sf_dir, "part").groupBy(structure.document_type(raw).alias("document_type")).agg(F.count("*").alias("n"))
-
-
-@query()
-def media_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages")
-    return p.groupBy(structure.media_type(F.col("html").cast("binary")).alias("media_type")).agg(F.count("*").alias("n"))

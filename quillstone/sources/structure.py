@@ -121,18 +121,6 @@ def resolve_text(text: Column, start: Column, end: Column) -> Column:
     return F.when((start >= 0) & (end <= F.char_length(text)) & (start <= end), F.substring(text, start + 1, end - start))
 
 
-def resolve_blocks(units: DataFrame, locators: DataFrame) -> DataFrame:
-    """locator_id, text: page blocks by page and reading order, else paragraph, else
-    section, joined by newlines; null if nothing fits. ``units`` has document_id,
-    page, reading_order, paragraph_index, section, text."""
-    l = locators.alias("l")
-    u = units.alias("u")
-    by = F.when(F.col("l.reading_order").isNotNull(), F.col("u.reading_order") == F.col("l.reading_order")).when(F.col("l.paragraph_index").isNotNull(), F.col("u.paragraph_index") == F.col("l.paragraph_index")).otherwise(True)
-    on = (F.col("u.document_id") == F.col("l.document_id")) & (F.col("u.page") == F.col("l.page")) & by & (F.col("l.section").isNull() | (F.col("u.section") == F.col("l.section")))
-    joined = l.join(u, on, "left").groupBy("l.locator_id").agg(F.array_sort(F.collect_list(F.when(F.col("u.text").isNotNull(), F.struct("u.reading_order", "u.text")))).alias("t"))
-    return joined.select("locator_id", F.when(F.size("t") > 0, F.array_join(F.transform("t", lambda x: x["text"]), "\n")).alias("text"))
-
-
 def page_units(text_units: DataFrame, pages: DataFrame) -> DataFrame:
     """document_id, ordinal, kind, page, checksum: text blocks in order, then one
     image per scan-like page, ordinals going on."""

@@ -5,16 +5,21 @@ from __future__ import annotations
 import csv
 import io
 import json
+import re
 import zipfile
 from collections.abc import Iterator
+from datetime import datetime, timedelta
 from xml.etree import ElementTree
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from quillstone.functions.udf import vectorized
+
 ROWS_PER_GROUP = 50
 _XL = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "r": "http://schemas.openxmlformats.org/officeDocument/2006/relationships"}
 
@@ -32,6 +37,53 @@ def read_manifest(spark: SparkSession, path: str, schema: StructType) -> DataFra
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 
+def parse_manifest(path: str, content: bytes) -> object:
+    """A manifest by its suffix; an unknown one is an error, as are repeated keys."""
+    suffix = path.rpartition(".")[2].lower()
+
+    def once(pairs: list[tuple[str, object]]) -> dict:
+        if len(dict(pairs)) < len(pairs):
+            raise ValueError("a key is repeated")
+        return dict(pairs)
+
+    if suffix == "json":
+        return json.loads(content, object_pairs_hook=once)
+    if suffix in ("yaml", "yml"):
+        try:
+            import yaml
+        except ImportError as e:
+            raise ValueError("YAML manifests need PyYAML") from e
+        try:
+            return yaml.safe_load(content)
+        except yaml.YAMLError as e:
+            raise ValueError(f"invalid YAML: {e}") from e
+    raise ValueError(f"unsupported manifest suffix: {suffix}")
+
+
+def read_manifests(files: DataFrame, schema: str) -> DataFrame:
+    """path, manifest (of ``schema``), error of ``binaryFile`` rows of JSON or YAML
+    manifests; fields beyond the schema, or of other types, are an error."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, errors = [], []
+            for path, content in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
+                try:
+                    found, error = json.dumps(parse_manifest(path, content.as_py() or b""), sort_keys=True, default=str), None
+                except ValueError as e:
+                    found, error = None, str(e)
+                texts.append(found)
+                errors.append(error)
+            yield pa.record_batch([b.column("path"), pa.array(texts, pa.string()), pa.array(errors, pa.string())], ["path", "text", "error"])
+
+    rows = files.select("path", "content").mapInArrow(run, "path string, text string, error string")
+    found = F.from_json("text", schema, {"mode": "PERMISSIVE"})
+    names = F.array(*(F.lit(f.name) for f in rows.select(found.alias("m")).schema["m"].dataType.fields))
+    extra = F.size(F.array_except(F.json_object_keys("text"), names)) > 0
+    error = F.when(F.col("error").isNotNull(), F.col("error")).when(F.json_object_keys("text").isNull(), "a manifest is an object").when(extra, "unknown fields")
+    return rows.select("path", F.when(error.isNull(), found).alias("manifest"), error.alias("error"))
+
+
 def _column_number(cell: str) -> int:
     n = 0
     for ch in cell:
@@ -41,6 +93,30 @@ def _column_number(cell: str) -> int:
     return n - 1
 
 
+#: Numbers of built-in date formats; day zero of serial dates.
+DATE_FORMATS = frozenset((*range(14, 23), *range(45, 48)))
+DAY_ZERO = datetime(1899, 12, 30)
+
+
+def _dated_styles(styles: bytes) -> list[bool]:
+    """For each cell style, whether its number format is one of dates or times."""
+    root = ElementTree.fromstring(styles)
+    own = {int(f.get("numFmtId")): re.sub(r'"[^"]*"|\\.|\[[^\]]*\]', "", f.get("formatCode", "")) for f in root.iter(f"{{{_XL['m']}}}numFmt")}
+    cells = root.find("m:cellXfs", _XL)
+    ids = [int(x.get("numFmtId") or 0) for x in cells] if cells is not None else []
+    return [i in DATE_FORMATS or bool(re.search("[dmyhs]", own.get(i, ""), re.I)) for i in ids]
+
+
+def _number_text(value: str, is_date: bool) -> str:
+    """A number as text: dates by the calendar, whole numbers of text like 1.0 or 1E3
+    with one zero after the point, others as they are."""
+    if is_date:
+        moment = DAY_ZERO + timedelta(days=float(value))
+        moment = (moment + timedelta(microseconds=500)).replace(microsecond=moment.microsecond // 1000 * 1000) if moment.microsecond % 1000 else moment
+        return str(moment.date()) if moment.time() == datetime.min.time() else str(moment)
+    return value if re.fullmatch("-?[0-9]+", value) else repr(float(value))
+
+
 def read_sheets(data: bytes) -> list[tuple[str, list[str], list[list[str]]]]:
     """(sheet, columns, rows) of an XLSX file or of UTF-8 CSV bytes; all values are
     text and an empty cell is ''. An empty CSV is an error."""
@@ -54,6 +130,7 @@ def read_sheets(data: bytes) -> list[tuple[str, list[str], list[list[str]]]]:
         shared = []
         if "xl/sharedStrings.xml" in names:
             shared = ["".join(t.text or "" for t in si.iter(f"{{{_XL['m']}}}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).findall("m:si", _XL)]
+        dated = _dated_styles(z.read("xl/styles.xml")) if "xl/styles.xml" in names else []
         rels = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
         out = []
         for sheet in ElementTree.fromstring(z.read("xl/workbook.xml")).find("m:sheets", _XL):
@@ -64,7 +141,11 @@ def read_sheets(data: bytes) -> list[tuple[str, list[str], list[list[str]]]]:
                 cells: dict[int, str] = {}
                 for i, c in enumerate(row.findall("m:c", _XL)):
                     value = c.findtext("m:v", "", _XL)
-                    if c.get("t") == "s" and value:
+                    if c.get("t") == "b":
+                        value = {"1": "True", "0": "False"}.get(value, value)
+                    elif c.get("t") in (None, "n") and value:
+                        value = _number_text(value, dated[int(c.get("s") or 0)] if int(c.get("s") or 0) < len(dated) else False)
+                    elif c.get("t") == "s" and value:
                         value = shared[int(value)]
                     elif c.get("t") == "inlineStr":
                         value = "".join(t.text or "" for t in c.iter(f"{{{_XL['m']}}}t"))
@@ -111,11 +192,14 @@ def row_group_units(rows: DataFrame, size: int = ROWS_PER_GROUP) -> DataFrame:
         F.transform(F.array_sort(F.collect_list(F.struct("row_no", "row"))), lambda x: x["row"]).alias("rows"), (F.min("row_no") + 1).alias("row"), (F.max("row_no") + 1).alias("row_end")
     )
 
-    @F.udf("string")  # one call a group of rows
-    def payload(columns: list[str], rows_: list[list[str]], sheet: str) -> str:
-        return json.dumps({"columns": columns, "rows": rows_, "sheet": sheet}, sort_keys=True, separators=(",", ":"))
+    return grouped.withColumn("content_checksum", F.sha2(_payload("columns", "rows", "sheet"), 256))
+
 
-    return grouped.withColumn("content_checksum", F.sha2(payload("columns", "rows", "sheet"), 256))
+@vectorized("string")
+def _payload(columns: pd.Series, rows: pd.Series, sheets: pd.Series) -> pd.Series:
+    """Compact JSON with sorted keys, ASCII only."""
+    text = lambda c, r, s: json.dumps({"columns": list(c), "rows": [list(x) for x in r], "sheet": s}, sort_keys=True, separators=(",", ":"))
+    return pd.Series([text(*x) for x in zip(columns, rows, sheets, strict=True)], dtype=object)
 
 
 def resolve_rows(rows: DataFrame, sheet: str, columns: list[str], row: int, row_end: int | None = None) -> DataFrame:
@@ -178,8 +262,17 @@ def blobs(files: DataFrame, content: str = "content") -> DataFrame:
     return keyed.select("checksum", blob_path(F.col("checksum")).alias("path"), F.octet_length(content).cast("long").alias("size"), F.col(content).alias("content"))
 
 
+def blob_errors(files: DataFrame, content: str = "content", expected: str = "expected_checksum") -> DataFrame:
+    """Files whose content is not what their expected checksum (null: any) says."""
+    own = F.sha2(content, 256)
+    return files.where(F.col(expected).isNotNull() & ~own.eqNullSafe(F.col(expected))).withColumn("checksum", own)
+
+
 def put_blobs(files: DataFrame, folder: str) -> None:
-    """Add contents that the folder lacks, partitioned by the checksum's prefix."""
+    """Add contents that the folder lacks, partitioned by the checksum's prefix; a
+    file with an expected_checksum that its content has not is an error."""
+    if "expected_checksum" in files.columns and not blob_errors(files).isEmpty():
+        raise ValueError("content does not match its expected checksum")
     new, spark = blobs(files), files.sparkSession
     try:
         have = spark.read.parquet(folder).select("checksum")
