@@ -7,6 +7,8 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cache
 from pathlib import Path
 
@@ -69,16 +71,28 @@ def keep_until_exit(spark: SparkSession, path: str) -> str:
     return path
 
 
+#: Lets Spark delete an execution's shuffle files at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def durable(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: lineage
-    ends there, and a lost executor costs no recomputation. The table lasts until
-    ``discard`` or the end of the application."""
+    ends there, and a lost executor costs no recomputation. What was shuffled for it
+    is deleted at once. The table lasts until ``discard``, the end of a ``scratch``
+    that it was made in, or the end of the application."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillstone-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     keep_until_exit(spark, path)
     found = spark.read.schema(df.schema).parquet(path)
     found._durable_path = path
+    if _scopes:
+        _scopes[-1].tables.append(found)
     return found
 
 
@@ -88,6 +102,36 @@ def discard(df: DataFrame) -> None:
     files.delete(place, True)
 
 
+class Scratch:
+    """Tables of ``durable`` that end with a block."""
+
+    def __init__(self) -> None:
+        self.tables: list[DataFrame] = []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """Let ``df`` outlive the block."""
+        self.tables = [t for t in self.tables if t is not df]
+        if len(_scopes) > 1:
+            _scopes[-2].tables.append(df)
+        return df
+
+
+_scopes: list[Scratch] = []
+
+
+@contextmanager
+def scratch() -> Iterator[Scratch]:
+    """A block whose durable tables are deleted at its end, but for those it keeps."""
+    scope = Scratch()
+    _scopes.append(scope)
+    try:
+        yield scope
+    finally:
+        _scopes.remove(scope)
+        for df in scope.tables:
+            discard(df)
+
+
 def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``df`` with a broadcast hint if its rows and the bytes of its values are
     within the bounds, else ``df`` as it is, so that the join shuffles. ``df`` is

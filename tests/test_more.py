@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillstone.operators import audit, events, falsification, integrity, jobs, promotion, relational, visibility
-from quillstone.sources import structure, tables
+from quillstone.sources import locators, structure, tables
 from tests.test_operators import CUTOFF, rows
 
 
@@ -91,9 +91,13 @@ def test_jobs(spark):
 
 
 def test_pages_and_images(spark):
-    units = spark.createDataFrame([("d", 1, 2, 0, "s", "second"), ("d", 1, 1, 0, "s", "first"), ("d", 2, 3, 1, None, "third")], "document_id string, page int, reading_order int, paragraph_index int, section string, text string")
-    loc = spark.createDataFrame([("page", "d", 1, None, None, None), ("order", "d", 1, 2, None, None), ("paragraph", "d", 1, None, 0, "s"), ("none", "d", 9, None, None, None)], "locator_id string, document_id string, page int, reading_order int, paragraph_index int, section string")
-    assert dict(rows(structure.resolve_blocks(units, loc))) == {"page": "first\nsecond", "order": "second", "paragraph": "first\nsecond", "none": None}
+    box = lambda x: (x, x, x + 0.1, x + 0.1)
+    units = spark.createDataFrame([("d", 1, 2, "s", box(0.5), "second"), ("d", 1, 1, "s", box(0.1), "first"), ("d", 2, 3, None, box(0.1), "third")], "document_id string, page int, reading_order int, section string, bounding_box struct<x1:double,y1:double,x2:double,y2:double>, text string")
+    asked = {"page": {}, "order": {"reading_order": 2}, "paragraph": {"paragraph": 1, "section": "s"}, "box": {"bounding_box": {"x1": 0.5, "y1": 0.5, "x2": 0.6, "y2": 0.6}}, "none": {"paragraph": 3}, "no section": {"section": "t"}}
+    loc = spark.createDataFrame([(k, "d", json.dumps({"kind": "pdf", "page": 1, **v})) for k, v in asked.items()], "locator_id string, document_id string, locator string")
+    got = {r.locator_id: (r.text, r.error) for r in locators.resolve_pages(units, loc).collect()}
+    lost = (None, "PDF locator does not resolve to extracted text")
+    assert got == {"page": ("first\nsecond", None), "order": ("second", None), "paragraph": ("first", None), "box": ("second", None), "none": lost, "no section": lost}
     pages = spark.createDataFrame([("d", 1, 10.0, 10.0), ("d", 2, 10.0, 10.0)], "document_id string, page int, width double, height double")
     pics = spark.createDataFrame([("d", 1, 0.0, 5.0, 10.0, 0.0), ("d", 1, 0.0, 10.0, 10.0, 0.0)], "document_id string, page int, l double, r double, t double, b double")
     assert rows(structure.picture_coverage(pics, pages)) == [("d", 1, 1.0), ("d", 2, 0.0)]
@@ -117,3 +121,64 @@ def test_set_digest_is_in_key_order(spark):
 
     df = spark.createDataFrame([("g", 2, "b"), ("g", 1, "a"), ("g", 10, "c")], "g string, k int, t string")
     assert rows(events.set_digest(df, "g", "k", F.col("t"))) == [("g", 3, hashlib.sha256(b"[a, b, c]").hexdigest())]
+
+
+def png_of(pixels, colour, filters):
+    """A PNG of 8 bits a sample, each line under one of the five filters."""
+    height, width, step = pixels.shape
+    raw, above = b"", [0] * (width * step)
+    for y in range(height):
+        line = pixels[y].ravel().tolist()
+        left = lambda x: line[x - step] if x >= step else 0
+        corner = lambda x: above[x - step] if x >= step else 0
+
+        def paeth(x):
+            a, b, c = left(x), above[x], corner(x)
+            return min((abs(b - c), 0, a), (abs(a - c), 1, b), (abs(a + b - 2 * c), 2, c))[2]
+
+        guess = {0: lambda x: 0, 1: left, 2: lambda x: above[x], 3: lambda x: (left(x) + above[x]) // 2, 4: paeth}[filters[y % len(filters)]]
+        raw += bytes([filters[y % len(filters)], *((v - guess(x)) % 256 for x, v in enumerate(line))])
+        above = line
+    chunk = lambda name, body: struct.pack(">I", len(body)) + name + body + struct.pack(">I", zlib.crc32(name + body))
+    return locators.PNG + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, colour, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+
+
+def test_image_crops(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for colour, step in locators.CHANNELS.items():
+        pixels = rng.integers(0, 256, (7, 9, step), dtype=np.uint8)
+        whole = png_of(pixels, colour, [0, 1, 2, 3, 4])
+        assert locators.crop_png(whole, 2, 1, 6, 7) == locators.crop_png(png_of(pixels[1:7, 2:6], colour, [4, 3]), 0, 0, 4, 6)
+        beyond = np.zeros((4, 4, step), np.uint8)
+        beyond[:2, :3] = pixels[5:, 6:]
+        assert locators.crop_png(whole, 6, 5, 10, 9) == locators.crop_png(png_of(beyond, colour, [0]), 0, 0, 4, 4)
+    image = png_of(pixels, 6, [2])
+    at = lambda **k: json.dumps({"kind": "image", "width": 9, "height": 7, **k})
+    data = [(1, image, at()), (2, image, at(region={"x1": 1.4, "y1": 0.6, "x2": 3.5, "y2": 2.5})), (3, image, at(width=8)), (4, b"no", at()), (5, image[:40], at(region={"x1": 0, "y1": 0, "x2": 1, "y2": 1})), (6, b"x", '{"kind": "video"}'), (7, b"\xff", '{"kind": "text", "start": 0, "end": 0}')]
+    got = {r.locator_id: (r.media_type, r.content and bytes(r.content), r.error) for r in locators.resolve(spark.createDataFrame(data, "locator_id int, content binary, locator string")).collect()}
+    assert got[1] == ("image/png", image, None) and got[2] == ("image/png", locators.crop_png(image, 1, 1, 4, 2), None)
+    assert [got[i][2] for i in range(3, 8)] == ["image dimensions do not match locator", "image source cannot be decoded", "image source cannot be decoded", "no locator adapter supports this locator", "text source is not UTF-8"]
+
+
+def test_typed_cells():
+    sheet = """<?xml version="1.0"?><worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>
+        <row r="1"><c r="A1" t="inlineStr"><is><t>a</t></is></c><c r="B1" t="inlineStr"><is><t>b</t></is></c><c r="C1" t="inlineStr"><is><t>c</t></is></c></row>
+        <row r="2"><c r="A2" s="1"><v>45292</v></c><c r="B2" t="b"><v>1</v></c><c r="C2"><v>1.50</v></c></row><row r="3"><c r="A3" s="2"><v>45292.5</v></c><c r="B3" t="b"><v>0</v></c><c r="C3"><v>7</v></c></row></sheetData></worksheet>"""
+    styles = """<styleSheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><numFmts><numFmt numFmtId="170" formatCode="yyyy\\-mm\\-dd hh:mm"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="170"/></cellXfs></styleSheet>"""
+    book = """<workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="S" r:id="r1"/></sheets></workbook>"""
+    rels = '<Relationships><Relationship Id="r1" Target="worksheets/sheet1.xml"/></Relationships>'
+    import io
+    import zipfile
+
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        for name, text in (("xl/workbook.xml", book), ("xl/_rels/workbook.xml.rels", rels), ("xl/worksheets/sheet1.xml", sheet), ("xl/styles.xml", styles)):
+            z.writestr(name, text)
+    assert tables.read_sheets(data.getvalue()) == [("S", ["a", "b", "c"], [["2024-01-01", "True", "1.5"], ["2024-01-01 12:00:00", "False", "7"]])]
+
+
+def test_sniffing():
+    cases = {b"": None, b"\xff\xfe": None, b"a\x00": None, b"PK\x03\x04": None, b" <HTML>": "HTML", b"<!DOCTYPE html>": "HTML", b"a,b\n1,2\n": "CSV", b"a|b|c\n\n1|2|3": "CSV", b'a,"b,c"\n1,2\n': "CSV", b"a,b\n1\n": "TEXT", b"a,b": "TEXT", b"words": "TEXT"}
+    assert {k: structure.sniff(k) for k in cases} == cases

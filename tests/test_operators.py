@@ -377,11 +377,99 @@ def test_weighted_scores(spark):
 @pytest.mark.parametrize(("hits", "base", "passed"), [((10, 9, 5, 4), 5, True), ((9, 9, 5, 4), 5, False), ((10, 0, 0, 0), 0, False), ((10, 10, 7, 3), 5, False)])
 def test_recall_gate(spark, hits, base, passed):
     ids = [f"e{i}" for i in range(20)]
-    data = [(f"q{i}", c, ids, ids[:base], ids[: hits[i % 4]]) for i, c in enumerate(["A", "B", "C", "D"] * 3)]
+    data = [(f"q{i}", c, ids, ids[:base], ids[: hits[i % 4]]) for i, c in enumerate(vocabulary.PROBE_CATEGORIES * 3)]
     r = retrieval.recall_gate(spark.createDataFrame(data, "query_id string, category string, expected array<string>, baseline array<string>, hybrid array<string>")).first()
     assert r.error is None and r.passed is passed
 
 
+def test_recall_gate_is_exact(spark):
+    schema = "query_id string, category string, expected array<string>, baseline array<string>, hybrid array<string>"
+
+    def judged(*gains, names=vocabulary.PROBE_CATEGORIES):
+        """Three samples a category, of denominators 3, 7 and 11, with these gains."""
+        data = []
+        for c, own in zip(names, gains, strict=True):
+            for i, (n, g) in enumerate(zip((3, 7, 11), own, strict=True)):
+                ids = [f"e{x}" for x in range(n)]
+                data.append((f"{c}{i}", c, ids, ids[: max(0, -g)], ids[: max(0, g)]))
+        return retrieval.recall_gate(spark.createDataFrame(data, schema)).first()
+
+    from fractions import Fraction
+
+    for gains in [((1, 1, 1), (0, 1, 0), (0, 0, 0), (0, 0, 0)), ((1, 0, 0), (0, 2, 1), (1, 0, 0), (0, 0, -1)), ((2, 1, 1), (1, 0, 0), (0, 0, -2), (0, 0, 0)), ((0, 0, 1), (0, 0, 1), (0, 0, 1), (0, 0, 1))]:
+        each = [sum(Fraction(g, n) for g, n in zip(own, (3, 7, 11), strict=True)) for own in gains]
+        want = sum(each) / 12 >= Fraction(1, 10) and sum(g > 0 for g in each) >= 2 and all(g / 3 >= -Fraction(1, 20) for g in each)
+        assert judged(*gains)[:] == (None, want), gains
+    assert judged(*[(1, 1, 1)] * 4, names=("A", "B", "C", "D")).error == "CATEGORY_MISSING"
+
+
+def test_search_query_rules_and_guard(spark):
+    schema = "query_id int, intent string, query_text string, start_at timestamp, end_at timestamp, limit int, config_version string"
+    q = spark.createDataFrame([(1, "SUPPORT", "x", None, None, 50, "fts-v1"), (2, "X", " ", CUTOFF, CUTOFF.replace(year=2000), 51, "v2"), (3, "NEUTRAL", "a\0b", None, CUTOFF, 0, "fts-v1"), (4, "NEUTRAL", "y" * 4097, None, None, 1, "fts-v1")], schema)
+    assert rows(retrieval.query_errors(q)) == [(2, "BLANK_TEXT"), (2, "CONFIG"), (2, "INTENT"), (2, "INTERVAL"), (2, "LIMIT"), (3, "LIMIT"), (3, "NUL_TEXT"), (4, "LONG_TEXT")]
+    with pytest.raises(PermissionError):
+        retrieval.searchable("evaluation", q, q, q, q)
+    lists = spark.createDataFrame([(["b", "a", "b"], None, [2, 1])], "evidence_types array<string>, document_types array<string>, entity_ids array<long>")
+    assert retrieval.normalized_queries(lists).first()[:] == (["a", "b"], [], [1, 2])
+
+
+@pytest.mark.parametrize("config", ["simple", "english"])
+def test_hits_are_the_positions_of_the_terms(spark, config):
+    docs = spark.createDataFrame([(1, "Engine engines powering the power"), (2, "the weather"), (3, None)], "doc_id long, text string")
+    terms = retrieval.query_terms(spark.createDataFrame([(1, "the engine power"), (2, "weather")], "query_id long, query_text string"), config=config)
+    whole = retrieval.positions(docs, "doc_id", "text", config).join(terms.select("term").distinct(), "term", "left_semi")
+    assert rows(retrieval.hits(docs, terms, "doc_id", "text", config), "doc_id", "term", "position") == rows(whole, "doc_id", "term", "position") != []
+
+
+def test_nearest_in_blocks(spark):
+    import random
+
+    rng = random.Random(4)
+    data = [(i, [rng.choice([-1.0, 0.5, 1.0]) for _ in range(4)]) for i in range(200)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    cos = lambda a, b: round(sum(x * y for x, y in zip(a, b, strict=True)) / (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5, 6)
+    want = sorted((q, i, r) for q, v in data if q % 50 == 0 for r, (i, _) in enumerate(sorted(((i, cos(v, w)) for i, w in data), key=lambda x: (-x[1], x[0]))[:7], 1))
+    for block in (2048, 16):
+        assert rows(retrieval.nearest(df.where("vec_id % 50 = 0"), df, 7, block=block), "query_id", "vec_id", "rank") == want
+
+
+def test_time_hits_in_buckets(spark):
+    import random
+    from datetime import timedelta
+
+    rng = random.Random(5)
+    at = [CUTOFF + timedelta(hours=rng.choice([0, 0, 0, 1, 5, rng.randrange(999)])) for _ in range(300)]
+    links = spark.createDataFrame([(i, t if i % 9 else None) for i, t in enumerate(at)], "id long, occurred_at timestamp")
+    spans = [(q, CUTOFF + timedelta(hours=rng.randrange(1000)) if q % 4 else None, CUTOFF + timedelta(hours=rng.randrange(1000)) if q % 3 else None) for q in range(40)]
+    windows = spark.createDataFrame([*spans, (99, CUTOFF, CUTOFF)], "query_id long, start_at timestamp, end_at timestamp")
+    want = sorted((q, i) for q, a, b in [*spans, (99, CUTOFF, CUTOFF)] for i, t in enumerate(at) if (a or b) and i % 9 and (a is None or t >= a) and (b is None or t <= b))
+    for n in (256, 4):
+        assert rows(retrieval.time_hits(links, windows, "id", n), "query_id", "id") == want
+    assert retrieval.time_hits(links.where("false"), windows, "id").count() == 0
+
+
+def test_deep_trees_and_cycles(spark):
+    chain = spark.range(300).select(F.col("id"), F.when(F.col("id") > 0, F.col("id") - 1).alias("parent_span_id"))
+    assert rows(relational.ancestors(chain)) == [(i, 0, i) for i in range(300)]
+    with pytest.raises(ValueError):
+        relational.ancestors(spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "id long, parent_span_id long"))
+
+
+def test_scratch_tables_end(spark):
+    import os
+
+    from quillstone.functions.storage import durable, scratch
+
+    path = lambda df: df._durable_path
+    with scratch() as outer:
+        with scratch() as inner:
+            a, b = durable(spark.range(3), "a"), inner.keep(durable(spark.range(4), "b"))
+            assert os.path.exists(path(a))
+        assert not os.path.exists(path(a)) and b.count() == 4
+        c = outer.keep(durable(spark.range(5), "c"))
+    assert not os.path.exists(path(b)) and c.count() == 5
+
+
 def test_integrity(spark):
     h = spark.createDataFrame([("c", 1, "ACQUIRING", None), ("c", 2, "BLIND", CUTOFF), ("c", 3, "REVEALED", CUTOFF), ("d", 1, "LOCKED", CUTOFF), ("d", 2, "LOCKED", None)], "id string, n int, state string, evidence_cutoff timestamp")
     assert rows(integrity.illegal_transitions(h, ["id"], [F.col("n")], "state"), "id", "n") == [("c", 3)]
