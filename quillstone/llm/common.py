@@ -9,9 +9,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.functions.storage import BROADCAST_ROWS, discard, durable, keep_until_exit, shared_dir, ship, sized_broadcast
+from quillstone.functions.storage import BROADCAST_ROWS, discard, durable, keep_until_exit, scratch, shared_dir, ship, sized_broadcast
 
-__all__ = ["BROADCAST_ROWS", "discard", "durable", "fresh", "keep_until_exit", "map_arrow", "quoted", "release_memory", "shared_dir", "ship", "sized_broadcast", "slices", "table", "texts_of", "without"]
+__all__ = ["BROADCAST_ROWS", "discard", "durable", "fresh", "keep_until_exit", "map_arrow", "quoted", "release_memory", "scratch", "shared_dir", "ship", "sized_broadcast", "slices", "table", "texts_of", "without"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -18,7 +18,8 @@ One trusted document of ``HELD_OUT``, by a hash of its id, is left out of the co
 and sets the limits: the mean bits a symbol in its language, and the ``quantile`` of
 how far documents exceed that mean. Excess is the sum of bits above the mean over the
 root of the symbols, whose spread does not depend on a text's length. A document is
-accepted up to that limit; a language without held-out documents takes the mean and
+accepted up to that limit, and up to ``DEVIATIONS`` standard deviations, as a quantile
+of few documents says little; a language without held-out documents takes the mean and
 limit of all of them.
 
 Cases: a text without words (null, empty, white space) has no perplexity and is
@@ -33,22 +34,27 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import durable, map_arrow, quoted, release_memory, ship, sized_broadcast, slices, texts_of, without
+from quillstone.llm.common import durable, map_arrow, quoted, release_memory, scratch, ship, sized_broadcast, slices, texts_of, without
 
 ORDER = 4
 BEGIN, END = "\x02", "\x03"
 SCALE = 1 << 16
 #: Text that a chunk holds, and the least worth a chunk of its own.
 CHUNK_BYTES, LEAST_BYTES = 16 << 20, 1 << 20
-QUANTILE, HELD_OUT = 0.997, 10
+QUANTILE, DEVIATIONS, HELD_OUT = 0.997, 4, 10
+#: Thousandths of excess in a band of the histogram.
+BAND = 500
 #: The classes of words are single characters from this one on.
 CLASSES = 0xE000
+#: Text that is split into words at once.
+SLICE_BYTES = 2 << 20
 #: Grams that a task holds before it sends partial counts on.
 HELD_GRAMS = 1_000_000
 
@@ -71,62 +77,143 @@ def word_class(word: str) -> int:
     return 2 * ((kind * 3 + end) * 3 + (0 if len(word) < 4 else 1 if len(word) < 9 else 2))
 
 
-def class_text(words: list[str], known: dict[str, str]) -> str:
-    """The classes of words in order; ``known`` remembers those of word forms."""
-    for w in set(words).difference(known):
-        known[w] = chr(CLASSES + word_class(w))
-    text = "".join(map(known.__getitem__, words))
-    again = [i for i in range(1, len(words)) if words[i] == words[i - 1] or (i > 1 and words[i] == words[i - 2])]
-    if again:
-        marked = list(text)
-        for i in again:
-            marked[i] = chr(ord(marked[i]) + 1)
-        text = "".join(marked)
-    return text
-
-
-def class_grams(text: str, order: int = ORDER) -> list[str]:
-    """The gram that ends at each class; of no classes, none."""
-    padded = BEGIN * (order - 1) + text
-    return [padded[i : i + order] for i in range(len(text))]
+def _starts(ends: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.zeros(1, np.int64), ends])[:-1]
+
+
+class Lexicon(dict):
+    """Numbers of the word forms of a task, given as they appear."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.forms: list[str] = []
+        self.classes = np.zeros(0, np.int64)
+
+    def __missing__(self, form: str) -> int:
+        self[form] = number = len(self.forms)
+        self.forms.append(form)
+        return number
+
+    def read(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The texts' words as numbers, one after another, and where each text ends."""
+        words: list[str] = []
+        ends = []
+        for text in texts:
+            if text:
+                words += text.split()
+            ends.append(len(words))
+        numbers = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        new = [word_class(f) for f in self.forms[len(self.classes) :]]
+        self.classes = np.concatenate([self.classes, np.array(new, np.int64)])
+        return numbers, np.array(ends, np.int64)
+
+
+def symbol_grams(symbols: np.ndarray, ends: np.ndarray, bits: int, order: int, begin: int) -> np.ndarray:
+    """The gram that ends at each symbol of sequences laid end to end, as a number of
+    ``bits`` a symbol; symbols before a sequence are ``begin``."""
+    starts = _starts(ends)
+    place = np.arange(len(symbols)) - np.repeat(starts, np.diff(np.concatenate([[0], ends])))
+    out = symbols.astype(np.uint64)
+    for k in range(1, order):
+        before = np.full(len(symbols), begin, np.uint64)
+        inside = np.flatnonzero(place >= k)
+        before[inside] = symbols[inside - k]
+        out |= before << np.uint64(bits * k)
+    return out
+
+
+def gram_texts(codes: np.ndarray, points: np.ndarray, bits: int, order: int) -> list[str]:
+    """Numbers of ``symbol_grams`` as strings of the symbols' code points."""
+    mask = np.uint64((1 << bits) - 1)
+    columns = [points[((codes >> np.uint64(bits * k)) & mask).astype(np.int64)] for k in range(order - 1, -1, -1)]
+    text = np.ascontiguousarray(np.stack(columns, axis=1), dtype="<u4").tobytes().decode("utf-32-le")
+    return [text[i : i + order] for i in range(0, len(text), order)]
+
+
+def form_grams(forms: list[str], order: int = ORDER) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct grams of word forms, the gram that ends at each symbol of the forms one
+    after another (as its place among these), and where each form ends."""
+    ends = np.cumsum(np.array([len(f) + 1 for f in forms], np.int64))
+    points, dense = np.unique(np.frombuffer("".join(forms).encode("utf-32-le"), "<u4"), return_inverse=True)
+    bits = (len(points) + 1).bit_length()
+    if bits * order > 64:  # more characters than numbers can tell apart
+        places: dict[str, int] = {}
+        at = np.array([places.setdefault(g, len(places)) for f in forms for g in grams(f, order)], np.int64)
+        return list(places), at, ends
+    symbols = np.ones(ends[-1] if len(ends) else 0, np.int64)  # 0 begins, 1 ends a word
+    inside = np.ones(len(symbols), bool)
+    inside[ends - 1] = False
+    symbols[inside] = dense + 2
+    codes, at = np.unique(symbol_grams(symbols, ends, bits, order, 0), return_inverse=True)
+    return gram_texts(codes, np.concatenate([np.array([ord(BEGIN), ord(END)], "<u4"), points]), bits, order), at, ends
+
+
+#: Numbers of classes, and what stands before a text's first word.
+CLASS_BITS, CLASS_BEGIN = 7, 127
+
+
+def class_codes(lexicon: Lexicon, numbers: np.ndarray, ends: np.ndarray, order: int = ORDER) -> np.ndarray:
+    """The gram of classes that ends at each word."""
+    classes = lexicon.classes[numbers]
+    starts = np.repeat(_starts(ends), np.diff(np.concatenate([[0], ends])))
+    place = np.arange(len(numbers)) - starts
+    again = np.zeros(len(numbers), bool)
+    for k in (1, 2):
+        again[k:] |= (numbers[k:] == numbers[:-k]) & (place[k:] >= k)
+    return symbol_grams(classes + again, ends, CLASS_BITS, order, CLASS_BEGIN)
+
+
+def class_texts(codes: np.ndarray, order: int = ORDER) -> list[str]:
+    points = np.arange(CLASSES, CLASSES + CLASS_BEGIN + 1, dtype="<u4")
+    points[CLASS_BEGIN] = ord(BEGIN)
+    return gram_texts(codes, points, CLASS_BITS, order)
+
+
+def sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Sums of stretches that end at ``ends``; an empty one is 0."""
+    upto = np.concatenate([[0], np.cumsum(values)])
+    return upto[ends] - upto[_starts(ends)]
 
 
 def count_grams(docs: DataFrame, text_col: str = "text", order: int = ORDER) -> DataFrame:
     """layer (0 characters, 1 classes), gram and c: occurrences in all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[Counter[str], Counter[str]] = Counter(), Counter()
-        words: Counter[str] = Counter()
-        known: dict[str, str] = {}
+        held: tuple[Counter[str], Counter[int]] = Counter(), Counter()
+        lexicon, seen = Lexicon(), np.zeros(0, np.int64)
 
         def fold() -> None:
-            for word, n in words.items():
-                for g in grams(word, order):
-                    held[0][g] += n
-            words.clear()
-            known.clear()
-
-        def batches_() -> Iterator[pa.RecordBatch]:
-            for layer, counts in enumerate(held):
-                if counts:
-                    yield pa.record_batch([pa.array([layer] * len(counts), pa.int8()), pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["layer", "gram", "n"])
-                counts.clear()
+            nonlocal lexicon, seen
+            texts, at, ends = form_grams(lexicon.forms, order)
+            if texts:
+                own = np.bincount(at, weights=np.repeat(seen, np.diff(np.concatenate([[0], ends]))), minlength=len(texts))
+                held[0].update(dict(zip(texts, own.astype(np.int64).tolist(), strict=True)))
+            lexicon, seen = Lexicon(), np.zeros(0, np.int64)
+
+        def partial() -> Iterator[pa.RecordBatch]:
+            codes = np.array(list(held[1]), np.uint64)
+            for layer, names, counts in ((0, list(held[0]), list(held[0].values())), (1, class_texts(codes, order) if len(codes) else [], list(held[1].values()))):
+                if names:
+                    yield pa.record_batch([pa.array([layer] * len(names), pa.int8()), pa.array(names, pa.string()), pa.array(counts, pa.int64())], ["layer", "gram", "n"])
+                held[layer].clear()
 
         for b in batches:
-            for part in slices(b, "text"):
-                for text in part.column("text").to_pylist():
-                    own = (text or "").split()
-                    words.update(own)
-                    held[1].update(class_grams(class_text(own, known), order))
-                if len(words) > HELD_GRAMS // 4:
+            for part in slices(b, "text", max_bytes=SLICE_BYTES):
+                numbers, ends = lexicon.read(part.column("text").to_pylist())
+                own = np.bincount(numbers, minlength=len(lexicon.forms))
+                own[: len(seen)] += seen
+                seen = own
+                codes, n = np.unique(class_codes(lexicon, numbers, ends, order), return_counts=True)
+                held[1].update(dict(zip(codes.tolist(), n.tolist(), strict=True)))
+                if len(lexicon) > HELD_GRAMS // 4:
                     fold()
                 if len(held[0]) + len(held[1]) > HELD_GRAMS:
-                    yield from batches_()
+                    yield from partial()
         fold()
-        yield from batches_()
+        yield from partial()
 
-    partial = map_arrow(docs.select(quoted(text_col).alias("text")), run, "layer byte, gram string, n long")
-    return partial.groupBy("layer", "gram").agg(F.sum("n").alias("c"))
+    counts = map_arrow(docs.select(quoted(text_col).alias("text")), run, "layer byte, gram string, n long")
+    return counts.groupBy("layer", "gram").agg(F.sum("n").alias("c"))
 
 
 class KneserNey:
@@ -212,40 +299,48 @@ def score(docs: DataFrame, model: Layers, id_col: str = "doc_id", text_col: str
     dealt = rows.withColumn("chunk", F.pmod(key, F.lit(chunks)).cast("int")).repartition(chunks, "chunk")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: dict[int, set[str]] = {}
-        classes: dict[int, set[str]] = {}
-        known: dict[str, str] = {}
+        lexicons: dict[int, Lexicon] = {}
+        classes: dict[int, np.ndarray] = {}
         for b in batches:
-            for part in slices(b, "text"):
-                for chunk, text in zip(part.column("chunk").to_pylist(), part.column("text").to_pylist(), strict=True):
-                    own = (text or "").split()
-                    words.setdefault(chunk, set()).update(own)
-                    classes.setdefault(chunk, set()).update(class_grams(class_text(own, known), order))
-        del known
-        for chunk, own in words.items():
-            for layer, asked in enumerate((list({g for w in own for g in grams(w, order)}), list(classes[chunk]))):
+            for part in slices(b, "text", max_bytes=SLICE_BYTES):
+                chunks_, texts = part.column("chunk").to_numpy(), part.column("text")
+                for chunk in np.unique(chunks_).tolist():
+                    lexicon = lexicons.setdefault(chunk, Lexicon())
+                    numbers, ends = lexicon.read(texts.filter(pa.array(chunks_ == chunk)).to_pylist())
+                    own = np.unique(class_codes(lexicon, numbers, ends, order))
+                    classes[chunk] = np.union1d(classes.get(chunk, own), own)
+        while lexicons:
+            chunk, lexicon = lexicons.popitem()
+            for layer, asked in enumerate((form_grams(lexicon.forms, order)[0], class_texts(classes[chunk], order))):
+                asked = list(dict.fromkeys(asked))
                 for i in range(0, len(asked), 65_536):
                     some = asked[i : i + 65_536]
                     yield pa.record_batch([pa.array([chunk] * len(some), pa.int32()), pa.array([layer] * len(some), pa.int8()), pa.array(some, pa.string())], ["chunk", "layer", "gram"])
 
     def add(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        cost: tuple[dict[str, int], dict[str, int]] = {}, {}
-        for layer in (0, 1):
+        def costs_of(layer: int) -> dict[str, int]:
             own = answers.filter(pc.equal(answers.column("layer"), layer))
-            cost[layer].update(zip(own.column("gram").to_pylist(), own.column("cost").to_pylist(), strict=True))
-        known: dict[str, int] = {}
-        forms: dict[str, str] = {}
-        symbols, costs = [], []
+            return dict(zip(own.column("gram").to_pylist(), own.column("cost").to_pylist(), strict=True))
+
+        upper = costs_of(1)
+        lexicon = Lexicon()
+        rows, tops = [], []
         for batch in texts.to_batches():
-            for part in slices(batch, "text"):
-                for text in part.column("text").to_pylist():
-                    words = (text or "").split()
-                    for w in set(words).difference(known):
-                        known[w] = sum([cost[0][g] for g in grams(w, order)])
-                    symbols.append(sum(map(len, words)) + len(words))
-                    upper = sum(map(cost[1].__getitem__, class_grams(class_text(words, forms), order)))
-                    costs.append(sum(map(known.__getitem__, words)) + upper)
-        del cost, known, forms
+            for part in slices(batch, "text", max_bytes=SLICE_BYTES):
+                numbers, ends = lexicon.read(part.column("text").to_pylist())
+                codes, at = np.unique(class_codes(lexicon, numbers, ends, order), return_inverse=True)
+                own = np.array([upper[g] for g in class_texts(codes, order)], np.int64)
+                tops.append(sums(own[at], ends))
+                rows.append((numbers.astype(np.int32), ends))
+        del upper
+        lower = costs_of(0)
+        names, at, form_ends = form_grams(lexicon.forms, order)
+        price = sums(np.array([lower[g] for g in names], np.int64)[at], form_ends)
+        size = np.diff(np.concatenate([[0], form_ends]))
+        del lower, names, at, lexicon
+        symbols = np.concatenate([np.zeros(0, np.int64), *(sums(size[numbers], ends) for numbers, ends in rows)])
+        costs = np.concatenate([np.zeros(0, np.int64), *(sums(price[numbers], ends) + top for (numbers, ends), top in zip(rows, tops, strict=True))])
+        del rows, tops, price, size
         release_memory()
         return pa.table([texts.column("id"), texts.column("lang"), pa.array(symbols, pa.int64()), pa.array(costs, pa.int64())], ["id", "lang", "symbols", "cost"])
 
@@ -266,16 +361,31 @@ def excess(cost: Column, symbols: Column, mean: Column) -> Column:
 
 def limits(scores: DataFrame, held: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """lang, mean and threshold of ``scores`` (id, lang, symbols, cost) that are held
-    out, and every, true in the one row for all languages together."""
+    out, and every, true in the one row for all languages together. The threshold is
+    the quantile, or ``DEVIATIONS`` standard deviations of all held-out documents about
+    their languages' means where that is more."""
     own = scores.join(sized_broadcast(held), "id", "left_semi").where("symbols > 0")
     both = own.select("lang", F.lit(False).alias("every"), "symbols", "cost").unionByName(own.select(F.lit(None).cast("string").alias("lang"), F.lit(True).alias("every"), "symbols", "cost"))
     key = ["every", "lang"]
     means = both.groupBy(*key).agg((F.sum("cost") / SCALE / F.sum("symbols")).alias("mean")).withColumnsRenamed({"every": "m_every", "lang": "m_lang"})
     same = (F.col("every") == F.col("m_every")) & F.col("lang").eqNullSafe(F.col("m_lang"))
-    cells = durable(both.join(sized_broadcast(durable(means, "means")), same).groupBy(*key, "mean", excess(F.col("cost"), F.col("symbols"), F.col("mean")).alias("excess")).agg(F.count("*").alias("n")), "excess")
-    upto, full = F.sum("n").over(W.partitionBy(*key).orderBy("excess")), F.sum("n").over(W.partitionBy(*key))
-    ranked = cells.select(*key, "mean", "excess", (upto >= full * quantile).alias("enough"))
-    return ranked.where("enough").groupBy(*key, "mean").agg(F.min("excess").alias("threshold"))
+    over = excess(F.col("cost"), F.col("symbols"), F.col("mean"))
+    cells = both.join(sized_broadcast(durable(means, "means")), same).groupBy(*key, "mean", over.alias("excess")).agg(F.count("*").alias("n"))
+    cells = durable(cells.withColumn("band", F.floor(F.col("excess") / BAND)), "excess")
+    # The band in which the quantile lies is found first, so no task sorts all cells of a language.
+    w, whole = W.partitionBy(*key).orderBy("band"), W.partitionBy(*key)
+    bands = cells.groupBy(*key, "band").agg(F.sum("n").alias("n"))
+    bands = bands.select(*key, "band", (F.sum("n").over(w) - F.col("n")).alias("before"), F.sum("n").over(w).alias("upto"), (F.sum("n").over(whole) * quantile).alias("due"))
+    first = F.min_by(F.struct(F.col("band").alias("b_band"), "before", "due"), "band")
+    found = bands.where("upto >= due").groupBy(*key).agg(first.alias("b")).select(F.col("every").alias("b_every"), F.col("lang").alias("b_lang"), "b.*")
+    here = (F.col("every") == F.col("b_every")) & F.col("lang").eqNullSafe(F.col("b_lang")) & (F.col("band") == F.col("b_band"))
+    near = cells.join(sized_broadcast(durable(found, "bands")), here)
+    upto = F.col("before") + F.sum("n").over(W.partitionBy(*key).orderBy("excess"))
+    cut = near.select(*key, "mean", "excess", (upto >= F.col("due")).alias("enough")).where("enough").groupBy(*key, "mean").agg(F.min("excess").alias("quantile"))
+    own_cells = cells.where("not every")
+    freedom = F.sum("n") - F.count_distinct(F.coalesce("lang", F.lit("")))
+    spread = own_cells.agg(F.when(freedom > 0, F.ceil(F.sqrt(F.sum(F.col("n") * F.col("excess") * F.col("excess")) / freedom) * DEVIATIONS)).cast("long").alias("least"))
+    return cut.crossJoin(F.broadcast(spread)).select(*key, "mean", F.greatest("quantile", "least").alias("threshold"))  # one row
 
 
 def judge(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE) -> DataFrame:
@@ -284,8 +394,9 @@ def judge(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col:
     ids = durable(trusted.select(quoted(id_col).alias("id")).where("id is not null").distinct(), "trusted")
     is_held = F.pmod(F.xxhash64("id"), F.lit(HELD_OUT)) == 0
     taught = texts_of(docs, id_col, text_col).join(sized_broadcast(ids.where(~is_held)), "id", "left_semi")
-    model = Layers(count_grams(taught))
-    scores = durable(score(docs, model, id_col, text_col, lang_col).toDF("id", "lang", "symbols", "cost"), "scores")
+    with scratch() as made:
+        model = Layers(count_grams(taught))
+        scores = made.keep(durable(score(docs, model, id_col, text_col, lang_col).toDF("id", "lang", "symbols", "cost"), "scores"))
     found = durable(limits(scores, ids.where(is_held), quantile), "limits")
     every = found.where("every").first()
     whole = (every.mean, every.threshold) if every else (None, None)

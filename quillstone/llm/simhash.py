@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import durable, map_arrow, quoted, sized_broadcast, slices, texts_of, without
+from quillstone.llm.common import durable, map_arrow, quoted, scratch, sized_broadcast, slices, texts_of, without
 from quillstone.operators.components import connected_components
 
 BITS, MAX_BITS, SEED = 64, 2, 42
@@ -499,5 +499,7 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def near_deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WIDE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with the smallest id of each group of similar texts, all columns
     kept; rows without an id stay, and rows that repeat an id stay or go together."""
-    gone = representatives(docs, id_col, text_col, words, similarity).where(quoted(id_col) != F.col("component_id")).select(quoted(id_col).alias("id")).distinct()
-    return without(docs, durable(gone, "near-copies"), id_col)
+    with scratch() as made:
+        gone = representatives(docs, id_col, text_col, words, similarity).where(quoted(id_col) != F.col("component_id")).select(quoted(id_col).alias("id")).distinct()
+        gone = made.keep(durable(gone, "near-copies"))
+    return without(docs, gone, id_col)
