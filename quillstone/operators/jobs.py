@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillstone.functions import vocabulary as V
+from quillstone.functions.json_fields import fields, has_keys, kind_of, other_keys
 from quillstone.operators.relational import row_batches
 
 LEASE_MINUTES, MAX_ATTEMPTS = 30, 3
@@ -58,6 +59,41 @@ def duration_ms(start: Column, end: Column) -> Column:
     return F.greatest(F.lit(0).cast("long"), F.floor((F.unix_micros(end) - F.unix_micros(start)) / 1000))
 
 
+def span_errors(spans: DataFrame) -> DataFrame:
+    """id, error of spans (id, investigation_id, job_id, parent_span_id, status,
+    completed_at) whose parent is not of their job, or whose end does not fit."""
+    parents = spans.select(F.col("id").alias("parent_span_id"), "investigation_id", "job_id").distinct()
+    lost = spans.where("parent_span_id is not null").join(parents, ["parent_span_id", "investigation_id", "job_id"], "left_anti").select("id", F.lit("PARENT_CONTEXT").alias("error"))
+    running = F.col("status") == "RUNNING"
+    ended = F.col("status").isin("SUCCEEDED", "FAILED") & F.col("completed_at").isNotNull()
+    return lost.unionByName(spans.where(~F.coalesce((running & F.col("completed_at").isNull()) | ended, F.lit(False))).select("id", F.lit("TRANSITION").alias("error")))
+
+
+def close_expired(spans: DataFrame, attempts: DataFrame) -> DataFrame:
+    """``spans`` (id, job_id, status, started_at, completed_at and duration_ms among
+    them) in which those still running are FAILED where an attempt of their job, begun
+    before them, lost its lease: they end when the first such attempt did."""
+    lost = attempts.where("outcome = 'LEASE_EXPIRED'").select(F.col("job_id").alias("lost_job"), F.col("started_at").alias("lost_start"), F.col("completed_at").alias("lost_end"))
+    open_ = spans.where("status = 'RUNNING'").select("id", "job_id", "started_at")
+    ends = open_.join(lost, (F.col("job_id") == F.col("lost_job")) & (F.col("started_at") >= F.col("lost_start"))).groupBy("id").agg(F.min("lost_end").alias("closed_at"))
+    both = spans.join(ends, "id", "left")
+    closed = F.col("closed_at").isNotNull()
+    changed = {"status": F.when(closed, "FAILED").otherwise(F.col("status")), "duration_ms": F.when(closed, duration_ms(F.col("started_at"), F.col("closed_at"))).otherwise(F.col("duration_ms")), "completed_at": F.coalesce("closed_at", "completed_at")}
+    return both.withColumns(changed).select(*spans.columns)
+
+
+def request_errors(requests: DataFrame) -> DataFrame:
+    """id, error of finished requests (id, status, validation_issues as JSON): issues are
+    an array of objects of a path and a code only, and only failed schemas have any."""
+    issues = F.from_json("validation_issues", "array<string>")
+    wrong = F.exists(issues, lambda i: (kind_of(i) != "object") | ~has_keys(i, ("path", "code")) | (F.size(other_keys(i, ("path", "code"))) > 0) | (kind_of(fields(i)["path"]) != "array") | (kind_of(fields(i)["code"]) != "string"))
+    rules = {
+        "ISSUES": ~kind_of(F.col("validation_issues")).eqNullSafe("array"), "ISSUE_FORM": wrong, "STATUS": ~F.coalesce(F.col("status").isin("SUCCEEDED", "SCHEMA_FAILED", "PROVIDER_FAILED"), F.lit(False)),
+        "UNEXPECTED_ISSUES": (F.col("status") != "SCHEMA_FAILED") & (F.size(issues) > 0),
+    }
+    return requests.select("id", F.explode(F.array_compact(F.array(*(F.when(F.coalesce(r, F.lit(False)), n) for n, r in rules.items())))).alias("error"))
+
+
 def request_accounts(requests: DataFrame) -> DataFrame:
     """job_id, requests, retries, schema_failures, succeeded."""
     return requests.groupBy("job_id").agg(

@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillstone.functions import vocabulary as V
-from quillstone.functions.english import stem_words, tokens
+from quillstone.functions.english import STOP_WORDS, stem_words, tokens
 from quillstone.functions.storage import durable, sized_broadcast
 from quillstone.operators.relational import member_or_no_filter, within_optional
 
@@ -30,8 +30,9 @@ def positions(docs: DataFrame, id_col: str, text_col: str, config: str = "englis
     words = docs.select(F.col(id_col), F.posexplode(tokens(F.col(text_col))).alias("position", "word"))
     if config == "simple":
         return words.select(id_col, F.col("word").alias("term"), (F.col("position") + 1).alias("position"))
-    stems = words.select("word").distinct().withColumn("term", stem_words("word")).where("term is not null")
-    return words.join(stems, "word").select(id_col, "term", (F.col("position") + 1).alias("position"))
+    words = words.where(~F.col("word").isin(*sorted(STOP_WORDS)))  # the hottest words, before any exchange
+    stems = durable(words.select("word").distinct().withColumn("term", stem_words("word")), "stems")
+    return words.join(sized_broadcast(stems), "word").select(id_col, "term", (F.col("position") + 1).alias("position"))
 
 
 def query_terms(queries: DataFrame, id_col: str = "query_id", text_col: str = "query_text", config: str = "english") -> DataFrame:

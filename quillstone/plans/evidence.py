@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.operators import materiality, relational, visibility
+from quillstone.operators import events, materiality, relational, visibility
 from quillstone.plans.base import query, table
 from quillstone.sources import structure, tables
 
@@ -176,8 +176,8 @@ def active_evidence_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = t("nation").join(F.broadcast(t("region").where("r_name in ('ASIA', 'EUROPE')")), F.col("n_regionkey") == F.col("r_regionkey"))
     who = t("customer").join(F.broadcast(place), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name")
     rows = t("lineitem").where("l_returnflag in ('A', 'R')").select("l_orderkey", "l_linenumber").join(order, F.col("l_orderkey") == F.col("o_orderkey")).join(who, F.col("o_custkey") == F.col("c_custkey"))
-    keys = F.transform(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber"))), lambda x: F.concat_ws(":", x["l_orderkey"].cast("string"), x["l_linenumber"].cast("string")))
-    return rows.groupBy("n_name").agg(F.count("*").alias("n"), F.sha2(F.array_join(keys, ","), 256).alias("snapshot"))
+    text = F.concat_ws(":", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
+    return events.stream_digest(rows, "n_name", ["l_orderkey", "l_linenumber"], text, ("", ",", "")).select("n_name", F.col("rows").alias("n"), F.col("digest").alias("snapshot"))
 
 
 @query(

@@ -202,9 +202,15 @@ def event_chain_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.chain_errors(tampered).groupBy("error").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS s FROM events),
+        t AS (SELECT *, '", "payload": {"n": ' || event_id::VARCHAR || ', "kind": "' || CASE WHEN s = 1 THEN 'INVESTIGATION_STARTED' ELSE 'CLAIM_CREATED' END || '", "status": "PENDING", "current_stage": "PROMOTE_TIMELINE"}, "sequence": ' || s::VARCHAR
+                     || ', "target_id": "' || CASE WHEN s = 1 THEN 'inv-' || user_id::VARCHAR ELSE 'c' || (event_id % 5)::VARCHAR || '-e' || event_id::VARCHAR END || '", "event_type": "' || CASE WHEN s = 1 THEN 'INVESTIGATION_STARTED' ELSE 'CLAIM_CREATED' END
+                     || '", "target_type": "' || CASE WHEN s = 1 THEN 'investigation' ELSE 'claim' END || '", "model_run_id": null, "previous_hash": ' AS head, ', "investigation_id": "inv-' || user_id::VARCHAR || '"}' AS tail FROM o),
+        c AS (SELECT user_id, s, sha256('{"case_id": "case' || head || 'null' || tail) AS h FROM t WHERE s = 1
+              UNION ALL SELECT t.user_id, t.s, sha256('{"case_id": "case' || t.head || '"' || c.h || '"' || t.tail) FROM c JOIN t ON t.user_id = c.user_id AND t.s = c.s + 1)
+      SELECT 'inv-' || user_id::VARCHAR AS investigation_id, max(s) AS events, max_by(h, s) AS head FROM c GROUP BY user_id""")
 def event_chain_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Length and head of every user's chain; SQL would fold them one event a round."""
+    """Length and head of every user's chain, which SQL folds one event a round."""
     return chain(spark, sf_dir).groupBy("investigation_id").agg(F.count("*").alias("events"), F.max_by("event_hash", "sequence").alias("head"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillstone.functions import canonical
+from quillstone.functions import canonical, json_fields
 from quillstone.functions import vocabulary as V
 from quillstone.operators import integrity, jobs, promotion, relational, retrieval, snapshot, visibility
 from quillstone.plans.base import query, table
@@ -672,6 +672,51 @@ def stage_result_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshot.stage_result_errors(rows, none)
 
 
+_SPANS_SQL = "SELECT event_id AS id, user_id AS job_id, event_id % 4 < 2 AS running, event_id % 1000 AS start, user_id % 3 = 0 AS lost, user_id * 7 % 900 AS attempt FROM events"
+
+
+@query(f"""SELECT id, CASE WHEN running AND lost AND start >= attempt THEN 'FAILED' WHEN running THEN 'RUNNING' ELSE 'SUCCEEDED' END AS status,
+             CASE WHEN running AND lost AND start >= attempt THEN greatest(0, attempt + 500 - start) * 1000 WHEN NOT running THEN 5 END::BIGINT AS duration_ms FROM ({_SPANS_SQL})""")
+def expired_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as spans of their user's job, half still running; a third of the jobs had
+    an attempt that lost its lease."""
+    i, u = F.col("event_id"), F.col("user_id")
+    at = lambda seconds: F.timestamp_seconds(seconds)
+    running = i % 4 < 2
+    spans = table(spark, sf_dir, "events").select(i.alias("id"), u.alias("job_id"), F.when(running, "RUNNING").otherwise("SUCCEEDED").alias("status"), at(i % 1000).alias("started_at"), F.when(~running, at(i % 1000 + 1)).alias("completed_at"), F.when(~running, 5).cast("long").alias("duration_ms"))
+    tries = table(spark, sf_dir, "events").select(u.alias("job_id"), F.when(u % 3 == 0, "LEASE_EXPIRED").otherwise("SUCCEEDED").alias("outcome"), at(u * 7 % 900).alias("started_at"), at(u * 7 % 900 + 500).alias("completed_at")).distinct()
+    return jobs.close_expired(spans, tries).select("id", "status", "duration_ms")
+
+
+@query("""SELECT event_id AS id, 'PARENT_CONTEXT' AS error FROM events WHERE event_id % 9 = 1 UNION ALL SELECT event_id, 'TRANSITION' FROM events WHERE event_id % 10 = 3""")
+def span_context_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("event_id")
+    parent = F.when(i % 9 == 1, -1).when(i % 2 == 0, i)
+    status = F.when(i % 10 == 3, "PAUSED").when(i % 3 == 0, "RUNNING").otherwise("FAILED")
+    spans = table(spark, sf_dir, "events").select(i.alias("id"), F.col("user_id").alias("investigation_id"), F.col("user_id").alias("job_id"), parent.alias("parent_span_id"), status.alias("status"), F.when(status != "RUNNING", F.col("ts")).alias("completed_at"))
+    return jobs.span_errors(spans)
+
+
+_ISSUES = ("[]", '[{"path": ["a", 1], "code": "missing"}]', '[{"path": "a", "code": "x"}]', '[{"path": [], "code": 3}]', '[{"path": [], "code": "x", "input": "secret"}]', '{"path": []}', '[{"code": "x"}]', '["text"]')
+
+
+@query("""WITH r AS (SELECT event_id AS id, event_id % 8 AS k, ['SCHEMA_FAILED', 'SUCCEEDED', 'LOST'][1 + event_id % 3] AS status FROM events)
+      SELECT id, 'ISSUE_FORM' AS error FROM r WHERE k IN (2, 3, 4, 6, 7) UNION ALL SELECT id, 'ISSUES' FROM r WHERE k = 5 UNION ALL SELECT id, 'STATUS' FROM r WHERE status = 'LOST' UNION ALL SELECT id, 'UNEXPECTED_ISSUES' FROM r WHERE status <> 'SCHEMA_FAILED' AND k NOT IN (0, 5)""")
+def request_issue_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("event_id")
+    return jobs.request_errors(table(spark, sf_dir, "events").select(i.alias("id"), _pick(i, "SCHEMA_FAILED", "SUCCEEDED", "LOST").alias("status"), _pick(i, *_ISSUES).alias("validation_issues")))
+
+
+@query("""WITH p AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'object' WHEN 1 THEN 'array' WHEN 2 THEN 'string' ELSE 'number' END AS kind, p_partkey % 3 = 0 AS more FROM part)
+      SELECT p_partkey, kind, kind = 'object' AS complete, CASE WHEN kind = 'object' AND more THEN 'other' ELSE '' END AS others, CASE WHEN kind = 'object' THEN '{"size":' || p_size::VARCHAR || CASE WHEN more THEN ',"other":[1,"x"]' ELSE '' END || '}' END AS rest FROM p JOIN part USING (p_partkey)""")
+def json_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    whole = _text('{"name": "', F.col("p_brand"), '", "size": ', F.col("p_size"), F.when(k % 3 == 0, ', "other": [1, "x"]').otherwise(""), "}")
+    text = F.when(k % 4 == 0, whole).when(k % 4 == 1, "[1]").when(k % 4 == 2, '"x"').otherwise("1.5")
+    kind = json_fields.kind_of(text)
+    return table(spark, sf_dir, "part").select("p_partkey", kind.alias("kind"), json_fields.has_keys(text, ("size", "name")).alias("complete"), F.array_join(json_fields.other_keys(text, ("size", "name")), ",").alias("others"), F.when(kind == "object", json_fields.without_keys(text, ("name",))).alias("rest"))
+
+
 # Snapshots.
 
 
