@@ -199,7 +199,7 @@ def ranked(rows: DataFrame, id_col: str) -> DataFrame:
     """The first ``limit`` rows of each query by total, then by each component, then
     by id, with their rank from 1."""
     order = [F.desc(c) for c in ("total_score", "fts_score", "entity_score", "time_score", "type_score")]
-    return rows.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(*order, F.asc(id_col)))).where(F.col("rank") <= F.col("limit"))
+    return rows.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(*order, F.asc(id_col))).cast("long")).where(F.col("rank") <= F.col("limit"))
 
 
 def search(index: DataFrame, docs: DataFrame, queries: DataFrame, id_col: str, config: str = "english", entity_links: DataFrame | None = None, time_links: DataFrame | None = None) -> DataFrame:
@@ -254,7 +254,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "vec_i
                 yield pa.record_batch([names.take(pa.array(np.repeat(np.arange(len(names)), width))), ids.take(flat), pa.array(np.take_along_axis(scores, best, axis=1).ravel())], ["query_id", id_col, "cosine"])
 
     near = pairs.mapInArrow(run, f"query_id {kind}, `{id_col}` {kind}, cosine double")
-    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("cosine"), F.asc(id_col)))
+    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("cosine"), F.asc(id_col))).cast("long")
     return near.withColumn("rank", place).where(F.col("rank") <= k)
 
 
