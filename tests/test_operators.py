@@ -200,23 +200,42 @@ def test_chain_and_tampering(spark):
         assert events.chain_errors(bad).count() > 0, column
 
 
-def test_event_contract(spark):
-    def broken(at, **change):
+def changed_logs(spark, changes):
+    """Events of ``good_log`` once for each change, each an investigation of its own."""
+    rows_ = []
+    for i, change in enumerate(changes):
         log = good_log()
-        kind, target, payload, run = log[at]
-        inner = change.pop("record", None)
-        payload = payload | change.pop("payload", {}) | ({"record": payload["record"] | inner} if inner else {})
-        log[at] = (kind, change.get("target", target), payload, change.get("run", run))
-        return {e for r in events.with_contract_errors(as_events(spark, log)).where(F.col("sequence") == at + 1).collect() for e in r.errors}
-
-    assert broken(2, run="other") == {"MODEL_RUN"} and broken(2, record={"case_id": "z"}) == {"RECORD_CONTEXT"} and broken(7, target="c9") == {"TARGET_ID"}
-    assert broken(0, payload={"status": "RUNNING"}) == {"START_STATE"} and broken(4, payload={"next_stage": "COMPLETE"}) == {"STAGE_ORDER"}
-    assert broken(9, record={"current_confidence": "0.5"}) == {"HYPOTHESIS_START"} and broken(9, payload={"supporting_claim_ids": []}) == {"HYPOTHESIS_LINKS"} and broken(9, payload={"supporting_claim_ids": ["c1", "c1"]}) == {"REPEATED_REFERENCE"}
-    assert broken(11, payload={"results": [{"evidence_id": "e1", "rank": 2}]}) == {"RESULT_RANKS"} and broken(11, payload={"query": good_log()[11][2]["query"] | {"limit": 1}}) == {"RESULT_LIMIT"}
-    assert broken(15, record={"status": "FAILED"}) == {"TEST_PENDING"} and broken(17, record={"status": "PENDING"}) == {"TEST_RESOLUTION"} and broken(17, record={"outcome": None}) == {"TEST_RESULT"}
-    assert broken(20, payload={"before": "LEADING"}) == {"STATUS_UNCHANGED"} and broken(5, payload={"kind": "X"}) == {"KIND"}
+        change(log)
+        inv = f"{INV[:-3]}{i:03d}"
+        for n, (kind, target, payload, run) in enumerate(log, 1):
+            text = canonical.canonical({"kind": kind, "schema_version": "1", **payload}).replace(INV, inv)
+            rows_.append((inv, CASE, n, f"e{i}-{n}", kind, vocabulary.EVENT_TARGETS[kind], target.replace(INV, inv), text, run))
+    return events.append(spark.createDataFrame(rows_, LOG))
+
+
+def edit(at, run=None, target=None, **fields):
+    """A change of one event: fields of its payload, ``record`` fields, run or target."""
+
+    def change(log):
+        kind, old, payload, was = log[at]
+        inner = fields.get("record")
+        rest = {k: v for k, v in fields.items() if k != "record"}
+        log[at] = (kind, target or old, payload | rest | ({"record": payload["record"] | inner} if inner else {}), run or was)
+
+    return change
+
+
+def test_event_contract(spark):
     question = good_log()[9][2]["questions"][0]
-    assert broken(9, payload={"questions": [question | {"hypothesis_id": "z"}]}) == {"QUESTION_CONTEXT"} and broken(9, payload={"questions": [question, question | {"id": "q2", "text": " why? "}]}) == {"QUESTION_TEXT"}
+    cases = [
+        (edit(2, run="other"), "MODEL_RUN"), (edit(2, record={"case_id": "z"}), "RECORD_CONTEXT"), (edit(7, target="c9"), "TARGET_ID"), (edit(0, status="RUNNING"), "START_STATE"), (edit(4, next_stage="COMPLETE"), "STAGE_ORDER"),
+        (edit(9, record={"current_confidence": "0.5"}), "HYPOTHESIS_START"), (edit(9, supporting_claim_ids=[]), "HYPOTHESIS_LINKS"), (edit(9, supporting_claim_ids=["c1", "c1"]), "REPEATED_REFERENCE"),
+        (edit(11, results=[{"evidence_id": "e1", "rank": 2}]), "RESULT_RANKS"), (edit(11, query=good_log()[11][2]["query"] | {"limit": 1}), "RESULT_LIMIT"), (edit(15, record={"status": "FAILED"}), "TEST_PENDING"),
+        (edit(17, record={"status": "PENDING"}), "TEST_RESOLUTION"), (edit(17, record={"outcome": None}), "TEST_RESULT"), (edit(20, before="LEADING"), "STATUS_UNCHANGED"), (edit(5, kind="X"), "KIND"),
+        (edit(9, questions=[question | {"hypothesis_id": "z"}]), "QUESTION_CONTEXT"), (edit(9, questions=[question, question | {"id": "q2", "text": " why? "}]), "QUESTION_TEXT"),
+    ]
+    found = events.with_contract_errors(changed_logs(spark, [c for c, _ in cases])).select("investigation_id", F.explode("errors").alias("e"))
+    assert rows(found) == [(f"{INV[:-3]}{i:03d}", e) for i, (_, e) in enumerate(cases)]
 
 
 def test_replay(spark):
@@ -239,33 +258,25 @@ def test_replay(spark):
 
 
 def test_replay_rules(spark):
-    def errors(change):
-        log = good_log()
-        change(log)
-        return {e for _, e in rows(replay.replay_errors(as_events(spark, log)), "sequence", "error")}
-
-    def edit(at, **fields):
-        def change(log):
-            kind, target, payload, run = log[at]
-            inner = fields.pop("record", None)
-            log[at] = (kind, target, payload | fields | ({"record": payload["record"] | inner} if inner else {}), run)
-
-        return change
-
-    assert errors(lambda log: log.insert(8, log[7])) == {"DUPLICATE_CLAIM"}
-    assert errors(lambda log: log.pop(7)) == {"UNKNOWN_CLAIM"} and errors(lambda log: log.pop(3)) == {"UNKNOWN_TIMELINE_EVENT"} and errors(lambda log: log.pop(5)) == {"UNKNOWN_ENTITY"}
-    assert errors(lambda log: log.pop(9)) >= {"UNKNOWN_HYPOTHESIS"} and errors(lambda log: log.pop(14)) == {"UNKNOWN_CRITIQUE"}
-    assert errors(edit(15, record={"strength": "LOW"})) >= {"TEST_NOT_PROPOSED"} and errors(lambda log: log.insert(18, log[17])) == {"TEST_NOT_PENDING"}
-    assert errors(edit(17, record={"expected_observation": "y"})) == {"TEST_FIELDS_CHANGED"}
-    assert errors(lambda log: log.insert(16, ("TEST_CREATED", "x2", {"record": log[15][2]["record"] | {"id": "x2"}}, None))) == {"TEST_PROPOSED_ONCE"}
-    assert errors(edit(19, record={"before": "0.4100"})) >= {"REVISION_BEFORE"} and errors(edit(19, record={"test_deltas": [{"test_id": "x1", "delta": "0.2000"}]})) == {"REVISION_DELTA"}
-    assert errors(edit(19, record={"test_deltas": []})) >= {"REVISION_LEAVES_TESTS_OUT"} and errors(edit(19, record={"rationale": "because"})) == {"REVISION_RATIONALE"}
-    assert errors(lambda log: log.pop(17)) >= {"REVISION_NEEDS_SUCCEEDED"} and "REVISED_TWICE" in errors(lambda log: log.insert(20, ("CONFIDENCE_REVISED", "v2", {"record": log[19][2]["record"] | {"id": "v2"}}, None)))
-    assert errors(edit(20, before="WEAKENED")) == {"STATUS_BEFORE"} and errors(edit(20, after="REJECTED")) == {"STATUS_AFTER"}
-    assert errors(edit(4, previous_stage="GENERATE_HYPOTHESES")) >= {"WRONG_STAGE", "STAGE_ORDER"} and errors(lambda log: log.insert(2, log[1])) == {"STARTED_AGAIN"}
-    assert errors(lambda log: log.append(("CLAIM_CREATED", "c9", {"record": record("c9")}, "m"))) == {"COMPLETE_STAGE_ONLY_COMPLETES"}
     end = ("INVESTIGATION_COMPLETED", INV, {"projection_hash": "0" * 64}, None)
-    assert errors(lambda log: log.append(end)) == {"COMPLETION_HASH"} and errors(lambda log: log.insert(22, end)) >= {"COMPLETION_STAGE", "TERMINAL"}
+    twin = lambda at, id_: (lambda log: log.insert(at + 1, (log[at][0], id_, log[at][2] | {"record": log[at][2]["record"] | {"id": id_}}, log[at][3])))
+    exact = [
+        (lambda log: log.insert(8, log[7]), "DUPLICATE_CLAIM"), (lambda log: log.pop(7), "UNKNOWN_CLAIM"), (lambda log: log.pop(3), "UNKNOWN_TIMELINE_EVENT"), (lambda log: log.pop(5), "UNKNOWN_ENTITY"), (lambda log: log.pop(14), "UNKNOWN_CRITIQUE"),
+        (lambda log: log.insert(18, log[17]), "TEST_NOT_PENDING"), (edit(17, record={"expected_observation": "y"}), "TEST_FIELDS_CHANGED"), (twin(15, "x2"), "TEST_PROPOSED_ONCE"),
+        (edit(19, record={"test_deltas": [{"test_id": "x1", "delta": "0.2000"}]}), "REVISION_DELTA"), (edit(19, record={"rationale": "because"}), "REVISION_RATIONALE"),
+        (edit(20, before="WEAKENED"), "STATUS_BEFORE"), (edit(20, after="REJECTED"), "STATUS_AFTER"), (lambda log: log.insert(2, log[1]), "STARTED_AGAIN"),
+        (lambda log: log.append(("CLAIM_CREATED", "c9", {"record": record("c9")}, "m")), "COMPLETE_STAGE_ONLY_COMPLETES"), (lambda log: log.append(end), "COMPLETION_HASH"),
+    ]
+    among = [
+        (lambda log: log.pop(9), "UNKNOWN_HYPOTHESIS"), (edit(15, record={"strength": "LOW"}), "TEST_NOT_PROPOSED"), (edit(19, record={"before": "0.4100"}), "REVISION_BEFORE"), (edit(19, record={"test_deltas": []}), "REVISION_LEAVES_TESTS_OUT"),
+        (lambda log: log.pop(17), "REVISION_NEEDS_SUCCEEDED"), (twin(19, "v2"), "REVISED_TWICE"), (edit(4, previous_stage="GENERATE_HYPOTHESES"), "WRONG_STAGE"), (edit(4, previous_stage="GENERATE_HYPOTHESES"), "STAGE_ORDER"),
+        (lambda log: log.insert(22, end), "COMPLETION_STAGE"), (lambda log: log.insert(22, end), "TERMINAL"), (edit(14, record={"hypothesis_id": "h9"}), "TEST_OF_OTHER_HYPOTHESIS"), (edit(19, record={"hypothesis_id": "h9"}), "REVISION_OF_OTHER_HYPOTHESIS"),
+    ]
+    got = {}
+    for inv, _, error in rows(replay.replay_errors(changed_logs(spark, [c for c, _ in exact + among])), "investigation_id", "sequence", "error"):
+        got.setdefault(int(inv[-3:]), set()).add(error)
+    assert [got[i] for i in range(len(exact))] == [{e} for _, e in exact]
+    assert all(e in got[len(exact) + i] for i, (_, e) in enumerate(among)), [(e, got[len(exact) + i]) for i, (_, e) in enumerate(among)]
 
 
 def test_execution(spark):
