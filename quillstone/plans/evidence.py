@@ -243,24 +243,24 @@ def counter_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """SELECT o_custkey, o_orderkey, o_orderstatus FROM (
-        SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders WHERE o_orderkey % 3 = 0) WHERE rn = 1
+        SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders WHERE o_orderkey % 3 <> 1) WHERE rn = 1
        UNION ALL SELECT o_custkey, o_orderkey, o_orderstatus FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM orders WHERE o_orderkey % 3 = 1) WHERE rn = 1
-         AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 3 = 0)"""
+         AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 3 <> 1)"""
 )
 def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus", "o_orderdate")
     existing = relational.latest_per_key(o.where("o_orderkey % 3 = 1"), ["o_custkey"], [F.asc("o_orderkey")])
-    return relational.upsert(existing, o.where("o_orderkey % 3 = 0"), ["o_custkey"], [F.desc("o_orderdate"), F.desc("o_orderkey")]).select("o_custkey", "o_orderkey", "o_orderstatus")
+    return relational.upsert(existing, o.where("o_orderkey % 3 != 1"), ["o_custkey"], [F.desc("o_orderdate"), F.desc("o_orderkey")]).select("o_custkey", "o_orderkey", "o_orderstatus")
 
 
 @query(
-    """WITH a AS (SELECT o_custkey, min(o_orderkey) AS o_orderkey FROM orders WHERE o_orderkey % 3 = 1 GROUP BY 1), b AS (SELECT o_custkey, min(o_orderkey) AS o_orderkey FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1)
+    """WITH a AS (SELECT o_custkey, min(o_orderkey) AS o_orderkey FROM orders WHERE o_orderkey % 3 = 1 GROUP BY 1), b AS (SELECT o_custkey, min(o_orderkey) AS o_orderkey FROM orders WHERE o_orderkey % 3 <> 1 GROUP BY 1)
        SELECT * FROM a UNION ALL SELECT * FROM b WHERE o_custkey NOT IN (SELECT o_custkey FROM a)"""
 )
 def insert_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
     existing = o.where("o_orderkey % 3 = 1").groupBy("o_custkey").agg(F.min("o_orderkey").alias("o_orderkey"))
-    return relational.insert_missing(existing, o.where("o_orderkey % 3 = 0"), ["o_custkey"], [F.col("o_orderkey")])
+    return relational.insert_missing(existing, o.where("o_orderkey % 3 != 1"), ["o_custkey"], [F.col("o_orderkey")])
 
 
 @query(
