@@ -9,7 +9,8 @@ end it. Bands are stored as Arrow fixed-shape tensors with their time spans.
 
 Cases: null and empty texts are one block of padding; long media are read in
 blocks; equal bytes give equal features, as every file is computed alone and
-bands are rounded; an empty table gives no rows; extra columns are ignored.
+bands are rounded; repeated ids are rows of their own; an empty table gives no
+rows; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -8,8 +8,9 @@ of largest spread, heaviest slots against lightest, until one near-equal
 partition is left. If a slot then exceeds the capacity, the lane is partitioned
 again into more windows.
 
-Cases: null and empty texts are one end id; repeated rows and ids are separate
-documents; an empty table gives no rows; extra columns are ignored.
+Cases: null and empty texts are one end id; a very long text is encoded whole and
+fills windows of its own; repeated rows and ids are separate documents; an empty
+table gives no rows; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -53,8 +53,8 @@ QUANTILE, DEVIATIONS, HELD_OUT = 0.997, 4, 10
 BAND = 500
 #: The classes of words are single characters from this one on.
 CLASSES = 0xE000
-#: Text that is split into words at once.
-SLICE_BYTES = 2 << 20
+#: Text that is split into words at once, and forms that are cut into grams at once.
+SLICE_BYTES, FORMS = 1 << 20, 65_536
 #: Grams that a task holds before it sends partial counts on.
 HELD_GRAMS = 1_000_000
 
@@ -130,6 +130,11 @@ def gram_texts(codes: np.ndarray, points: np.ndarray, bits: int, order: int) ->
     return [text[i : i + order] for i in range(0, len(text), order)]
 
 
+def pieces(n: int) -> Iterator[slice]:
+    """Stretches of n forms whose grams are held at once."""
+    return (slice(i, i + FORMS) for i in range(0, n, FORMS))
+
+
 def form_grams(forms: list[str], order: int = ORDER) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Distinct grams of word forms, the gram that ends at each symbol of the forms one
     after another (as its place among these), and where each form ends."""
@@ -184,9 +189,9 @@ def count_grams(docs: DataFrame, text_col: str = "text", order: int = ORDER) ->
 
         def fold() -> None:
             nonlocal lexicon, seen
-            texts, at, ends = form_grams(lexicon.forms, order)
-            if texts:
-                own = np.bincount(at, weights=np.repeat(seen, np.diff(np.concatenate([[0], ends]))), minlength=len(texts))
+            for some in pieces(len(lexicon.forms)):
+                texts, at, ends = form_grams(lexicon.forms[some], order)
+                own = np.bincount(at, weights=np.repeat(seen[some], np.diff(np.concatenate([[0], ends]))), minlength=len(texts))
                 held[0].update(dict(zip(texts, own.astype(np.int64).tolist(), strict=True)))
             lexicon, seen = Lexicon(), np.zeros(0, np.int64)
 
@@ -296,26 +301,30 @@ def score(docs: DataFrame, model: Layers, id_col: str = "doc_id", text_col: str
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     chunks = max(1, -(-size // CHUNK_BYTES), min(tasks, size // LEAST_BYTES))
     key = F.when(F.col("id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("id"))
-    dealt = rows.withColumn("chunk", F.pmod(key, F.lit(chunks)).cast("int")).repartition(chunks, "chunk")
+    dealt = rows.withColumn("chunk", F.pmod(key, F.lit(chunks)).cast("int")).repartition(chunks, "chunk").sortWithinPartitions("chunk")  # one chunk after another
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicons: dict[int, Lexicon] = {}
-        classes: dict[int, np.ndarray] = {}
+        own, lexicon, classes = -1, Lexicon(), np.zeros(0, np.uint64)
+
+        def asked() -> Iterator[pa.RecordBatch]:
+            lower: dict[str, None] = {}
+            for some in pieces(len(lexicon.forms)):
+                lower |= dict.fromkeys(form_grams(lexicon.forms[some], order)[0])
+            for layer, names in enumerate((list(lower), list(dict.fromkeys(class_texts(classes, order))))):
+                for i in range(0, len(names), 65_536):
+                    some = names[i : i + 65_536]
+                    yield pa.record_batch([pa.array([own] * len(some), pa.int32()), pa.array([layer] * len(some), pa.int8()), pa.array(some, pa.string())], ["chunk", "layer", "gram"])
+
         for b in batches:
             for part in slices(b, "text", max_bytes=SLICE_BYTES):
                 chunks_, texts = part.column("chunk").to_numpy(), part.column("text")
                 for chunk in np.unique(chunks_).tolist():
-                    lexicon = lexicons.setdefault(chunk, Lexicon())
+                    if chunk != own:
+                        yield from asked()
+                        own, lexicon, classes = chunk, Lexicon(), np.zeros(0, np.uint64)
                     numbers, ends = lexicon.read(texts.filter(pa.array(chunks_ == chunk)).to_pylist())
-                    own = np.unique(class_codes(lexicon, numbers, ends, order))
-                    classes[chunk] = np.union1d(classes.get(chunk, own), own)
-        while lexicons:
-            chunk, lexicon = lexicons.popitem()
-            for layer, asked in enumerate((form_grams(lexicon.forms, order)[0], class_texts(classes[chunk], order))):
-                asked = list(dict.fromkeys(asked))
-                for i in range(0, len(asked), 65_536):
-                    some = asked[i : i + 65_536]
-                    yield pa.record_batch([pa.array([chunk] * len(some), pa.int32()), pa.array([layer] * len(some), pa.int8()), pa.array(some, pa.string())], ["chunk", "layer", "gram"])
+                    classes = np.union1d(classes, class_codes(lexicon, numbers, ends, order))
+        yield from asked()
 
     def add(texts: pa.Table, answers: pa.Table) -> pa.Table:
         def costs_of(layer: int) -> dict[str, int]:
@@ -334,10 +343,12 @@ def score(docs: DataFrame, model: Layers, id_col: str = "doc_id", text_col: str
                 rows.append((numbers.astype(np.int32), ends))
         del upper
         lower = costs_of(0)
-        names, at, form_ends = form_grams(lexicon.forms, order)
-        price = sums(np.array([lower[g] for g in names], np.int64)[at], form_ends)
-        size = np.diff(np.concatenate([[0], form_ends]))
-        del lower, names, at, lexicon
+        price, size = np.zeros(len(lexicon.forms), np.int64), np.zeros(len(lexicon.forms), np.int64)
+        for some in pieces(len(lexicon.forms)):
+            names, at, ends = form_grams(lexicon.forms[some], order)
+            price[some] = sums(np.array([lower[g] for g in names], np.int64)[at], ends)
+            size[some] = np.diff(np.concatenate([[0], ends]))
+        del lower, lexicon
         symbols = np.concatenate([np.zeros(0, np.int64), *(sums(size[numbers], ends) for numbers, ends in rows)])
         costs = np.concatenate([np.zeros(0, np.int64), *(sums(price[numbers], ends) + top for (numbers, ends), top in zip(rows, tops, strict=True))])
         del rows, tops, price, size

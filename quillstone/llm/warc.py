@@ -9,8 +9,9 @@ valid member or version line begins, goes on from there, and logs the bytes in
 between as a gap.
 
 Cases: a null html is an empty payload; a null url is named by the row's id; rows
-that repeat an id and its payload are all responses; an empty table makes no
-archive and no rows; extra columns are ignored.
+that repeat an id and its payload are all responses; a very long payload or url
+is a record like any other, held whole by one task; an empty table makes no archive
+and no rows; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
