@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions.storage import BROADCAST_ROWS, discard, durable, keep_until_exit, scratch, shared_dir, ship, sized_broadcast
 
-__all__ = ["BROADCAST_ROWS", "discard", "durable", "fresh", "keep_until_exit", "map_arrow", "quoted", "release_memory", "scratch", "shared_dir", "ship", "sized_broadcast", "slices", "table", "texts_of", "without"]
+__all__ = ["BROADCAST_ROWS", "discard", "durable", "fresh", "keep_until_exit", "map_arrow", "merged", "quoted", "release_memory", "scratch", "shared_dir", "ship", "sized_broadcast", "slices", "table", "texts_of", "without"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +67,22 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(run, schema)
 
 
+def merged(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
+    """The batches, small neighbours put together up to ``max_bytes`` of ``column``."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        own = int(pc.sum(pc.binary_length(batch.column(column))).as_py() or 0)
+        if held and size + own > max_bytes:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+        if batch.num_rows:
+            held.append(batch)
+            size += own
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def slices(batch: pa.RecordBatch, column: str, max_rows: int = 512, max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that a slice holds few rows and few bytes of ``column``."""
     n = batch.num_rows

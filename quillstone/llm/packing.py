@@ -25,11 +25,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import durable, map_arrow, ship, slices, texts_of
+from quillstone.llm.common import durable, map_arrow, merged, ship, slices, texts_of
 from quillstone.llm.word_ids import CACHE_ENTRIES, WordBpe
 
 CAPACITY = 4096
 END_ID = 2
+#: Text that is encoded at once: more of it repeats more words.
+SLICE_BYTES = 8 << 20
 #: Windows that a lane of remainders fills, and pieces it may hold.
 LANE_WINDOWS = 256
 LANE_PIECES = 16_384
@@ -48,14 +50,14 @@ def cuts(tokens: int, capacity: int) -> list[int]:
     return [*at, tokens]
 
 
-def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, tokenizer: str | None = None, cache_entries: int = CACHE_ENTRIES) -> DataFrame:
+def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, tokenizer: str | None = None, cache_entries: int = CACHE_ENTRIES, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, and piece_no,
     a number that no other piece of the table has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, number = WordBpe.of(tokenizer, cache_entries), (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
-        for batch in batches:
-            for part in slices(batch, "text", max_rows=4096, max_bytes=2 << 20):
+        for batch in merged(batches, "text", slice_bytes):
+            for part in slices(batch, "text", max_rows=1 << 20, max_bytes=slice_bytes):
                 ids, bounds = bpe.encode(part.column("text"))
                 rows, start, length, crc, tokens = [], [], [], [], []
                 for row, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
@@ -156,7 +158,7 @@ def pack(cut: DataFrame, id_col: str = "doc_id", capacity: int = CAPACITY, lane_
     return packed.unionByName(full).withColumnRenamed("id", id_col)
 
 
-def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, tokenizer: str | None = None, cache_entries: int = CACHE_ENTRIES) -> DataFrame:
+def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, tokenizer: str | None = None, cache_entries: int = CACHE_ENTRIES, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """Pieces of all documents with their sequences: ``pieces`` written once to
     the shared folder, then ``pack``."""
-    return pack(durable(pieces(docs, id_col, text_col, capacity, end_id, tokenizer, cache_entries), "pieces"), id_col, capacity).drop("piece_no")
+    return pack(durable(pieces(docs, id_col, text_col, capacity, end_id, tokenizer, cache_entries, slice_bytes), "pieces"), id_col, capacity).drop("piece_no")

@@ -12,6 +12,9 @@ import pyarrow.compute as pc
 #: Entries in each of the two generations of a worker's cache: fewer take less
 #: memory and more time.
 CACHE_ENTRIES = 400_000
+#: ASCII signs that are neither letters nor digits; not the apostrophe, which begins
+#: units like 's.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class WordCache:
@@ -61,6 +64,9 @@ class WordBpe:
     _open: dict[tuple[str, int], WordBpe] = {}
 
     def __init__(self, path: str, entries: int):
+        import os
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -95,17 +101,38 @@ class WordBpe:
             if len(bounds) == len(part) + 1:
                 raw = ids.tobytes()
                 out |= {w: raw[4 * a : 4 * b] for w, a, b in zip(part, bounds, bounds[1:], strict=False)}
-        return [out[w] if w in out else self._plain(w).tobytes() for w in words]
+        rest = [w for w in words if w not in out]
+        for i in range(0, len(rest), 1024):
+            part = rest[i : i + 1024]
+            found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
+            out |= {w: np.asarray(e.ids, dtype="<u4").tobytes() for w, e in zip(part, found, strict=True)}
+        return [out[w] for w in words]
+
+    @staticmethod
+    def _units(word: str) -> tuple[str, str, str]:
+        """Marks, letters and marks of a word that is no more than these, as the
+        splitter has letters and runs of other signs as units; else a closing mark
+        after a letter apart from the rest; or the word alone."""
+        if word.isascii():
+            word = word.lower()
+        if word.isalpha():
+            return "", word, ""
+        core = word.strip(MARKS)
+        if core.isalpha() and (core.isascii() or core.lower().isalpha()):
+            at = word.index(core)
+            return word[:at], core, word[at + len(core) :]
+        if len(word) > 1 and word[-1] in ",.;:!?" and word[-2].lower().isalpha():
+            return "", word[:-1], word[-1]
+        return "", word, ""
 
     def _encode(self, words: list[str]) -> list[bytes]:
-        """A closing mark after a letter is a unit of its own, and the case of
-        ASCII letters is dropped, so few words remain to be encoded."""
-        split = [(w[:-1], w[-1]) if len(w) > 1 and w[-1] in ",.;:!?" and w[-2].lower().isalpha() else (w, "") for w in words]
-        split = [(w.lower() if w.isascii() else w, mark) for w, mark in split]
-        needed = list({x for pair in split for x in pair if x})
+        """Words share their letters and marks, and the case of ASCII letters is
+        dropped, so few units remain to be encoded."""
+        split = list(map(self._units, words))
+        needed = list({x for units in split for x in units if x})
         known = dict(zip(needed, self.bases.ids(needed), strict=True))
         known[""] = b""
-        return [known[w] + known[mark] for w, mark in split]
+        return [known[a] + known[w] + known[z] for a, w, z in split]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and where each text's begin (one entry more)."""

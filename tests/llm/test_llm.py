@@ -84,7 +84,8 @@ def test_word_ids_equal_the_tokenizer():
     bpe = word_ids.WordBpe.of(None)
     rng = random.Random(2)
     alphabet = "ab Z9 \n\t\x1c\x85  é漢字😀'sll've.,!́ʼⅣ²İΣß†|<|endoftext|>"
-    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40))) for _ in range(3000)] + [t or "" for t in ODD]
+    marked = [rng.choice(["", "(", "#", "<|", "'", "\"", "†"]) + rng.choice(["the", "Énd", "WORD", "x", "a1", "don't", "漢字", "İx", "é", "ʼn", ""]) + rng.choice(["", "!!", ".&&&", "'s", "'", "###", ",", "|>", ")́", "…", "'!s"]) for _ in range(3000)]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40))) for _ in range(3000)] + marked + [" ".join(marked[i : i + 9]) for i in range(0, 3000, 9)] + [t or "" for t in ODD]
     ids, bounds = bpe.encode(pa.array(texts))
     for text, a, b in zip(texts, bounds, bounds[1:], strict=False):
         assert ids[a:b].tolist() == bpe.tokenizer.encode(text, add_special_tokens=False).ids
