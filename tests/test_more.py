@@ -182,3 +182,25 @@ def test_typed_cells():
 def test_sniffing():
     cases = {b"": None, b"\xff\xfe": None, b"a\x00": None, b"PK\x03\x04": None, b" <HTML>": "HTML", b"<!DOCTYPE html>": "HTML", b"a,b\n1,2\n": "CSV", b"a|b|c\n\n1|2|3": "CSV", b'a,"b,c"\n1,2\n': "CSV", b"a,b\n1\n": "TEXT", b"a,b": "TEXT", b"words": "TEXT"}
     assert {k: structure.sniff(k) for k in cases} == cases
+
+
+def test_broadcasts_are_bounded_by_rows_and_bytes(spark):
+    from quillstone.functions.storage import sized_broadcast
+
+    df = spark.range(100).select(F.col("id"), F.repeat(F.lit("x"), 1000).alias("text"))
+    hinted = lambda d: "ResolvedHint" in d._jdf.queryExecution().analyzed().toString() or "UnresolvedHint" in d._jdf.queryExecution().logical().toString()
+    assert hinted(sized_broadcast(df)) and not hinted(sized_broadcast(df, max_rows=99)) and not hinted(sized_broadcast(df, max_bytes=100_000))
+
+
+def test_a_cluster_needs_a_shared_folder():
+    import types
+
+    import pytest
+
+    from quillstone.functions.storage import shared_dir
+
+    session = lambda master, named: types.SimpleNamespace(conf=types.SimpleNamespace(get=lambda k, d: named), sparkContext=types.SimpleNamespace(master=master))
+    assert shared_dir(session("spark://host:7077", "hdfs:///shared/")) == "hdfs:///shared"
+    with pytest.raises(RuntimeError):
+        shared_dir(session("spark://host:7077", None))
+    assert shared_dir(session("local[2]", None)) == shared_dir(session("local[2]", None))

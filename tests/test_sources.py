@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import json
 import zipfile
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -116,3 +117,23 @@ def test_chain_as_a_stream(spark, tmp_path):
         assert events.chain_errors(bad).count() == 1
     finally:
         q.stop()
+
+
+def test_blocks_resolve_to_their_text(spark):
+    html = "<html><head><style>p {}</style><title>A é</title></head><body>😀 <p>one</p><script>if (a<b) x('<p>no</p>')</script><p> two\n</p> </body></html>"
+    df = spark.createDataFrame([(1, html), (2, "plain"), (3, None)], "id int, html string")
+    found = structure.text_blocks(df, "id", "html").join(df, "id").select("id", "ordinal", "text", structure.resolve_text(F.col("html"), F.col("start"), F.col("end")).alias("again"))
+    got = rows(found)
+    assert all(t == a for _, _, t, a in got) and [t for i, _, t, _ in got if i == 1] == ["A é", "😀 ", "one", " two\n"] and [t for i, _, t, _ in got if i == 2] == ["plain"]
+
+
+def test_stream_of_incidents(spark, tmp_path):
+    schema = "id string, audit_case_id string, case_id string, stage string, capability string, operation string, target_document_id string, network_host string, occurred_at timestamp"
+    e = spark.createDataFrame([("e", "c", "c", "BLIND", "WEB_SEARCH", "NETWORK", None, "evil.example", datetime(2025, 5, 1)), ("f", "c", "c", "BLIND", "MODEL_INFERENCE", "NETWORK", None, "ok.example", datetime(2025, 5, 1))], schema)
+    e.write.parquet(str(tmp_path / "in"))
+    sources = spark.createDataFrame([], "document_id string, visibility string, published_at timestamp, metadata_eligible boolean")
+    context = spark.createDataFrame([("c", datetime(2025, 5, 1), None)], "case_id string, evidence_cutoff timestamp, locked_at timestamp")
+    stream = logs.stream_incidents(spark.readStream.schema(e.schema).parquet(str(tmp_path / "in")), sources, context, ["ok.example"])
+    run = stream.writeStream.format("memory").queryName("incidents").option("checkpointLocation", str(tmp_path / "state")).outputMode("append").trigger(availableNow=True).start()
+    run.awaitTermination(120)
+    assert rows(spark.table("incidents"), "code") == [("FORBIDDEN_BLIND_CAPABILITY",), ("FORBIDDEN_BLIND_HOST",)]
