@@ -47,14 +47,39 @@ def hits(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str, config:
     The corpus is never exchanged: its distinct words, with partial counts, meet the
     terms first, and the few words that become a term filter its tokens where they
     are (broadcast by their measured size)."""
-    wanted = terms.select("term").distinct()
+    return _placed(docs, _forms(docs, terms, text_col, config), id_col, text_col)
+
+
+def _forms(docs: DataFrame, terms: DataFrame, text_col: str, config: str) -> DataFrame:
+    """word, term: the corpus's words that become one of ``terms``."""
+    wanted = durable(terms.select("term").distinct(), "terms")
+    if config == "simple":
+        return wanted.select(F.col("term").alias("word"), "term")
     words = docs.select(F.explode(F.array_distinct(tokens(F.col(text_col)))).alias("word")).distinct()
-    stems = words.withColumn("term", F.col("word")) if config == "simple" else words.withColumn("term", stem_words("word")).where("term is not null")
-    forms = durable(stems.join(sized_broadcast(durable(wanted, "terms")), "term"), "word-forms")
+    return durable(words.withColumn("term", stem_words("word")).where("term is not null").join(sized_broadcast(wanted), "term"), "word-forms")
+
+
+def _placed(docs: DataFrame, forms: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.col(id_col), F.posexplode(tokens(F.col(text_col))).alias("position", "word"))
     return rows.join(sized_broadcast(forms), "word").select(id_col, "term", (F.col("position") + 1).alias("position"))
 
 
+def matches_in(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str, config: str = "english") -> DataFrame:
+    """``matches`` without an index: only documents that hold a query's rarest term are
+    asked for its others and for positions, so common terms are never joined."""
+    forms = _forms(docs, terms, text_col, config)
+    each = docs.select(F.col(id_col), F.explode(F.array_distinct(tokens(F.col(text_col)))).alias("word"))
+    held = each.join(sized_broadcast(forms), "word").select(id_col, "term")
+    counts = held.groupBy("term").agg(F.count("*").alias("n"))
+    rare = terms.join(counts, "term", "left").groupBy("query_id").agg(F.min_by("term", F.struct(F.coalesce("n", F.lit(0)), "term")).alias("term"))
+    candidates = durable(held.join(sized_broadcast(durable(rare, "rarest")), "term").select("query_id", id_col).distinct(), "candidates")
+    some = docs.join(sized_broadcast(candidates.select(id_col).distinct()), id_col, "left_semi")
+    at = _placed(some, forms, id_col, text_col).groupBy(id_col, "term").agg(F.sort_array(F.collect_list("position")).alias("at"))
+    hit = candidates.join(terms, "query_id").join(at, [id_col, "term"])
+    found = hit.groupBy("query_id", id_col, "terms").agg(F.array_sort(F.collect_list(F.struct("term", "at"))).alias("hits"))
+    return found.where(F.size("hits") == F.col("terms")).select("query_id", id_col, "hits")
+
+
 def matches(index: DataFrame, terms: DataFrame, id_col: str) -> DataFrame:
     """query_id, id, hits: documents that have every term of a query, with the
     sorted positions of each term."""
@@ -202,15 +227,16 @@ def ranked(rows: DataFrame, id_col: str) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(*order, F.asc(id_col))).cast("long")).where(F.col("rank") <= F.col("limit"))
 
 
-def search(index: DataFrame, docs: DataFrame, queries: DataFrame, id_col: str, config: str = "english", entity_links: DataFrame | None = None, time_links: DataFrame | None = None) -> DataFrame:
+def search(index: DataFrame | None, docs: DataFrame, queries: DataFrame, id_col: str, config: str = "english", entity_links: DataFrame | None = None, time_links: DataFrame | None = None, found: DataFrame | None = None) -> DataFrame:
     """Ranked results of all queries: query_id, rank, id, the component scores,
     total_score, matched_filters.
 
-    ``index`` holds rows of ``positions`` or ``hits``; ``docs`` (secured already) has
+    ``index`` holds rows of ``positions`` or ``hits``, or ``found`` those of
+    ``matches_in``; ``docs`` (secured already) has
     id, evidence_type, document_type; ``queries`` has query_id, query_text,
     evidence_types, document_types, entity_ids, start_at, end_at, limit."""
     queries = normalized_queries(queries)
-    found = rank_matches(matches(index, query_terms(queries, config=config), id_col), id_col)
+    found = rank_matches(matches(index, query_terms(queries, config=config), id_col) if found is None else found, id_col)
     q = queries.select("query_id", "evidence_types", "document_types", "entity_ids", "start_at", "end_at", "limit")
     rows = found.join(docs.select(id_col, "evidence_type", "document_type"), id_col).join(q, "query_id")
     if entity_links is not None:

@@ -424,6 +424,19 @@ def test_search_query_rules_and_guard(spark):
     assert retrieval.normalized_queries(lists).first()[:] == (["a", "b"], [], [1, 2])
 
 
+@pytest.mark.parametrize("config", ["simple", "english"])
+def test_matches_with_and_without_an_index(spark, config):
+    import random
+
+    rng = random.Random(8)
+    words = ["the", "of", "engine", "engines", "valve", "Weather", "rare", "power"]
+    docs = spark.createDataFrame([(i, " ".join(rng.choices(words, [9, 9, 3, 3, 2, 2, 1, 2], k=12)) if i % 17 else None) for i in range(150)], "doc_id long, text string")
+    asked = [(i, " ".join(rng.sample(words, rng.randint(1, 4)))) for i in range(25)] + [(90, "absent the"), (91, "")]
+    terms = retrieval.query_terms(spark.createDataFrame(asked, "query_id long, query_text string"), config=config)
+    flat = lambda df: sorted((r.query_id, r.doc_id, str(r.hits)) for r in df.collect())
+    assert flat(retrieval.matches_in(docs, terms, "doc_id", "text", config)) == flat(retrieval.matches(retrieval.positions(docs, "doc_id", "text", config), terms, "doc_id")) != []
+
+
 @pytest.mark.parametrize("config", ["simple", "english"])
 def test_hits_are_the_positions_of_the_terms(spark, config):
     docs = spark.createDataFrame([(1, "Engine engines powering the power"), (2, "the weather"), (3, None)], "doc_id long, text string")
