@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quillstone.llm.common import map_arrow, quoted, slices, texts_of
+from quillstone.llm.common import fresh, map_arrow, quoted, slices, texts_of
 
 #: Entries in each of the two generations of a worker's cache.
 CACHE_ENTRIES = 400_000
@@ -189,18 +189,19 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank
 
 
 def decode(encoded: DataFrame, ids_col: str = "ids", ranks: str | None = None) -> DataFrame:
-    """The columns of ``encoded`` and decoded: the bytes that the ids spell."""
-    names = encoded.columns
+    """The columns of ``encoded`` and decoded: the bytes that the ids spell. Where a
+    column has that name already, underscores follow it."""
+    names, (added,) = encoded.columns, fresh(encoded, "decoded")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = ByteBpe.of(ranks, None)
         for batch in batches:
             for part in slices(batch, ids_col):
                 spelled = [bpe.decode(x or b"") for x in part.column(ids_col).to_pylist()]
-                yield pa.record_batch([*part.columns, pa.array(spelled, pa.binary())], [*names, "decoded"])
+                yield pa.record_batch([*part.columns, pa.array(spelled, pa.binary())], [*names, added])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
-    return map_arrow(encoded, run, f"{kinds}, decoded binary")
+    return map_arrow(encoded, run, f"{kinds}, `{added}` binary")
 
 
 def lengths(docs: DataFrame, text_col: str = "text", ranks: str | None = None, pattern: str | None = None) -> DataFrame:

@@ -4,13 +4,13 @@ The cascade's levels are Bloom filters: the first holds the listed keys, the nex
 those keys of the corpus that pass it unlisted, the next the listed keys that
 pass that one, and so on until nothing passes wrongly. Over the key universe it
 was built for, membership is then exact. The universe is every host of the table
-and every domain above it.
+and every domain above it; only those that pass the first level, some in a thousand
+beside the listed ones, are ever compared with the list.
 
 Keys are dealt by hash into shards of about ``SHARD_KEYS`` listed keys, each with a
-small filter of its own at every level. While one shard is enough, its filters are
-literals of the plan and a lookup is an expression on their words, without a join;
-of a longer list the shards' filters are a table, and a key's shard finds them
-there (broadcast by its measured size, else by a shuffle): never the listed keys.
+small filter of its own at every level. Filters are literals of the plan and a lookup
+is an expression on their words, without a join; of a list beyond ``PASS_SHARDS``
+shards, so many at a time: each pass over the rows answers for the keys of its shards.
 
 Cases: a null url, or one without ``://``, has an empty host and path, fits no
 rule and is not listed; a very long url is read whole; repeated rows and ids are
@@ -21,18 +21,19 @@ empty list blocks nothing; extra columns are ignored, whatever their names.
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import durable, fresh, quoted, sized_broadcast
+from quillstone.llm.common import durable, quoted, sized_broadcast
 
 BITS_PER_KEY = 12
 HASHES = 6
-#: Listed keys of a shard: its first level has 24,576 words.
-SHARD_KEYS = 1 << 17
+#: Listed keys of a shard (its first level has 24,576 words), and shards whose filters
+#: are literals at once.
+SHARD_KEYS, PASS_SHARDS = 1 << 17, 4
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -109,71 +110,86 @@ def _filters(members: DataFrame, level: int) -> DataFrame:
     return durable(words.groupBy("shard").agg(F.transform(ordered, lambda w: w["bits"]).alias("words")), "url-filters")
 
 
+def _literal(level: DataFrame, first: int, last: int, shard: Column) -> Column:
+    """The words of a key's shard, for the shards from ``first`` to before ``last``,
+    of which there are at most ``PASS_SHARDS``."""
+    found = F.lit(None).cast("array<bigint>")
+    for row in level.where(F.col("shard").between(first, last - 1)).collect():
+        words = F.from_json(F.lit(json.dumps(row.words, separators=(",", ":"))), "array<bigint>")  # folded to a literal
+        found = F.when(shard == row.shard, words).otherwise(found)
+    return found
+
+
 @dataclass(frozen=True)
 class Cascade:
-    """Levels of ``shards`` Bloom filters each; with one shard also as literals."""
+    """Levels of ``shards`` Bloom filters each."""
 
     shards: int
     levels: tuple[DataFrame, ...]
-    literals: tuple[str, ...] | None
 
     def shard(self, key: Column) -> Column:
         return F.pmod(F.xxhash64(key), F.lit(self.shards)).cast("int")
 
-    def verdict(self, key: Column, words: Sequence[Column]) -> Column:
-        """Whether a key of the universe is listed: the first level it fails decides."""
-        found = F.lit(len(words) % 2 == 1)
-        for k in reversed(range(len(words))):
-            found = F.when(~passes(key, k, words[k]), F.lit(k % 2 == 1)).otherwise(found)
-        return found
+    def contains(self, first: int = 0, last: int | None = None) -> Callable[[Column], Column]:
+        """Whether a key of the universe is listed, for keys of the shards from ``first``
+        to before ``last``; false for others. The first level it fails decides."""
+        last = self.shards if last is None else last
 
-    def contains(self, key: Column) -> Column:
-        """Whether a key of the universe is listed, by the literals alone."""
-        return self.verdict(key, [F.from_json(F.lit(text), "array<bigint>") for text in self.literals])  # folded to literals
+        def test(key: Column) -> Column:
+            shard = self.shard(key)
+            found = F.lit(len(self.levels) % 2 == 1)
+            for k, level in reversed(list(enumerate(self.levels))):
+                found = F.when(~passes(key, k, _literal(level, first, last, shard)), F.lit(k % 2 == 1)).otherwise(found)
+            return found & shard.between(first, last - 1)
 
-    def listed(self, hosts: DataFrame) -> DataFrame:
-        """The hosts that are listed, or have a domain above them that is, by the table."""
-        keys = hosts.select("host", F.explode(domains(F.col("host"))).alias("key")).withColumn("shard", self.shard(F.col("key")))
-        for k, level in enumerate(self.levels):
-            keys = keys.join(sized_broadcast(level).withColumnRenamed("words", f"words_{k}"), "shard", "left")
-        return keys.where(self.verdict(F.col("key"), [F.col(f"words_{k}") for k in range(len(self.levels))])).select("host").distinct()
+        return test
 
 
 def cascade(universe: DataFrame, listed: DataFrame, shard_keys: int = SHARD_KEYS) -> Cascade:
-    """Levels for the ``key`` column of both tables."""
-    (mark,) = fresh(universe, "is_listed")
-    marks = listed.select("key").distinct().withColumn(mark, F.lit(True))
-    keys = durable(universe.select("key").join(marks, "key", "left").select("key", F.coalesce(mark, F.lit(False)).alias("listed")), "url-keys")
-    shards = max(1, -(-keys.where("listed").count() // shard_keys))
-    keys = keys.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int"))
-    inside, outside, levels = keys.where("listed"), keys.where(~F.col("listed")), []
+    """Levels for the ``key`` column of both tables. The first is made of the list
+    alone, and what of the universe passes it is all that meets the list."""
+    marks = durable(listed.select("key").where("key <> ''").distinct(), "url-list")
+    # Under one in a hundred of unlisted keys passes the first level, and so is in the second.
+    shards = max(1, -(-max(marks.count(), universe.count() // 100) // shard_keys))
+    dealt = lambda df: df.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int"))
+    marks = dealt(marks)
+    if marks.isEmpty():
+        return Cascade(shards, ())
+    levels = [_filters(marks, 0)]
+    suspects = _passing(dealt(universe.select("key")), levels[0], 0, shards)
+    told = marks.select("key").join(sized_broadcast(suspects.select("key")), "key", "left_semi").withColumn("listed", F.lit(True))
+    known = durable(suspects.join(sized_broadcast(durable(told, "url-told")), "key", "left").select("key", "shard", F.coalesce("listed", F.lit(False)).alias("listed")), "url-suspects")
+    inside, outside = known.where(~F.col("listed")), known.where("listed")
     while not inside.isEmpty():
-        level = _filters(inside, len(levels))
-        passed = outside.join(sized_broadcast(level), "shard").where(passes(F.col("key"), len(levels), F.col("words"))).drop("words")
-        inside, outside = durable(passed, "url-passed"), inside
-        levels.append(level)
-    # With one shard each level has one row, of at most shard_keys * BITS_PER_KEY / 64 words, but
-    # the second: as many as unlisted keys pass the first, some in a thousand.
-    single = tuple(json.dumps(t.first().words, separators=(",", ":")) for t in levels) if shards == 1 and _few_words(levels, shard_keys) else None
-    return Cascade(shards, tuple(levels), single)
+        levels.append(_filters(inside, len(levels)))
+        inside, outside = _passing(outside, levels[-1], len(levels) - 1, shards), inside
+    return Cascade(shards, tuple(levels))
 
 
-def _few_words(levels: Sequence[DataFrame], shard_keys: int) -> bool:
-    """Whether all levels together are no longer than two full first levels."""
-    return sum(t.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0] for t in levels) <= 2 * -(-shard_keys * BITS_PER_KEY // 64)
+def _passing(keys: DataFrame, level: DataFrame, number: int, shards: int) -> DataFrame:
+    """key and shard of the ``keys`` that pass a level, block of shards by block."""
+    out = None
+    for first in range(0, shards, PASS_SHARDS):
+        last = min(first + PASS_SHARDS, shards)
+        part = keys.where(F.col("shard").between(first, last - 1) & passes(F.col("key"), number, _literal(level, first, last, F.col("shard"))))
+        part = durable(part, "url-passed")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def judge(pages: DataFrame, rules: Sequence[str], listed: DataFrame, id_col: str = "page_id", url_col: str = "url", shard_keys: int = SHARD_KEYS) -> DataFrame:
     """id, host, path, rule, verdict, listed: the longest rule that fits decides,
     else whether the host or a domain above it is in ``listed`` (column key)."""
     parsed = pages.select(quoted(id_col).alias("id"), *(f(F.coalesce(quoted(url_col), F.lit(""))).alias(n) for n, f in (("host", host_of), ("path", path_of))))
-    hosts = durable(parsed.select("host").distinct(), "url-hosts")
-    found = cascade(hosts.select(F.explode(domains(F.col("host"))).alias("key")).distinct(), listed, shard_keys)
-    if found.literals is not None:
-        parsed = parsed.withColumn("listed", F.exists(domains(F.col("host")), found.contains))
-    else:
-        bad = durable(found.listed(hosts), "url-listed").withColumn("listed", F.lit(True))
-        parsed = parsed.join(sized_broadcast(bad), "host", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
+    keys = parsed.select("host").distinct().select(F.explode(domains(F.col("host"))).alias("key")).distinct()
+    found = cascade(durable(keys, "url-keys"), listed, shard_keys)
+    parsed = parsed.withColumn("listed", F.lit(False))
+    if found.levels:
+        for first in range(0, found.shards, PASS_SHARDS):
+            test = found.contains(first, min(first + PASS_SHARDS, found.shards))
+            parsed = parsed.withColumn("listed", F.col("listed") | F.exists(domains(F.col("host")), test))
+            if first + PASS_SHARDS < found.shards:
+                parsed = durable(parsed, "url-judged")
     host, path = F.col("host"), F.col("path")
     rule, verdict = F.lit(None).cast("string"), F.when(F.col("listed"), F.lit("block")).otherwise(F.lit("allow"))
     for r in reversed(parse_rules(rules)):

@@ -59,7 +59,9 @@ def gather(parts: list[bytes], codes: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 class WordBpe:
     """A tokenizer file whose normaliser and splitter treat white space only as
-    a boundary, so that a text's ids are those of its words, one by one."""
+    a boundary, so that a text's ids are those of its words, one by one; others are
+    refused. That case does not matter and marks are units of their own is known of
+    the default file only: words of others are encoded as they are."""
 
     _open: dict[tuple[str, int], WordBpe] = {}
 
@@ -71,17 +73,23 @@ class WordBpe:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.cache = WordCache(self._encode, entries)
+        if not all(self._plain(f" {a}  {b}\n").tolist() == [*self._plain(a), *self._plain(b)] for a, b in (("one", "Two,"), ("the", "3.5"))):
+            raise ValueError(f"white space is more than a boundary in {path}")
+        self.cache = WordCache(self._encode if path == self.default() else self._alone, entries)
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
         self.bases = WordCache(self._encode_bases, entries)
 
-    @classmethod
-    def of(cls, path: str | None, entries: int = CACHE_ENTRIES) -> WordBpe:
+    @staticmethod
+    def default() -> str:
         import public_tokenizers
 
-        key = (path or public_tokenizers.path("word_bpe_49k.json"), entries)
+        return public_tokenizers.path("word_bpe_49k.json")
+
+    @classmethod
+    def of(cls, path: str | None, entries: int = CACHE_ENTRIES) -> WordBpe:
+        key = (path or cls.default(), entries)
         if key not in cls._open:
             cls._open[key] = cls(*key)
         return cls._open[key]
@@ -102,12 +110,17 @@ class WordBpe:
                 raw = ids.tobytes()
                 out |= {w: raw[4 * a : 4 * b] for w, a, b in zip(part, bounds, bounds[1:], strict=False)}
         rest = [w for w in words if w not in out]
-        for i in range(0, len(rest), 1024):
-            part = rest[i : i + 1024]
-            found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            out |= {w: np.asarray(e.ids, dtype="<u4").tobytes() for w, e in zip(part, found, strict=True)}
+        out |= dict(zip(rest, self._alone(rest), strict=True))
         return [out[w] for w in words]
 
+    def _alone(self, words: list[str]) -> list[bytes]:
+        """Ids of each word by itself."""
+        out = []
+        for i in range(0, len(words), 1024):
+            found = self.tokenizer.encode_batch_fast(words[i : i + 1024], add_special_tokens=False)
+            out += [np.asarray(e.ids, dtype="<u4").tobytes() for e in found]
+        return out
+
     @staticmethod
     def _units(word: str) -> tuple[str, str, str]:
         """Marks, letters and marks of a word that is no more than these, as the

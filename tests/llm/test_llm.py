@@ -533,12 +533,11 @@ def test_quality_accepts_by_held_out_quantiles(spark):
     df = frame(spark, texts)
     trusted = df.where("doc_id < 600").select("doc_id")
     rows = {r.doc_id: r for r in quality.judge(df, trusted).collect()}
-    held = {r.doc_id for r in trusted.where(F.pmod(F.xxhash64("doc_id"), F.lit(quality.HELD_OUT)) == 0).collect()}
+    held = range(600)  # each is judged by the half of the others that it is not in
     mean = sum(rows[i].cost for i in held) / quality.SCALE / sum(rows[i].symbols for i in held)
     over = {i: math.ceil((r.cost / quality.SCALE - mean * r.symbols) * 1000 / math.sqrt(r.symbols)) for i, r in rows.items()}
-    spread = math.sqrt(sum(over[i] ** 2 for i in held) / (len(held) - 1))
-    limit = max(sorted(over[i] for i in held)[math.ceil(len(held) * quality.QUANTILE) - 1], math.ceil(quality.DEVIATIONS * spread))
-    assert 30 < len(held) < 100 and all(abs(r.excess - over[i]) <= 1 and abs(r.threshold - limit) <= 4 and r.accepted == (r.excess <= r.threshold) for i, r in rows.items())
+    limit = sorted(over[i] for i in held)[math.ceil(len(held) * quality.QUANTILE) - 1]
+    assert all(abs(r.excess - over[i]) <= 1 and abs(r.threshold - limit) <= 4 and r.accepted == (r.excess <= r.threshold) for i, r in rows.items())
     share = lambda a, b: sum(rows[i].accepted for i in range(a, b)) / (b - a)
     assert share(600, 700) >= 0.95 and share(700, 740) <= 0.1 and share(740, 780) <= 0.1 and share(780, 820) == 0
     kept = quality.accepted(df, trusted)
@@ -723,8 +722,7 @@ def test_cascade_is_exact_with_weak_filters(spark, monkeypatch, shard_keys):
     listed = universe.where(F.substring("key", 2, 9).cast("long") % 5 == 0)
     found = url_filter.cascade(universe, listed, shard_keys)
     assert len(found.levels) > 2 and found.shards == -(-600 // shard_keys)
-    got = found.listed(universe.withColumnRenamed("key", "host"))
-    assert {r.host for r in got.collect()} == {f"k{i}" for i in range(0, 3000, 5)}
-    if found.literals is not None:
-        got = universe.where(found.contains(F.col("key")))
-        assert {r.key for r in got.collect()} == {f"k{i}" for i in range(0, 3000, 5)}
+    got = universe.where(found.contains()(F.col("key")))
+    assert {r.key for r in got.collect()} == {f"k{i}" for i in range(0, 3000, 5)}
+    parts = [universe.where(found.contains(i, i + 1)(F.col("key"))).count() for i in range(found.shards)]
+    assert sum(parts) == 600
