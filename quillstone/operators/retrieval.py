@@ -120,32 +120,56 @@ def rank_matches(found: DataFrame, id_col: str) -> DataFrame:
     return scored.select("query_id", id_col, F.col("score").cast("string").cast("decimal(38,20)").alias("fts_score"))
 
 
-def entity_scores(links: DataFrame, wanted: DataFrame, id_col: str) -> DataFrame:
+def entity_scores(links: DataFrame, wanted: DataFrame, id_col: str, scope: Sequence[str] = ()) -> DataFrame:
     """query_id, id, entity_score: the share of a query's entities that a document
-    is linked to. ``wanted`` has query_id, entity_id; ``links`` has id, entity_id."""
+    is linked to. ``wanted`` has query_id, entity_id; ``links`` has id, entity_id; both
+    have the columns of ``scope``, in which they must agree."""
     of = wanted.distinct().withColumn("__n", F.count("*").over(W.partitionBy("query_id")))
-    hit = of.join(links.select(id_col, "entity_id").distinct(), "entity_id")
+    hit = of.join(links.select(id_col, "entity_id", *scope).distinct(), ["entity_id", *scope])
     return hit.groupBy("query_id", id_col, "__n").agg(F.count("*").alias("hit")).select("query_id", id_col, (F.col("hit").cast("decimal(38,0)") / F.col("__n")).cast("decimal(38,20)").alias("entity_score"))
 
 
-def time_hits(links: DataFrame, windows: DataFrame, id_col: str, buckets: int = 256) -> DataFrame:
+#: Intervals that each event is compared with; of more, those of its bucket.
+COMPARED_WINDOWS = 256
+
+
+def time_hits(links: DataFrame, windows: DataFrame, id_col: str, buckets: int = 256, scope: Sequence[str] = (), compared: int = COMPARED_WINDOWS) -> DataFrame:
     """query_id, id of documents with a linked event inside the query's closed
     interval. ``links`` has id, occurred_at; ``windows`` has query_id, start_at,
-    end_at; queries without either end are left out.
-
-    Times are cut into buckets of about equal rows, so an interval meets the buckets
-    that it touches by an equal join, however many intervals there are."""
-    w = windows.where("start_at is not null or end_at is not null").select("query_id", "start_at", "end_at")
-    timed = links.where("occurred_at is not null").select(id_col, "occurred_at")
+    end_at; both have the columns of ``scope``, in which they must agree; queries
+    without either end are left out.
+
+    Up to ``compared`` intervals are broadcast and compared where the events are. Of more,
+    times are cut into buckets of about equal rows, found by binary search, so an interval
+    meets the buckets that it touches by an equal join, however many intervals there are."""
+    w = windows.where("(start_at is not null or end_at is not null) and (start_at is null or end_at is null or start_at <= end_at)").select("query_id", *scope, "start_at", "end_at")
+    timed = links.where("occurred_at is not null").select(id_col, *scope, "occurred_at")
+    inside = within_optional(F.col("occurred_at"), F.col("start_at"), F.col("end_at"))
+    if w.limit(compared + 1).count() <= compared:
+        spread = F.broadcast(w.withColumnsRenamed({c: f"w_{c}" for c in scope}))
+        for c in scope:
+            inside &= F.col(c) == F.col(f"w_{c}")
+        return timed.join(spread, inside).select("query_id", id_col).distinct()
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     shares = [i / buckets for i in range(1, buckets)]
     edges = timed.agg(F.array_sort(F.array_distinct(F.percentile_approx(micros("occurred_at"), shares, 10_000)))).first()[0] or []
-    edges_ = F.array(*(F.lit(x).cast("long") for x in edges)) if edges else F.array().cast("array<bigint>")
-    bucket = lambda t: F.size(F.filter(edges_, lambda e: e <= t))
-    low, high = F.coalesce(bucket(micros("start_at")), F.lit(0)), F.when(F.col("end_at").isNull(), len(edges)).otherwise(bucket(micros("end_at")))
-    spread = w.where("start_at is null or end_at is null or start_at <= end_at").withColumn("bucket", F.explode(F.sequence(F.when(F.col("start_at").isNull(), 0).otherwise(low), high)))
-    placed = timed.withColumn("bucket", bucket(micros("occurred_at")))
-    return placed.join(spread, "bucket").where(within_optional(F.col("occurred_at"), F.col("start_at"), F.col("end_at"))).select("query_id", id_col).distinct()
+    placed = _with_bucket(timed.withColumn("__at", micros("occurred_at")), "__at", edges)
+    ends = _with_bucket(_with_bucket(w.withColumns({"__a": F.coalesce(micros("start_at"), F.lit(-(1 << 62))), "__b": F.coalesce(micros("end_at"), F.lit(1 << 62))}), "__a", edges, "low"), "__b", edges, "high")
+    spread = ends.select("query_id", *scope, "start_at", "end_at", F.explode(F.sequence("low", "high")).alias("bucket"))
+    return placed.join(spread, ["bucket", *scope]).where(inside).select("query_id", id_col).distinct()
+
+
+def _with_bucket(df: DataFrame, at: str, edges: Sequence[int], name: str = "bucket") -> DataFrame:
+    """``df`` with the number of sorted ``edges`` up to each value, in place of the value:
+    nested halves, so that a value meets a few edges only."""
+
+    def between(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(F.col(at) < edges[middle], between(low, middle)).otherwise(between(middle + 1, high))
+
+    return df.withColumn(name, between(0, len(edges))).drop(at)
 
 
 def weighted_score(components: dict[str, Column], weights: dict[str, str] = FTS_WEIGHTS) -> Column:
@@ -220,31 +244,40 @@ def scored(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"total_score": weighted_score({k: F.col(f"{k}_score") for k in FTS_WEIGHTS}), "matched_filters": filters})
 
 
+#: Results that a query may ask for.
+MOST_RESULTS = 50
+
+
 def ranked(rows: DataFrame, id_col: str) -> DataFrame:
-    """The first ``limit`` rows of each query by total, then by each component, then
-    by id, with their rank from 1."""
+    """The first ``limit`` rows (at most ``MOST_RESULTS``) of each query by total, then by
+    each component, then by id, with their rank from 1. The constant bound lets a task keep
+    only so many rows of a query before they are exchanged."""
     order = [F.desc(c) for c in ("total_score", "fts_score", "entity_score", "time_score", "type_score")]
-    return rows.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(*order, F.asc(id_col))).cast("long")).where(F.col("rank") <= F.col("limit"))
+    first = rows.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(*order, F.asc(id_col)))).where(F.col("rank") <= MOST_RESULTS)
+    return first.where(F.col("rank") <= F.col("limit")).withColumn("rank", F.col("rank").cast("long"))
 
 
-def search(index: DataFrame | None, docs: DataFrame, queries: DataFrame, id_col: str, config: str = "english", entity_links: DataFrame | None = None, time_links: DataFrame | None = None, found: DataFrame | None = None) -> DataFrame:
+def search(index: DataFrame | None, docs: DataFrame, queries: DataFrame, id_col: str, config: str = "english", entity_links: DataFrame | None = None, time_links: DataFrame | None = None, found: DataFrame | None = None, scope: Sequence[str] = ()) -> DataFrame:
     """Ranked results of all queries: query_id, rank, id, the component scores,
     total_score, matched_filters.
 
     ``index`` holds rows of ``positions`` or ``hits``, or ``found`` those of
-    ``matches_in``; ``docs`` (secured already) has
+    ``matches_in`` or of a stored index; ``docs`` (secured already) has
     id, evidence_type, document_type; ``queries`` has query_id, query_text,
-    evidence_types, document_types, entity_ids, start_at, end_at, limit."""
+    evidence_types, document_types, entity_ids, start_at, end_at, limit. All but ``found``
+    have the columns of ``scope``, in which they must agree. ``search_index.evidence_search``
+    is the whole search, with its guards."""
     queries = normalized_queries(queries)
     found = rank_matches(matches(index, query_terms(queries, config=config), id_col) if found is None else found, id_col)
-    q = queries.select("query_id", "evidence_types", "document_types", "entity_ids", "start_at", "end_at", "limit")
-    rows = found.join(docs.select(id_col, "evidence_type", "document_type"), id_col).join(q, "query_id")
+    q = queries.select("query_id", *scope, "evidence_types", "document_types", "entity_ids", "start_at", "end_at", "limit")
+    rows = found.join(q, "query_id").join(docs.select(id_col, *scope, "evidence_type", "document_type"), [id_col, *scope])
     if entity_links is not None:
-        rows = rows.join(entity_scores(entity_links, queries.select("query_id", F.explode("entity_ids").alias("entity_id")), id_col), ["query_id", id_col], "left")
+        wanted = queries.select("query_id", *scope, F.explode("entity_ids").alias("entity_id"))
+        rows = rows.join(entity_scores(entity_links, wanted, id_col, scope), ["query_id", id_col], "left")
     else:
         rows = rows.withColumn("entity_score", F.lit(None).cast("decimal(38,20)"))
     if time_links is not None:
-        rows = rows.join(time_hits(time_links, queries, id_col).withColumn("time_hit", F.lit(True)), ["query_id", id_col], "left")
+        rows = rows.join(time_hits(time_links, queries, id_col, scope=scope).withColumn("time_hit", F.lit(True)), ["query_id", id_col], "left")
     else:
         rows = rows.withColumn("time_hit", F.lit(None).cast("boolean"))
     return ranked(scored(rows), id_col).select("query_id", "rank", id_col, "fts_score", "entity_score", "time_score", "type_score", "total_score", "matched_filters")

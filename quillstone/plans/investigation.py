@@ -226,29 +226,6 @@ def canonical_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.alias("text"))
 
 
-def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every benchmark text, whole, as a query."""
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
-
-
-@query(r"""WITH q AS (SELECT item_id AS query_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))) AS term FROM benchmark),
-        n AS (SELECT query_id, count(*) AS n FROM q GROUP BY 1), d AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))) AS term FROM documents)
-      SELECT query_id, doc_id FROM q JOIN d USING (term) JOIN n USING (query_id) GROUP BY query_id, doc_id, n HAVING count(*) = n""")
-def fts_match_simple(spark: SparkSession, sf_dir: str) -> DataFrame:
-    terms = retrieval.query_terms(_queries(spark, sf_dir), config="simple")
-    return retrieval.matches_in(table(spark, sf_dir, "documents"), terms, "doc_id", "text", "simple").select("query_id", "doc_id")
-
-
-@query()
-def fts_search_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, i = table(spark, sf_dir, "documents"), F.col("doc_id")
-    found = retrieval.matches_in(docs, retrieval.query_terms(_queries(spark, sf_dir)), "doc_id", "text")
-    facts = docs.select("doc_id", F.element_at(F.array(*map(F.lit, V.EVIDENCE_TYPES)), (i % 5 + 1).cast("int")).alias("evidence_type"), F.when(i % 2 == 0, "TEXT").otherwise("HTML").alias("document_type"))
-    none = F.array().cast("array<string>")
-    asked = _queries(spark, sf_dir).select("*", F.when(F.col("query_id") % 4 == 0, F.array(F.lit("TEXT"), F.lit("TABLE"))).otherwise(none).alias("evidence_types"), none.alias("document_types"), F.array().cast("array<bigint>").alias("entity_ids"), F.lit(None).cast("timestamp").alias("start_at"), F.lit(None).cast("timestamp").alias("end_at"), F.lit(50).alias("limit"))
-    return retrieval.search(None, facts, asked, "doc_id", found=found)
-
-
 @query("""WITH w AS (SELECT p_partkey % 50 AS query_id, p_partkey AS entity_id FROM part), n AS (SELECT query_id, count(*) AS n FROM w GROUP BY 1)
       SELECT query_id, l_orderkey, round(count(DISTINCT l_partkey) * 1.0 / n, 6)::DOUBLE AS entity_score FROM w JOIN lineitem ON l_partkey = entity_id JOIN n USING (query_id) GROUP BY query_id, l_orderkey, n""")
 def entity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

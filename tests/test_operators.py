@@ -467,8 +467,8 @@ def test_time_hits_in_buckets(spark):
     spans = [(q, CUTOFF + timedelta(hours=rng.randrange(1000)) if q % 4 else None, CUTOFF + timedelta(hours=rng.randrange(1000)) if q % 3 else None) for q in range(40)]
     windows = spark.createDataFrame([*spans, (99, CUTOFF, CUTOFF)], "query_id long, start_at timestamp, end_at timestamp")
     want = sorted((q, i) for q, a, b in [*spans, (99, CUTOFF, CUTOFF)] for i, t in enumerate(at) if (a or b) and i % 9 and (a is None or t >= a) and (b is None or t <= b))
-    for n in (256, 4):
-        assert rows(retrieval.time_hits(links, windows, "id", n), "query_id", "id") == want
+    for n, compared in ((256, 256), (256, 5), (4, 5)):
+        assert rows(retrieval.time_hits(links, windows, "id", n, compared=compared), "query_id", "id") == want
     assert retrieval.time_hits(links.where("false"), windows, "id").count() == 0
 
 
