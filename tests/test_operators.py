@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillstone.functions import canonical, english, vocabulary
-from quillstone.operators import audit, components, events, falsification, integrity, jobs, materiality, promotion, relational, replay, retrieval, visibility
+from quillstone.operators import audit, components, events, falsification, integrity, jobs, materiality, promotion, relational, replay, replay_fold, retrieval, visibility
 
 CUTOFF = datetime(2025, 5, 1)
 
@@ -271,9 +271,20 @@ def test_replay_rules(spark):
         (lambda log: log.pop(9), "UNKNOWN_HYPOTHESIS"), (edit(15, record={"strength": "LOW"}), "TEST_NOT_PROPOSED"), (edit(19, record={"before": "0.4100"}), "REVISION_BEFORE"), (edit(19, record={"test_deltas": []}), "REVISION_LEAVES_TESTS_OUT"),
         (lambda log: log.pop(17), "REVISION_NEEDS_SUCCEEDED"), (twin(19, "v2"), "REVISED_TWICE"), (edit(4, previous_stage="GENERATE_HYPOTHESES"), "WRONG_STAGE"), (edit(4, previous_stage="GENERATE_HYPOTHESES"), "STAGE_ORDER"),
         (lambda log: log.insert(22, end), "COMPLETION_STAGE"), (lambda log: log.insert(22, end), "TERMINAL"), (edit(14, record={"hypothesis_id": "h9"}), "TEST_OF_OTHER_HYPOTHESIS"), (edit(19, record={"hypothesis_id": "h9"}), "REVISION_OF_OTHER_HYPOTHESIS"),
+        (lambda log: log.insert(6, log[0]), "STARTED_AFTER_START"),
     ]
     got = {}
-    for inv, _, error in rows(replay.replay_errors(changed_logs(spark, [c for c, _ in exact + among])), "investigation_id", "sequence", "error"):
+    logs = changed_logs(spark, [c for c, _ in exact + among]).cache()
+    found = rows(replay.replay_errors(logs), "investigation_id", "sequence", "error")
+    assert rows(replay_fold.replay_errors(logs), "investigation_id", "sequence", "error") == found
+    for split in (1, 16, 30):  # a later replay goes on from the snapshots of an earlier one
+        part = logs.where(F.col("sequence") <= split)
+        early, (_, kept) = replay_fold.replay_errors(part), replay_fold.fold(part)
+        late = replay_fold.replay_errors(logs, kept)
+        assert rows(early.unionByName(late), "investigation_id", "sequence", "error") == found
+    forged = kept.withColumn("event_hash", F.lit("0" * 64)).withColumn("sequence", F.lit(20).cast("long"))
+    assert {r.error for r in replay_fold.fold(logs.where("sequence <= 21"), forged)[0].collect()} >= {"SNAPSHOT_HEAD"}
+    for inv, _, error in found:
         got.setdefault(int(inv[-3:]), set()).add(error)
     assert [got[i] for i in range(len(exact))] == [{e} for _, e in exact]
     assert all(e in got[len(exact) + i] for i, (_, e) in enumerate(among)), [(e, got[len(exact) + i]) for i, (_, e) in enumerate(among)]
