@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillstone.functions.storage import durable, sized_broadcast
 from quillstone.operators.components import connected_components
 from quillstone.operators.relational import row_batches
 
@@ -94,11 +95,28 @@ def token_overlap(left: Column, right: Column) -> tuple[Column, Column]:
 
 
 def too_similar(drafts: DataFrame, by: str, id_col: str, tokens: str) -> DataFrame:
-    """Pairs of a group's drafts (a handful each) whose overlap is over 3/4."""
-    a = drafts.select(F.col(by), F.col(id_col).alias("left_id"), F.col(tokens).alias("lt"))
-    b = drafts.select(F.col(by), F.col(id_col).alias("right_id"), F.col(tokens).alias("rt"))
+    """Pairs of a group's drafts whose overlap is over 3/4, with shared and total tokens.
+
+    Of a set of n tokens, rarest first, any set with such an overlap has one among the
+    first n - ceil(3n/4) + 1, so only drafts that share one of those and whose sizes allow
+    it are compared. Counts order tokens and decide nothing. Empty sets, whose overlap is
+    one, share an empty token; a null set counts as empty; a group that is null has no pairs."""
+    sets = drafts.where(F.col(by).isNotNull() & F.col(id_col).isNotNull())
+    sets = durable(sets.select(F.col(by).alias("g"), F.col(id_col).alias("id"), F.array_distinct(F.coalesce(F.col(tokens), F.array().cast("array<string>"))).alias("tokens")), "token-sets")
+    each = sets.select("g", "id", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
+    seen = durable(each.groupBy("token").agg(F.count("*").alias("n")), "token-counts")
+    ordered = each.join(sized_broadcast(seen), "token").groupBy("g", "id", "size").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("t"))
+    first = F.col("size") - F.ceil(F.col("size") * 3 / 4).cast("int") + 1
+    posted = ordered.select("g", "id", "size", F.explode(F.slice("t.token", 1, first)).alias("token"))
+    posted = durable(posted.unionByName(sets.where(F.size("tokens") == 0).select("g", "id", F.lit(0).alias("size"), F.lit("").alias("token"))), "token-prefixes")
+    left, right = (posted.select("g", "token", F.col("id").alias(f"{side}_id"), F.col("size").alias(f"{side}_size")) for side in ("left", "right"))
+    fit = (F.col("left_id") < F.col("right_id")) & (F.col("left_size") * 4 >= F.col("right_size") * 3) & (F.col("right_size") * 4 >= F.col("left_size") * 3)
+    pairs = durable(left.join(right, ["g", "token"]).where(fit).select("g", "left_id", "right_id").distinct(), "token-pairs")
+    a, b = (sets.select("g", F.col("id").alias(f"{side}_id"), F.col("tokens").alias(name)) for side, name in (("left", "lt"), ("right", "rt")))
     inter, union = token_overlap(F.col("lt"), F.col("rt"))
-    return a.join(b, by).where("left_id < right_id").select(by, "left_id", "right_id", inter.cast("long").alias("shared"), union.cast("long").alias("total")).where("4 * shared > 3 * total")
+    both = pairs.join(a, ["g", "left_id"]).join(b, ["g", "right_id"])
+    found = both.select(F.col("g").alias(by), "left_id", "right_id", inter.cast("long").alias("shared"), union.cast("long").alias("total"))
+    return found.where("4 * shared > 3 * total")
 
 
 def new_id(*parts: Column) -> Column:

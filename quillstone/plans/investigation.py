@@ -184,6 +184,11 @@ def duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events of each user as one chained investigation."""
+    return events.append(chain_rows(spark, sf_dir))
+
+
+def chain_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Those events, without hashes."""
     e = table(spark, sf_dir, "events")
     n = F.row_number().over(W.partitionBy("user_id").orderBy("event_id"))
     rows = e.select(F.concat(F.lit("inv-"), F.col("user_id").cast("string")).alias("investigation_id"), F.lit("case").alias("case_id"), n.cast("long").alias("sequence"), F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("id"), "event_type", "value", "event_id")
@@ -192,7 +197,7 @@ def chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.withColumn("event_type", kind).withColumn("target_type", F.when(first, "investigation").otherwise("claim")).withColumn("target_id", F.when(first, F.col("investigation_id")).otherwise(F.concat(F.lit("c"), (F.col("event_id") % 5).cast("string"), F.lit("-"), "id")))
     payload = canonical.object_text({"kind": canonical.string_text(F.col("event_type")), "n": canonical.number_text(F.col("event_id")), "current_stage": canonical.string_text(F.lit(V.STAGES[0])), "status": canonical.string_text(F.lit("PENDING"))})
     rows = rows.withColumn("payload", payload).withColumn("model_run_id", F.lit(None).cast("string"))
-    return events.append(rows.select("investigation_id", "case_id", "sequence", "id", "event_type", "target_type", "target_id", "payload", "model_run_id", "event_id"))
+    return rows.select("investigation_id", "case_id", "sequence", "id", "event_type", "target_type", "target_id", "payload", "model_run_id", "event_id")
 
 
 @query("SELECT 'DIGEST' AS error, count(*) AS n FROM events WHERE event_id % 7 = 3")
@@ -202,12 +207,16 @@ def event_chain_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.chain_errors(tampered).groupBy("error").agg(F.count("*").alias("n"))
 
 
-@query("""WITH RECURSIVE o AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS s FROM events),
+#: Hashes h of every user's events s, as SQL folds them.
+CHAIN_SQL = """o AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS s FROM events),
         t AS (SELECT *, '", "payload": {"n": ' || event_id::VARCHAR || ', "kind": "' || CASE WHEN s = 1 THEN 'INVESTIGATION_STARTED' ELSE 'CLAIM_CREATED' END || '", "status": "PENDING", "current_stage": "PROMOTE_TIMELINE"}, "sequence": ' || s::VARCHAR
                      || ', "target_id": "' || CASE WHEN s = 1 THEN 'inv-' || user_id::VARCHAR ELSE 'c' || (event_id % 5)::VARCHAR || '-e' || event_id::VARCHAR END || '", "event_type": "' || CASE WHEN s = 1 THEN 'INVESTIGATION_STARTED' ELSE 'CLAIM_CREATED' END
                      || '", "target_type": "' || CASE WHEN s = 1 THEN 'investigation' ELSE 'claim' END || '", "model_run_id": null, "previous_hash": ' AS head, ', "investigation_id": "inv-' || user_id::VARCHAR || '"}' AS tail FROM o),
         c AS (SELECT user_id, s, sha256('{"case_id": "case' || head || 'null' || tail) AS h FROM t WHERE s = 1
-              UNION ALL SELECT t.user_id, t.s, sha256('{"case_id": "case' || t.head || '"' || c.h || '"' || t.tail) FROM c JOIN t ON t.user_id = c.user_id AND t.s = c.s + 1)
+              UNION ALL SELECT t.user_id, t.s, sha256('{"case_id": "case' || t.head || '"' || c.h || '"' || t.tail) FROM c JOIN t ON t.user_id = c.user_id AND t.s = c.s + 1)"""
+
+
+@query(f"""WITH RECURSIVE {CHAIN_SQL}
       SELECT 'inv-' || user_id::VARCHAR AS investigation_id, max(s) AS events, max_by(h, s) AS head FROM c GROUP BY user_id""")
 def event_chain_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Length and head of every user's chain, which SQL folds one event a round."""
@@ -343,20 +352,24 @@ def recall_gate_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def token_jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of eight neighbouring documents, a group as drafts are, whose folded
-    tokens overlap too much; SQL has no compatibility folding."""
-    drafts = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 8).alias("g"), "doc_id", english.folded_tokens(F.col("text")).alias("tokens"))
-    return promotion.too_similar(drafts, "g", "doc_id", "tokens").select("g", "left_id", "right_id")
-
-
-@query(r"""WITH d AS (SELECT doc_id // 8 AS g, doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM documents),
-        x AS (SELECT g, doc_id, len(t) AS n, unnest(t) AS w FROM d), s AS (SELECT a.g, a.doc_id AS left_id, b.doc_id AS right_id, count(*) AS shared, any_value(a.n + b.n) AS total FROM x a JOIN x b ON a.g = b.g AND a.w = b.w AND a.doc_id < b.doc_id GROUP BY 1, 2, 3)
-      SELECT g, left_id, right_id FROM s WHERE 4 * shared > 3 * (total - shared)
-      UNION ALL SELECT a.g, a.doc_id, b.doc_id FROM d a JOIN d b ON a.g = b.g AND a.doc_id < b.doc_id AND len(a.t) = 0 AND len(b.t) = 0""")
+    """Pairs of documents of a language whose folded tokens overlap too much; SQL has no
+    compatibility folding."""
+    drafts = table(spark, sf_dir, "documents").select("lang", "doc_id", english.folded_tokens(F.col("text")).alias("tokens"))
+    return promotion.too_similar(drafts, "lang", "doc_id", "tokens").select("lang", "left_id", "right_id", "shared", "total")
+
+
+@query(r"""
+    WITH d AS (SELECT lang, doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM documents),
+         x AS (SELECT lang, doc_id, len(t) AS n, unnest(t) AS w FROM d),
+         s AS (SELECT a.lang, a.doc_id AS left_id, b.doc_id AS right_id, count(*) AS shared, any_value(a.n + b.n) AS sizes
+               FROM x a JOIN x b ON a.lang = b.lang AND a.w = b.w AND a.doc_id < b.doc_id AND 4 * a.n >= 3 * b.n AND 4 * b.n >= 3 * a.n GROUP BY 1, 2, 3)
+    SELECT lang, left_id, right_id, shared, sizes - shared AS total FROM s WHERE 4 * shared > 3 * (sizes - shared)
+    UNION ALL SELECT a.lang, a.doc_id, b.doc_id, 1, 1 FROM d a JOIN d b ON a.lang = b.lang AND a.doc_id < b.doc_id AND len(a.t) = 0 AND len(b.t) = 0
+""")
 def ascii_token_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0)))
-    drafts = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 8).alias("g"), "doc_id", words.alias("tokens"))
-    return promotion.too_similar(drafts, "g", "doc_id", "tokens").select("g", "left_id", "right_id")
+    drafts = table(spark, sf_dir, "documents").select("lang", "doc_id", words.alias("tokens"))
+    return promotion.too_similar(drafts, "lang", "doc_id", "tokens").select("lang", "left_id", "right_id", "shared", "total")
 
 
 @query("""WITH RECURSIVE e AS (SELECT c_custkey AS a, c_custkey - 1 AS b FROM customer WHERE c_custkey % 6 <> 1 AND c_custkey % 10 <> 0 UNION ALL SELECT c_custkey, c_custkey FROM customer),
