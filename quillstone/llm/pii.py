@@ -170,7 +170,7 @@ def _vote(yes: Column, no: Column) -> Column:
 def votes(span: Column) -> Column:
     """A vote of each labeler: 1 yes, -1 no, 0 nothing."""
     kind, body = span["kind"], span["body"]
-    last = F.lower(F.regexp_extract(body, r"([A-Za-z]+)[^A-Za-z]*$", 1))
+    last = F.lower(F.regexp_extract(body, r"(?<![A-Za-z])([A-Za-z]++)[^A-Za-z]*+$", 1))
     shaped = (
         F.when(kind == "card", luhn(body))
         .when(kind == "local_phone", body.rlike(r"^\(?[2-9][0-9]{2}\)?[ .-]?[2-9]"))
