@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import io
 import uuid
+import zipfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +16,7 @@ from quillstone.functions.storage import durable, keep_until_exit, shared_dir
 from quillstone.operators import events, job_commands
 from quillstone.plans import investigation
 from quillstone.plans.base import query, table
-from quillstone.sources import buckets
+from quillstone.sources import buckets, tables
 
 #: Events of a user that the first append takes.
 FIRST = 10
@@ -115,3 +119,61 @@ def guarded_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     new = orders.where((k % 7 == 0) & (k > 0)).select((-k).alias("k"), F.col("o_custkey").alias("guard"), F.lit("new").alias("note"))
     refused = target.merge(changed.unionByName(new), [F.asc("note"), F.asc("guard")], guard=["guard"])
     return target.read().withColumn("refused", F.lit(False)).unionByName(refused.withColumn("refused", F.lit(True)))
+
+
+@query("""
+    SELECT sha256(coalesce(text, '')) AS checksum, substr(sha256(coalesce(text, '')), 1, 2) AS prefix, any_value(octet_length(encode(coalesce(text, '')))) AS size, count(DISTINCT coalesce(text, '')) AS files
+    FROM documents GROUP BY 1, 2
+""")
+def stored_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts as contents, put in two puts of which the second has the first one's too."""
+    text = F.coalesce("text", F.lit("")).cast("binary").alias("content")
+    files = table(spark, sf_dir, "documents").select("doc_id", text)
+    folder = keep_until_exit(spark, f"{shared_dir(spark)}/quillstone-blobs-{uuid.uuid4().hex}")
+    tables.put_blobs(files.where("doc_id % 2 = 0").select("content"), folder)
+    tables.put_blobs(files.select("content"), folder)
+    copies = spark.read.parquet(folder).groupBy("checksum").agg(F.count("*").alias("files"))
+    return tables.stored_blobs(spark, folder).join(copies, "checksum").select("checksum", "prefix", "size", "files")
+
+
+_MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+_PARTS = {
+    "xl/workbook.xml": f'<workbook xmlns="{_MAIN}" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="Orders" sheetId="1" r:id="r1"/></sheets></workbook>',
+    "xl/_rels/workbook.xml.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Target="worksheets/sheet1.xml"/></Relationships>',
+    "xl/sharedStrings.xml": f'<sst xmlns="{_MAIN}"><si><t>key</t></si><si><t>status</t></si><si><t>priority</t></si></sst>',
+}
+
+
+def _workbooks(sheets: DataFrame) -> DataFrame:
+    """path and content of workbooks whose one sheet has the rows in ``xml``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            contents = []
+            for rows in batch.column("xml").to_pylist():
+                out = io.BytesIO()
+                with zipfile.ZipFile(out, "w") as z:
+                    for name, text in _PARTS.items():
+                        z.writestr(name, text)
+                    z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{_MAIN}"><sheetData>{rows}</sheetData></worksheet>')
+                contents.append(out.getvalue())
+            yield pa.record_batch([batch.column("path"), pa.array(contents, pa.binary())], ["path", "content"])
+
+    return sheets.mapInArrow(run, "path string, content binary")
+
+
+@query("""
+    SELECT o_custkey::VARCHAR AS path, 'Orders' AS sheet, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS row_no,
+           o_orderkey::VARCHAR || '|' || o_orderstatus || '|' || CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE o_orderpriority END AS "row"
+    FROM orders
+""")
+def workbook_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A workbook of every customer's orders; a third have an empty last cell."""
+    cell = lambda c: F.concat(F.lit('<c t="inlineStr"><is><t>'), F.col(c), F.lit("</t></is></c>"))
+    last = F.when(F.col("o_orderkey") % 3 == 0, "").otherwise(cell("o_orderpriority"))
+    row = F.concat(F.lit("<row><c><v>"), F.col("o_orderkey").cast("string"), F.lit("</v></c>"), cell("o_orderstatus"), last, F.lit("</row>"))
+    own = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("path"), "o_orderkey", row.alias("row"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "row"))), lambda r: r["row"]), "")
+    head = F.lit("<row>" + "".join(f'<c t="s"><v>{i}</v></c>' for i in range(3)) + "</row>")
+    files = _workbooks(own.groupBy("path").agg(F.concat(head, body).alias("xml")).select("path", "xml"))
+    return tables.read_tables(files).where("error is null").select("path", "sheet", "row_no", F.array_join("row", "|").alias("row"))

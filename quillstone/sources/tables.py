@@ -6,9 +6,14 @@ import csv
 import io
 import json
 import re
+import tempfile
 import zipfile
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from datetime import datetime, timedelta
+from functools import lru_cache, partial
+from itertools import batched
+from typing import IO
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -18,9 +23,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from quillstone.functions.storage import durable
 from quillstone.functions.udf import vectorized
 
 ROWS_PER_GROUP = 50
+BATCH_OF_ROWS = 4096
 _XL = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "r": "http://schemas.openxmlformats.org/officeDocument/2006/relationships"}
 
 
@@ -117,62 +124,124 @@ def _number_text(value: str, is_date: bool) -> str:
     return value if re.fullmatch("-?[0-9]+", value) else repr(float(value))
 
 
-def read_sheets(data: bytes) -> list[tuple[str, list[str], list[list[str]]]]:
-    """(sheet, columns, rows) of an XLSX file or of UTF-8 CSV bytes; all values are
-    text and an empty cell is ''. An empty CSV is an error."""
-    if not data.startswith(b"PK\x03\x04"):
-        rows = list(csv.reader(io.StringIO(data.decode("utf-8-sig"), newline="")))
-        if not rows:
-            raise ValueError("table source is empty")
-        return [("", rows[0], rows[1:])]
+class SharedStrings:
+    """A workbook's shared strings, in a file of the task and not in its memory: a text is
+    found by its place, and recent ones are held."""
+
+    def __init__(self, source: IO[bytes] | None):
+        self.file, self.ends = tempfile.TemporaryFile(), array("q", [0])
+        for item in _elements(source, "si") if source is not None else ():
+            self.ends.append(self.ends[-1] + self.file.write("".join(t.text or "" for t in item.iter(_tag("t"))).encode()))
+        self.text = lru_cache(65_536)(self._read)
+
+    def _read(self, place: int) -> str:
+        if not 0 <= place < len(self.ends) - 1:
+            raise ValueError(f"no shared string {place}")
+        self.file.seek(self.ends[place])
+        return self.file.read(self.ends[place + 1] - self.ends[place]).decode()
+
+
+def _tag(name: str) -> str:
+    return f"{{{_XL['m']}}}{name}"
+
+
+def _elements(source: IO[bytes], name: str) -> Iterator[ElementTree.Element]:
+    """Elements of that name as they end, each forgotten when the next one is asked for."""
+    path: list[ElementTree.Element] = []
+    for event, e in ElementTree.iterparse(source, ("start", "end")):
+        if event == "start":
+            path.append(e)
+            continue
+        path.pop()
+        if e.tag == _tag(name):
+            yield e
+            if path:
+                path[-1].remove(e)
+
+
+def _row_values(row: ElementTree.Element, shared: SharedStrings, dated: list[bool]) -> list[str]:
+    cells: dict[int, str] = {}
+    for i, c in enumerate(row.findall("m:c", _XL)):
+        value, kind = c.findtext("m:v", "", _XL), c.get("t")
+        if kind == "b":
+            value = {"1": "True", "0": "False"}.get(value, value)
+        elif kind in (None, "n") and value:
+            style = int(c.get("s") or 0)
+            value = _number_text(value, style < len(dated) and dated[style])
+        elif kind == "s" and value:
+            value = shared.text(int(value))
+        elif kind == "inlineStr":
+            value = "".join(t.text or "" for t in c.iter(_tag("t")))
+        cells[_column_number(c.get("r")) if c.get("r") else i] = value
+    return [cells.get(i, "") for i in range(max(cells, default=-1) + 1)]
+
+
+def _sheets(data: bytes) -> Iterator[tuple[str, int, Callable[[], Iterator[list[str]]]]]:
+    """Name, width and rows of each sheet. Rows are read from the archive as they are asked
+    for; all sheets are read once before, for their widths and so that what can't be read fails
+    before its first row."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         names = set(z.namelist())
-        shared = []
-        if "xl/sharedStrings.xml" in names:
-            shared = ["".join(t.text or "" for t in si.iter(f"{{{_XL['m']}}}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).findall("m:si", _XL)]
+        shared = SharedStrings(z.open("xl/sharedStrings.xml") if "xl/sharedStrings.xml" in names else None)
         dated = _dated_styles(z.read("xl/styles.xml")) if "xl/styles.xml" in names else []
         rels = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
-        out = []
-        for sheet in ElementTree.fromstring(z.read("xl/workbook.xml")).find("m:sheets", _XL):
-            target = rels[sheet.get(f"{{{_XL['r']}}}id")].lstrip("/")
-            root = ElementTree.fromstring(z.read(target if target.startswith("xl/") else f"xl/{target}"))
-            rows = []
-            for row in root.iter(f"{{{_XL['m']}}}row"):
-                cells: dict[int, str] = {}
-                for i, c in enumerate(row.findall("m:c", _XL)):
-                    value = c.findtext("m:v", "", _XL)
-                    if c.get("t") == "b":
-                        value = {"1": "True", "0": "False"}.get(value, value)
-                    elif c.get("t") in (None, "n") and value:
-                        value = _number_text(value, dated[int(c.get("s") or 0)] if int(c.get("s") or 0) < len(dated) else False)
-                    elif c.get("t") == "s" and value:
-                        value = shared[int(value)]
-                    elif c.get("t") == "inlineStr":
-                        value = "".join(t.text or "" for t in c.iter(f"{{{_XL['m']}}}t"))
-                    cells[_column_number(c.get("r")) if c.get("r") else i] = value
-                rows.append([cells.get(i, "") for i in range(max(cells, default=-1) + 1)])
-            width = max(map(len, rows), default=0)
-            rows = [r + [""] * (width - len(r)) for r in rows]
-            out.append((sheet.get("name"), rows[0] if rows else [], rows[1:]))
-        return out
+
+        def rows(target: str) -> Iterator[list[str]]:
+            for row in _elements(z.open(target if target.startswith("xl/") else f"xl/{target}"), "row"):
+                yield _row_values(row, shared, dated)
+
+        listed = ElementTree.fromstring(z.read("xl/workbook.xml")).find("m:sheets", _XL)
+        found = [(sheet.get("name"), rels[sheet.get(f"{{{_XL['r']}}}id")].lstrip("/")) for sheet in listed]
+        widths = [max(map(len, rows(target)), default=0) for _, target in found]
+        for (name, target), width in zip(found, widths, strict=True):
+            yield name, width, partial(rows, target)
+
+
+def stream_sheets(data: bytes) -> Iterator[tuple[str, list[str], Iterator[list[str]]]]:
+    """(sheet, columns, rows) of an XLSX file or of UTF-8 CSV bytes; all values are text
+    and an empty cell is ''. An empty CSV is an error. A sheet's rows must be read before the
+    next sheet is asked for; of a sheet one row is held at a time."""
+    if not data.startswith(b"PK\x03\x04"):
+        csv.field_size_limit(len(data) + 1)
+        for _ in io.TextIOWrapper(io.BytesIO(data), "utf-8-sig", newline=""):  # what is no UTF-8 fails before its first row
+            pass
+        lines = csv.reader(io.TextIOWrapper(io.BytesIO(data), "utf-8-sig", newline=""))
+        first = next(lines, None)
+        if first is None:
+            raise ValueError("table source is empty")
+        yield "", first, lines
+        return
+    for name, width, rows in _sheets(data):
+        padded = (r + [""] * (width - len(r)) for r in rows())
+        yield name, next(padded, []), padded
+
+
+def read_sheets(data: bytes) -> list[tuple[str, list[str], list[list[str]]]]:
+    """``stream_sheets``, all rows of a small file at once."""
+    return [(name, columns, list(rows)) for name, columns, rows in stream_sheets(data)]
 
 
 def read_tables(files: DataFrame) -> DataFrame:
     """path, sheet, columns, row_no (from 1), row of ``binaryFile`` rows; error is
-    set, and the rest null, for a file that can't be read."""
+    set, and the rest null, for a file that can't be read. Rows are streamed: of a file its
+    bytes, and ``BATCH_OF_ROWS`` rows, are held."""
+
+    text = pa.list_(pa.string())
+    schema = pa.schema([("path", pa.string()), ("sheet", pa.string()), ("columns", text), ("row_no", pa.int64()), ("row", text), ("error", pa.string())])
+
+    def rows_of(path: str, content: bytes) -> Iterator[tuple]:
+        try:
+            for sheet, columns, rows in stream_sheets(content):
+                for i, row in enumerate(rows, 1):
+                    yield path, sheet, columns, i, row, None
+        except (ValueError, KeyError, zipfile.BadZipFile, ElementTree.ParseError, csv.Error) as e:
+            yield path, None, None, None, None, str(e)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        text = pa.list_(pa.string())
-        names = ["path", "sheet", "columns", "row_no", "row", "error"]
-        kinds = [pa.string(), pa.string(), text, pa.int64(), text, pa.string()]
         for b in batches:
             for path, content in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
-                try:
-                    rows = [(path, s, cols, i, r, None) for s, cols, rs in read_sheets(content.as_py() or b"") for i, r in enumerate(rs, 1)]
-                except (ValueError, KeyError, zipfile.BadZipFile, ElementTree.ParseError) as e:
-                    rows = [(path, None, None, None, None, str(e))]
-                for i in range(0, len(rows), 8192):
-                    yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows[i : i + 8192], strict=True), kinds, strict=True)], names)
+                for some in batched(rows_of(path, content.as_py() or b""), BATCH_OF_ROWS):
+                    yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*some, strict=True), schema, strict=True)], schema=schema)
 
     return files.select("path", "content").mapInArrow(run, "path string, sheet string, columns array<string>, row_no long, row array<string>, error string")
 
@@ -268,22 +337,39 @@ def blob_errors(files: DataFrame, content: str = "content", expected: str = "exp
     return files.where(F.col(expected).isNotNull() & ~own.eqNullSafe(F.col(expected))).withColumn("checksum", own)
 
 
+_BLOBS = "checksum string, path string, size long, content binary, prefix string"
+
+
 def put_blobs(files: DataFrame, folder: str) -> None:
     """Add contents that the folder lacks, partitioned by the checksum's prefix; a
-    file with an expected_checksum that its content has not is an error."""
+    file with an expected_checksum that its content has not is an error.
+
+    Only the prefixes of incoming checksums (at most 256) are asked for what they hold.
+    Puts may run beside each other: each adds files under names of its own, and of equal
+    contents that two add at once readers take one (``stored_blobs``)."""
     if "expected_checksum" in files.columns and not blob_errors(files).isEmpty():
         raise ValueError("content does not match its expected checksum")
-    new, spark = blobs(files), files.sparkSession
+    new = durable(blobs(files).withColumn("prefix", F.substring("checksum", 1, 2)), "incoming-blobs")
+    prefixes = sorted(r.prefix for r in new.select("prefix").distinct().collect())
     try:
-        have = spark.read.parquet(folder).select("checksum")
-        new = new.join(have, "checksum", "left_anti")
+        have = _blob_files(files.sparkSession, folder).where(F.col("prefix").isin(prefixes)).select("prefix", "checksum")
+        new = new.join(have, ["prefix", "checksum"], "left_anti")
     except Exception as e:  # the first put
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+        if "PATH_NOT_FOUND" not in str(e):
             raise
-    new.withColumn("prefix", F.substring("checksum", 1, 2)).write.mode("append").partitionBy("prefix").parquet(folder)
+    new.select("checksum", "path", "size", "content", "prefix").write.mode("append").partitionBy("prefix").parquet(folder)
+
+
+def _blob_files(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema(_BLOBS).parquet(folder)
+
+
+def stored_blobs(spark: SparkSession, folder: str) -> DataFrame:
+    """prefix, checksum, size of every content, once."""
+    return _blob_files(spark, folder).select("prefix", "checksum", "size").distinct()
 
 
 def get_blob(spark: SparkSession, folder: str, checksum: str) -> DataFrame:
     """checksum, content, intact: only the prefix's partition is read."""
-    rows = spark.read.parquet(folder).where((F.col("prefix") == checksum[:2]) & (F.col("checksum") == checksum))
-    return rows.select("checksum", "content", (F.sha2("content", 256) == F.col("checksum")).alias("intact"))
+    rows = _blob_files(spark, folder).where((F.col("prefix") == checksum[:2]) & (F.col("checksum") == checksum))
+    return rows.limit(1).select("checksum", "content", (F.sha2("content", 256) == F.col("checksum")).alias("intact"))

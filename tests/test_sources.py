@@ -51,6 +51,41 @@ def test_tables(spark, tmp_path):
     assert tables.resolve_rows(found.where("path like '%a.csv'"), "", ["time"], 122).first().error == "table locator exceeds source rows"
 
 
+def test_a_large_sheet_is_read_in_bounded_memory():
+    n = 150_000
+    sheet = io.BytesIO()
+    name = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    with zipfile.ZipFile(sheet, "w", zipfile.ZIP_DEFLATED) as z, zipfile.ZipFile(io.BytesIO(xlsx())) as old:
+        for part in old.namelist():
+            if "sheet1" not in part and "sharedStrings" not in part:
+                z.writestr(part, old.read(part))
+        with z.open("xl/sharedStrings.xml", "w") as f:
+            f.write(f"<sst {name}>".encode())
+            f.writelines(f"<si><t>s{i}</t></si>".encode() for i in range(n))
+            f.write(b"</sst>")
+        with z.open("xl/worksheets/sheet1.xml", "w") as f:
+            f.write(f"<worksheet {name}><sheetData>".encode())
+            f.writelines(f'<row><c r="A{i}" t="s"><v>{n - i}</v></c><c r="B{i}"><v>{i}</v></c></row>'.encode() for i in range(1, n + 1))
+            f.write(b"</sheetData></worksheet>")
+    import sys
+
+    before, most, seen = sys.getallocatedblocks(), 0, 0
+    for _, columns, lines in tables.stream_sheets(sheet.getvalue()):
+        assert columns == [f"s{n - 1}", "1"]
+        for i, row in enumerate(lines, 2):
+            seen += 1
+            if i % 10_000 == 0:
+                assert row == [f"s{n - i}", str(i)]
+                most = max(most, sys.getallocatedblocks() - before)
+    assert seen == n - 1 and most < 400_000  # 65,536 recent texts, not millions of elements
+
+
+def test_broken_tables_give_no_rows():
+    with pytest.raises(ValueError):
+        list(tables.stream_sheets(b"a,b\n" + b"1,2\n" * 10_000 + b"\xff"))
+    assert tables.read_sheets(b"a,b\n1," + b"x" * 200_000 + b"\n")[0][2] == [["1", "x" * 200_000]]
+
+
 def test_zipped_export(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "x.zip", "w") as z:
         z.writestr("d.json", json.dumps([{"n": "A1", "d": "2024-01-02T03:04:05Z", "city": "X", "st": "", "co": "US", "v": [{"make": "M"}], "t": "Final", "k": 7}, {"n": "A2"}]))
@@ -66,8 +101,10 @@ def test_blobs(spark, tmp_path):
     files, folder = spark.read.format("binaryFile").load(str(tmp_path / "in")), str(tmp_path / "store")
     for _ in range(2):
         tables.put_blobs(files, folder)
-    stored = spark.read.parquet(folder)
+    stored = tables._blob_files(spark, folder)
     assert stored.count() == 2
+    stored.select("checksum", "path", "size", "content", "prefix").limit(1).write.mode("append").partitionBy("prefix").parquet(folder)  # as by two puts at once
+    assert tables.stored_blobs(spark, folder).count() == 2
     row = tables.get_blob(spark, folder, stored.first().checksum).first()
     assert row.intact and spark.range(1).select(tables.blob_path(F.lit("../x")).alias("p")).first().p is None
 
