@@ -8,8 +8,9 @@ and payload digests). After a failed check it looks for the next place where a
 valid member or version line begins, goes on from there, and logs the bytes in
 between as a gap.
 
-Cases: a null html is an empty payload; a null url is named by the row's id; rows
-that repeat an id and its payload are all responses; a very long payload or url
+Cases: a null html is an empty payload; a null url is named by the row's id; a row
+with a null id is a response, never revisited, and read back with a null id; rows that
+repeat an id and its payload are all responses; a very long payload or url
 is a record like any other, held whole by one task; an empty table makes no archive
 and no rows; extra columns are ignored, whatever their names.
 """
@@ -232,7 +233,7 @@ FIELDS = {"archive": "string", "start": "long", "end": "long", "gap": "string",
 
 def _fields(found: Record) -> tuple:
     h = found.headers
-    name = lambda x: (re.fullmatch("<urn:page:(.*)>", x) or ["", x])[1] if x else None
+    name = lambda x: ((re.fullmatch("<urn:page:(.*)>", x) or ["", x])[1] or None) if x else None
     if h.get("warc-type") == "revisit":
         size = re.search(rb"(?i)\r\ncontent-length: *([0-9]+)", found.block)
         return name(h.get("warc-record-id")), "revisit", name(h.get("warc-refers-to")), h.get("warc-target-uri"), int(size[1]) if size else None, h.get("warc-payload-digest", "").removeprefix("sha1:")

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillstone.llm import byte_bpe, hard_negatives, lattice, pii, quality, spelling
+from quillstone.llm import audio, byte_bpe, hard_negatives, lattice, pii, quality, simhash, spelling, token_counts, url_filter, warc
 
 
 def rows(df, *names):
@@ -230,3 +230,15 @@ def test_limits_are_those_of_each_language(spark):
         mean = sum(x[3] for x in own) / quality.SCALE / sum(x[2] for x in own)
         over = sorted(np.ceil((x[3] / quality.SCALE - mean * x[2]) * 1000 / np.sqrt(x[2])) for x in own)
         assert abs(r.mean - mean) < 1e-9 and abs(r.threshold - over[int(np.ceil(len(own) * quality.QUANTILE)) - 1]) <= 1
+
+
+def test_clashing_names_in_more_operators(spark):
+    extra = ("id", "ID_", "value", "n", "row", "lane", "frames", "payload", "size", "sha1", "first", "host", "path", "key", "listed", "verdict", "symbols", "cost", "mean", "own_lang", "fp", "component", "node", "list", "n_tokens", "docs", "ids")
+    clash = lambda df: df.withColumns({n: F.lit("x") for n in extra if n not in df.columns})
+    docs = clash(spark.createDataFrame([(1, "a b c", "en"), (2, None, "de")], "doc_id long, text string, lang string"))
+    assert token_counts.histogram(docs).agg(F.sum("docs")).first()[0] == 2
+    assert audio.features(clash(audio.store(docs))).count() == simhash.cluster(docs).count() == quality.judge(docs, docs.select("doc_id")).count() == 2
+    web = clash(spark.createDataFrame([(1, "http://a.org/x", "h"), (2, None, None)], "page_id long, url string, html string"))
+    judged = url_filter.judge(web, ("block a.org/",), clash(spark.createDataFrame([("b.org",)], "key string")))
+    assert rows(judged, "page_id", "verdict") == [(1, "block"), (2, "allow")]
+    assert rows(warc.read_manifest(warc.write(web)), "record_id", "payload_bytes") == [("1", 1), ("2", 0)]
