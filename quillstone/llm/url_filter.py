@@ -92,9 +92,14 @@ def places(key: Column, level: int, words: Column) -> Column:
 
 
 def passes(key: Column, level: int, words: Column) -> Column:
-    """Whether a level's words have all of the key's bits; no words, no."""
-    every = F.forall(places(key, level, F.size(words)), lambda at: F.call_function("getbit", F.get(words, F.shiftright(at, 6).cast("int")), F.pmod(at, F.lit(64)).cast("int")) == 1)
-    return F.coalesce(F.when(F.size(words) > 0, every), F.lit(False))
+    """Whether a level's words have all of the key's bits; no words, no. The words are
+    named once, as a literal stands in the plan wherever it is named."""
+
+    def test(own: Column) -> Column:
+        every = F.forall(places(key, level, F.size(own)), lambda at: F.call_function("getbit", F.get(own, F.shiftright(at, 6).cast("int")), F.pmod(at, F.lit(64)).cast("int")) == 1)
+        return F.when(F.size(own) > 0, every)
+
+    return F.coalesce(F.get(F.transform(F.array(words), test), F.lit(0)), F.lit(False))
 
 
 def _filters(members: DataFrame, level: int) -> DataFrame:
