@@ -14,16 +14,15 @@ count tables, which are sharded by gram, and the answers go back to the chunk, w
 words and documents add up their costs. Costs are whole multiples of 2**-16 bits, so
 sums don't depend on their order.
 
-There are two models, each of one half of the trusted documents by a hash of the id, and
-each document is judged by the half that it is not in. So every trusted document is
-held out, and all of them set the limits: the mean bits a symbol in their language,
-and that language's ``quantile`` of how far they exceed the mean. Excess is the sum of
-bits above the mean over the root of the symbols, whose spread does not depend on a
-text's length. A language with fewer than ``LEAST_HELD`` trusted documents takes the
-mean and quantile of all of them.
+One trusted document of ``HELD_OUT``, by a hash of its id, is left out of the counts, and
+these set the limits: the mean bits a symbol in their language, and that language's
+``quantile`` of how far they exceed the mean. Excess is the sum of bits above the mean
+over the root of the symbols, whose spread does not depend on a text's length. A
+language with fewer than ``LEAST_HELD`` such documents takes the mean and quantile of all
+of them.
 
 Cases: a text without words (null, empty, white space) has no perplexity and is
-accepted; without any trusted text all is accepted; a null language is one
+accepted; without any held-out trusted text all is accepted; a null language is one
 of its own; a very long text is one document of its chunk and read whole; repeated
 ids are scored row by row; an empty table gives no rows; extra columns are ignored by
 ``score`` and kept by ``accepted``, whatever their names.
@@ -48,8 +47,8 @@ BEGIN, END = "\x02", "\x03"
 SCALE = 1 << 16
 #: Text that a chunk holds, and the least worth a chunk of its own.
 CHUNK_BYTES, LEAST_BYTES = 16 << 20, 1 << 20
-QUANTILE = 0.997
-#: Trusted documents that a language needs for a limit of its own.
+QUANTILE, HELD_OUT = 0.997, 2
+#: Held-out documents that a language needs for a limit of its own.
 LEAST_HELD = 20
 #: Thousandths of excess in a band of the histogram.
 BAND = 500
@@ -372,12 +371,12 @@ def excess(cost: Column, symbols: Column, mean: Column) -> Column:
     return F.when(symbols > 0, F.ceil((cost / SCALE - mean * symbols) * 1000 / F.sqrt(symbols)))
 
 
-def limits(scores: DataFrame, trusted: DataFrame, quantile: float = QUANTILE) -> DataFrame:
-    """lang, mean and threshold of the ``scores`` (id, lang, symbols, cost) of ``trusted``
+def limits(scores: DataFrame, held: DataFrame, quantile: float = QUANTILE) -> DataFrame:
+    """lang, mean and threshold of the ``scores`` (id, lang, symbols, cost) of ``held``
     ids, and every, true in the one row for all languages together. The threshold is the
     quantile of the language's own documents; a language with fewer than ``LEAST_HELD``
     has no row."""
-    own = scores.join(sized_broadcast(trusted), "id", "left_semi").where("symbols > 0")
+    own = scores.join(sized_broadcast(held), "id", "left_semi").where("symbols > 0")
     both = own.select("lang", F.lit(False).alias("every"), "symbols", "cost").unionByName(own.select(F.lit(None).cast("string").alias("lang"), F.lit(True).alias("every"), "symbols", "cost"))
     key = ["every", "lang"]
     means = both.groupBy(*key).agg((F.sum("cost") / SCALE / F.sum("symbols")).alias("mean"), F.count("*").alias("documents"))
@@ -402,16 +401,12 @@ def judge(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col:
     """id, lang, symbols, cost, perplexity, excess, threshold, accepted for each
     document; ``trusted`` has the ids of trusted ones."""
     ids = durable(trusted.select(quoted(id_col).cast(docs.schema[id_col].dataType).alias("id")).where("id is not null").distinct(), "trusted")
-    half = F.pmod(F.xxhash64("id"), F.lit(2))
+    is_held = F.pmod(F.xxhash64("id"), F.lit(HELD_OUT)) == 0
+    taught = texts_of(docs, id_col, text_col).join(sized_broadcast(ids.where(~is_held)), "id", "left_semi")
     with scratch() as made:
-        scores = None
-        for own in (0, 1):  # what one half of the trusted teaches judges the other half
-            model = Layers(count_grams(texts_of(docs, id_col, text_col).join(sized_broadcast(ids.where(half == own)), "id", "left_semi")))
-            rest = docs.where(F.pmod(F.xxhash64(quoted(id_col)), F.lit(2)) != own)
-            part = durable(score(rest, model, id_col, text_col, lang_col).toDF("id", "lang", "symbols", "cost"), "scores")
-            scores = part if scores is None else scores.unionByName(part)
-        scores = made.keep(durable(scores, "all-scores"))
-    found = durable(limits(scores, ids, quantile), "limits")
+        model = Layers(count_grams(taught))
+        scores = made.keep(durable(score(docs, model, id_col, text_col, lang_col).toDF("id", "lang", "symbols", "cost"), "scores"))
+    found = durable(limits(scores, ids.where(is_held), quantile), "limits")
     every = found.where("every").first()
     whole = (every.mean, every.threshold) if every else (None, None)
     own = found.where("not every").select(F.col("lang").alias("own_lang"), "mean", "threshold")
