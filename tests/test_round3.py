@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import canonical
 from quillstone.operators import events
-from tests.test_operators import LOG, rows  # noqa: F401
+from tests.test_operators import LOG, as_events, good_log, rows
 
 
 def plan_of(df):
@@ -32,3 +32,19 @@ def test_a_log_is_chained_where_it_is_dealt(spark):
 
     plan = logs.log(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "payload" not in "".join(line for line in plan.splitlines() if "Sort [" in line or "Exchange" in line)
+
+
+def test_a_state_is_made_in_one_reading(spark):
+    """Nothing is written for it, the log is scanned and dealt once, and kinds may be named."""
+    import os
+
+    from quillstone.functions.storage import shared_dir
+    from quillstone.operators import replay
+
+    log = as_events(spark, good_log())
+    before = set(os.listdir(shared_dir(spark)))
+    state = replay.replay_state(log)
+    assert set(os.listdir(shared_dir(spark))) == before and plan_of(state).count("Aggregate") == 1 and plan_of(state).count("Join") == 0
+    some = replay.replay_state(log, kinds=["hypothesis", "links"])
+    assert rows(some) == [r for r in rows(state) if r[1] in ("hypothesis", "links")] and len({r[1] for r in rows(some)}) == 2
+    assert replay.replay_lifecycle(log).first().events == len(good_log())
