@@ -48,3 +48,20 @@ def test_a_state_is_made_in_one_reading(spark):
     some = replay.replay_state(log, kinds=["hypothesis", "links"])
     assert rows(some) == [r for r in rows(state) if r[1] in ("hypothesis", "links")] and len({r[1] for r in rows(some)}) == 2
     assert replay.replay_lifecycle(log).first().events == len(good_log())
+
+
+def test_a_fold_deals_no_hashes(spark, monkeypatch):
+    """Neither way of reading newer events ships an event's hashes, and both give the same."""
+    from quillstone.operators import replay_fold
+
+    log = as_events(spark, good_log())
+    made = []
+    keep = lambda df, label: made.append(df) or df
+    whole = rows(replay_fold.fold(log)[1], "sequence", "event_hash", "state")
+    _, kept = replay_fold.fold(log.where("sequence <= 9"))
+    monkeypatch.setattr(replay_fold, "durable", keep)
+    for few in (lambda df: df, replay_fold.sized_broadcast):
+        monkeypatch.setattr(replay_fold, "sized_broadcast", few)
+        errors, late = replay_fold.fold(log, kept)
+        assert errors.count() == 0 and rows(late, "sequence", "event_hash", "state") == whole
+        assert "event_hash" not in plan_of(made[-1]).split("RepartitionByExpression")[0] and "RepartitionByExpression" in plan_of(made[-1])
