@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillstone.functions.storage import durable, sized_broadcast
+from quillstone.functions.storage import durable, ship, sized_broadcast
 from quillstone.operators.components import connected_components
 from quillstone.operators.relational import row_batches
 
@@ -94,29 +96,106 @@ def token_overlap(left: Column, right: Column) -> tuple[Column, Column]:
     return F.when(union == 0, 1).otherwise(F.size(F.array_intersect(left, right))), F.when(union == 0, 1).otherwise(union)
 
 
+#: Words of a set's parity table, of 64 bits each.
+PARITY_WORDS = 8
+
+
+def _parity(token: Column) -> list[Column]:
+    """Aggregates of a set's table of bits, each whether an odd number of tokens has its
+    hash: two tables differ in no more bits than their sets in tokens."""
+    place = F.pmod(F.xxhash64(token), F.lit(64 * PARITY_WORDS))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))
+    return [F.bit_xor(F.when(F.floor(place / 64) == i, bit).otherwise(F.lit(0).cast("long"))).alias(f"p{i}") for i in range(PARITY_WORDS)]
+
+
+#: Members of a list that are compared in one group; a longer list is dealt into blocks.
+LIST_MEMBERS = 4096
+_KEYS = ["list", "low", "high"]
+
+
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Each run of several equal keys in sorted batches."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows:
+            table = pa.Table.from_batches([*held, batch]).combine_chunks()
+            keys = np.stack([table.column(k).to_numpy() for k in _KEYS])
+            bounds = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1)]
+            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                if b - a > 1:
+                    yield table.slice(a, b - a)
+            held = table.slice(bounds[-1]).to_batches()
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _meeting(posted: DataFrame) -> DataFrame:
+    """g, a_id, b_id of the members of a list that size, place and parity don't rule out; the
+    smaller is there by its short prefix. Two blocks of a long list meet in a group of their own."""
+    long = posted.groupBy("list").agg(F.ceil(F.count("*") / LIST_MEMBERS).cast("int").alias("blocks")).where("blocks > 1")
+    rows = posted.join(sized_broadcast(durable(long, "long-lists")), "list", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("id", "list"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")).drop("other", "blocks")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _lists(batches):
+            size, left, short, own = (table.column(c).to_numpy() for c in ("size", "left", "short", "own"))
+            across = table["low"][0].as_py() != table["high"][0].as_py()
+            bits = np.stack([table.column(f"p{i}").to_numpy() for i in range(PARITY_WORDS)], axis=1).view(np.uint64)
+            ends = np.searchsorted(size * 3, size * 4)  # sizes are sorted
+            first, second = [], []
+            for i in np.flatnonzero(short & (ends > np.arange(len(size)) + 1)):
+                j = slice(i + 1, ends[i])
+                both = size[j] + size[i]
+                fit = np.minimum(left[j], left[i]) * 7 > both * 3
+                if across:
+                    fit &= own[j] != own[i]
+                some = np.flatnonzero(fit)
+                some = some[np.bitwise_count(bits[j][some] ^ bits[i]).sum(axis=1, dtype=np.int64) * 7 < both[some]]
+                first.append(np.full(len(some), i))
+                second.append(some + i + 1)
+            if first:
+                one, two = pa.array(np.concatenate(first)), pa.array(np.concatenate(second))
+                g, ids = table.column("g").combine_chunks(), table.column("id").combine_chunks()
+                yield pa.record_batch([g.take(one), ids.take(one), ids.take(two)], ["g", "a_id", "b_id"])
+
+    ship(posted.sparkSession)
+    dealt = rows.withColumn("left", F.col("size") - F.col("place")).drop("place").repartition(*_KEYS).sortWithinPartitions(*_KEYS, "size")
+    kind = {f.name: f.dataType.simpleString() for f in posted.schema}
+    return dealt.mapInArrow(run, f"g {kind['g']}, a_id {kind['id']}, b_id {kind['id']}")
+
+
 def too_similar(drafts: DataFrame, by: str, id_col: str, tokens: str) -> DataFrame:
     """Pairs of a group's drafts whose overlap is over 3/4, with shared and total tokens.
 
-    Of a set of n tokens, rarest first, any set with such an overlap has one among the
-    first n - ceil(3n/4) + 1, so only drafts that share one of those and whose sizes allow
-    it are compared. Counts order tokens and decide nothing. Empty sets, whose overlap is
-    one, share an empty token; a null set counts as empty; a group that is null has no pairs."""
+    Equal sets are compared as one and their pairs told at the end. Of a set of n tokens,
+    rarest first, any set with such an overlap has one among the first n - ceil(3n/4) + 1,
+    and among the first n - ceil(6n/7) + 1 if it is no smaller. Of the sets that meet so,
+    those are compared whose sizes, places of that token and parity tables allow it, which
+    rules out no similar pair. Counts order tokens and decide nothing. Empty sets overlap
+    wholly; a null set counts as empty; a group that is null has no pairs."""
     sets = drafts.where(F.col(by).isNotNull() & F.col(id_col).isNotNull())
-    sets = durable(sets.select(F.col(by).alias("g"), F.col(id_col).alias("id"), F.array_distinct(F.coalesce(F.col(tokens), F.array().cast("array<string>"))).alias("tokens")), "token-sets")
+    sets = sets.select(F.col(by).alias("g"), F.col(id_col).alias("id"), F.array_sort(F.array_distinct(F.coalesce(F.col(tokens), F.array().cast("array<string>")))).alias("tokens"))
+    members = durable(sets.withColumn("own", F.min("id").over(W.partitionBy("g", "tokens"))), "token-sets")
+    sets = members.where("id = own and size(tokens) > 0").select("g", "id", "tokens").dropDuplicates(["g", "id", "tokens"])
     each = sets.select("g", "id", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
     seen = durable(each.groupBy("token").agg(F.count("*").alias("n")), "token-counts")
-    ordered = each.join(sized_broadcast(seen), "token").groupBy("g", "id", "size").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("t"))
-    first = F.col("size") - F.ceil(F.col("size") * 3 / 4).cast("int") + 1
-    posted = ordered.select("g", "id", "size", F.explode(F.slice("t.token", 1, first)).alias("token"))
-    posted = durable(posted.unionByName(sets.where(F.size("tokens") == 0).select("g", "id", F.lit(0).alias("size"), F.lit("").alias("token"))), "token-prefixes")
-    left, right = (posted.select("g", "token", F.col("id").alias(f"{side}_id"), F.col("size").alias(f"{side}_size")) for side in ("left", "right"))
-    fit = (F.col("left_id") < F.col("right_id")) & (F.col("left_size") * 4 >= F.col("right_size") * 3) & (F.col("right_size") * 4 >= F.col("left_size") * 3)
-    pairs = durable(left.join(right, ["g", "token"]).where(fit).select("g", "left_id", "right_id").distinct(), "token-pairs")
-    a, b = (sets.select("g", F.col("id").alias(f"{side}_id"), F.col("tokens").alias(name)) for side, name in (("left", "lt"), ("right", "rt")))
+    ordered = each.join(sized_broadcast(seen), "token").groupBy("g", "id", "size").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("t"), *_parity(F.col("token")))
+    size, words = F.col("size"), [f"p{i}" for i in range(PARITY_WORDS)]
+    least = lambda part: size - F.ceil(size * part[0] / part[1]).cast("int") + 1
+    posted = ordered.select("g", "id", "size", *words, F.posexplode(F.slice("t.token", 1, least((3, 4)))).alias("place", "token"))
+    posted = durable(posted.withColumn("short", F.col("place") < least((6, 7))), "token-prefixes")
+    pairs = durable(_meeting(posted.select("g", F.xxhash64("g", "token").alias("list"), "id", "size", "place", "short", *words)).distinct(), "token-pairs")
+    a, b = (sets.select("g", F.col("id").alias(f"{side}_id"), F.col("tokens").alias(name)) for side, name in (("a", "lt"), ("b", "rt")))
     inter, union = token_overlap(F.col("lt"), F.col("rt"))
-    both = pairs.join(a, ["g", "left_id"]).join(b, ["g", "right_id"])
-    found = both.select(F.col("g").alias(by), "left_id", "right_id", inter.cast("long").alias("shared"), union.cast("long").alias("total"))
-    return found.where("4 * shared > 3 * total")
+    alike = pairs.join(a, ["g", "a_id"]).join(b, ["g", "b_id"]).select("g", "a_id", "b_id", inter.cast("long").alias("shared"), union.cast("long").alias("total")).where("4 * shared > 3 * total")
+    alike = durable(alike, "similar-sets")
+    one, two = (members.select("g", F.col("own").alias(own), F.col("id").alias(id_)) for own, id_ in (("a_id", "x"), ("b_id", "y")))
+    across = alike.join(one, ["g", "a_id"]).join(two, ["g", "b_id"]).select("g", "x", "y", "shared", "total")
+    n = F.greatest(F.size("tokens"), F.lit(1)).cast("long")
+    same = members.select("g", F.col("own").alias("a_id"), F.col("id").alias("x"), n.alias("shared"), n.alias("total")).join(two.withColumnRenamed("b_id", "a_id"), ["g", "a_id"]).where("x < y").select("g", "x", "y", "shared", "total")
+    found = across.unionByName(same)
+    return found.select(F.col("g").alias(by), F.least("x", "y").alias("left_id"), F.greatest("x", "y").alias("right_id"), "shared", "total")
 
 
 def new_id(*parts: Column) -> Column:

@@ -65,3 +65,19 @@ def test_a_fold_deals_no_hashes(spark, monkeypatch):
         errors, late = replay_fold.fold(log, kept)
         assert errors.count() == 0 and rows(late, "sequence", "event_hash", "state") == whole
         assert "event_hash" not in plan_of(made[-1]).split("RepartitionByExpression")[0] and "RepartitionByExpression" in plan_of(made[-1])
+
+
+def test_blocks_of_long_lists_lose_no_pair(spark, monkeypatch):
+    """Sets over whole tables, equal ones told as pairs, in blocks of a few members; no pair is
+    made of a posting list by a join."""
+    import random
+
+    from quillstone.operators import promotion
+
+    rng = random.Random(3)
+    base = [[f"w{i}-{j}" for j in range(n)] for i, n in enumerate((7, 14, 30, 700))]
+    data = [(k % 2, k, [w for w in rng.choice(base) if rng.random() < 0.95]) for k in range(90)] + [(0, 100 + k, list(base[1])) for k in range(6)]
+    want = [(g, a, b, len({*s} & {*t}), len({*s} | {*t})) for g, a, s in data for h, b, t in data if g == h and a < b and 4 * len({*s} & {*t}) > 3 * len({*s} | {*t})]
+    monkeypatch.setattr(promotion, "LIST_MEMBERS", 4)
+    got = promotion.too_similar(spark.createDataFrame(data, "lang int, doc_id long, tokens array<string>"), "lang", "doc_id", "tokens")
+    assert rows(got, "lang", "left_id", "right_id", "shared", "total") == sorted(want) and len(want) > 100
