@@ -16,12 +16,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.functions import vocabulary as V
-from quillstone.functions.storage import durable, ship
+from quillstone.functions.storage import durable, partitions, ship
 from quillstone.operators.jobs import LEASE_MINUTES, MAX_ATTEMPTS
 
 MAX_REQUESTS = 3
 #: How a worker may say that its job failed.
 FAILURES = ("PROVIDER_EXHAUSTED", "SCHEMA_INVALID", "REFERENCE_INVALID", "DIVERSITY_INVALID", "LEASE_EXPIRED", "REPLAY_MISMATCH", "PERSISTENCE_FAILED")
+#: Jobs and commands of one task.
+ROWS = 200_000
 _LEASE = LEASE_MINUTES * 60_000_000
 
 _JOB = ("id", "stage", "work_key", "status", "attempt_count", "model_request_count", "worker_id", "claimed_at", "lease_expires_at", "failure_code", "created_at", "completed_at")
@@ -120,7 +122,8 @@ def run_commands(investigations: DataFrame, jobs: DataFrame, commands: DataFrame
     schema = pa.schema([(f.split()[0], kinds[f.split()[1]]) for f in _ROW.split(", ")])
     whole = rows.withColumns({c: F.lit(None).cast("string") for c in ("error",)} | {"ordinal": F.lit(None).cast("int")}).select(names)
     order = F.when(F.col("what") == "2", F.col("claimed_at"))
-    dealt = whole.repartition("inv").sortWithinPartitions("inv", "what", order, "no")
+    # Rows are of many columns that compress well, so parts are of rows, not of shuffled bytes.
+    dealt = whole.repartition(partitions(jobs.select("id").unionByName(commands.select(F.col("job_id").alias("id"))), ROWS), "inv").sortWithinPartitions("inv", "what", order, "no")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, queue, out = None, Queue(), []

@@ -81,3 +81,26 @@ def test_blocks_of_long_lists_lose_no_pair(spark, monkeypatch):
     monkeypatch.setattr(promotion, "LIST_MEMBERS", 4)
     got = promotion.too_similar(spark.createDataFrame(data, "lang int, doc_id long, tokens array<string>"), "lang", "doc_id", "tokens")
     assert rows(got, "lang", "left_id", "right_id", "shared", "total") == sorted(want) and len(want) > 100
+
+
+def test_job_tasks_are_bounded_by_rows(spark, monkeypatch):
+    """More jobs and commands are dealt into more parts than the session's own."""
+    from quillstone.operators import job_commands
+
+    made = []
+    monkeypatch.setattr(job_commands, "durable", lambda df, label: made.append(df) or df)
+    monkeypatch.setattr(job_commands, "ROWS", 10)
+    schema = "id string, investigation_id string, stage string, work_key string, status string, attempt_count int, model_request_count int, worker_id string, claimed_at timestamp, lease_expires_at timestamp, failure_code string, created_at timestamp, completed_at timestamp"
+    jobs = spark.createDataFrame([(f"j{i}", str(i), "s", "0", "PENDING", 0, 0, *[None] * 6) for i in range(60)], schema)
+    commands = spark.createDataFrame([(i, str(i), None, "CLAIM", "w", None, None, None) for i in range(60)], "command_no long, investigation_id string, at timestamp, kind string, worker_id string, job_id string, attempt int, failure_code string")
+    job_commands.run_commands(jobs.select("investigation_id", "status", F.col("stage").alias("current_stage")), jobs, commands)
+    assert ", 12" in next(line for line in plan_of(made[0]).splitlines() if "RepartitionByExpression" in line)
+
+
+def test_postings_are_handed_on_in_parts(spark, monkeypatch):
+    from quillstone.operators import search_index
+
+    docs = spark.createDataFrame([(i, [f"w{x % (i + 1)}" for x in range(9)] if i else []) for i in range(20)], "id long, words array<string>")
+    whole = rows(search_index._places(docs, "bigint", "simple"))
+    monkeypatch.setattr(search_index, "POSTINGS", 3)
+    assert whole and rows(search_index._places(docs, "bigint", "simple")) == whole
