@@ -31,6 +31,10 @@ BUCKETS = 64
 LITERAL_TERMS = 256
 
 
+#: Postings that a task of an append holds before it hands them on, a document's apart.
+POSTINGS = 20_000
+
+
 @lru_cache(1 << 18)
 def _term(word: str) -> str | None:
     """The stem of a word; none of a stop word."""
@@ -93,7 +97,13 @@ def _places(docs: DataFrame, id_type: str, config: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             owner, names, at = [], [], []
-            for i, words in enumerate(batch.column("words").to_pylist()):
+
+            def found() -> pa.RecordBatch:
+                return pa.record_batch([batch.column("id").take(pa.array(owner, pa.int64())), pa.array(names, pa.string()), pa.array(at, pa.list_(pa.int32()))], ["id", "term", "at"])  # noqa: B023
+
+            # One document's words are objects at a time, and few documents' postings.
+            for i in range(batch.num_rows):
+                words = batch.column("words")[i].as_py()
                 own: dict[str, list[int]] = {}
                 for place, word in enumerate(words, 1):
                     term = word if config == "simple" else _term(word)
@@ -102,7 +112,11 @@ def _places(docs: DataFrame, id_type: str, config: str) -> DataFrame:
                 owner += [i] * len(own)
                 names += own
                 at += own.values()
-            yield pa.record_batch([batch.column("id").take(pa.array(owner, pa.int64())), pa.array(names, pa.string()), pa.array(at, pa.list_(pa.int32()))], ["id", "term", "at"])
+                if len(owner) >= POSTINGS:
+                    yield found()
+                    owner, names, at = [], [], []
+            if owner:
+                yield found()
 
     ship(docs.sparkSession)
     return docs.mapInArrow(run, f"id {id_type}, term string, at array<int>")
