@@ -33,22 +33,21 @@ def record_errors(candidates: DataFrame, drafts: DataFrame, same: Sequence[str],
     """draft_id, error. Drafts must keep the columns ``same`` and the identity of
     ``text`` of every candidate, and for each of ``links`` exactly the union of
     their evidence, all of it active."""
-    cut = drafts.select("*", F.explode("source_candidate_ids").alias("candidate_id"))
+    cut = drafts.select("draft_id", *dict.fromkeys((*same, text, *links)), F.explode("source_candidate_ids").alias("candidate_id"))
     c = candidates.select("candidate_id", *(F.col(x).alias(f"c_{x}") for x in dict.fromkeys((*same, text, *links))))
-    joined = cut.join(c, "candidate_id")
-    out = []
-    for column in same:
-        out.append(joined.where(~F.col(column).eqNullSafe(F.col(f"c_{column}"))).select("draft_id", F.lit(f"CHANGED_{column.upper()}").alias("error")))
-    out.append(joined.where(~identity(F.col(text)).eqNullSafe(identity(F.col(f"c_{text}")))).select("draft_id", F.lit(f"CHANGED_{text.upper()}").alias("error")))
-    for column in links:
-        union = joined.groupBy("draft_id").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list(f"c_{column}")))).alias("expected"), F.sort_array(F.array_distinct(F.first(column))).alias("given"))
-        out.append(union.where(~F.col("expected").eqNullSafe(F.col("given"))).select("draft_id", F.lit(f"CHANGED_{column.upper()}").alias("error")))
-        ids = union.select("draft_id", F.explode("expected").alias("evidence_id"))
-        out.append(ids.join(active.select("evidence_id").distinct(), "evidence_id", "left_anti").select("draft_id", F.lit("INACTIVE_EVIDENCE").alias("error")))
-    found = out[0]
-    for more in out[1:]:
-        found = found.unionByName(more)
-    return found.distinct()
+    changed = {x: ~F.col(x).eqNullSafe(F.col(f"c_{x}")) for x in same} | {text: ~identity(F.col(text)).eqNullSafe(identity(F.col(f"c_{text}")))}
+    union = lambda x: F.sort_array(F.array_distinct(F.flatten(F.collect_list(f"c_{x}"))))
+    rules = [F.max(broken).alias(f"r{i}") for i, broken in enumerate(changed.values())]
+    lists = [x for i, name in enumerate(links) for x in (union(name).alias(f"e{i}"), F.sort_array(F.array_distinct(F.first(name))).alias(f"g{i}"))]
+    found = cut.join(c, "candidate_id").groupBy("draft_id").agg(*rules, *lists)
+    differ = {x: ~F.col(f"e{i}").eqNullSafe(F.col(f"g{i}")) for i, x in enumerate(links)}
+    broken = {x: F.col(f"r{i}") for i, x in enumerate(changed)} | differ
+    errors = F.array_compact(F.array(*(F.when(rule, f"CHANGED_{x.upper()}") for x, rule in broken.items())))
+    # The candidates are joined and dealt once; what is left of them is small, and read twice.
+    drawn = durable(found.select("draft_id", errors.alias("errors"), F.array_distinct(F.flatten(F.array(*(F.col(f"e{i}") for i in range(len(links)))))).alias("evidence")), "draft-checks")
+    ids = drawn.select("draft_id", F.explode("evidence").alias("evidence_id"))
+    lost = ids.join(active.select("evidence_id").distinct(), "evidence_id", "left_anti").select("draft_id", F.lit("INACTIVE_EVIDENCE").alias("error")).distinct()
+    return drawn.select("draft_id", F.explode("errors").alias("error")).unionByName(lost)
 
 
 def claim_errors(candidates: DataFrame, drafts: DataFrame, active: DataFrame) -> DataFrame:

@@ -104,3 +104,15 @@ def test_postings_are_handed_on_in_parts(spark, monkeypatch):
     whole = rows(search_index._places(docs, "bigint", "simple"))
     monkeypatch.setattr(search_index, "POSTINGS", 3)
     assert whole and rows(search_index._places(docs, "bigint", "simple")) == whole
+
+
+def test_drafts_are_joined_with_candidates_once(spark, monkeypatch):
+    from quillstone.operators import promotion
+
+    made = []
+    monkeypatch.setattr(promotion, "durable", lambda df, label: made.append(df) or df)
+    c = spark.createDataFrame([(1, "s", "a  B", [1], [2]), (2, "s", "A b", [3], None), (3, "t", "c", [], [9])], "candidate_id long, status string, text string, supporting_evidence_ids array<long>, contradicting_evidence_ids array<long>")
+    d = spark.createDataFrame([("good", "s", "a b", [3, 1], [2], [1, 2]), ("bad", "s", "x", [1], [9], [1, 3])], "draft_id string, status string, text string, supporting_evidence_ids array<long>, contradicting_evidence_ids array<long>, source_candidate_ids array<long>")
+    got = rows(promotion.claim_errors(c, d, spark.createDataFrame([(1,), (2,), (3,)], "evidence_id long")))
+    assert got == [("bad", f"CHANGED_{x}") for x in ("CONTRADICTING_EVIDENCE_IDS", "STATUS", "TEXT")] + [("bad", "INACTIVE_EVIDENCE")]
+    assert len(made) == 1 and plan_of(made[0]).count("Join") == 1
