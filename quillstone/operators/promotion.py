@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillstone.functions.storage import durable, ship, sized_broadcast
+from quillstone.functions.udf import vectorized
 from quillstone.operators.components import connected_components
 from quillstone.operators.relational import row_batches
 
@@ -69,19 +71,44 @@ def entity_components(names: DataFrame, by: str = "draft_id", member: str = "can
     return connected_components(edges).select(part(F.col("node"), 1).alias(by), part(F.col("node"), 2).alias(member), part(F.col("component"), 2).alias("component"))
 
 
+@vectorized("long")
+def name_components(sets: pd.Series) -> pd.Series:
+    """Into how many components sets of names fall that are linked by shared names."""
+
+    def one(names: Sequence[Sequence[str]]) -> int:
+        above: dict[str, str] = {}
+
+        def root(x: str) -> str:
+            while above.setdefault(x, x) != x:
+                above[x] = x = above[above[x]]
+            return x
+
+        for own in names:
+            for x in own[1:]:
+                above[root(x)] = root(own[0])
+            if len(own):
+                root(own[0])
+        return sum(x == y for x, y in above.items())
+
+    return sets.map(one)
+
+
 def entity_errors(candidates: DataFrame, drafts: DataFrame) -> DataFrame:
     """draft_id, error. ``candidates`` has candidate_id, type, names (canonical
     first, then aliases); ``drafts`` has type, canonical_name, aliases."""
-    joined = drafts.select("*", F.explode("source_candidate_ids").alias("candidate_id")).join(candidates.select("candidate_id", F.col("type").alias("c_type"), "names"), "candidate_id")
-    changed = joined.where("type != c_type").select("draft_id", F.lit("CHANGED_TYPE").alias("error"))
-    named = joined.select("draft_id", "candidate_id", F.explode("names").alias("name"))
-    split = entity_components(named).groupBy("draft_id").agg(F.count_distinct("component").alias("n")).where("n > 1").select("draft_id", F.lit("DISTINCT_IDENTITIES").alias("error"))
-    spelled = named.groupBy(F.col("draft_id").cast("string").alias("draft_id")).agg(F.sort_array(F.collect_set(identity(F.col("name")))).alias("known"))
+    key = F.col("draft_id").cast("string")
+    joined = drafts.select(key.alias("g"), "type", F.explode("source_candidate_ids").alias("candidate_id")).join(candidates.select("candidate_id", F.col("type").alias("c_type"), "names"), "candidate_id")
+    # A draft's candidates are one row of it already; so are their names.
+    own = joined.select("g", (F.col("type") != F.col("c_type")).alias("changed"), F.transform("names", identity).alias("names"))
+    known = own.groupBy("g").agg(F.max("changed").alias("changed"), F.collect_list("names").alias("sets"))
+    known = known.select("g", "changed", name_components(F.transform("sets", lambda x: F.array_compact(x))).alias("n"), (F.size(F.flatten("sets")) > 0).alias("named"), F.array_sort(F.array_compact(F.array_distinct(F.flatten("sets")))).alias("known"))
     given = F.sort_array(F.array_distinct(F.transform(F.concat(F.array("canonical_name"), "aliases"), identity)))
-    d = drafts.select(F.col("draft_id").cast("string").alias("draft_id"), identity(F.col("canonical_name")).alias("canonical"), given.alias("given")).join(spelled, "draft_id")
-    invented = d.where(~F.array_contains("known", F.col("canonical"))).select("draft_id", F.lit("CANONICAL_NOT_SUPPLIED").alias("error"))
-    aliases = d.where(~F.col("known").eqNullSafe(F.col("given"))).select("draft_id", F.lit("ALIASES_CHANGED").alias("error"))
-    return changed.select(F.col("draft_id").cast("string").alias("draft_id"), "error").unionByName(split).unionByName(invented).unionByName(aliases).distinct()
+    d = drafts.select(key.alias("draft_id"), identity(F.col("canonical_name")).alias("canonical"), given.alias("given"))
+    both = d.join(known, F.col("draft_id").eqNullSafe(F.col("g")))
+    spelled = F.col("named") & F.col("draft_id").isNotNull()
+    rules = {"CHANGED_TYPE": F.col("changed"), "DISTINCT_IDENTITIES": F.col("n") > 1, "CANONICAL_NOT_SUPPLIED": spelled & ~F.array_contains("known", F.col("canonical")), "ALIASES_CHANGED": spelled & ~F.col("known").eqNullSafe(F.col("given"))}
+    errors = F.array_compact(F.array(*(F.when(rule, name) for name, rule in rules.items())))
+    return both.select("draft_id", errors.alias("errors")).select("draft_id", F.explode_outer("errors").alias("error")).where("error is not null").distinct()
 
 
 def first_spelling(names: DataFrame, by: str = "draft_id", member: str = "candidate_id") -> DataFrame:

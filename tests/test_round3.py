@@ -116,3 +116,19 @@ def test_drafts_are_joined_with_candidates_once(spark, monkeypatch):
     got = rows(promotion.claim_errors(c, d, spark.createDataFrame([(1,), (2,), (3,)], "evidence_id long")))
     assert got == [("bad", f"CHANGED_{x}") for x in ("CONTRADICTING_EVIDENCE_IDS", "STATUS", "TEXT")] + [("bad", "INACTIVE_EVIDENCE")]
     assert len(made) == 1 and plan_of(made[0]).count("Join") == 1
+
+
+def test_identities_of_a_draft_in_one_pass(spark):
+    """Equal to the components of all names; no table is written."""
+    import random
+
+    from quillstone.operators import promotion
+
+    rng = random.Random(5)
+    c = [(i, "T", [f"N{i // 8 * 8 + rng.randrange(9)}" for _ in range(rng.randrange(4))]) for i in range(160)]
+    names = spark.createDataFrame([(i // 8, i, n) for i, _, ns in c for n in ns], "draft_id long, candidate_id long, name string")
+    drafts = spark.createDataFrame([(g, "U" if g == 3 else "T", "x", [], list(range(g * 8, g * 8 + 8))) for g in range(20)], "draft_id long, type string, canonical_name string, aliases array<string>, source_candidate_ids array<long>")
+    found = promotion.entity_errors(spark.createDataFrame(c, "candidate_id long, type string, names array<string>"), drafts)
+    want = [r[0] for r in promotion.entity_components(names).groupBy("draft_id").agg(F.count_distinct("component").alias("n")).where("n > 1").collect()]
+    assert sorted(r.draft_id for r in found.where("error = 'DISTINCT_IDENTITIES'").collect()) == sorted(want) and 0 < len(want) < 20
+    assert rows(found.where("error = 'CHANGED_TYPE'")) == [("3", "CHANGED_TYPE")] and plan_of(found).count("Join") == 2
