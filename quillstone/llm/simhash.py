@@ -70,6 +70,14 @@ def shingles(text: str, words: int) -> list[bytes]:
     return [line[a:b] for a, b in zip(starts, (ends[words - 1 :] - 1).tolist(), strict=True)]
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
+    ones = np.zeros(BITS, np.int64)
+    for i in range(0, len(hashes), 8192):
+        ones += np.unpackbits(hashes[i : i + 8192].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
+
+
 def fingerprint(text: str, words: int = 3, seed: int = SEED) -> int:
     """Bit i is 1 if it is set in over half of the shingles' hashes."""
     import xxhash
@@ -78,11 +86,7 @@ def fingerprint(text: str, words: int = 3, seed: int = SEED) -> int:
     if not parts:
         return 0
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(p, seed) for p in parts), ">u8", len(parts))
-    ones = np.zeros(BITS, np.int64)
-    for i in range(0, len(hashes), 8192):
-        ones += np.unpackbits(hashes[i : i + 8192].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(parts)).tobytes(), "big")
+    return majority(np.fromiter((digest(p, seed) for p in parts), np.uint64, len(parts)))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, seed: int = SEED) -> DataFrame:
@@ -228,8 +232,11 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     return fps.join(classes, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-# Similarity of five-word shingles: exact Jaccard of their sets. Of two sets of
-# resemblance t or more, each has all but a share 1 - t of its shingles in the
+# Similarity of five-word shingles: exact Jaccard of their sets. The sets' SimHash
+# fingerprints meet in the lists of byte positions above, and each pair that keeps the
+# least number of matches is verified by the exact Jaccard. Sets of resemblance t may
+# still differ in any number of fingerprint bits, so an exact way finds the rest: each
+# of two such sets has all but a share 1 - t of its shingles in the
 # other, so under any one order of all shingles their prefixes of that share, and
 # one more, meet. A shingle of the prefixes is a posting list; the order puts
 # shingles that a sample finds common last, which keeps lists short and changes no
@@ -316,7 +323,8 @@ PARITIES = [f"p{i}" for i in range(PARITY)]
 
 
 def profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WIDE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """id, sig (a digest of the set), size, prefix and the parity tables."""
+    """id, sig (a digest of the set), size, prefix, the parity tables and fp, the set's
+    fingerprint."""
     rows = texts_of(docs, id_col, text_col)
     common, ranks = common_shingles(rows, words)
     known = docs.sparkSession.sparkContext.broadcast((common, ranks))
@@ -330,11 +338,12 @@ def profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
                 sigs = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
                 first = [prefix(s, *known.value, similarity).view(np.int64) for s in sets]
                 tables = np.stack([parity(s).view(np.int64) for s in sets])
-                columns = [pa.array(sigs, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(first, pa.list_(pa.int64())), pa.array([wide_parity(s) for s in sets], pa.binary())]
-                yield pa.record_batch([part.column("id"), *columns, *(pa.array(tables[:, i]) for i in range(PARITY))], ["id", "sig", "size", "prefix", "wide", *PARITIES])
+                fps = np.array([majority(s) for s in sets], np.uint64).view(np.int64)
+                columns = [pa.array(sigs, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(first, pa.list_(pa.int64())), pa.array([wide_parity(s) for s in sets], pa.binary()), pa.array(fps)]
+                yield pa.record_batch([part.column("id"), *columns, *(pa.array(tables[:, i]) for i in range(PARITY))], ["id", "sig", "size", "prefix", "wide", "fp", *PARITIES])
 
     kinds = ", ".join(f"{p} long" for p in PARITIES)
-    return map_arrow(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, sig binary, size long, prefix array<long>, wide binary, {kinds}")
+    return map_arrow(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, sig binary, size long, prefix array<long>, wide binary, fp long, {kinds}")
 
 
 def _near(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
@@ -468,6 +477,16 @@ def _across(rows: DataFrame, similarity: float) -> DataFrame:
     return map_arrow(dealt.select(*keys, "own", "node", "component", "size", *PARITIES), run, f"a {kind}, b {kind}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def fingerprint_pairs(classes: DataFrame) -> DataFrame:
+    """Pairs a, b of ``classes`` (node, fp) that connect whatever equal and linked
+    fingerprints connect."""
+    first = durable(classes.groupBy("fp").agg(F.min("node").alias("least")), "fingerprint-classes")
+    same = classes.join(first, "fp").where("node != least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    sides = [first.select(F.col("fp").alias(f"{s}_fp"), F.col("least").alias(s)) for s in "ab"]
+    met = links(first.select("fp")).toDF("a_fp", "b_fp").join(sides[0], "a_fp").join(sides[1], "b_fp")
+    return same.unionByName(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+
+
 def similar_links(classes: DataFrame, texts: DataFrame, words: int = WIDE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """Links a, b that connect whatever pairs of ``classes`` (node and profile) at
     that similarity connect; ``texts`` has node and text."""
@@ -475,7 +494,8 @@ def similar_links(classes: DataFrame, texts: DataFrame, words: int = WIDE_WORDS,
     roots = posted.groupBy("list").agg(F.min("node").alias("root"), F.max("node").alias("top"), F.count("*").alias("n")).where("root != top")
     lists = durable(posted.join(roots.select("list", "root", "n"), "list"), "posting-lists")
     stars = _near(lists.where("node != root").select(F.col("root").alias("a"), F.col("node").alias("b")).distinct(), classes, similarity)
-    joined = durable(connected_components(verified(stars, classes, texts, words, similarity)), "joined")
+    near = _near(fingerprint_pairs(classes), classes, similarity).unionByName(stars).distinct()
+    joined = durable(connected_components(verified(near, classes, texts, words, similarity)), "joined")
     # In a list of two, that was the only pair.
     told = lists.where("n > 2").select("list", "node").join(joined, "node", "left").select("list", "node", F.coalesce("component", "node").alias("component"))
     told = durable(told, "told")
@@ -489,7 +509,7 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """id and component_id, the smallest id reached, of each row with an id."""
     docs = docs.where(quoted(id_col).isNotNull())
     sets = durable(profiles(docs, id_col, text_col, words, similarity), "profiles")
-    classes = durable(sets.groupBy("sig").agg(F.min("id").alias("node"), *(F.first(c).alias(c) for c in ("size", "prefix", "wide", *PARITIES))), "classes")
+    classes = durable(sets.groupBy("sig").agg(F.min("id").alias("node"), *(F.first(c).alias(c) for c in ("size", "prefix", "wide", "fp", *PARITIES))), "classes")
     texts = docs.select(quoted(id_col).alias("node"), quoted(text_col).alias("text"))
     found = connected_components(similar_links(classes, texts, words, similarity))
     joined = classes.join(found, "node", "left").select("sig", F.coalesce("component", "node").alias("component_id"))

@@ -306,6 +306,20 @@ def test_near_dedup_is_exact_from_07_to_09(spark):
     assert {r.doc_id for r in simhash.near_deduplicate(frame(spark, texts)).collect()} == brute_near(texts)
 
 
+def test_near_dedup_meets_by_fingerprints(spark):
+    """Fingerprints bring copies together, without a shared posting list of shingles."""
+    random.seed(5)
+    base = [f"w{random.randrange(9_000)}" for _ in range(400)]
+    texts = [" ".join(base), " ".join([*base, "more"]), " ".join(f"v{random.randrange(9_000)}" for _ in range(400))]
+    classes = simhash.profiles(frame(spark, texts)).withColumnRenamed("id", "node")
+    fps = {r.node: r.fp & (1 << 64) - 1 for r in classes.collect()}
+    near = {(a, b) for a in fps for b in fps if a < b and (fps[a] ^ fps[b]).bit_count() <= simhash.MAX_BITS}
+    assert near == {(0, 1)} and {(r.a, r.b) for r in simhash.fingerprint_pairs(classes).collect()} == near
+    apart = classes.withColumn("prefix", F.array(F.col("node")))
+    rows = frame(spark, texts).select(F.col("doc_id").alias("node"), "text")
+    assert {frozenset((r.a, r.b)) for r in simhash.similar_links(apart, rows).collect() if r.a != r.b} == {frozenset((0, 1))}
+
+
 def test_near_dedup_of_oversized_lists(spark, monkeypatch):
     """One template in all texts: lists of many blocks with clusters in them."""
     monkeypatch.setattr(simhash, "WIDE_BLOCK", 8)
