@@ -132,3 +132,16 @@ def test_identities_of_a_draft_in_one_pass(spark):
     want = [r[0] for r in promotion.entity_components(names).groupBy("draft_id").agg(F.count_distinct("component").alias("n")).where("n > 1").collect()]
     assert sorted(r.draft_id for r in found.where("error = 'DISTINCT_IDENTITIES'").collect()) == sorted(want) and 0 < len(want) < 20
     assert rows(found.where("error = 'CHANGED_TYPE'")) == [("3", "CHANGED_TYPE")] and plan_of(found).count("Join") == 2
+
+
+def test_a_grown_heap_is_collected(spark, monkeypatch):
+    """What a durable write leaves behind goes at once where the heap is over its share."""
+    from quillstone.functions import storage
+
+    jvm = spark.sparkContext._jvm
+    left = [jvm.java.lang.ref.WeakReference(jvm.java.lang.Object()) for _ in range(2)]
+    monkeypatch.setattr(storage, "HEAP_SHARE", 0.0, raising=False)
+    storage.durable(spark.range(3), "three")
+    jvm.java.lang.Thread.sleep(200)  # references through the bridge end in the background
+    storage.durable(spark.range(3), "three")
+    assert any(r.get() is None for r in left)
