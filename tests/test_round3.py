@@ -145,3 +145,14 @@ def test_a_grown_heap_is_collected(spark, monkeypatch):
     jvm.java.lang.Thread.sleep(200)  # references through the bridge end in the background
     storage.durable(spark.range(3), "three")
     assert any(r.get() is None for r in left)
+
+
+def test_lines_of_executed_tests_are_dealt_once(spark, monkeypatch):
+    """What is planned after a case's lines were gathered reads no line again."""
+    from quillstone.operators import falsification
+    from quillstone.plans import logs
+
+    given = []
+    monkeypatch.setattr(falsification, "execute", lambda *frames: given.extend(frames) or frames[0].selectExpr("test_id", "'' outcome", "'' error"))
+    logs.executed_tests(spark, "/root/testdata/sf0.001")
+    assert len(given) == 4 and not any("lineitem" in f for frame in given for f in frame.inputFiles())
