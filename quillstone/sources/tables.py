@@ -12,7 +12,7 @@ from array import array
 from collections.abc import Callable, Iterator
 from datetime import datetime, timedelta
 from functools import lru_cache, partial
-from itertools import batched
+from itertools import batched, chain
 from typing import IO
 from xml.etree import ElementTree
 
@@ -124,12 +124,16 @@ def _number_text(value: str, is_date: bool) -> str:
     return value if re.fullmatch("-?[0-9]+", value) else repr(float(value))
 
 
+#: Bytes of shared strings that need no file.
+SPOOLED = 1 << 20
+
+
 class SharedStrings:
-    """A workbook's shared strings, in a file of the task and not in its memory: a text is
-    found by its place, and recent ones are held."""
+    """A workbook's shared strings, beyond ``SPOOLED`` bytes in a file of the task and not in
+    its memory: a text is found by its place, and recent ones are held."""
 
     def __init__(self, source: IO[bytes] | None):
-        self.file, self.ends = tempfile.TemporaryFile(), array("q", [0])
+        self.file, self.ends = tempfile.SpooledTemporaryFile(SPOOLED), array("q", [0])
         for item in _elements(source, "si") if source is not None else ():
             self.ends.append(self.ends[-1] + self.file.write("".join(t.text or "" for t in item.iter(_tag("t"))).encode()))
         self.text = lru_cache(65_536)(self._read)
@@ -179,7 +183,7 @@ def _row_values(row: ElementTree.Element, shared: SharedStrings, dated: list[boo
 def _sheets(data: bytes) -> Iterator[tuple[str, int, Callable[[], Iterator[list[str]]]]]:
     """Name, width and rows of each sheet. Rows are read from the archive as they are asked
     for; all sheets are read once before, for their widths and so that what can't be read fails
-    before its first row."""
+    before its first row. Sheets that fit ``BATCH_OF_ROWS`` rows together are kept from then."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         names = set(z.namelist())
         shared = SharedStrings(z.open("xl/sharedStrings.xml") if "xl/sharedStrings.xml" in names else None)
@@ -192,9 +196,21 @@ def _sheets(data: bytes) -> Iterator[tuple[str, int, Callable[[], Iterator[list[
 
         listed = ElementTree.fromstring(z.read("xl/workbook.xml")).find("m:sheets", _XL)
         found = [(sheet.get("name"), rels[sheet.get(f"{{{_XL['r']}}}id")].lstrip("/")) for sheet in listed]
-        widths = [max(map(len, rows(target)), default=0) for _, target in found]
-        for (name, target), width in zip(found, widths, strict=True):
-            yield name, width, partial(rows, target)
+        widths, kept, left = [], [], BATCH_OF_ROWS
+        for _, target in found:
+            width, source, own = 0, rows(target), []
+            for row in source:
+                width = max(width, len(row))
+                own.append(row)
+                if len(own) > left:
+                    own = None
+                    break
+            width = max(width, max(map(len, source), default=0))
+            left -= len(own or [])
+            widths.append(width)
+            kept.append(own)
+        for (name, target), width, own in zip(found, widths, kept, strict=True):
+            yield name, width, partial(rows, target) if own is None else partial(iter, own)
 
 
 def stream_sheets(data: bytes) -> Iterator[tuple[str, list[str], Iterator[list[str]]]]:
@@ -239,9 +255,9 @@ def read_tables(files: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for path, content in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
-                for some in batched(rows_of(path, content.as_py() or b""), BATCH_OF_ROWS):
-                    yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*some, strict=True), schema, strict=True)], schema=schema)
+            files = (rows_of(path, content.as_py() or b"") for path, content in zip(b.column("path").to_pylist(), b.column("content"), strict=True))
+            for some in batched(chain.from_iterable(files), BATCH_OF_ROWS):
+                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*some, strict=True), schema, strict=True)], schema=schema)
 
     return files.select("path", "content").mapInArrow(run, "path string, sheet string, columns array<string>, row_no long, row array<string>, error string")
 

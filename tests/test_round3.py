@@ -156,3 +156,26 @@ def test_lines_of_executed_tests_are_dealt_once(spark, monkeypatch):
     monkeypatch.setattr(falsification, "execute", lambda *frames: given.extend(frames) or frames[0].selectExpr("test_id", "'' outcome", "'' error"))
     logs.executed_tests(spark, "/root/testdata/sf0.001")
     assert len(given) == 4 and not any("lineitem" in f for frame in given for f in frame.inputFiles())
+
+
+def test_a_small_sheet_is_parsed_once(monkeypatch):
+    """A sheet is read again only where its rows are more than are held."""
+    import io
+    import zipfile
+
+    from quillstone.plans import stored
+    from quillstone.sources import tables
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, text in stored._PARTS.items():
+            z.writestr(name, text)
+        cells = "".join(f"<row>{'<c><v>1</v></c>' * n}</row>" for n in (1, 3, 2))
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{stored._MAIN}"><sheetData>{cells}</sheetData></worksheet>')
+    want = [("Orders", ["1", "", ""], [["1", "1", "1"], ["1", "1", ""]])]
+    for held, parsed in ((3, 3), (2, 6), (1, 6), (0, 6)):
+        seen = []
+        monkeypatch.setattr(tables, "BATCH_OF_ROWS", held)
+        monkeypatch.setattr(tables, "_row_values", lambda *x, f=tables._row_values: seen.append(x) or f(*x))
+        assert tables.read_sheets(out.getvalue()) == want and len(seen) == parsed
+        monkeypatch.undo()
