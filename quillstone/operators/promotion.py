@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -122,16 +123,60 @@ def token_overlap(left: Column, right: Column) -> tuple[Column, Column]:
     return F.when(union == 0, 1).otherwise(F.size(F.array_intersect(left, right))), F.when(union == 0, 1).otherwise(union)
 
 
-#: Words of a set's parity table, of 64 bits each.
-PARITY_WORDS = 8
+#: Buckets of the table of frequencies, and those that one row of it holds.
+BUCKETS, BUCKETS_OF_A_ROW = 1 << 24, 1 << 16
+#: Bits of a set's parity table, each whether an odd number of tokens has its hash: two
+#: tables differ in no more bits than their sets in tokens.
+PARITY_BITS = 512
 
 
-def _parity(token: Column) -> list[Column]:
-    """Aggregates of a set's table of bits, each whether an odd number of tokens has its
-    hash: two tables differ in no more bits than their sets in tokens."""
-    place = F.pmod(F.xxhash64(token), F.lit(64 * PARITY_WORDS))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))
-    return [F.bit_xor(F.when(F.floor(place / 64) == i, bit).otherwise(F.lit(0).cast("long"))).alias(f"p{i}") for i in range(PARITY_WORDS)]
+def _frequencies(sets: DataFrame) -> Broadcast[bytes]:
+    """How often the hashes of ``sets`` (hashes) of each bucket occur, as a byte: exactly up
+    to 32, by twelfths of doublings beyond. It takes ``BUCKETS`` bytes of the driver."""
+    bucket, n = F.pmod("h", F.lit(BUCKETS)), F.col("n")
+    counts = sets.select(F.explode("hashes").alias("h")).groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
+    level = F.when(n <= 32, n).otherwise(F.least(F.lit(255), F.lit(32) + F.floor(12 * F.log2(n / 32)))).cast("int")
+    cells = counts.select(F.floor(F.col("bucket") / BUCKETS_OF_A_ROW).cast("int").alias("row"), (F.col("bucket") % BUCKETS_OF_A_ROW).cast("int").alias("at"), level.alias("level"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, (row, cell) in enumerate(zip(batch.column("row").to_pylist(), batch.column("cells"), strict=True)):
+                held = np.zeros(BUCKETS_OF_A_ROW, np.uint8)
+                held[cell.values.field("at").to_numpy()] = cell.values.field("level").to_numpy()
+                yield pa.record_batch([pa.array([row], pa.int32()), pa.array([held.tobytes()], pa.binary())], ["row", "held"])
+
+    ship(sets.sparkSession)
+    rows = cells.groupBy("row").agg(F.collect_list(F.struct("at", "level")).alias("cells")).mapInArrow(run, "row int, held binary").collect()
+    held = bytearray(BUCKETS)
+    for r in rows:
+        held[r.row * BUCKETS_OF_A_ROW : (r.row + 1) * BUCKETS_OF_A_ROW] = r.held
+    return sets.sparkSession.sparkContext.broadcast(bytes(held))
+
+
+def _postings(sets: DataFrame, frequencies: Broadcast[bytes]) -> DataFrame:
+    """list, id, size, place, short, bits: the lists of each of ``sets`` (id, hashes), which
+    are its rarest hashes, made where the set is. A hash of one set alone needs no list."""
+    mask = BUCKETS - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        level = np.frombuffer(frequencies.value, np.uint8)
+        for batch in batches:
+            hashes = batch.column("hashes")
+            sizes, flat = hashes.value_lengths().to_numpy().astype(np.int64), hashes.flatten().to_numpy()
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            odd = np.bincount(owner * PARITY_BITS + (flat & (PARITY_BITS - 1)), minlength=len(sizes) * PARITY_BITS) & 1
+            bits = np.packbits(odd.astype(np.uint8).reshape(len(sizes), PARITY_BITS), axis=1)
+            often = level[flat & mask]
+            order = np.lexsort((flat, often, owner))
+            place, n = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes), sizes[owner]
+            kept = np.flatnonzero((place < n + 1 - -(-3 * n // 4)) & (often[order] > 1))
+            short = place < n + 1 - -(-6 * n // 7)
+            tables = pa.array([b.tobytes() for b in bits], pa.binary()).take(pa.array(owner[kept]))
+            columns = [pa.array(flat[order][kept]), batch.column("id").take(pa.array(owner[kept])), *(pa.array(c[kept].astype(np.int32)) for c in (n, place)), pa.array(short[kept]), tables]
+            yield pa.record_batch(columns, ["list", "id", "size", "place", "short", "bits"])
+
+    ship(sets.sparkSession)
+    return sets.mapInArrow(run, "list long, id long, size int, place int, short boolean, bits binary")
 
 
 #: Members of a list that are compared in one group; a longer list is dealt into blocks.
@@ -142,22 +187,31 @@ _KEYS = ["list", "low", "high"]
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """Each run of several equal keys in sorted batches."""
     held: list[pa.RecordBatch] = []
+    last: tuple[int, ...] = ()
+
+    def whole() -> Iterator[pa.Table]:
+        if sum(b.num_rows for b in held) > 1:
+            yield pa.Table.from_batches(held).combine_chunks()
+        held.clear()
+
     for batch in batches:
         if batch.num_rows:
-            table = pa.Table.from_batches([*held, batch]).combine_chunks()
-            keys = np.stack([table.column(k).to_numpy() for k in _KEYS])
-            bounds = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1)]
-            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                if b - a > 1:
-                    yield table.slice(a, b - a)
-            held = table.slice(bounds[-1]).to_batches()
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks()
+            keys = np.stack([batch.column(k).to_numpy() for k in _KEYS])
+            bounds = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1), batch.num_rows]
+            if tuple(keys[:, 0]) != last:
+                yield from whole()
+            last = tuple(keys[:, -1])
+            for a, b in zip(bounds[:-2], bounds[1:-1], strict=True):
+                if held or b - a > 1:
+                    held.append(batch.slice(a, b - a))
+                    yield from whole()
+            held.append(batch.slice(bounds[-2]))
+    yield from whole()
 
 
 def _meeting(posted: DataFrame) -> DataFrame:
-    """g, a_id, b_id of the members of a list that size, place and parity don't rule out; the
-    smaller is there by its short prefix. Two blocks of a long list meet in a group of their own."""
+    """a, b of the members of a list that size, place and parity don't rule out; the smaller is
+    there by its short prefix. Two blocks of a long list meet in a group of their own."""
     long = posted.groupBy("list").agg(F.ceil(F.count("*") / LIST_MEMBERS).cast("int").alias("blocks")).where("blocks > 1")
     rows = posted.join(sized_broadcast(durable(long, "long-lists")), "list", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("id", "list"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -167,7 +221,7 @@ def _meeting(posted: DataFrame) -> DataFrame:
         for table in _lists(batches):
             size, left, short, own = (table.column(c).to_numpy() for c in ("size", "left", "short", "own"))
             across = table["low"][0].as_py() != table["high"][0].as_py()
-            bits = np.stack([table.column(f"p{i}").to_numpy() for i in range(PARITY_WORDS)], axis=1).view(np.uint64)
+            bits = np.frombuffer(b"".join(table["bits"].to_pylist()), np.uint64).reshape(len(size), -1)
             ends = np.searchsorted(size * 3, size * 4)  # sizes are sorted
             first, second = [], []
             for i in np.flatnonzero(short & (ends > np.arange(len(size)) + 1)):
@@ -178,17 +232,67 @@ def _meeting(posted: DataFrame) -> DataFrame:
                     fit &= own[j] != own[i]
                 some = np.flatnonzero(fit)
                 some = some[np.bitwise_count(bits[j][some] ^ bits[i]).sum(axis=1, dtype=np.int64) * 7 < both[some]]
-                first.append(np.full(len(some), i))
-                second.append(some + i + 1)
+                if len(some):
+                    first.append(np.full(len(some), i))
+                    second.append(some + i + 1)
             if first:
-                one, two = pa.array(np.concatenate(first)), pa.array(np.concatenate(second))
-                g, ids = table.column("g").combine_chunks(), table.column("id").combine_chunks()
-                yield pa.record_batch([g.take(one), ids.take(one), ids.take(two)], ["g", "a_id", "b_id"])
+                ids = table.column("id").to_numpy()
+                one, two = ids[np.concatenate(first)], ids[np.concatenate(second)]
+                yield pa.record_batch([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two))], ["a", "b"])
 
     ship(posted.sparkSession)
     dealt = rows.withColumn("left", F.col("size") - F.col("place")).drop("place").repartition(*_KEYS).sortWithinPartitions(*_KEYS, "size")
-    kind = {f.name: f.dataType.simpleString() for f in posted.schema}
-    return dealt.mapInArrow(run, f"g {kind['g']}, a_id {kind['id']}, b_id {kind['id']}")
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+#: Sets of one block in which pairs are verified, and blocks that are made of fewer sets, so
+#: that tasks share the work.
+BLOCK_SETS, SPREAD = 4096, 8
+
+
+def _grouped(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """list, low, high, a, b, tokens: the ``pairs`` (a, b), and the ``sets`` (id, tokens) as a,
+    in groups in which two blocks of sets meet. A set goes once to each group in which it has
+    pairs, not with each pair."""
+    ids = durable(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "paired-sets")
+    n = ids.count()
+    blocks = max(-(-n // BLOCK_SETS), min(SPREAD, -(-n * SPREAD // BLOCK_SETS)), 1)
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
+    pairs = pairs.select(F.lit(0).alias("list"), F.least(block("a"), block("b")).alias("low"), F.greatest(block("a"), block("b")).alias("high"), "a", "b")
+    wanted = pairs.select(*_KEYS, F.explode(F.array("a", "b")).alias("id")).distinct()
+    texts = sets.join(sized_broadcast(ids), "id", "left_semi")
+    given = wanted.join(texts, "id").select(*_KEYS, F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), "tokens")
+    return given.unionByName(pairs, allowMissingColumns=True)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b, shared, total of the ``pairs`` (a, b) of ``sets`` (id, tokens) that overlap by
+    over 3/4."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _lists(batches):
+            n = table["b"].null_count
+            own, ids = table.slice(0, n), table["a"].slice(0, n).to_numpy()
+            tokens = own["tokens"].combine_chunks()
+            sizes = tokens.value_lengths().to_numpy().astype(np.int64)
+            coded = tokens.flatten().dictionary_encode("encode")
+            codes, marked = coded.indices.to_numpy(), np.zeros(len(coded.dictionary), bool)
+            starts = np.cumsum(sizes) - sizes
+            a, b = (np.searchsorted(ids, table[c].slice(n).to_numpy()) for c in ("a", "b"))
+            shared, bounds = [], [*np.flatnonzero(np.diff(a, prepend=-1)), len(a)]
+            for x, y in zip(bounds[:-1], bounds[1:], strict=True):
+                mine = codes[starts[a[x]] : starts[a[x]] + sizes[a[x]]]
+                marked[mine] = True
+                shared += [np.count_nonzero(marked[codes[starts[j] : starts[j] + sizes[j]]]) for j in b[x:y]]
+                marked[mine] = False
+            both = np.array(shared, np.int64)
+            total = sizes[a] + sizes[b] - both
+            good = np.flatnonzero(4 * both > 3 * total)
+            yield pa.record_batch([pa.array(c[good]) for c in (ids[a], ids[b], both, total)], ["a", "b", "shared", "total"])
+
+    ship(pairs.sparkSession)
+    dealt = _grouped(pairs, sets).repartition(*_KEYS).sortWithinPartitions(*_KEYS, F.col("b").isNotNull(), "a")
+    return dealt.mapInArrow(run, "a long, b long, shared long, total long")
 
 
 def too_similar(drafts: DataFrame, by: str, id_col: str, tokens: str) -> DataFrame:
@@ -198,28 +302,27 @@ def too_similar(drafts: DataFrame, by: str, id_col: str, tokens: str) -> DataFra
     rarest first, any set with such an overlap has one among the first n - ceil(3n/4) + 1,
     and among the first n - ceil(6n/7) + 1 if it is no smaller. Of the sets that meet so,
     those are compared whose sizes, places of that token and parity tables allow it, which
-    rules out no similar pair. Counts order tokens and decide nothing. Empty sets overlap
-    wholly; a null set counts as empty; a group that is null has no pairs."""
-    sets = drafts.where(F.col(by).isNotNull() & F.col(id_col).isNotNull())
-    sets = sets.select(F.col(by).alias("g"), F.col(id_col).alias("id"), F.array_sort(F.array_distinct(F.coalesce(F.col(tokens), F.array().cast("array<string>")))).alias("tokens"))
-    members = durable(sets.withColumn("own", F.min("id").over(W.partitionBy("g", "tokens"))), "token-sets")
-    sets = members.where("id = own and size(tokens) > 0").select("g", "id", "tokens").dropDuplicates(["g", "id", "tokens"])
-    each = sets.select("g", "id", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
-    seen = durable(each.groupBy("token").agg(F.count("*").alias("n")), "token-counts")
-    ordered = each.join(sized_broadcast(seen), "token").groupBy("g", "id", "size").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("t"), *_parity(F.col("token")))
-    size, words = F.col("size"), [f"p{i}" for i in range(PARITY_WORDS)]
-    least = lambda part: size - F.ceil(size * part[0] / part[1]).cast("int") + 1
-    posted = ordered.select("g", "id", "size", *words, F.posexplode(F.slice("t.token", 1, least((3, 4)))).alias("place", "token"))
-    posted = durable(posted.withColumn("short", F.col("place") < least((6, 7))), "token-prefixes")
-    pairs = durable(_meeting(posted.select("g", F.xxhash64("g", "token").alias("list"), "id", "size", "place", "short", *words)).distinct(), "token-pairs")
-    a, b = (sets.select("g", F.col("id").alias(f"{side}_id"), F.col("tokens").alias(name)) for side, name in (("a", "lt"), ("b", "rt")))
-    inter, union = token_overlap(F.col("lt"), F.col("rt"))
-    alike = pairs.join(a, ["g", "a_id"]).join(b, ["g", "b_id"]).select("g", "a_id", "b_id", inter.cast("long").alias("shared"), union.cast("long").alias("total")).where("4 * shared > 3 * total")
-    alike = durable(alike, "similar-sets")
-    one, two = (members.select("g", F.col("own").alias(own), F.col("id").alias(id_)) for own, id_ in (("a_id", "x"), ("b_id", "y")))
-    across = alike.join(one, ["g", "a_id"]).join(two, ["g", "b_id"]).select("g", "x", "y", "shared", "total")
-    n = F.greatest(F.size("tokens"), F.lit(1)).cast("long")
-    same = members.select("g", F.col("own").alias("a_id"), F.col("id").alias("x"), n.alias("shared"), n.alias("total")).join(two.withColumnRenamed("b_id", "a_id"), ["g", "a_id"]).where("x < y").select("g", "x", "y", "shared", "total")
+    rules out no similar pair. Hashes of tokens and their frequencies choose who meets and
+    decide nothing. Tokens are written once, and go only to where a set has pairs. Empty sets
+    overlap wholly; a null set counts as empty; a group that is null has no pairs."""
+    own = drafts.where(F.col(by).isNotNull() & F.col(id_col).isNotNull())
+    own = own.select(F.col(by).alias("g"), F.col(id_col).alias("id"), F.array_sort(F.array_distinct(F.coalesce(F.col(tokens), F.array().cast("array<string>")))).alias("tokens"))
+    own = durable(own.select("*", F.unhex(F.sha2(F.to_json("tokens"), 256)).alias("digest"), F.monotonically_increasing_id().alias("row")), "token-sets")
+    # Equal sets are called after one of their rows; the others' are left out, which are fewer.
+    called = F.min("row").over(W.partitionBy("g", "digest")).alias("set")
+    members = durable(own.select("g", "id", "row", F.size("tokens").cast("long").alias("n"), called), "set-members")
+    others = members.where("row <> set").select("row")
+    sets = own.where("size(tokens) > 0").join(sized_broadcast(others), "row", "left_anti").select(F.col("row").alias("id"), "g", "tokens")
+    hashes = F.transform("tokens", lambda t: F.xxhash64(F.col("g"), t)).alias("hashes")
+    frequencies = _frequencies(sets.select(hashes))
+    posted = durable(_postings(sets.select("id", hashes), frequencies), "token-prefixes")
+    frequencies.unpersist()
+    pairs = _meeting(posted).where("a <> b").distinct()
+    alike = durable(_verified(durable(pairs, "token-pairs"), sets), "similar-sets")
+    one, two = (members.select(F.col("set").alias(c), F.col("g").alias(f"g{c}"), F.col("id").alias(id_)) for c, id_ in (("a", "x"), ("b", "y")))
+    across = alike.join(one, "a").join(two, "b").where("ga = gb and x <> y").select(F.col("ga").alias("g"), "x", "y", "shared", "total")
+    n = F.greatest("n", F.lit(1).cast("long"))
+    same = members.select("set", "g", F.col("id").alias("x"), n.alias("shared"), n.alias("total")).join(two.select(F.col("b").alias("set"), "y"), "set").where("x < y").select("g", "x", "y", "shared", "total")
     found = across.unionByName(same)
     return found.select(F.col("g").alias(by), F.least("x", "y").alias("left_id"), F.greatest("x", "y").alias("right_id"), "shared", "total")
 
