@@ -165,8 +165,11 @@ def matches(index: Index, terms: DataFrame, id_col: str) -> DataFrame:
     candidates = durable(first.select("query_id", "id", "term", "at"), "candidates")
     others = counted.join(rare.select("query_id", F.col("term").alias("rarest")), "query_id").where("term <> rarest and n > 0").select("query_id", "term", "bucket")
     others = durable(others, "other-terms")
-    wanted = durable(candidates.select("query_id", "id").join(sized_broadcast(others), "query_id"), "wanted")
-    at = _of(index.postings(), others).drop("bucket").join(sized_broadcast(wanted.select("query_id", "id", "term")), ["id", "term"])
+    # Only the candidates' ids are broadcast, not their terms: of the other terms' postings, few are theirs.
+    ids = durable(candidates.select("id").distinct(), "candidate-ids")
+    wanted = candidates.select("query_id", "id").join(sized_broadcast(others), "query_id").select("query_id", "id", "term")
+    theirs = _of(index.postings(), others).drop("bucket").join(sized_broadcast(ids), "id", "left_semi")
+    at = theirs.join(wanted.hint("merge"), ["id", "term"])
     rows = candidates.unionByName(at.select("query_id", "id", "term", "at"))
     found = rows.groupBy("query_id", "id").agg(F.array_sort(F.collect_list(F.struct("term", "at"))).alias("hits"))
     sizes = counted.select("query_id", "terms").distinct()

@@ -36,3 +36,21 @@ def test_lists_run_over_batches():
     for size in (1, 2, 3, 5, 20):
         found = [t["at"].to_pylist() for t in promotion._lists(iter(table.to_batches(size)))]
         assert found == [[0, 1, 2, 3, 4], [6, 7, 8, 9], [11, 12]]
+
+
+def test_no_terms_of_candidates_are_broadcast(spark, monkeypatch):
+    """What a search sends to all tasks has a row for each candidate at most, not one for each of
+    its terms."""
+    from quillstone.operators import retrieval, search_index
+
+    docs = [(i, " ".join(f"w{j}" for j in range(30) if (i + j) % 7)) for i in range(300)]
+    index = search_index.temporary(spark, "bigint", "simple")
+    search_index.append(index, spark.createDataFrame(docs, "id bigint, text string"), "id", "text")
+    asked = [(q, " ".join(f"w{j}" for j in range(30) if (q + j) % 7 > 1)) for q in range(7)]
+    sent, offer = [], search_index.sized_broadcast
+    monkeypatch.setattr(search_index, "sized_broadcast", lambda df: sent.append(df) or offer(df))
+    terms = retrieval.query_terms(spark.createDataFrame(asked, "query_id int, query_text string"), config="simple")
+    found = search_index.matches(index, terms, "id")
+    want = sorted((q, i) for q, text in asked for i, words in docs if {*text.split()} <= {*words.split()})
+    assert rows(found, "query_id", "id") == sorted(want, key=str) and len(want) > 200
+    assert sent and not any({"id", "term"} <= {*df.columns} for df in sent) and max(df.count() for df in sent) <= 300
