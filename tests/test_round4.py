@@ -54,3 +54,19 @@ def test_no_terms_of_candidates_are_broadcast(spark, monkeypatch):
     want = sorted((q, i) for q, text in asked for i, words in docs if {*text.split()} <= {*words.split()})
     assert rows(found, "query_id", "id") == sorted(want, key=str) and len(want) > 200
     assert sent and not any({"id", "term"} <= {*df.columns} for df in sent) and max(df.count() for df in sent) <= 300
+
+
+def test_a_resumed_replay_parses_newer_events_only(spark, monkeypatch):
+    """Events up to an investigation's snapshot are left out before payloads are read."""
+    from quillstone.operators import replay_fold
+
+    start = '{"kind": "INVESTIGATION_STARTED", "current_stage": "INGEST"}'
+    data = [(inv, i, "INVESTIGATION_STARTED", start, f"{inv}{i - 1}", f"{inv}{i}") for inv in "ab" for i in range(1, 7)]
+    log = spark.createDataFrame(data, "investigation_id string, sequence long, event_type string, payload string, previous_event_hash string, event_hash string")
+    early, kept = replay_fold.fold(log.where("sequence <= 4"))
+    read, prepared = [], replay_fold._prepared
+    monkeypatch.setattr(replay_fold, "_prepared", lambda events, by: read.append(events) or prepared(events, by))
+    late, _ = replay_fold.fold(log, kept)
+    assert rows(read[0], "investigation_id", "sequence") == [(inv, i) for inv in "ab" for i in (5, 6)]
+    found = rows(early.unionByName(late), "investigation_id", "sequence", "error")
+    assert [r for r in found if r[2] == "STARTED_AFTER_START"] == [(inv, i, "STARTED_AFTER_START") for inv in "ab" for i in range(2, 7)]
